@@ -28,9 +28,15 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def _entries() -> dict:
+    from driftwell.plans import queries_content, queries_data, queries_search
+
+    return queries_search.QUERIES | queries_content.QUERIES | queries_data.QUERIES
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for k, (f, _) in _entries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _entries().items() if sql}
