@@ -201,14 +201,18 @@ class Lexicon:
                 continue
             hits.sort()
             groups: list[list] = []
+            end = 0
             for h in hits:
-                if groups and h[0] - max(x[1] for x in groups[-1]) <= REACH:
+                if groups and h[0] - end <= REACH:
                     groups[-1].append(h)
                 else:
                     groups.append([h])
+                    end = 0
+                end = max(end, h[1])
             for g in groups:
                 a, b = max(0, g[0][0] - REACH), min(len(words), max(x[1] for x in g) + REACH)
-                before = flat[: raw[g[0][0]][1]]
+                place = raw[g[0][0]][1]
+                before = flat[max(0, place - 300) : place]
                 quoted = sum(before.count(c) for c in '“„«') > sum(before.count(c) for c in '”»') or before.count('"') % 2 == 1
                 odd = spaced or any(h[3] for h in g)
                 out.append({"words": words[a:b], "kinds": Counter(h[2] for h in g), "odd": odd, "quoted": quoted})

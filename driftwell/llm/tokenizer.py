@@ -28,6 +28,8 @@ FOLDER = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose encoding a worker keeps.
 KEPT = 1 << 18
+#: Arcs whose presence is tabled.
+ARCS = 1 << 22
 
 
 def _alphabet() -> dict[str, int]:
@@ -58,6 +60,8 @@ class Automaton:
         if before is None:
             got = self.arcs.get((x, t))
             if got is None:
+                if len(self.arcs) > ARCS:
+                    self.arcs.clear()
                 got = self.arcs[x, t] = self.allowed(x, t, 1 << 60)
             return got
         gadget, cut = self.gadget, self.cut
