@@ -281,6 +281,7 @@ GUESS = {
 def guess_language(text: Column) -> Column:
     """The language of most common words among a few, ``und`` for empty texts and ties at nothing (for full detection use a model)."""
     words = simple_terms(text)
-    votes = [F.struct(F.size(F.filter(words, lambda w, own=own: w.isin(own))).alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, own) in enumerate((a, b.split()) for a, b in GUESS.items())]
+    shared = lambda own: F.size(F.filter(words, lambda w: w.isin(own)))
+    votes = [F.struct(shared(own.split()).alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, own) in enumerate(GUESS.items())]
     best = F.greatest(*votes)
     return F.when(best["n"] > 0, best["lang"]).otherwise("und")

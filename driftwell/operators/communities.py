@@ -232,4 +232,4 @@ def density_clusters(rows: DataFrame, key: str, vector: str, least: int = 5, mos
         pdf = pdf.sort_values(key)
         return pd.DataFrame({key: pdf[key], "label": density_labels(np.stack(pdf["_v"].to_numpy()).astype(np.float64), least).astype(np.int64)})
 
-    return own.groupBy(F.lit(1)).applyInPandas(lambda pdf: run(pdf[[key, "_v"]]), f"`{key}` {kind}, label long")
+    return own.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"`{key}` {kind}, label long")

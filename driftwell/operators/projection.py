@@ -30,11 +30,9 @@ def project(rows: DataFrame, vector: str, weights: list[tuple[np.ndarray, np.nda
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            got = pd.Series([None] * len(s), index=s.index, dtype=object)
-            known = s.notna()
-            if known.any():
-                got[known] = list(layer(np.stack(s[known].to_numpy()).astype(np.float64), sent.value))
-            yield got
+            known = s.notna().to_numpy()
+            made = iter(layer(np.stack(s[known].to_numpy()).astype(np.float64), sent.value)) if known.any() else iter(())
+            yield pd.Series([next(made) if k else None for k in known])
 
     return rows.withColumn(out, run(F.col(vector)))
 

@@ -155,7 +155,7 @@ def post_metadata(spark, d):
     """The display columns of the first forty ranked posts."""
     ids = _ranked(spark, d).where("place <= 40").select("id")
     own = search.post_metadata(ids, current_posts(spark, d), read(spark, d, "accounts"), read(spark, d, "post_tags"), read(spark, d, "tags"))
-    return own.select("id", "account_id", "blog_name", "note_count", "lang", F.array_join("tags", "|").alias("tags"), F.size("image_urls").cast("long").alias("images"))
+    return own.select("id", "account_id", "blog_name", F.coalesce("note_count", F.lit(0)).alias("note_count"), "lang", F.array_join("tags", "|").alias("tags"), F.size("image_urls").cast("long").alias("images"))
 
 
 def account_name_search(spark, d):
@@ -260,7 +260,7 @@ QUERIES = {
     "tag_filter_semijoin": (tag_filter_semijoin, f"WITH {CUR} SELECT id FROM safe WHERE id IN (SELECT post_id FROM post_tags WHERE tag_id IN (SELECT id FROM tags WHERE name IN (SELECT name FROM tags WHERE id <= 3)))"),
     "post_metadata": (
         post_metadata,
-        f"WITH {BASE} SELECT s.id, s.account_id, a.blog_name, s.note_count, s.lang, coalesce((SELECT string_agg(DISTINCT t.name, '|' ORDER BY t.name) FROM post_tags p JOIN tags t ON t.id = p.tag_id WHERE p.post_id = s.id), '') AS tags, coalesce(len(s.image_urls), 0) AS images FROM safe s JOIN accounts a ON a.id = s.account_id WHERE s.id IN (SELECT id FROM rer WHERE place <= 40)",
+        f"WITH {BASE} SELECT s.id, s.account_id, a.blog_name, coalesce(s.note_count, 0) AS note_count, s.lang, coalesce((SELECT string_agg(DISTINCT t.name, '|' ORDER BY t.name) FROM post_tags p JOIN tags t ON t.id = p.tag_id WHERE p.post_id = s.id), '') AS tags, coalesce(len(s.image_urls), 0) AS images FROM safe s JOIN accounts a ON a.id = s.account_id WHERE s.id IN (SELECT id FROM rer WHERE place <= 40)",
     ),
     "account_name_search": (
         account_name_search,

@@ -96,7 +96,7 @@ def crawl_states(outcomes: DataFrame, limit: int = 3) -> DataFrame:
         state.update((status, fails, cursor))
         yield pd.DataFrame({"blog_name": [name[0]], "status": [status], "fail_count": [fails], "last_timestamp": pd.array([cursor], dtype="Int64")})
 
-    return outcomes.groupBy("blog_name").applyInPandasWithState(step, schema, "status string, fail_count long, last_timestamp long", "update", GroupStateTimeout.NoTimeout)
+    return outcomes.groupBy("blog_name").applyInPandasWithState(step, schema, "status string, fail_count long, last_timestamp long", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed(events: DataFrame, at: str, by: list[str], size: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -105,7 +105,7 @@ def windowed(events: DataFrame, at: str, by: list[str], size: str = "1 day", lat
     return own.groupBy(F.window(at, size).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), *by, "n", "total")
 
 
-def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Runs what is there as micro-batches and ends; runs again from the checkpoint's offsets."""
-    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
