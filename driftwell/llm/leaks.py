@@ -58,7 +58,7 @@ class Scanner:
         self.spelt: dict[int, list[str]] = {}
         for k, (_, text) in enumerate(items):
             s, _, starts = bare(text)
-            ends = [*starts[1:], len(s)]
+            ends = [*starts[1:], len(s)] if starts else []
             self.words[k], self.spelt[k] = starts, [s[a:b] for a, b in zip(starts, ends, strict=True)]
             for i in range(len(starts)):
                 j = i + run - 1
