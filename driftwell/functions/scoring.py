@@ -24,8 +24,8 @@ def engagement(notes: Column, coefficient: float) -> Column:
 def recency(published: Column, as_of: Column, half_life: float) -> Column:
     """0.5 ** (age / half-life); a future time has age 0, an unknown one the half-life."""
     seconds = F.unix_micros(as_of) - F.unix_micros(published.cast("timestamp"))
-    days = F.greatest(seconds / F.lit(86_400_000_000.0), F.lit(0.0))
-    return F.pow(F.lit(0.5), F.coalesce(days, F.lit(float(half_life))) / F.lit(float(half_life)))
+    days = F.when(seconds.isNull(), F.lit(float(half_life))).otherwise(F.greatest(seconds / F.lit(86_400_000_000.0), F.lit(0.0)))
+    return F.pow(F.lit(0.5), days / F.lit(float(half_life)))
 
 
 def rerank(rrf: Column, notes: Column, published: Column, as_of: Column, c: SearchConfig) -> Column:

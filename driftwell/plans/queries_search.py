@@ -56,7 +56,7 @@ PV = """cells AS (SELECT p.post_id AS id, g.i, avg(g.x::DOUBLE) AS m FROM (SELEC
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0) g ON g.id = p.tag_id GROUP BY 1, 2), pv AS (SELECT id, list(m ORDER BY i) AS v FROM cells GROUP BY id)"""
 COS = "round(list_inner_product({0}, q) / (sqrt(list_inner_product({0}, {0})) * sqrt(list_inner_product(q, q))), 6)"
 ENG = "(1 + 0.1 * log2(1 + greatest(coalesce(note_count, 0), 0)))"
-REC = f"pow(0.5, coalesce(greatest((epoch_us(TIMESTAMPTZ '{AS_OF}+00') - epoch_us(published_at)) / 86400000000.0, 0), 90) / 90)"
+REC = f"pow(0.5, CASE WHEN published_at IS NULL THEN 90 ELSE greatest((epoch_us(TIMESTAMPTZ '{AS_OF}+00') - epoch_us(published_at)) / 86400000000.0, 0) END / 90)"
 KW = f"kw AS (SELECT *, row_number() OVER (ORDER BY kw_score DESC, id) AS rank FROM (SELECT id, round(0.1 * len(list_filter(w, lambda x: x = '{QUERY}')), 9) AS kw_score FROM (SELECT id, {WORDS.format('body_clean')} AS w FROM safe) WHERE list_contains(w, '{QUERY}') ORDER BY kw_score DESC, id LIMIT 100))"
 VEC = f"vec AS (SELECT *, row_number() OVER (ORDER BY cosine DESC, id) AS rank FROM (SELECT id, {COS.format('v')} AS cosine FROM pv, qv WHERE id IN (SELECT id FROM safe) AND list_inner_product(v, v) > 1e-20 ORDER BY cosine DESC, id LIMIT 100))"
 RRF = "rrf AS (SELECT id, sum(1.0 / (60 + rank)) AS rrf FROM (SELECT id, rank FROM kw UNION ALL SELECT id, rank FROM vec) GROUP BY id)"
@@ -214,12 +214,15 @@ s AS (SELECT id, list_transform(range(1, 65), lambda k: 0.5 * coalesce(t[k], 0)
 
 def account_window_embedding(spark, d):
     """The unit mean of the vectors of each account's last hundred posts."""
-    p = safe_posts(spark, d).select("id", "account_id", "published_at").join(vectors_of_posts(spark, d), "id")
-    # one account may hold a large share of all posts: each part of it is cut to a hundred before the account is
+    # one account may hold a large share of all posts: each part of it is cut to a hundred before the account is; vectors come last
+    vectors = vectors_of_posts(spark, d)
+    tagged = read(spark, d, "post_tags").join(read(spark, d, "tags").where(F.exists("embedding", lambda x: x != 0)).select(F.col("id").alias("tag_id")), "tag_id", "left_semi").select(F.col("post_id").alias("id"))
+    p = safe_posts(spark, d).select("id", "account_id", "published_at").join(tagged, "id", "left_semi")
     order = [F.desc_nulls_last("published_at"), F.desc("id")]
     part = Window.partitionBy("account_id", "_s").orderBy(*order)
     p = p.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(32))).withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= C.account_window)
     p = p.withColumn("_r", F.row_number().over(Window.partitionBy("account_id").orderBy(*order))).where(F.col("_r") <= C.account_window)
+    p = p.select("id", "account_id").join(vectors, "id")
     m = V.mean_pool_fast(p, "account_id", "vector", "m").select("account_id", F.col("n").alias("posts"), V.normalise(F.col("m")).alias("v"))
     return m.select("account_id", "posts", F.round(F.col("v")[0], 5).alias("x0"), F.round(F.col("v")[383], 5).alias("x383"))
 
