@@ -9,7 +9,7 @@ from driftwell.config import Filters, SearchConfig
 from driftwell.functions import scoring, trigram
 from driftwell.functions import text as tx
 from driftwell.functions import vectors as V
-from driftwell.operators import fulltext, fusion, retrieve
+from driftwell.operators import fulltext, fusion, ivf, postings, retrieve
 from driftwell.plans import search
 from driftwell.schema import read
 
@@ -277,3 +277,49 @@ QUERIES = {
     "account_window_embedding": (account_window_embedding, f"WITH {_WIN} SELECT account_id, (SELECT count(*) FROM w WHERE w.account_id = n.account_id) AS posts, round(m[1] / sqrt(list_inner_product(m, m)), 5) AS x0, round(m[384] / sqrt(list_inner_product(m, m)), 5) AS x383 FROM n"),
     "softmax_safety": (softmax_safety, f"WITH {_SOFT}"),
 }
+
+
+def _written(spark, rows, name, write):
+    """A table written to a new folder that all executors share, and read again."""
+    import os
+    import tempfile
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    path = f"{root}/{name}-{os.urandom(6).hex()}" if root else tempfile.mkdtemp(prefix=f"driftwell-{name}-") + "/t"
+    write(rows, path)
+    return spark.read.parquet(path)
+
+
+def postings_search(spark, d):
+    """The same matches and ranks as a scan, from the postings of the query's words."""
+    own = _written(spark, postings.build(safe_posts(spark, d)), "postings", postings.write)
+    return postings.search(own, '"harbor wall" trellis OR kiln -glaze').withColumn("kw_score", F.round("kw_score", 6)).select("id")
+
+
+def postings_term(spark, d):
+    own = _written(spark, postings.build(safe_posts(spark, d)), "postings", postings.write)
+    return postings.search(own, QUERY).withColumn("kw_score", F.round("kw_score", 9))
+
+
+def ivf_topk(spark, d):
+    """Approximate search in a few cells of the tags' vectors."""
+    t = read(spark, d, "tags").where("embedding is not null")
+    at = ivf.fit_cells(t, "id", "embedding", 16)
+    own = _written(spark, ivf.assign(t, "id", "embedding", at), "ivf", lambda x, p: x.write.partitionBy("cell").parquet(p))
+    return ivf.topk(own, "id", "embedding", at, query_vector(spark, d), 10, 4)
+
+
+def ivf_all_cells(spark, d):
+    """All cells: the exact answer."""
+    t = read(spark, d, "tags").where("embedding is not null")
+    at = ivf.fit_cells(t, "id", "embedding", 16)
+    own = _written(spark, ivf.assign(t, "id", "embedding", at), "ivf", lambda x, p: x.write.partitionBy("cell").parquet(p))
+    return ivf.topk(own, "id", "embedding", at, query_vector(spark, d), 30, 16)
+
+
+QUERIES |= {
+    "postings_search": (postings_search, QUERIES["fulltext_match"][1].replace("FROM cur)", "FROM safe)")),
+    "postings_term": (postings_term, f"WITH {CUR} SELECT id, round(0.1 * len(list_filter(w, lambda x: x = '{QUERY}')), 9) AS kw_score FROM (SELECT id, {WORDS.format('body_clean')} AS w FROM safe) WHERE list_contains(w, '{QUERY}')"),
+    "ivf_topk": (ivf_topk, None),
+    "ivf_all_cells": (ivf_all_cells, QUERIES["vector_topk_native"][1]),
+}

@@ -529,3 +529,38 @@ def test_every_query_has_its_columns_in_the_sql(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) >= 80
     assert SearchConfig().rrf_k == 60
+
+
+# ------------------------------------------------------------------ indexes
+
+
+@pytest.mark.parametrize("analyser", ["simple", "english"])
+@pytest.mark.parametrize("query", ["brown dog", '"lazy dog"', "fox OR sleeps", "dog -fox", "", "dogs"])
+def test_postings_answer_like_a_scan(spark, tmp_path, query, analyser):
+    from driftwell.operators import postings
+
+    df = spark.createDataFrame(TEXTS, "id long, t string")
+    postings.write(postings.build(df, "id", "t", analyser), str(tmp_path / "p"))
+    own = spark.read.parquet(str(tmp_path / "p"))
+    want = {r.id: round(r.kw_score, 9) for r in fulltext.keyword_scores(df, "id", "t", query, analyser).collect()}
+    assert {r.id: round(r.kw_score, 9) for r in postings.search(own, query, "id", analyser).collect()} == want
+    with pytest.raises(ValueError):
+        postings.search(own, "-fox")
+
+
+def test_cells_reach_the_recall(spark):
+    from driftwell.operators import ivf
+
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(20, 12))
+    v = [(i, (base[i % 20] + rng.normal(size=12) * 0.3).tolist()) for i in range(1500)] + [(9000, None), (9001, [0.0] * 12)]
+    df = spark.createDataFrame(v, "id long, v array<float>")
+    at = ivf.fit_cells(df, "id", "v", 24)
+    own = ivf.assign(df, "id", "v", at).persist()
+    assert own.count() == 1500
+    hit = 0
+    for q in range(0, 200, 20):
+        exact = [r.id for r in retrieve.vector_topk(df, "id", "v", v[q][1], 10).collect()]
+        hit += len(set(exact) & {r.id for r in ivf.topk(own, "id", "v", at, v[q][1], 10, 6).collect()})
+        assert [r.id for r in ivf.topk(own, "id", "v", at, v[q][1], 10, 24).collect()] == exact
+    assert hit >= 90
