@@ -13,6 +13,8 @@ import unicodedata
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate, islice
 
 import ahocorasick
 import pandas as pd
@@ -30,23 +32,47 @@ DENSE = 0.7
 
 _TAG = re.compile(r"<[^<>]{0,200}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});|\[/?\w{1,12}\]")
 _WORD = re.compile(r"[^\W_]+")
+_MARK = re.compile(r"[<&\[]")
 
 
-def bare(text: str) -> tuple[str, list[int], list[int]]:
-    """(letters, offsets, starts): the letters and digits of a text, folded; the place of each in the text; where words start.
+def _plain(text: str) -> str:
+    """``text`` with tags and entities blanked, each place as it was."""
+    return _TAG.sub(lambda m: " " * len(m.group()), text) if _MARK.search(text) else text
+
+
+@lru_cache(1 << 16)
+def _letters(word: str) -> str:
+    """The folded letters and digits of a word."""
+    return "".join(f for c in word for f in _folded(c))
+
+
+def _folded(c: str) -> str:
+    return c.lower() if c.isascii() else "".join(f for f in unicodedata.normalize("NFKD", c).casefold() if f.isalnum())
+
+
+def bare(text: str) -> tuple[str, list[int]]:
+    """(letters, starts): the letters and digits of a text, folded, and where its words start in them.
 
     Tags, entities, marks, spaces and invisible characters leave no trace, so that a word cut by one of them is whole again.
     """
-    clean = _TAG.sub(lambda m: " " * len(m.group()), text)
-    out, at, starts = [], [], []
-    for m in _WORD.finditer(clean):
-        starts.append(len(out))
-        for i, c in enumerate(m.group()):
-            for f in c.lower() if c.isascii() else unicodedata.normalize("NFKD", c).casefold():
-                if f.isalnum():
-                    out.append(f)
-                    at.append(m.start() + i)
-    return "".join(out), at, starts
+    clean = _plain(text)
+    words = _WORD.findall(clean.lower() if clean.isascii() else clean)
+    if not clean.isascii():
+        words = [w.lower() if w.isascii() else _letters(w) for w in words]
+    ends = list(accumulate(map(len, words)))
+    return "".join(words), [0, *ends[:-1]] if ends else []
+
+
+def place(text: str, starts: list[int], at: int) -> int:
+    """Where in ``text`` the letter number ``at`` of its bare form stands."""
+    k = bisect.bisect_right(starts, at) - 1
+    m = next(islice(_WORD.finditer(_plain(text)), k, None))
+    rest = at - starts[k]
+    for i, c in enumerate(m.group()):
+        rest -= len(_folded(c))
+        if rest < 0:
+            return m.start() + i
+    return m.end() - 1
 
 
 class Scanner:
@@ -57,7 +83,7 @@ class Scanner:
         self.words: dict[int, list[int]] = {}
         self.spelt: dict[int, list[str]] = {}
         for k, (_, text) in enumerate(items):
-            s, _, starts = bare(text)
+            s, starts = bare(text)
             ends = [*starts[1:], len(s)] if starts else []
             self.words[k], self.spelt[k] = starts, [s[a:b] for a, b in zip(starts, ends, strict=True)]
             for i in range(len(starts)):
@@ -78,7 +104,7 @@ class Scanner:
         """(item, words, start, end) of the best passage of each item with ``least`` words or more; offsets are the original's."""
         if not self.size:
             return []
-        s, at, starts = bare(text)
+        s, starts = bare(text)
         hits: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
         for end, (n, where) in self.automaton.iter(s):
             for k, i, j in where:
@@ -89,7 +115,7 @@ class Scanner:
                 continue
             best = self._grown(k, self._passage(k, own), s, starts)
             if best[0] >= least:
-                out.append((self.items[k], best[0], at[best[1]], at[best[2] - 1] + 1))
+                out.append((self.items[k], best[0], place(text, starts, best[1]), place(text, starts, best[2] - 1) + 1))
         return out
 
     def _passage(self, k: int, hits: list[tuple[int, int, int, int]], slack: int = 40) -> list:
