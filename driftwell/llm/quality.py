@@ -44,15 +44,16 @@ LIMITS = {
     "not_prose": 0.5,  # TESTDATA: more than half of the characters
 }
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDS = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _CJK = r"[\p{Hiragana}\p{Katakana}\p{Han}\p{Hangul}\p{Thai}]"
 _COUNTS = {
-    "letters": r"\p{L}",
     "digits": r"\p{N}",
     "spaces": r"\s",
     "marks": r"[,;:.!?…'\"“”„«»()\-–—。、！？「」『』：]",
     "cjk": _CJK,
     "words": r"\S+",
+    "lettered": r"\S*\p{L}\S*",
+    "symbols": r"#|\.\.\.|…",
     "wordlike": r"(?:^|[\s\"“„«(¿¡'’])\p{L}[\p{L}'’\-]*\p{L}?(?:$|[\s,;:.!?…\"”“»)'’])",
     "bars": r"\|",
     "tabs": r"\t",
@@ -67,6 +68,7 @@ _COUNTS = {
 }
 _FLAGS = {
     "bullet": r"^\s*(?:[-*+•◦▪‣·☐☑☒✓✔]|\(?\d{1,4}[.)]|[a-zA-Z][.)])\s+\S",
+    "ellipsis": r"(?:\.\.\.|…)\s*$",
     "quoted": r"^\s*(?:>+|[–—])\s*\S",
     "closed": r"[.!?…。！？:][\"”“»'’)\]\s]*$",
     "leader": r"(?:\.{3,}|…{2,}|_{3,}|-{4,})\s*[\p{N}$€]+\s*$",
@@ -90,14 +92,19 @@ def _lines(texts: list[str]) -> tuple[np.ndarray, pa.Array]:
 
 def _repeated(text: str) -> tuple[int, float, int]:
     """(words, share of distinct words, common words) of a text, words in lower case."""
-    w = [x for x in re.findall(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*", text.lower())]
-    return len(w), len(set(w)) / max(1, len(w)), sum(x in COMMON for x in w)
+    w = _WORDS.findall(text.lower())
+    return len(w), len(set(w)) / max(1, len(w)), sum(map(COMMON.__contains__, w))
 
 
-def line_statistics(texts: list[str]) -> pd.DataFrame:
-    """A row for each line: its document, length, counts and flags, and its form: prose, list, table, junk or blank."""
+def line_statistics(texts: list[str]) -> tuple[pd.DataFrame, dict[int, tuple[int, float, int]]]:
+    """(a row for each line: its document, length, counts, flags and form; the word statistics of the longer lines).
+
+    The form is prose, list, table, junk or blank.
+    """
     doc, text = _lines(texts)
     s = pd.DataFrame({"doc": doc, "n": pc.utf8_length(text).to_numpy(zero_copy_only=False)})
+    bare = pc.replace_substring_regex(text, r"\p{L}+", "")
+    s["letters"] = s.n - pc.utf8_length(bare).to_numpy(zero_copy_only=False)
     for c, p in _COUNTS.items():
         s[c] = pc.count_substring_regex(text, p).to_numpy(zero_copy_only=False).astype(np.int64)
     for c, p in _FLAGS.items():
@@ -123,10 +130,12 @@ def line_statistics(texts: list[str]) -> pd.DataFrame:
     junk |= noise
     junk &= ~blank
     again = np.zeros(len(s), bool)
-    for i in np.nonzero((s.words >= 12) & ~blank)[0]:
-        n, distinct, common = _repeated(raw[i])
+    ends = s.ends.to_numpy()
+    told: dict[int, tuple[int, float, int]] = {}
+    for i in np.nonzero(((s.words >= 12) & ~blank).to_numpy())[0].tolist():
+        n, distinct, common = told[i] = _repeated(raw[i])
         # a few words over and over; many words, none of which holds sentences together
-        again[i] = n >= 12 and ((distinct <= 0.2 and n >= 30) or distinct <= 0.12 or (distinct < 0.5 and common < 0.06 * n and n >= 16) or (common < 0.02 * n and n >= 40 and s.ends.iat[i] <= n / 60 and _ascii(raw[i])))
+        again[i] = n >= 12 and ((distinct <= 0.2 and n >= 30) or distinct <= 0.12 or (distinct < 0.5 and common < 0.06 * n and n >= 16) or (common < 0.02 * n and n >= 40 and ends[i] <= n / 60 and _ascii(raw[i])))
     junk |= again
     form = np.select([blank, junk & ~table, table, s.bullet.to_numpy(bool) | (s.quoted & open_).to_numpy(bool), pieces], ["blank", "junk", "table", "list", "list"], "prose").astype(object)
     # runs of short open lines: three or more, blank lines between them allowed
@@ -146,8 +155,8 @@ def line_statistics(texts: list[str]) -> pd.DataFrame:
             kind = "table" if field[own].mean() > 0.6 else "junk" if len(own) >= 6 and seen <= 0.5 * len(own) else "list"
             form[own] = kind
         i = max(j, i + 1)
-    s["form"], s["raw"], s["short"] = form, raw, open_
-    return s
+    s["form"] = form
+    return s, told
 
 
 def _has(raw: list[str], mark: str) -> np.ndarray:
@@ -164,7 +173,7 @@ def document_statistics(texts: list[str | None]) -> pd.DataFrame:
     Null, empty and blank texts have zero counts, no failures and count as no case (natural is true).
     """
     held = [t or "" for t in texts]
-    s = line_statistics(held) if held else line_statistics([""])
+    s, told = line_statistics(held or [""])
     g = s.groupby("doc")
     out = pd.DataFrame(index=range(len(held)))
     for c in ("letters", "digits", "spaces", "marks", "words", "links"):
@@ -175,16 +184,17 @@ def document_statistics(texts: list[str | None]) -> pd.DataFrame:
     size = fg.n.sum().reindex(out.index, fill_value=0)
     out["lines"] = fg.size().reindex(out.index, fill_value=0)
     part = lambda col: fg[col].mean().reindex(out.index).fillna(0.0).astype(float)
-    filled = filled.assign(ellipsis=[bool(re.search(r"(?:\.\.\.|…)\s*$", x)) for x in filled.raw])
-    fg = filled.groupby("doc")
     out["bullet_lines"], out["closed_lines"], out["ellipsis_lines"] = part("bullet"), part("closed"), part("ellipsis")
     for f in ("list", "table", "junk"):
         out[f"{f}_share"] = (filled[filled.form == f].groupby("doc").n.sum().reindex(out.index, fill_value=0) / np.maximum(1, size)).astype(float)
-    words = [re.findall(r"\S+", t) for t in held]
-    out["mean_word"] = [float(np.mean([len(w) for w in ws])) if ws else 0.0 for ws in words]
-    out["symbol_ratio"] = [(t.count("#") + t.count("...") + t.count("…")) / max(1, len(ws)) for t, ws in zip(held, words, strict=True)]
-    out["alphabetic_words"] = [sum(_LETTER.search(w) is not None for w in ws) / len(ws) if ws else 0.0 for ws in words]
-    own = [_repeated(t) for t in held]
+    n = np.maximum(1, out.words)
+    out["mean_word"] = ((g.n.sum() - out.spaces) / n).astype(float)
+    out["symbol_ratio"] = (g.symbols.sum() / n).astype(float)
+    out["alphabetic_words"] = (g.lettered.sum() / n).astype(float)
+    # a text of one line has been read already
+    first = np.nonzero(np.r_[True, s.doc.to_numpy()[1:] != s.doc.to_numpy()[:-1]])[0]
+    single = np.diff(np.r_[first, len(s)]) == 1
+    own = [told.get(int(i)) or _repeated(t) if alone else _repeated(t) for t, i, alone in zip(held, first, single, strict=True)]
     out["distinct_words"] = [x[1] if x[0] else 0.0 for x in own]
     out["common_words"] = np.asarray([x[2] for x in own], np.int64)
     out["not_prose"] = (out.list_share + out.table_share + out.junk_share).clip(upper=1.0)
