@@ -79,16 +79,17 @@ def blocklist_scan(spark, d):
 
 
 def safety_gate(spark, d):
-    """The worst image of a post (tag vectors stand for its images) and the blocklist for posts without one."""
+    """The worst image of a photo post (its tags' vectors stand for its images) and the blocklist for posts without one."""
     prompts = [[float(x) for x in r.embedding] for r in read(spark, d, "tags").where(F.exists("embedding", lambda x: x != 0)).orderBy("id").limit(8).select("embedding").collect()]
-    img = read(spark, d, "post_tags").where("post_id % 3 = 0").join(read(spark, d, "tags").select(F.col("id").alias("tag_id"), "embedding"), "tag_id").select(F.col("post_id").alias("id"), "embedding")
+    photos = current_posts(spark, d).where("post_type = 'photo'").select(F.col("id").alias("post_id"))
+    img = read(spark, d, "post_tags").join(photos, "post_id", "left_semi").join(read(spark, d, "tags").select(F.col("id").alias("tag_id"), "embedding"), "tag_id").select(F.col("post_id").alias("id"), "embedding")
     return safety.gate(current_posts(spark, d), safety.image_scores(img, "id", "embedding", prompts, 4, 0.5), BLOCKED)
 
 
 _GATE = f"""WITH {CUR}, p AS (SELECT row_number() OVER (ORDER BY id) - 1 AS k, embedding::DOUBLE[] AS p FROM (SELECT * FROM tags WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 ORDER BY id LIMIT 8)),
 v AS (SELECT id, embedding::DOUBLE[] AS e FROM tags WHERE embedding IS NOT NULL AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
 x AS (SELECT v.id, k, exp(list_inner_product(e, p) / (sqrt(list_inner_product(p, p)) * sqrt(list_inner_product(e, e)))) AS x FROM v, p), s AS (SELECT id, round(sum(CASE WHEN k < 4 THEN x ELSE 0 END) / sum(x), 6) AS s FROM x GROUP BY id),
-w AS (SELECT post_id AS id, max(s) AS s FROM post_tags JOIN s ON s.id = tag_id WHERE post_id % 3 = 0 GROUP BY 1),
+w AS (SELECT post_id AS id, max(s) AS s FROM post_tags JOIN s ON s.id = tag_id WHERE post_id IN (SELECT id FROM cur WHERE post_type = 'photo') GROUP BY 1),
 b AS (SELECT id, {' OR '.join(f"contains(lower(coalesce(body_clean, '')), '{t}')" for t in BLOCKED)} AS b FROM cur)
 SELECT b.id, coalesce(s, b::INT::DOUBLE) AS nsfw_score, coalesce(s > 0.5, b) AS nsfw FROM b LEFT JOIN w USING (id)"""
 

@@ -82,13 +82,16 @@ def blogs_by_posts(spark, d):
     return a.join(n, "account_id", "left").select("blog_name", F.coalesce("n", F.lit(0)).alias("posts"))
 
 
+#: Posts crawled before this are stored, later ones come as a second batch.
+CUT = "2025-03-01 00:00:00"
+
+
 def _batches(spark, d):
-    """Posts in two batches: the first is stored, the second brings known and new posts."""
+    """Posts in two batches: the first is stored, the second brings later versions of known posts, and new ones."""
     p = read(spark, d, "posts").where("tumblr_id is not null").select("tumblr_id", "account_id", "body_raw", "note_count", "created_at")
-    first = p.where("tumblr_id % 3 <> 0").groupBy("tumblr_id").agg(F.max_by(F.struct("account_id", "body_raw", "note_count"), F.struct("created_at", F.coalesce("note_count", F.lit(-1)))).alias("r"))
-    first = first.select("tumblr_id", "r.account_id", "r.body_raw", "r.note_count")
-    second = p.where("tumblr_id % 2 = 0").withColumn("note_count", F.col("note_count") + 7).withColumn("body_raw", F.lit("edited"))
-    return first, second
+    old, order = F.col("created_at") < F.lit(CUT).cast("timestamp"), F.struct("created_at", F.coalesce("note_count", F.lit(-1)))
+    first = p.where(old).groupBy("tumblr_id").agg(F.max_by(F.struct("account_id", "body_raw", "note_count"), order).alias("r"))
+    return first.select("tumblr_id", "r.account_id", "r.body_raw", "r.note_count"), p.where(~old | F.col("created_at").isNull()).withColumn("body_raw", F.lit("edited"))
 
 
 def upsert_posts(spark, d):
@@ -98,39 +101,41 @@ def upsert_posts(spark, d):
     return got.select("tumblr_id", "account_id", F.md5("body_raw").alias("digest"), F.coalesce("note_count", F.lit(-1)).alias("note_count"))
 
 
-_UPS = """WITH p AS (SELECT tumblr_id, account_id, body_raw, note_count, created_at FROM posts WHERE tumblr_id IS NOT NULL), l AS (SELECT *, row_number() OVER (PARTITION BY tumblr_id ORDER BY created_at DESC, coalesce(note_count, -1) DESC) AS r FROM p),
-a AS (SELECT * FROM l WHERE r = 1 AND tumblr_id % 3 <> 0), b AS (SELECT tumblr_id, account_id, 'edited' AS body_raw, note_count + 7 AS note_count FROM l WHERE r = 1 AND tumblr_id % 2 = 0)
+_UPS = f"""WITH p AS (SELECT tumblr_id, account_id, body_raw, note_count, created_at, coalesce(created_at < TIMESTAMPTZ '{CUT}+00', false) AS old FROM posts WHERE tumblr_id IS NOT NULL), l AS (SELECT *, row_number() OVER (PARTITION BY tumblr_id, old ORDER BY created_at DESC, coalesce(note_count, -1) DESC) AS r FROM p),
+a AS (SELECT * FROM l WHERE r = 1 AND old), b AS (SELECT tumblr_id, account_id, 'edited' AS body_raw, note_count FROM l WHERE r = 1 AND NOT old)
 SELECT coalesce(a.tumblr_id, b.tumblr_id) AS tumblr_id, coalesce(a.account_id, b.account_id) AS account_id, md5(CASE WHEN a.tumblr_id IS NULL THEN b.body_raw ELSE a.body_raw END) AS digest, coalesce(CASE WHEN a.tumblr_id IS NULL THEN b.note_count ELSE coalesce(b.note_count, a.note_count) END, -1) AS note_count FROM a FULL JOIN b ON a.tumblr_id = b.tumblr_id"""
 
 
 def insert_ignore_accounts(spark, d):
     """New blogs after those known, with ids after the highest one."""
-    known = read(spark, d, "accounts").where("id % 2 = 0").select("id", "blog_name")
+    known = read(spark, d, "accounts").where("total_posts is not null").select("id", "blog_name")
     got = ingest.with_ids(known, read(spark, d, "accounts").select("blog_name"), "blog_name")
     return got.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct("blog_name").alias("names"), F.max("id").alias("top"))
 
 
 def count_tag_usage(spark, d):
     """Usage counts after the sightings of all post tags."""
-    tags = read(spark, d, "tags").where("id % 2 = 0").select("name", F.coalesce("usage_count", F.lit(0)).alias("usage_count"))
+    tags = read(spark, d, "tags").where("usage_count is not null").select("name", "usage_count")
     seen = read(spark, d, "post_tags").join(read(spark, d, "tags").select(F.col("id").alias("tag_id"), "name"), "tag_id").select("name")
     return ingest.count_up(tags, seen)
 
 
 def insert_ignore_post_tags(spark, d):
+    """Pairs of posts with a known time are stored; then all pairs come."""
     t = read(spark, d, "post_tags")
-    return ingest.insert_ignore(t.where("post_id % 2 = 0").distinct(), t, ["post_id", "tag_id"])
+    dated = read(spark, d, "posts").where("published_at is not null").select(F.col("id").alias("post_id"))
+    return ingest.insert_ignore(t.join(dated, "post_id", "left_semi").distinct(), t, ["post_id", "tag_id"])
 
 
 def last_write_vectors(spark, d):
-    """Points replaced by id: the even tags' vectors take the place of the stored ones."""
-    t = read(spark, d, "tags").where("embedding is not null").select("id", F.size("embedding").alias("v"))
-    new = t.where("id % 2 = 0").withColumn("v", F.lit(1)).unionByName(spark.range(-3, 0).select("id", F.lit(2).alias("v")))
-    return ingest.last_write(t, new, "id")
+    """Points replaced by id: those of tags without a usage count take the place of the stored ones, and three are new."""
+    t = read(spark, d, "tags").where("embedding is not null").select("id", "usage_count", F.size("embedding").alias("v"))
+    new = t.where("usage_count is null").select("id", F.lit(1).alias("v")).unionByName(spark.range(-3, 0).select("id", F.lit(2).alias("v")))
+    return ingest.last_write(t.drop("usage_count"), new, "id")
 
 
 def delete_points(spark, d):
-    return ingest.delete(read(spark, d, "tags").select("id"), read(spark, d, "tags").where("id % 7 = 0").select("id"), "id")
+    return ingest.delete(read(spark, d, "tags").select("id"), read(spark, d, "tags").where("usage_count = 0").select("id"), "id")
 
 
 def page_cursors(spark, d):
@@ -138,11 +143,11 @@ def page_cursors(spark, d):
 
 
 def discover_new_blogs(spark, d):
-    """Blogs of reblog trails (posts name them by account) that aren't among the even accounts."""
+    """Blogs of reblog trails (posts name them by account) that aren't among the crawled accounts (those with a post count)."""
     a = read(spark, d, "accounts").select("id", "blog_name")
     p = current_posts(spark, d).select(F.array("reblogged_from", "reblogged_root").alias("r"))
     names = p.select(F.explode("r").alias("id")).where("id is not null").join(a, "id").select(F.array(F.struct(F.struct(F.col("blog_name").alias("name")).alias("blog"))).alias("trail"))
-    return ingest.discover(names, a.where("id % 2 = 0"))
+    return ingest.discover(names, read(spark, d, "accounts").where("total_posts is not null").select("blog_name"))
 
 
 def _state(spark, d):
@@ -219,9 +224,9 @@ def latency_stats(spark, d):
 
 
 def seed_sets(spark, d):
-    """Names in both of two sets, and those in the first only."""
+    """Accounts with a title and a description, and those with a title only."""
     a = read(spark, d, "accounts")
-    x, y = a.where("id % 2 = 0").select("blog_name"), a.where("id % 3 = 0").select("blog_name")
+    x, y = a.where("title is not null").select("blog_name"), a.where("description is not null").select("blog_name")
     return x.intersect(y).withColumn("side", F.lit("both")).unionByName(x.exceptAll(y).withColumn("side", F.lit("first")))
 
 
@@ -332,13 +337,13 @@ QUERIES = {
     "posts_without_tags": (posts_without_tags, f"WITH {CUR} SELECT id FROM cur WHERE id NOT IN (SELECT post_id FROM post_tags WHERE post_id IS NOT NULL)"),
     "blogs_by_posts": (blogs_by_posts, f"WITH {CUR} SELECT blog_name, count(cur.id) AS posts FROM accounts a LEFT JOIN cur ON cur.account_id = a.id GROUP BY blog_name"),
     "upsert_posts": (upsert_posts, _UPS),
-    "insert_ignore_accounts": (insert_ignore_accounts, "SELECT count(*) AS n, count(DISTINCT id) AS ids, count(DISTINCT blog_name) AS names, (SELECT max(id) FROM accounts WHERE id % 2 = 0) + (SELECT count(*) FROM accounts WHERE id % 2 <> 0) AS top FROM accounts"),
-    "count_tag_usage": (count_tag_usage, "WITH s AS (SELECT name, count(*) AS n FROM post_tags JOIN tags ON tags.id = tag_id GROUP BY name) SELECT coalesce(t.name, s.name) AS name, coalesce(t.u, 0) + coalesce(n, 0) AS usage_count FROM (SELECT name, coalesce(usage_count, 0) AS u FROM tags WHERE id % 2 = 0) t FULL JOIN s ON s.name = t.name"),
+    "insert_ignore_accounts": (insert_ignore_accounts, "SELECT count(*) AS n, count(DISTINCT id) AS ids, count(DISTINCT blog_name) AS names, (SELECT max(id) FROM accounts WHERE total_posts IS NOT NULL) + (SELECT count(*) FROM accounts WHERE total_posts IS NULL) AS top FROM accounts"),
+    "count_tag_usage": (count_tag_usage, "WITH s AS (SELECT name, count(*) AS n FROM post_tags JOIN tags ON tags.id = tag_id GROUP BY name) SELECT coalesce(t.name, s.name) AS name, coalesce(t.u, 0) + coalesce(n, 0) AS usage_count FROM (SELECT name, usage_count AS u FROM tags WHERE usage_count IS NOT NULL) t FULL JOIN s ON s.name = t.name"),
     "insert_ignore_post_tags": (insert_ignore_post_tags, "SELECT DISTINCT post_id, tag_id FROM post_tags"),
-    "last_write_vectors": (last_write_vectors, "SELECT id, CASE WHEN id % 2 = 0 THEN 1 ELSE len(embedding) END AS v FROM tags WHERE embedding IS NOT NULL UNION ALL SELECT unnest([-3, -2, -1]), 2"),
-    "delete_points": (delete_points, "SELECT id FROM tags WHERE id % 7 <> 0"),
+    "last_write_vectors": (last_write_vectors, "SELECT id, CASE WHEN usage_count IS NULL THEN 1 ELSE len(embedding) END AS v FROM tags WHERE embedding IS NOT NULL UNION ALL SELECT unnest([-3, -2, -1]), 2"),
+    "delete_points": (delete_points, "SELECT id FROM tags WHERE usage_count <> 0 OR usage_count IS NULL"),
     "page_cursors": (page_cursors, f"WITH {CUR} SELECT account_id, min(floor(epoch_us(published_at) / 1000000.0)::BIGINT) AS last_timestamp FROM cur WHERE published_at IS NOT NULL GROUP BY account_id"),
-    "discover_new_blogs": (discover_new_blogs, f"WITH {CUR} SELECT DISTINCT blog_name FROM accounts WHERE id IN (SELECT reblogged_from FROM cur UNION SELECT reblogged_root FROM cur) AND id % 2 <> 0"),
+    "discover_new_blogs": (discover_new_blogs, f"WITH {CUR} SELECT DISTINCT blog_name FROM accounts WHERE id IN (SELECT reblogged_from FROM cur UNION SELECT reblogged_root FROM cur) AND total_posts IS NULL"),
     "crawl_step": (crawl_step, _STEP),
     "crawl_queue": (crawl_queue, f"WITH {_STATE} SELECT blog_name, list_position(['pending', 'paused', 'active'], status) AS priority FROM st WHERE status IN ('pending', 'paused', 'active')"),
     "crawl_reset": (crawl_reset, f"WITH {_STATE} SELECT blog_name, CASE WHEN status = 'dead' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'dead' THEN 0 ELSE fail_count END AS fail_count FROM st UNION ALL SELECT unnest(['seed-one', 'seed-two']), 'pending', 0"),
@@ -350,7 +355,7 @@ QUERIES = {
     "last_crawled": (last_crawled, "SELECT floor(epoch_us(max(updated_at)) / 1000000.0)::BIGINT AS at FROM accounts"),
     "table_counts": (table_counts, "SELECT 'accounts' AS name, count(*) AS n FROM accounts UNION ALL SELECT 'posts', count(*) FROM posts UNION ALL SELECT 'tags', count(*) FROM tags UNION ALL SELECT 'post_tags', count(*) FROM post_tags"),
     "latency_stats": (latency_stats, "SELECT round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, list_sort(list(value))[floor(count(*) * 0.95)::INT + 1] AS p95 FROM events WHERE event_type = 'click' AND value IS NOT NULL"),
-    "seed_sets": (seed_sets, "SELECT blog_name, CASE WHEN id % 3 = 0 THEN 'both' ELSE 'first' END AS side FROM accounts WHERE id % 2 = 0"),
+    "seed_sets": (seed_sets, "SELECT blog_name, CASE WHEN description IS NOT NULL THEN 'both' ELSE 'first' END AS side FROM accounts WHERE title IS NOT NULL"),
     "sql_filter_aggregate": (sql_filter_aggregate, f"WITH {CUR} SELECT post_type, count(*) AS n, count(*) FILTER (WHERE nsfw) AS flagged, count(*) FILTER (WHERE published_at IS NULL) AS undated FROM cur GROUP BY post_type"),
     **{k: (_ad_hoc(v), v) for k, v in _SQL.items()},
     "sql_passthrough": (sql_passthrough, None),
