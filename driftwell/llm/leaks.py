@@ -29,6 +29,10 @@ RUN, LETTERS = 3, 12
 AUTOMATON = 4_000_000
 #: Share of a passage's words that hits must cover.
 DENSE = 0.7
+#: Letters by which two hits of a passage may lie further apart in the document than in the item, and half of their distance at most.
+SLACK = 40
+#: Items that a phrase may be in before it counts as shared by many.
+COMMON = 6
 
 _TAG = re.compile(r"<[^<>]{0,200}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});|\[/?\w{1,12}\]")
 _WORD = re.compile(r"[^\W_]+")
@@ -95,7 +99,12 @@ class Scanner:
         self.items = [i for i, _ in items]
         self.automaton = ahocorasick.Automaton()
         for p, v in found.items():
-            self.automaton.add_word(p, (len(p), v))
+            common = None
+            if len(v) > COMMON:
+                common = defaultdict(list)
+                for k, i, j in v:
+                    common[k].append((i, j))
+            self.automaton.add_word(p, (len(p), v, common))
         self.size = len(found)
         if found:
             self.automaton.make_automaton()
@@ -106,9 +115,30 @@ class Scanner:
             return []
         s, starts = bare(text)
         hits: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
-        for end, (n, where) in self.automaton.iter(s):
-            for k, i, j in where:
-                hits[k].append((end + 1 - n, end + 1, i, j))
+        shared: list[tuple[int, int, list, dict]] = []
+        for end, (n, where, common) in self.automaton.iter(s):
+            if common is None:
+                for k, i, j in where:
+                    hits[k].append((end + 1 - n, end + 1, i, j))
+            else:
+                shared.append((end + 1 - n, end + 1, where, common))
+        # phrases that many items share count for the items that other hits point to, and for all of theirs where they come so
+        # close together that they could be a passage on their own
+        sure = list(hits)
+        lo = 0
+        for hi in range(1, len(shared) + 1):
+            if hi < len(shared) and shared[hi][0] - shared[hi - 1][1] <= 2 * SLACK:
+                continue
+            alone = (hi - lo) * RUN >= DENSE * least / 2
+            for a, b, where, common in shared[lo:hi]:
+                if alone:
+                    for k, i, j in where:
+                        hits[k].append((a, b, i, j))
+                else:
+                    for k in sure:
+                        for i, j in common.get(k, ()):
+                            hits[k].append((a, b, i, j))
+            lo = hi
         out = []
         for k, own in hits.items():
             if len(own) * RUN < least // 2:
@@ -118,7 +148,7 @@ class Scanner:
                 out.append((self.items[k], best[0], place(text, starts, best[1]), place(text, starts, best[2] - 1) + 1))
         return out
 
-    def _passage(self, k: int, hits: list[tuple[int, int, int, int]], slack: int = 40) -> list:
+    def _passage(self, k: int, hits: list[tuple[int, int, int, int]], slack: int = SLACK) -> list:
         """[first word, word after the last, start, end, words covered] of the longest dense passage; 0 covered if there is none.
 
         Hits chain where both places move on and the gap between them is of a few words and alike on both sides.
