@@ -55,6 +55,7 @@ SAMPLE = 20_000
 LIMIT = 0.5
 
 _TOKEN = re.compile(r"[^\W_]+(?:[*'’\-$@_]+[^\W_]+)*[*$]*|[*$@]+[^\W_]+(?:[*'’\-$@]+[^\W_]*)*")
+_JOINT = re.compile(r"[-'’]")
 _SPACED = re.compile(r"(?<![\w*])(?:[\w*@$] ){2,}[\w*@$](?![\w*])")
 _STRETCH = re.compile(r"([^\W\d_])\1{2,}")
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "€": "e"})
@@ -187,7 +188,8 @@ class Lexicon:
                 continue
             spaced = bool(_SPACED.search(sentence))
             flat = _SPACED.sub(lambda m: self.unspaced(m.group()), sentence) if spaced else sentence
-            raw = [(w, m.start()) for m in _TOKEN.finditer(flat) for w in re.split(r"[-'’]", m.group().lower()) if w]
+            low = flat.lower()
+            raw = [(w, m.start()) for m in _TOKEN.finditer(low) for w in (_JOINT.split(m.group()) if _JOINT.search(m.group()) else (m.group(),)) if w]
             if _JAPANESE.search(flat):
                 raw = [(x, i) for i, x in enumerate(re.findall(r"[぀-ゟ]+|[゠-ヿ]+|[一-鿿]+|\w+", flat))]
             spelt = [self.spell(w) for w, _ in raw]

@@ -67,12 +67,15 @@ LOOKALIKE = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ѕ": "S", "Ј": "J",
 }
 _MIXED = re.compile(r"[^\W\d_]+")
+_OTHER = re.compile("[" + "".join(LOOKALIKE) + "]")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 _LOOK = str.maketrans(LOOKALIKE)
 
 
 def latin_words(text: str) -> str:
     """``text`` with look-alike letters made Latin in every word that also has a Latin letter."""
+    if not _OTHER.search(text):
+        return text
 
     def one(m: re.Match) -> str:
         w = m.group()
