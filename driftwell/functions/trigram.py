@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from driftwell.functions.vectors import let
+
 
 def trigrams(name: Column) -> Column:
     """Distinct trigrams of the lower-case words of a name, each padded by two blanks before and one after."""
@@ -16,5 +18,5 @@ def trigrams(name: Column) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     """Shared trigrams over all trigrams; 0 where neither has any."""
-    x, y = trigrams(a), trigrams(b)
-    return F.coalesce(F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)).cast("double"), F.lit(0.0)), F.lit(0.0))
+    ratio = lambda x, y: F.coalesce(F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)).cast("double"), F.lit(0.0)), F.lit(0.0))
+    return let(trigrams(a), lambda x: let(trigrams(b), lambda y: ratio(x, y)))

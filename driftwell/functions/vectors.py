@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +26,14 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; null where a norm is (nearly) zero."""
-    n = norm(a) * norm(b)
-    return F.when(n > 0, dot(a, b) / n)
+    return let(norm(a) * norm(b), lambda n: F.when(n > 0, dot(a, b) / n))
 
 
 def scale(a: Column, by: Column | float) -> Column:
@@ -37,9 +41,13 @@ def scale(a: Column, by: Column | float) -> Column:
 
 
 def normalise(a: Column) -> Column:
-    """Unit length; a zero vector stays as it is."""
-    n = norm(a)
-    return F.when(n >= TINY, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    """Unit length; a zero vector stays as it is.  The length is computed once, not once for each element."""
+
+    def unit(v: Column) -> Column:
+        scaled = F.zip_with(v, F.array_repeat(norm(v), F.size(v)), lambda x, n: x.cast("double") / n)
+        return F.when(norm(v) >= TINY, scaled).otherwise(F.transform(v, lambda x: x.cast("double")))
+
+    return let(a, unit)
 
 
 def nonzero(a: Column) -> Column:
@@ -72,10 +80,9 @@ def mean_pool(rows: DataFrame, keys: list[str], vector: str, out: str = "vector"
 
 def softmax_unsafe(scores: Column, unsafe: int) -> Column:
     """The share of the first ``unsafe`` entries in the softmax of an array of scores."""
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda x: F.exp(x - top))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    return total(F.slice(e, 1, unsafe)) / total(e)
+    e = F.zip_with(scores, F.array_repeat(F.array_max(scores), F.size(scores)), lambda x, top: F.exp(x - top))
+    return let(e, lambda v: total(F.slice(v, 1, unsafe)) / total(v))
 
 
 def mean_pool_fast(rows: DataFrame, key: str, vector: str, out: str = "vector") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.functions import text as tx
+from driftwell.functions import vectors as V
 
 
 @dataclass(frozen=True)
@@ -107,6 +108,11 @@ def matches(node, words: Column) -> Column:
     return reduce((lambda a, b: a & b) if isinstance(node, And) else (lambda a, b: a | b), parts)
 
 
+def contains(node, words: Column) -> Column:
+    """``matches`` with the words bound to a variable, so that a text is split once and not for each word or place."""
+    return V.let(words, lambda w: matches(node, w))
+
+
 def satisfied(node, at: dict[str, list[int]]) -> bool:
     """Whether the positions of a text's lexemes satisfy the tree."""
     if node is None:
@@ -182,11 +188,10 @@ def keyword_scores(rows: DataFrame, key: str, text: str, query: str, analyser: s
         return rows.select(key, F.lit(0.0).alias("kw_score")).where(F.lit(False))
     if analyser == "simple":
         words = tx.simple_terms(F.col(text))
-        hit = rows.select(key, F.col(text).alias("_t"), words.alias("_w")).where(matches(node, F.col("_w")))
-        direct = rank_column(node, F.col("_w"))
-        if direct is not None:
-            return hit.select(key, direct.alias("kw_score"))
-        hit = hit.select(key, "_t")
+        hit = rows.where(contains(node, words))
+        if len(lexemes(node)) == 1:
+            return hit.select(key, rank_column(node, words).alias("kw_score"))
+        hit = hit.select(key, F.col(text).alias("_t"))
     else:
         hit = rows.select(key, F.col(text).alias("_t"))
     kind = rows.schema[key].dataType.simpleString()

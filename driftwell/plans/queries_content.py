@@ -302,3 +302,43 @@ QUERIES = {
     "projection_layers": (projection_layers, None),
     "query_lexemes": (query_lexemes, None),
 }
+
+
+def index_posts(spark, d):
+    """The vector collection of all safe posts by the stand-in encoder: unit vectors and their payload."""
+    from driftwell.plans import indexing
+
+    got = indexing.index_posts(current_posts(spark, d), read(spark, d, "post_tags"), read(spark, d, "tags"), tx.hash_encode, 384)
+    return got.select("id", "payload.account_id", F.size("vector").alias("size"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 3).alias("square"))
+
+
+def index_accounts(spark, d):
+    """Account vectors over the last posts of the collection: how many posts each is made of."""
+    from driftwell.plans import indexing
+
+    posts = indexing.index_posts(current_posts(spark, d), read(spark, d, "post_tags"), read(spark, d, "tags"), tx.hash_encode, 384)
+    return indexing.index_accounts(posts).select(F.col("id").alias("account_id"), "posts")
+
+
+def image_status(spark, d):
+    """How an image job of every result's post ends; flags of the posts stand for those of their images."""
+    from driftwell.plans import indexing
+
+    p = current_posts(spark, d)
+    img = p.select("id", "nsfw", F.explode("image_urls").alias("u")).select("id", F.coalesce("nsfw", F.lit(False)).alias("nsfw"))
+    return indexing.image_status(p, read(spark, d, "post_results").select(F.col("post_id").alias("id")), img)
+
+
+def expand_corpus(spark, d):
+    """Blog titles with every prefix and suffix."""
+    from driftwell.plans import indexing
+
+    return indexing.expand_corpus(read(spark, d, "accounts").select(F.col("title").alias("sentence")), ["a photo of", "my"], ["at night"])
+
+
+QUERIES |= {
+    "index_posts": (index_posts, None),
+    "index_accounts": (index_accounts, None),
+    "image_status": (image_status, f"WITH {CUR}, i AS (SELECT id, len(coalesce(image_urls, [])) AS n, coalesce(nsfw, false) AS bad FROM cur) SELECT a.id, CASE WHEN i.id IS NULL THEN 'not_found' WHEN n = 0 THEN 'no_images' WHEN bad THEN 'nsfw' ELSE 'ok' END AS status, coalesce(n, 0) AS n_images FROM (SELECT DISTINCT post_id AS id FROM post_results) a LEFT JOIN i ON i.id = a.id"),
+    "expand_corpus": (expand_corpus, "WITH s AS (SELECT title AS s FROM accounts WHERE title IS NOT NULL) SELECT s AS sentence FROM s UNION SELECT 'a photo of ' || s FROM s UNION SELECT 'my ' || s FROM s UNION SELECT s || ' at night' FROM s"),
+}

@@ -107,8 +107,7 @@ def keyword_topk(spark, d):
 def fulltext_match(spark, d):
     """Matches of a query with AND, a phrase, OR and an exclusion."""
     node = fulltext.parse('"harbor wall" trellis OR kiln -glaze')
-    own = current_posts(spark, d).select("id", tx.simple_terms(F.col("body_clean")).alias("w"))
-    return own.where(fulltext.matches(node, F.col("w"))).select("id")
+    return current_posts(spark, d).where(fulltext.contains(node, tx.simple_terms(F.col("body_clean")))).select("id")
 
 
 def fulltext_english(spark, d):

@@ -564,3 +564,41 @@ def test_cells_reach_the_recall(spark):
         hit += len(set(exact) & {r.id for r in ivf.topk(own, "id", "v", at, v[q][1], 10, 6).collect()})
         assert [r.id for r in ivf.topk(own, "id", "v", at, v[q][1], 10, 24).collect()] == exact
     assert hit >= 90
+
+
+# ------------------------------------------------------------------ index jobs
+
+
+def test_index_jobs(spark, tmp_path):
+    from driftwell.plans import indexing
+
+    p = posts(spark)
+    tags = spark.createDataFrame([(1, "x", 1, [1.0] + [0.0] * 7), (2, "y", 2, None)], "id long, name string, usage_count long, embedding array<float>")
+    pt = spark.createDataFrame([(1, 1), (3, 2), (5, 1)], "post_id long, tag_id long")
+    img = spark.createDataFrame([(3, [0.0] * 8), (1, [0.0, 1.0] + [0.0] * 6)], "id long, vector array<float>")
+    got = {r.id: r for r in indexing.index_posts(p, pt, tags, tx.hash_encode, 8, img).collect()}
+    assert set(got) == {1, 2, 3, 5} and all(np.linalg.norm(r.vector) == pytest.approx(1, abs=1e-5) for r in got.values())
+    assert list(got[5].vector) == [1.0] + [0.0] * 7 and got[1].payload.account_id == 7
+    acc = {r.id: r.posts for r in indexing.index_accounts(indexing.index_posts(p, pt, tags, tx.hash_encode, 8, img)).collect()}
+    assert acc == {7: 2, 8: 1, 9: 1}
+    st = indexing.image_status(p, spark.createDataFrame([(1,), (2,), (4,), (99,)], "id long"), spark.createDataFrame([(1, False), (1, False), (4, True)], "id long, nsfw boolean"))
+    assert rows(st) == [(1, "ok", 2), (2, "no_images", 0), (4, "nsfw", 1), (99, "not_found", 0)]
+    sent = spark.createDataFrame([("cat",), ("dog",), (None,)], "sentence string")
+    assert indexing.expand_corpus(sent, ["a", "my"], ["now"]).count() == 8 and indexing.expand_corpus(sent, ["a"], [], 3).count() == 3
+    pair = indexing.bootstrap_pairs(sent.where("sentence is not null"), tx.hash_encode, tx.hash_encode, (8, 4)).first()
+    assert len(pair.x) == 8 and np.linalg.norm(pair.y) == pytest.approx(1)
+    ip = indexing.image_pairs(spark.createDataFrame([("p1", "h1", [1.0]), ("p2", "h2", [0.5])], "post_id string, phash string, vector array<float>"), spark.createDataFrame([("h1", "a cat")], "phash string, caption string"), tx.hash_encode, 16)
+    assert ip.count() == 2
+
+
+def test_communities_are_rebuilt(spark, tmp_path):
+    from driftwell.plans import indexing
+
+    tags = spark.createDataFrame([(i, f"t{i}", i, v) for i, v, _ in clusters()], "id long, name string, usage_count long, embedding array<float>")
+    acc = spark.createDataFrame([(i, v) for i, v, _ in clusters()], "id long, embedding array<float>")
+    p = spark.createDataFrame([(i, i % 45) for i in range(90)], "id long, account_id long")
+    pt = spark.createDataFrame([(i, i % 45) for i in range(90)], "post_id long, tag_id long")
+    got = indexing.rebuild_communities(tags, acc, p, pt, str(tmp_path / "c"), "1", (2, 3), 1)
+    kinds = {r.type: r.n for r in got.groupBy("type").agg(F.count("*").alias("n")).collect()}
+    assert kinds == {"tag_cluster": 3, "account_cluster": 3} and got.where("name like '% · %'").count() == 6
+    assert indexing.rebuild_communities(tags.limit(0), acc.limit(0), p, pt, str(tmp_path / "d"), "1").count() == 0
