@@ -119,30 +119,35 @@ def lists(graph: Graph, q: np.ndarray, most: int = LISTS, ratio: float = RATIO)
     return r, ids[r, c]
 
 
-def _pairs(a: pd.DataFrame, b: pd.DataFrame | None, k: int, least: float) -> pd.DataFrame:
-    """The ``k`` best of the rows of b (or the others of a) for each row of a, and the other way round, with cosine >= least."""
-    va = np.frombuffer(b"".join(a["v"]), np.float32).reshape(len(a), -1)
-    ia = a["id"].to_numpy(np.int64)
-    vb, ib = (va, ia) if b is None else (np.frombuffer(b"".join(b["v"]), np.float32).reshape(len(b), -1), b["id"].to_numpy(np.int64))
-    sim = va @ vb.T
-    if b is None:
-        np.fill_diagonal(sim, -2)
-    out = []
-    for s, i, j in ((sim, ia, ib),) if b is None else ((sim, ia, ib), (sim.T, ib, ia)):
-        if least > -1:
-            r, c = np.nonzero(s >= least)
-        else:
-            r, c = (x.ravel() for x in np.indices(s.shape))
-            own = s[r, c] > -2
-            r, c = r[own], c[own]
+def _best(va: np.ndarray, ia: np.ndarray, vb: np.ndarray, ib: np.ndarray, same: bool, k: int, least: float) -> Iterator[pd.DataFrame]:
+    """The ``k`` best rows of b for each row of a with cosine >= least, a thousand rows of a at a time; ties go to the smaller id."""
+    for lo in range(0, len(va), 1024):
+        sim = va[lo : lo + 1024] @ vb.T
+        if same:
+            sim[np.arange(len(sim)), np.arange(lo, lo + len(sim))] = -2
+        floor = np.full(len(sim), max(least, -1.5), np.float32)
+        if sim.shape[1] > k:
+            floor = np.maximum(floor, np.partition(sim, -k, axis=1)[:, -k])
+        r, c = np.nonzero(sim >= floor[:, None])
         if not len(r):
             continue
-        order = np.lexsort((j[c], -s[r, c], r))
+        order = np.lexsort((ib[c], -sim[r, c], r))
         r, c = r[order], c[order]
         start = np.r_[0, np.nonzero(np.diff(r))[0] + 1]
         place = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)]))
         r, c = r[place < k], c[place < k]
-        out.append(pd.DataFrame({"id": i[r], "other": j[c], "cosine": s[r, c].astype(np.float64)}))
+        yield pd.DataFrame({"id": ia[lo + r], "other": ib[c], "cosine": sim[r, c].astype(np.float64)})
+
+
+def _pairs(a: pd.DataFrame, b: pd.DataFrame | None, k: int, least: float) -> pd.DataFrame:
+    """The ``k`` best of the rows of b (or the others of a) for each row of a, and the other way round, with cosine >= least."""
+    va = np.frombuffer(b"".join(a["v"]), np.float32).reshape(len(a), -1)
+    ia = a["id"].to_numpy(np.int64)
+    if b is None:
+        out = list(_best(va, ia, va, ia, True, k, least))
+    else:
+        vb, ib = np.frombuffer(b"".join(b["v"]), np.float32).reshape(len(b), -1), b["id"].to_numpy(np.int64)
+        out = [*_best(va, ia, vb, ib, False, k, least), *_best(vb, ib, va, ia, False, k, least)]
     return pd.concat(out) if out else NONE
 
 
