@@ -28,6 +28,22 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.repartition(cores * 2, key) if key else df.repartition(cores * 2)
 
 
+#: Rows of two numbers that are sent to every task (16 MB); longer tables are joined by salt.
+SENT = 1_000_000
+SALTS = 16
+
+
+def join_keys(rows: DataFrame, keys: DataFrame, on: str, spread_by: str, count: int) -> DataFrame:
+    """``rows`` joined with ``keys`` (unique in ``on``, ``count`` rows of a few numbers), safe for a key with a third of all rows.
+
+    Up to SENT keys go to every task; more are repeated for each salt, and a row's salt comes from its ``spread_by`` column.
+    """
+    if count <= SENT:
+        return rows.join(F.broadcast(keys), on)
+    salted = keys.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).join(salted, [on, "_salt"]).drop("_salt")
+
+
 def current(df: DataFrame, key: str, order: list[str], *values: str) -> DataFrame:
     """One row for each ``key``: the ``values`` of its last version by ``order`` (nulls first, ties by value).
 

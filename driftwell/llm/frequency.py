@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwell.llm.common import join_keys
+
 #: Terms in a block of the count arrays.
 BLOCK = 4096
 
@@ -90,13 +92,14 @@ def term_counts(rows: DataFrame, names: DataFrame, record: str, key: str, name_k
     Null keys, null records and rows whose key has no term are left out; a null or empty term is no term.  Repeated rows
     count as occurrences, not as records.  Empty tables give an empty result (no names) or zeros (no rows).
 
-    A key with a third of all rows is no hot task: rows are first folded to (record, key), then spread by record.
+    A key with a third of all rows is no hot task: rows are first folded to (record, key), and meet the dictionary by broadcast
+    while that is small, which is checked, else by salt.
     """
     named = names.select(F.col(name_key).alias("_key"), term.alias("term")).where("_key is not null and term is not null and term <> ''").distinct()
     ids = dictionary(named, "term")
     codes = named.join(ids, "term").select("_key", "term_id")
     folded = rows.select(F.col(record).alias("_record"), F.col(key).alias("_key")).where("_record is not null and _key is not null").groupBy("_record", "_key").agg(F.count(F.lit(1)).alias("n"))
-    encoded = folded.join(codes, "_key").groupBy("_record", "term_id").agg(F.sum("n").alias("n")).select("term_id", "n")
+    encoded = join_keys(folded, codes, "_key", "_record", names.count()).groupBy("_record", "term_id").agg(F.sum("n").alias("n")).select("term_id", "n")
     blocks = encoded.mapInPandas(_blocks, "block long, at array<int>, occurrences array<long>, records array<long>")
     sums = blocks.repartition("block").sortWithinPartitions("block").mapInPandas(_sum, "term_id long, occurrences long, records long")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftwell.llm.common import join_keys
+
 #: Items in an item block; no array that is collected or multiplied is longer.
 WIDTH = 4096
 #: Cells of the product that a task holds before it adds up equal ones, and at most before it passes them on.
@@ -103,8 +105,9 @@ def together(rows: DataFrame, record: str, item: str, least: int = 5, lift: floa
     total = own.select("_r").distinct().agg(F.count(F.lit(1)).alias("total"))
     known = own.groupBy("_i").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
     # how many items stay decides the number of blocks; one number comes to the driver
-    blocks = max(1, -(-known.count() // width))
-    left = own.join(known.select("_i"), "_i")
+    kept = known.count()
+    blocks = max(1, -(-kept // width))
+    left = join_keys(own, known.select("_i"), "_i", "_r", kept)
     sparse = left.withColumn("_b", F.pmod(F.xxhash64("_i"), F.lit(blocks))).groupBy("_r", "_b").agg(F.sort_array(F.collect_list("_i")).alias("x"))
     diagonal = sparse.select("x", F.col("x").alias("y"), F.lit(True).alias("same")).where(F.size("x") > 1)
     faces = diagonal

@@ -75,9 +75,7 @@ def p4_languages(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     results = table(spark, d, "post_results").where("post_id is not null").select("post_id", "lang").distinct()
-    name = F.udf(language.label_language, "string")  # runs on the distinct labels only
-    labels = results.select("lang").distinct().withColumn("named", name("lang")).where("named is not null")
-    named = results.join(labels, "lang").select("post_id", F.col("named").alias("lang"))
+    named = results.withColumn("lang", language.named(F.col("lang"))).where("lang is not null")
     found = p4_languages(spark, d).select("post_id", "lang").join(results.select("post_id").distinct(), "post_id", "left_semi")
     return found.join(named, ["post_id", "lang"], "left_anti")
 

@@ -46,6 +46,16 @@ def test_term_counts_against_brute_force(spark):
     assert got == {t: (occurrences[t], records[t]) for t in set(term.values())}
 
 
+@pytest.mark.parametrize("sent", [0, 10**6])
+def test_hot_keys_meet_long_tables_by_salt(spark, monkeypatch, sent):
+    monkeypatch.setattr("driftwell.llm.common.SENT", sent)
+    tags = spark.range(20).select("id", F.concat(F.lit("t"), "id").alias("name"))
+    posts = spark.range(400).select((F.col("id") % 50).alias("post_id"), F.when(F.col("id") % 3 > 0, F.lit(0)).otherwise(F.col("id") % 20).alias("tag_id"))
+    got = frequency.term_counts(posts, tags, "post_id", "tag_id", "id", frequency.tag_term(F.col("name"))).where("term = 't0'").first()
+    assert got.occurrences == posts.where("tag_id = 0").count() and got.records == posts.where("tag_id = 0").distinct().count()
+    assert pairs.together(posts, "post_id", "tag_id", 1, 0.0).count() > 0
+
+
 def test_term_counts_over_several_blocks(spark):
     n = frequency.BLOCK * 2 + 5
     tags = spark.range(n).select("id", F.concat(F.lit("t"), "id").alias("name"))
