@@ -354,7 +354,7 @@ QUERIES = {
     "crawl_stats": (crawl_stats, f"WITH {_STATE} SELECT status, count(*) AS n FROM st GROUP BY status"),
     "last_crawled": (last_crawled, "SELECT floor(epoch_us(max(updated_at)) / 1000000.0)::BIGINT AS at FROM accounts"),
     "table_counts": (table_counts, "SELECT 'accounts' AS name, count(*) AS n FROM accounts UNION ALL SELECT 'posts', count(*) FROM posts UNION ALL SELECT 'tags', count(*) FROM tags UNION ALL SELECT 'post_tags', count(*) FROM post_tags"),
-    "latency_stats": (latency_stats, "SELECT round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, list_sort(list(value))[floor(count(*) * 0.95)::INT + 1] AS p95 FROM events WHERE event_type = 'click' AND value IS NOT NULL"),
+    "latency_stats": (latency_stats, "SELECT round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(list_sort(list(value))[floor(count(*) * 0.95)::INT + 1], 6) AS p95 FROM events WHERE event_type = 'click' AND value IS NOT NULL"),
     "seed_sets": (seed_sets, "SELECT blog_name, CASE WHEN description IS NOT NULL THEN 'both' ELSE 'first' END AS side FROM accounts WHERE title IS NOT NULL"),
     "sql_filter_aggregate": (sql_filter_aggregate, f"WITH {CUR} SELECT post_type, count(*) AS n, count(*) FILTER (WHERE nsfw) AS flagged, count(*) FILTER (WHERE published_at IS NULL) AS undated FROM cur GROUP BY post_type"),
     **{k: (_ad_hoc(v), v) for k, v in _SQL.items()},
