@@ -156,7 +156,7 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int = 10, least: float =
 
     Null and all-zero vectors, vectors with a null, NaN or infinite element, and rows with a null ``key`` have no neighbours
     and are nobody's; so are vectors of another length than the most common one.  Ties go to the smaller id.  ``key`` names a
-    row (bigint); other columns are dropped.  An empty table gives an empty result.
+    row (bigint); repeated rows of a key count once; other columns are dropped.  An empty table gives an empty result.
 
     The answer is approximate where a pair shares no list; README states the measured recall.
     """
@@ -198,7 +198,7 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int = 10, least: float =
     if crowded:
         salted = Window.partitionBy("h", "g", "salt").orderBy("id")
         fine = F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
-        among = own.select("id", "v", F.xxhash64("v").alias("h"), F.hash("v").alias("g")).join(crowds, ["h", "g"], "left_semi").where(fine).drop("v")
+        among = own.select("id", "v", F.xxhash64("v").alias("h"), F.hash("v").alias("g")).join(crowds, ["h", "g"], "left_semi").where(fine).drop("v").dropDuplicates(["id"])
         among = among.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(256)))
         low = among.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k + 1).withColumn("r", F.row_number().over(Window.partitionBy("h", "g").orderBy("id"))).where(F.col("r") <= k + 1)
         spare = among.join(low.select("id"), "id", "left_anti").select("id", "h", "g")
@@ -233,14 +233,14 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int = 10, least: float =
         faces = faces.select("list", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"), "id", "v")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
+        pdf = pdf.sort_values("id").drop_duplicates(["id", "side"])
         if pdf["i"].iat[0] == pdf["j"].iat[0]:
             return _pairs(pdf, None, k, least)
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         return _pairs(a, b, k, least) if len(a) and len(b) else NONE
 
     found = faces.groupBy("list", "i", "j").applyInPandas(compare, "id long, other long, cosine double")
-    found = found.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
+    found = found.where("id <> other").groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
     return found.unionByName(alike.where(F.col("cosine") >= least)) if crowded else found
