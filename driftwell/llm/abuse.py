@@ -64,7 +64,6 @@ _TAG = re.compile(r"<[^<>\n]{0,400}>|\b(?:https?://|www\.)\S+|&(?:[a-zA-Z]{2,8}|
 _JAPANESE = re.compile(r"[぀-ヿ一-鿿]")
 
 
-_HIDDEN = re.compile(r"(?<=\w)[\u200b\u200c\u2060\ufeff\u00ad](?=\w)")
 
 
 class Trie:
@@ -180,9 +179,7 @@ class Lexicon:
     def windows(self, text: str) -> list[dict]:
         """The windows of a text: its words in plain spelling, the classes of the terms in it, disguise, quotation, place."""
         out = []
-        shown = fold_keep(text)
-        clean = latin_words(shown)
-        hidden = clean != shown or bool(_HIDDEN.search(text))
+        clean = latin_words(fold_keep(text))
         for sentence in _BOUND.split(_TAG.sub(" ", clean)):
             if not sentence or not sentence.strip():
                 continue
