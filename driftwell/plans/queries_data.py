@@ -12,7 +12,7 @@ from driftwell.config import Filters, SearchConfig
 from driftwell.operators import ingest, retrieve
 from driftwell.plans import stats
 from driftwell.plans.queries_search import CUR, current_posts
-from driftwell.schema import read
+from driftwell.schema import FEED_POST, read
 from driftwell.streaming import ingest as streams
 
 
@@ -298,8 +298,7 @@ def stream_ingest(spark, d):
     src = _work(spark, "ingest")
     feed = current_posts(spark, d).where("tumblr_id is not null").select(F.col("tumblr_id").alias("id"), F.lit("text").alias("type"), F.concat(F.lit("blog"), "account_id").alias("blog_name"), F.unix_seconds("published_at").alias("timestamp"), F.col("body_raw").alias("body"), F.col("note_count").cast("string").alias("note_count"), F.col("nsfw"))
     feed.repartition(4).write.mode("overwrite").json(f"{src}/in")
-    schema = "id long, type string, blog_name string, timestamp long, body string, note_count string, nsfw boolean"
-    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).json(f"{src}/in")
+    stream = lambda: spark.readStream.schema(FEED_POST).option("maxFilesPerTrigger", 2).json(f"{src}/in")
     sink = streams.PostSink(spark, f"{src}/posts")
     streams.run_once(stream(), sink, f"{src}/cp1")
     again = streams.PostSink(spark, f"{src}/posts")
