@@ -532,6 +532,7 @@ def test_clean_keeps_structure(field):
     assert lines[0] == ("heading", "A title") and [f for f, _ in lines].count("list") == 2 and ("code", "x = y * (z + 1);") in lines
     assert "a link too" in text and "bold words & more" in text and not any(c in text for c in ("<", "](", "script", "var q"))
     assert markup.clean(field, None) == ("", []) and markup.clean(field, "", "") == ("", [])
+    assert markup.clean(field, None, "<p>So it goes. \\[ a_{n+1} = 2a_n \\] Then on.</p><p>Well.<br/>\\begin{equation}<br/>E = mc^2<br/>\\end{equation}</p>")[1] == [("paragraph", "So it goes."), ("formula", "a_{n+1} = 2a_n"), ("paragraph", "Then on."), ("paragraph", "Well."), ("formula", "E = mc^2")]
     assert "## " not in markup.clean(field, "## A heading\nThen **bold** text.")[0]
 
 
