@@ -100,7 +100,7 @@ def nearest_members(rows: DataFrame, key: str, label: str, vector: str, top: int
     own = own.select(label, key, F.round(sim, 6).alias("similarity"))
     part = Window.partitionBy(label, "_s").orderBy(F.desc("similarity"), key)
     own = own.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(64))).withColumn("place", F.row_number().over(part)).where(F.col("place") <= top)
-    return own.withColumn("place", F.row_number().over(Window.partitionBy(label).orderBy(F.desc("similarity"), key))).where(F.col("place") <= top).drop("_s")
+    return own.withColumn("place", F.row_number().over(Window.partitionBy(label).orderBy(F.desc("similarity"), key)).cast("long")).where(F.col("place") <= top).drop("_s")
 
 
 def names(members: DataFrame, label: str, name: str, most: int = 3) -> DataFrame:
@@ -114,7 +114,7 @@ def top_tags(members: DataFrame, label: str, posts: DataFrame, post_tags: DataFr
     """(label, name, posts, place): the most used tags in the posts of each group's accounts; ``members`` is (account_id, label)."""
     used = members.join(posts.select("id", "account_id"), "account_id").join(post_tags, F.col("id") == F.col("post_id")).groupBy(label, "tag_id").agg(F.count(F.lit(1)).alias("posts"))
     named = used.join(tags.select(F.col("id").alias("tag_id"), "name"), "tag_id")
-    place = F.row_number().over(Window.partitionBy(label).orderBy(F.desc("posts"), "name"))
+    place = F.row_number().over(Window.partitionBy(label).orderBy(F.desc("posts"), "name")).cast("long")
     return named.withColumn("place", place).where(F.col("place") <= most).select(label, "name", "posts", "place")
 
 

@@ -33,7 +33,7 @@ def rerank(fused: DataFrame, posts: DataFrame, as_of: Column, c: SearchConfig, k
     own = slim.join(F.broadcast(fused), key)
     score = F.round(scoring.rerank(F.col("rrf"), F.col("note_count"), F.col("published_at"), as_of, c), digits)
     own = own.select(key, "account_id", score.alias("score"))
-    return own.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), F.desc(key))))
+    return own.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), F.desc(key))).cast("long"))
 
 
 def account_rollup(reranked: DataFrame, vector_scores: DataFrame, depth: int = 200, digits: int = 9) -> DataFrame:

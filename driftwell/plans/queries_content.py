@@ -19,7 +19,7 @@ BLOCKED = ["vermin", "naked", "idiot", "porn"]
 
 
 def clean_html(spark: SparkSession, d: str) -> DataFrame:
-    return current_posts(spark, d).select("id", F.md5(tx.clean_html(F.col("body_raw"))).alias("digest"), F.coalesce(F.length(tx.clean_html(F.col("body_raw"))), F.lit(0)).alias("size"))
+    return current_posts(spark, d).select("id", F.md5(tx.clean_html(F.col("body_raw"))).alias("digest"), F.coalesce(F.length(tx.clean_html(F.col("body_raw"))), F.lit(0)).cast("long").alias("size"))
 
 
 _G = "regexp_replace({0}, {1}, {2}, 'g')"
@@ -61,7 +61,7 @@ _BODY = f"""WITH {CUR} SELECT id, md5(CASE post_type WHEN 'text' THEN coalesce(n
 
 def chunk_windows(spark, d):
     w = read(spark, d, "documents").select("doc_id", F.posexplode(tx.windows(F.col("text"), 64, 16)).alias("chunk", "words"))
-    return w.select("doc_id", "chunk", F.size("words").alias("n"), F.md5(F.array_join("words", " ")).alias("digest"))
+    return w.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.size("words").cast("long").alias("n"), F.md5(F.array_join("words", " ")).alias("digest"))
 
 
 _CHUNK = """WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r]+'), lambda x: length(x) > 0) AS w FROM documents),
@@ -289,8 +289,8 @@ QUERIES = {
     "snippets": (snippets, "SELECT id, nullif(substr(description, 1, 40), '') AS snippet, left(title, 8) AS head FROM accounts"),
     "cursors": (cursors, f"WITH {CUR} SELECT id, id AS back, coalesce(note_count, 0)::DOUBLE AS score FROM cur"),
     "drill_downs": (drill_downs, _DRILL),
-    "community_centroids": (community_centroids, f"WITH {_CEN} SELECT label, vec_id, round(round(s, 6), 5) AS similarity, place FROM near WHERE place <= 5"),
-    "community_names": (community_names, f"WITH {_CEN} SELECT n.label, coalesce(string_agg(t.name, ' · ' ORDER BY place), 'cluster_' || n.label) AS name FROM near n LEFT JOIN tags t ON t.id = vec_id WHERE place <= 3 GROUP BY n.label"),
+    "community_centroids": (community_centroids, f"WITH {_CEN} SELECT label::BIGINT AS label, vec_id, round(round(s, 6), 5) AS similarity, place FROM near WHERE place <= 5"),
+    "community_names": (community_names, f"WITH {_CEN} SELECT n.label::BIGINT AS label, coalesce(string_agg(t.name, ' · ' ORDER BY place), 'cluster_' || n.label) AS name FROM near n LEFT JOIN tags t ON t.id = vec_id WHERE place <= 3 GROUP BY n.label"),
     "community_search": (community_search, _COM),
     "silhouette_given_labels": (silhouette_given_labels, _SIL),
     "kmeans_communities": (kmeans_communities, None),

@@ -37,7 +37,7 @@ def browse_limit(spark, d):
 
 def vector_scroll(spark, d):
     """Every vector of a collection."""
-    return read(spark, d, "tags").where("embedding is not null").select("id", F.size("embedding").alias("size"))
+    return read(spark, d, "tags").where("embedding is not null").select("id", F.size("embedding").cast("long").alias("size"))
 
 
 def account_scroll(spark, d):
@@ -45,7 +45,7 @@ def account_scroll(spark, d):
     order = [F.desc_nulls_last("published_at"), F.desc("id")]
     p = current_posts(spark, d).select("id", "account_id", "published_at").withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(32)))
     p = p.withColumn("_r", F.row_number().over(Window.partitionBy("account_id", "_s").orderBy(*order))).where("_r <= 5")
-    return p.withColumn("place", F.row_number().over(Window.partitionBy("account_id").orderBy(*order))).where("place <= 5").select("account_id", "id", "place")
+    return p.withColumn("place", F.row_number().over(Window.partitionBy("account_id").orderBy(*order)).cast("long")).where("place <= 5").select("account_id", "id", "place")
 
 
 def optional_filters(spark, d):
@@ -129,8 +129,8 @@ def insert_ignore_post_tags(spark, d):
 
 def last_write_vectors(spark, d):
     """Points replaced by id: those of tags without a usage count take the place of the stored ones, and three are new."""
-    t = read(spark, d, "tags").where("embedding is not null").select("id", "usage_count", F.size("embedding").alias("v"))
-    new = t.where("usage_count is null").select("id", F.lit(1).alias("v")).unionByName(spark.range(-3, 0).select("id", F.lit(2).alias("v")))
+    t = read(spark, d, "tags").where("embedding is not null").select("id", "usage_count", F.size("embedding").cast("long").alias("v"))
+    new = t.where("usage_count is null").select("id", F.lit(1).cast("long").alias("v")).unionByName(spark.range(-3, 0).select("id", F.lit(2).cast("long").alias("v")))
     return ingest.last_write(t.drop("usage_count"), new, "id")
 
 
@@ -246,7 +246,7 @@ _SQL = {
     "sql_join_top": "SELECT o_orderkey, c_mktsegment, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '1997-01-01 00:00:00' GROUP BY o_orderkey, c_mktsegment ORDER BY revenue DESC, o_orderkey LIMIT 20",
     "sql_nations": "SELECT n_name, count(DISTINCT c_custkey) AS customers, round(sum(o_totalprice), 2) AS total FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY n_name",
     "sql_rollup": "SELECT coalesce(o_orderpriority, 'all') AS priority, coalesce(o_orderstatus, 'all') AS status, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)",
-    "sql_window": "SELECT c_custkey, c_nationkey, place FROM (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer) t WHERE place <= 3",
+    "sql_window": "SELECT c_custkey, c_nationkey, place FROM (SELECT c_custkey, c_nationkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS BIGINT) AS place FROM customer) t WHERE place <= 3",
     "sql_subquery": "SELECT p_brand, count(*) AS n FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING sum(l_quantity) > 100) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_discount > 0.09 AND l_quantity > 49) GROUP BY p_brand",
     "sql_cte_union": "WITH a AS (SELECT s_nationkey AS k, s_acctbal AS v FROM supplier), b AS (SELECT c_nationkey AS k, c_acctbal AS v FROM customer) SELECT k, round(sum(v), 2) AS total, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) t GROUP BY k",
 }
@@ -344,7 +344,7 @@ QUERIES = {
     "page_cursors": (page_cursors, f"WITH {CUR} SELECT account_id, min(floor(epoch_us(published_at) / 1000000.0)::BIGINT) AS last_timestamp FROM cur WHERE published_at IS NOT NULL GROUP BY account_id"),
     "discover_new_blogs": (discover_new_blogs, f"WITH {CUR} SELECT DISTINCT blog_name FROM accounts WHERE id IN (SELECT reblogged_from FROM cur UNION SELECT reblogged_root FROM cur) AND total_posts IS NULL"),
     "crawl_step": (crawl_step, _STEP),
-    "crawl_queue": (crawl_queue, f"WITH {_STATE} SELECT blog_name, list_position(['pending', 'paused', 'active'], status) AS priority FROM st WHERE status IN ('pending', 'paused', 'active')"),
+    "crawl_queue": (crawl_queue, f"WITH {_STATE} SELECT blog_name, list_position(['pending', 'paused', 'active'], status)::BIGINT AS priority FROM st WHERE status IN ('pending', 'paused', 'active')"),
     "crawl_reset": (crawl_reset, f"WITH {_STATE} SELECT blog_name, CASE WHEN status = 'dead' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'dead' THEN 0 ELSE fail_count END AS fail_count FROM st UNION ALL SELECT unnest(['seed-one', 'seed-two']), 'pending', 0"),
     "crawl_states_listing": (crawl_states_listing, f"WITH {_STATE} SELECT blog_name, status FROM st WHERE status IN ('active', 'pending') ORDER BY last_crawled_at DESC NULLS LAST, blog_name LIMIT 25"),
     "threshold_gate": (threshold_gate, f"WITH {CUR} SELECT count(*) AS indexed, count(*) < 50000 AS open FROM safe"),

@@ -57,7 +57,7 @@ PV = """cells AS (SELECT p.post_id AS id, g.i, avg(g.x::DOUBLE) AS m FROM (SELEC
 COS = "round(list_inner_product({0}, q) / (sqrt(list_inner_product({0}, {0})) * sqrt(list_inner_product(q, q))), 6)"
 ENG = "(1 + 0.1 * log2(1 + greatest(coalesce(note_count, 0), 0)))"
 REC = f"pow(0.5, CASE WHEN published_at IS NULL THEN 90 ELSE greatest((epoch_us(TIMESTAMPTZ '{AS_OF}+00') - epoch_us(published_at)) / 86400000000.0, 0) END / 90)"
-KW = f"kw AS (SELECT *, row_number() OVER (ORDER BY kw_score DESC, id) AS rank FROM (SELECT id, round(0.1 * len(list_filter(w, lambda x: x = '{QUERY}')), 9) AS kw_score FROM (SELECT id, {WORDS.format('body_clean')} AS w FROM safe) WHERE list_contains(w, '{QUERY}') ORDER BY kw_score DESC, id LIMIT 100))"
+KW = f"kw AS (SELECT *, row_number() OVER (ORDER BY kw_score DESC, id) AS rank FROM (SELECT id, round(0.1::DOUBLE * len(list_filter(w, lambda x: x = '{QUERY}')), 9) AS kw_score FROM (SELECT id, {WORDS.format('body_clean')} AS w FROM safe) WHERE list_contains(w, '{QUERY}') ORDER BY kw_score DESC, id LIMIT 100))"
 VEC = f"vec AS (SELECT *, row_number() OVER (ORDER BY cosine DESC, id) AS rank FROM (SELECT id, {COS.format('v')} AS cosine FROM pv, qv WHERE id IN (SELECT id FROM safe) AND list_inner_product(v, v) > 1e-20 ORDER BY cosine DESC, id LIMIT 100))"
 RRF = "rrf AS (SELECT id, sum(1.0 / (60 + rank)) AS rrf FROM (SELECT id, rank FROM kw UNION ALL SELECT id, rank FROM vec) GROUP BY id)"
 RER = f"rer AS (SELECT *, row_number() OVER (ORDER BY score DESC, id DESC) AS place FROM (SELECT id, account_id, round(rrf * {ENG} * {REC}, 9) AS score FROM safe JOIN rrf USING (id)))"
@@ -186,12 +186,12 @@ scored AS (SELECT *, round((kind = 0)::INT + 0.6 * cosine + 0.3 * log2(1 + usage
 def mean_pool(spark, d):
     """Mean vector of each label of the embeddings, element by element."""
     got = V.mean_pool(read(spark, d, "embeddings"), ["label"], "embedding", "v")
-    return got.select("label", F.posexplode("v").alias("i", "x")).select("label", "i", F.round("x", 6).alias("x"))
+    return got.select("label", F.posexplode("v").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
 def post_vector_norms(spark, d):
     own = vectors_of_posts(spark, d)
-    return own.select("id", F.round(V.norm(F.col("vector")), 6).alias("norm"), F.size("vector").alias("size"))
+    return own.select("id", F.round(V.norm(F.col("vector")), 6).alias("norm"), F.size("vector").cast("long").alias("size"))
 
 
 def fuse_modalities(spark, d):
@@ -272,7 +272,7 @@ QUERIES = {
     "tag_search": (tag_search, f"WITH {QV}, {_TAGS} SELECT tag_id, name, ['exact', 'prefix', 'semantic'][kind + 1] AS match_type, usage_count, cosine, score FROM scored ORDER BY score DESC, kind, tag_id LIMIT 20"),
     "mean_pool": (mean_pool, "SELECT label, i, round(avg(x::DOUBLE), 6) AS x FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY label, i"),
     "post_vector_norms": (post_vector_norms, f"WITH {PV} SELECT id, round(sqrt(list_inner_product(v, v)), 6) AS norm, len(v) AS size FROM pv"),
-    "fuse_modalities": (fuse_modalities, f"WITH {_FUSE} SELECT id, CASE WHEN n < 1e-10 THEN 0.0 ELSE 1.0 END AS norm, round(CASE WHEN n < 1e-10 THEN v[1] ELSE v[1] / n END, 6) AS x0, round(CASE WHEN n < 1e-10 THEN v[64] ELSE v[64] / n END, 6) AS x63 FROM n"),
+    "fuse_modalities": (fuse_modalities, f"WITH {_FUSE} SELECT id, CASE WHEN n < 1e-10 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS norm, round(CASE WHEN n < 1e-10 THEN v[1] ELSE v[1] / n END, 6) AS x0, round(CASE WHEN n < 1e-10 THEN v[64] ELSE v[64] / n END, 6) AS x63 FROM n"),
     "account_window_embedding": (account_window_embedding, f"WITH {_WIN} SELECT account_id, (SELECT count(*) FROM w WHERE w.account_id = n.account_id) AS posts, round(m[1] / sqrt(list_inner_product(m, m)), 5) AS x0, round(m[384] / sqrt(list_inner_product(m, m)), 5) AS x383 FROM n"),
     "softmax_safety": (softmax_safety, f"WITH {_SOFT}"),
 }
@@ -318,7 +318,7 @@ def ivf_all_cells(spark, d):
 
 QUERIES |= {
     "postings_search": (postings_search, QUERIES["fulltext_match"][1].replace("FROM cur)", "FROM safe)")),
-    "postings_term": (postings_term, f"WITH {CUR} SELECT id, round(0.1 * len(list_filter(w, lambda x: x = '{QUERY}')), 9) AS kw_score FROM (SELECT id, {WORDS.format('body_clean')} AS w FROM safe) WHERE list_contains(w, '{QUERY}')"),
+    "postings_term": (postings_term, f"WITH {CUR} SELECT id, round(0.1::DOUBLE * len(list_filter(w, lambda x: x = '{QUERY}')), 9) AS kw_score FROM (SELECT id, {WORDS.format('body_clean')} AS w FROM safe) WHERE list_contains(w, '{QUERY}')"),
     "ivf_topk": (ivf_topk, None),
     "ivf_all_cells": (ivf_all_cells, QUERIES["vector_topk_native"][1]),
 }

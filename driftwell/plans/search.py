@@ -134,7 +134,7 @@ def search_communities(communities: DataFrame, query: str, query_vector: Sequenc
     """Communities by the cosine of their centroid and their size, with five tags or accounts and a link."""
     near = retrieve.cosine_scores(communities, "id", "centroid", query_vector)
     own = communities.select("id", "name", "type", "member_ids").join(near, "id")
-    n = F.coalesce(F.size("member_ids"), F.lit(0))
+    n = F.coalesce(F.size("member_ids"), F.lit(0)).cast("long")
     top = own.withColumn("member_count", n).withColumn("score", F.round(scoring.community_score(F.col("cosine"), F.col("member_count")), 6)).orderBy(F.desc("score"), "id").limit(limit)
     members = top.select("id", "type", F.explode("member_ids").alias("member"))
     t = members.where("type = 'tag_cluster'").join(tags.select(F.col("id").alias("member"), F.col("name").alias("label"), F.coalesce("usage_count", F.lit(0)).alias("weight")), "member")
