@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors the index is fitted on, at most.  Every vector is indexed.
-SAMPLE = 32_768
+SAMPLE = 16_384
 #: Vectors in a list aimed at; lists of more than twice BLOCK are compared block by block.
 LIST, BLOCK = 1500, 4096
 #: Lists of a vector at most, and how much further than the nearest centroid one of them may be.
