@@ -62,8 +62,10 @@ _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t
 _BOUND = re.compile(r"(?<=[.!?…。！？])[\"”“»')\]]*\s+|(?<=[。！？])|\n+|\r")
 _TAG = re.compile(r"<[^<>\n]{0,400}>|\b(?:https?://|www\.)\S+|&(?:[a-zA-Z]{2,8}|#\d{1,6});|!?\[(?=[^\]\n]*\]\()|\]\([^)\s]*\)")
 _JAPANESE = re.compile(r"[぀-ヿ一-鿿]")
-
-
+_JAPANESE_RUN = re.compile(r"[぀-ヿ一-鿿]+")
+_SCRIPT = re.compile(r"[぀-ゟ]+|[゠-ヿ]+|[一-鿿]+")
+#: Japanese words and forms that a term stands in by chance; the longest word at a place counts.
+HARMLESS = "ばかり ばかなり ばかえ ばかか バカンス バカラ クズレ ピエロ エロージョン エロイカ 死ねない 死ねば 死ねる 死ねた 死ねます".split()
 
 
 class Trie:
@@ -77,6 +79,17 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = w
 
+    def longest(self, text: str, at: int) -> int:
+        """The end of the longest word of the trie that begins at ``at`` in ``text``; ``at`` where none does."""
+        node, end = self.root, at
+        for i in range(at, len(text)):
+            node = node.get(text[i])
+            if node is None:
+                break
+            if "" in node:
+                end = i + 1
+        return end
+
     def near(self, word: str, most: int) -> tuple[str, int] | None:
         """(lexicon word, edits) of the nearest word within ``most`` edits; * in ``word`` is any one letter, free of cost.
 
@@ -120,12 +133,36 @@ class Lexicon:
                     words.update(run)
         self.lexical = words
         self.trie, self.ordinary = Trie(words), ordinary
+        known = words.union(HARMLESS, *(c.split() for c in CUES.values()))
+        self.japanese = Trie({w for w in known if _JAPANESE_RUN.fullmatch(w)})
         self.held: dict[str, tuple[str, bool]] = {}
 
     @staticmethod
     def words(text: str) -> list[str]:
         return [w for t in _TOKEN.findall(fold(text)) for w in re.split(r"[-'’]", t) if w]
 
+    def tokens(self, low: str) -> list[tuple[str, int]]:
+        """(word, place) of a sentence in lower case.
+
+        Japanese is written without spaces: a trie scan finds the known words in its runs, the rest is split by script.
+        """
+        out, at = [], 0
+        for run in [*_JAPANESE_RUN.finditer(low), None]:
+            end = run.start() if run else len(low)
+            out += [(w, m.start()) for m in _TOKEN.finditer(low, at, end) for w in (_JOINT.split(m.group()) if _JOINT.search(m.group()) else (m.group(),)) if w]
+            if run:
+                i = rest = end
+                at = run.end()
+                while i < at:
+                    known = min(at, self.japanese.longest(low, i))
+                    if known > i:
+                        out += [(m.group(), m.start()) for m in _SCRIPT.finditer(low, rest, i)]
+                        out.append((low[i:known], i))
+                        rest = known
+                    i = max(known, i + 1)
+                out += [(m.group(), m.start()) for m in _SCRIPT.finditer(low, rest, at)]
+        return out
+
     def spell(self, raw: str) -> tuple[str, bool]:
         """(word, disguised): the lexicon's word that a written one stands for, else the word in plain spelling."""
         got = self.held.get(raw)
@@ -186,9 +223,7 @@ class Lexicon:
             spaced = bool(_SPACED.search(sentence))
             flat = _SPACED.sub(lambda m: self.unspaced(m.group()), sentence) if spaced else sentence
             low = flat.lower()
-            raw = [(w, m.start()) for m in _TOKEN.finditer(low) for w in (_JOINT.split(m.group()) if _JOINT.search(m.group()) else (m.group(),)) if w]
-            if _JAPANESE.search(flat):
-                raw = [(x, i) for i, x in enumerate(re.findall(r"[぀-ゟ]+|[゠-ヿ]+|[一-鿿]+|\w+", flat))]
+            raw = self.tokens(low)
             spelt = [self.spell(w) for w, _ in raw]
             words = [w for w, _ in spelt]
             hits = []
@@ -211,8 +246,8 @@ class Lexicon:
             for g in groups:
                 a, b = max(0, g[0][0] - REACH), min(len(words), max(x[1] for x in g) + REACH)
                 place = raw[g[0][0]][1]
-                before = flat[max(0, place - 300) : place]
-                quoted = sum(before.count(c) for c in '“„«') > sum(before.count(c) for c in '”»') or before.count('"') % 2 == 1
+                before = low[max(0, place - 300) : place]
+                quoted = sum(before.count(c) for c in '“„«「『') > sum(before.count(c) for c in '”»」』') or before.count('"') % 2 == 1
                 odd = spaced or any(h[3] for h in g)
                 out.append({"words": words[a:b], "kinds": Counter(h[2] for h in g), "odd": odd, "quoted": quoted})
         return out

@@ -443,6 +443,17 @@ def test_disguises_are_seen_through():
     assert lex.windows("") == [] and lex.windows("a quiet morning by the sea") == []
 
 
+def test_terms_in_japanese_sentences():
+    lex = abuse.Lexicon()
+    kinds = lambda t: sorted(k for w in lex.windows(t) for k in w["kinds"].elements())
+    assert kinds("お前は死ね") == ["threat"] and kinds("必ず殺すぞ") == ["threat"] and kinds("この馬鹿野郎") == ["insult"] and kinds("本当にばかだね") == ["insult"]
+    assert kinds("日本語 YOU IDIOT") == ["insult"] and kinds("日本語 you id*ot だ") == ["insult"] and kinds("猫とKILL YOUの話") == ["threat"] and kinds("今日は idiot と") == ["insult"]
+    assert kinds("食べたばかりです") == kinds("夏のバカンスとピエロ") == kinds("まだ死ねない") == kinds("そう言えばかなり良い") == []
+    assert "お前" in lex.windows("お前は死ね")[0]["words"]
+    assert lex.windows("彼は「お前は死ね」と")[0]["quoted"] and not lex.windows("「はい」とお前は死ね")[0]["quoted"]
+    assert lex.tokens("aa馬鹿野郎 b-c") == [("aa", 0), ("馬鹿", 2), ("野郎", 4), ("b", 7), ("c", 7)]
+
+
 def test_context_tells_abuse_from_use():
     m = abuse.train([])
     for s in BAD:
