@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -26,8 +27,6 @@ LINES = ("paragraph", "heading", "list", "code", "formula")
 LABELS = (*LINES, *KINDS, "plain")
 #: Pages the model is trained on, and texts of the table that they are made from, at most.
 PAGES, SAMPLE = 1400, 500
-#: How many characters and pieces on each side of a piece tell what it is.
-REACH, NEAR = 3000, 150
 
 #: Element names of HTML.
 TAGS = frozenset(
@@ -184,18 +183,17 @@ def blocks(text: str, page: str | None = None) -> list[tuple[int, int, str, list
         f = ["line", f"up={near}", f"code={code}", f"formula={formula}", f"short={words <= 6}", f"closed={line.rstrip()[-1:] in '.!?…。'}", f"pre={pre}", f"up={near}|code={code}|formula={formula}"]
         f += [f"in={x}" for x in set(up)]
         out.append((at, at, "line", f))
+        details = _details(line, pieces)
+        first, last = len(line) - len(line.lstrip()), len(line.rstrip())
         for n, m in enumerate(pieces):
             kind, s = m.lastgroup, m.group()
             a, b = m.span()
             left, right = line[a - 1 : a], line[b : b + 1]
-            # a long line is looked at as far as REACH around the piece, so that its length costs no more than in proportion
-            cut = max(0, a - REACH)
-            own = [p for p in pieces[max(0, n - NEAR) : n + NEAR] if p.start() >= cut and p.end() <= b + REACH] if len(pieces) > NEAR or len(line) > REACH else pieces
-            partner, detail = _detail(kind, s, line[cut : b + REACH] if own is not pieces else line, a - (cut if own is not pieces else 0), b - (cut if own is not pieces else 0), own, own.index(m), cut if own is not pieces else 0)
+            partner, detail = details[n]
             lo, hi = max(0, a - 24), min(len(line), b + 24)
             talk = bool(_TALK.search(line[lo:a]) or _TALK.search(line[b:hi]))
             f = [kind, f"{kind}|left={_side(left)}", f"{kind}|right={_side(right)}", f"{kind}|{_side(left)}|{_side(right)}", f"{kind}|partner={partner}", f"{kind}|{detail}", f"{kind}|{detail}|partner={partner}"]
-            f += [f"{kind}|talk={talk}|{detail}", f"{kind}|code={code}", f"{kind}|formula={formula}|math={math_open}", f"{kind}|pre={pre}", f"{kind}|many={min(3, counts[kind])}", f"{kind}|start={not line[:a].strip()}", f"{kind}|end={not line[b:].strip()}"]
+            f += [f"{kind}|talk={talk}|{detail}", f"{kind}|code={code}", f"{kind}|formula={formula}|math={math_open}", f"{kind}|pre={pre}", f"{kind}|many={min(3, counts[kind])}", f"{kind}|start={a <= first}", f"{kind}|end={b >= last}"]
             f += [f"{kind}|size={min(4, len(s))}|{_side(left)}|{_side(right)}|partner={partner}"]
             if n:
                 f.append(f"{kind}|after={pieces[n - 1].lastgroup}")
@@ -209,57 +207,112 @@ def blocks(text: str, page: str | None = None) -> list[tuple[int, int, str, list
     return out
 
 
-def _detail(kind: str, s: str, line: str, a: int, b: int, pieces: list, n: int, shift: int = 0) -> tuple[bool, str]:
-    """(whether the piece has a counterpart in its line, a word on what it looks like)."""
-    if kind == "tag":
-        name = re.match(r"</?([a-zA-Z0-9]+)", s).group(1).lower()
-        close = s.startswith("</")
-        other = f"<{name}" if close else f"</{name}"
-        there = other in (line[:a] if close else line[b:]).lower()
-        form = "close" if close else "attr" if "=" in s else "void" if name in ("br", "hr", "img", "wbr", "input") or s.endswith("/>") else "open"
-        return there, f"{'known' if name in TAGS else 'odd'}|{form}"
-    if kind == "entity":
-        return False, "known" if html.unescape(s) != s else "odd"
-    if kind == "command":
-        name = re.match(r"\\([a-zA-Z]+)", s).group(1)
-        math_ = "math" if name in MATH else "text"
-        inside = line.count("$", 0, a) % 2 == 1 or line.rfind("\\[", 0, a) > line.rfind("\\]", 0, a) or line.rfind("\\(", 0, a) > line.rfind("\\)", 0, a)
-        path = bool(re.search(r"[A-Za-z]:$|\\\w+$|[\w.]$", line[:a])) and not s.endswith("{")
-        return "}" in line[b:] if s.endswith("{") else False, f"{math_}|{'arg' if s.endswith('{') else 'bare'}|{'inside' if inside else 'out'}|{'path' if path else ''}"
-    if kind == "dollar":
-        count = sum(p.lastgroup == "dollar" for p in pieces)
-        before = sum(p.lastgroup == "dollar" for p in pieces[:n])
-        own = [p for p in pieces if p.lastgroup == "dollar"]
-        k = own.index(pieces[n])
-        span = ""
-        if k % 2 == 0 and k + 1 < len(own):
-            span = line[b : own[k + 1].start() - shift]
-        elif k % 2 == 1:
-            span = line[own[k - 1].end() - shift : a]
-        neat = bool(span) and not span[0].isspace() and not span[-1].isspace()
-        mathy = bool(re.search(r"[\\^_=]|^[a-zA-Z]$", span))
-        after = line[own[k + 1].end() - shift : own[k + 1].end() - shift + 1] if k % 2 == 0 and k + 1 < len(own) else line[b : b + 1] if k % 2 else ""
-        return count % 2 == 0 and neat, f"{'math' if mathy else 'other'}|{'tight' if after.isalnum() else 'free'}|{'digit' if line[b : b + 1].isdigit() and before % 2 == 0 else ''}"
-    if kind in ("stars", "unders", "tildes", "quotes", "equals"):
-        same = [p for p in pieces if p.lastgroup == kind and p.group() == s and p.start() - shift != a]
-        opens = line[b : b + 1].strip() != "" and not line[a - 1 : a].isalnum()
-        closes = line[a - 1 : a].strip() != "" and not line[b : b + 1].isalnum()
-        ahead = any(p.start() - shift > a and line[p.start() - shift - 1 : p.start() - shift].strip() and not line[p.end() - shift : p.end() - shift + 1].isalnum() for p in same)
-        behind = any(p.start() - shift < a and line[p.end() - shift : p.end() - shift + 1].strip() and not line[max(0, p.start() - shift - 1) : p.start() - shift].isalnum() for p in same)
-        loose = kind == "equals" and bool(same)
-        return (opens and ahead) or (closes and behind) or loose, f"n{min(6, len(s))}|{'opens' if opens else ''}{'closes' if closes else ''}"
-    if kind == "brace":
-        opener = [p for p in pieces[:n] if p.lastgroup == "command" and p.group().endswith("{")]
-        depth = line[:a].count("{") - line[:a].count("}")
-        return bool(opener) and depth > 0, "math" if opener and re.match(r"\\(\w+)", opener[-1].group()).group(1) in MATH else "text"
-    if kind in ("wiki_open", "wiki_close", "template", "bracket", "url_end", "wiki_url"):
-        pair = {"wiki_open": "]]", "wiki_close": "[[", "bracket": "](", "url_end": "[", "wiki_url": "]"}.get(kind) or ("}}" if s.startswith("{{") else "{{")
-        return pair in line, f"{len(s) > 2}"
-    if kind == "fence":
-        return sum(p.lastgroup == "fence" for p in pieces) > 1, f"lang={len(s) > 3}|{s[:1]}"
-    if kind == "tick":
-        return True, "code"
-    return False, ""
+def _tag_name(s: str) -> str:
+    return re.match(r"</?([a-zA-Z0-9]+)", s).group(1).lower()
+
+
+def _tag_places(line: str, pieces: list) -> tuple[dict[str, int], dict[str, int]]:
+    """Where each name of a tag among ``pieces`` first opens in the line, and where it last closes (as the start of a name, too)."""
+    names = {_tag_name(m.group()) for m in pieces if m.lastgroup == "tag"}
+    first, last = {}, {}
+    if not names:
+        return first, last
+    sizes = sorted({len(x) for x in names})
+    for m in re.finditer(r"<(/?)([a-zA-Z0-9]+)", line):
+        for size in sizes:
+            if size > len(m.group(2)):
+                break
+            name = m.group(2)[:size].lower()
+            if name in names:
+                if m.group(1):
+                    last[name] = m.start()
+                else:
+                    first.setdefault(name, m.start())
+    return first, last
+
+
+def _details(line: str, pieces: list) -> list[tuple[bool, str]]:
+    """For each piece of a line: whether it has a counterpart in the line, and a word on what it looks like.
+
+    Counts, depth and counterparts are taken once over the whole line, so that a line of any length costs in proportion.
+    """
+    if not pieces:
+        return []
+    opened, closed = _tag_places(line, pieces)
+    dollars = [p for p in pieces if p.lastgroup == "dollar"]
+    fences = sum(p.lastgroup == "fence" for p in pieces)
+    last_brace = line.rfind("}")
+    there = {x: x in line for x in ("]]", "[[", "](", "[", "]", "{{", "}}")}
+    marks = {x: [m.start() for m in re.finditer(re.escape(x), line)] for x in ("\\[", "\\]", "\\(", "\\)")}
+
+    def before(x: str, a: int) -> int:
+        k = bisect_right(marks[x], a - len(x))
+        return marks[x][k - 1] if k else -1
+
+    def opens(a: int, b: int) -> bool:
+        return line[b : b + 1].strip() != "" and not line[max(0, a - 1) : a].isalnum()
+
+    def closes(a: int, b: int) -> bool:
+        return line[max(0, a - 1) : a].strip() != "" and not line[b : b + 1].isalnum()
+
+    same: dict[tuple[str, str], list[int]] = {}  # of pieces of one form: how many, the first that opens, the last that closes
+    for p in pieces:
+        if p.lastgroup in ("stars", "unders", "tildes", "quotes", "equals"):
+            one = same.setdefault((p.lastgroup, p.group()), [0, len(line), -1])
+            one[0] += 1
+            if opens(*p.span()):
+                one[1] = min(one[1], p.start())
+            if closes(*p.span()):
+                one[2] = p.start()
+    out = []
+    at = signs = depth = seen = 0  # up to ``at``: dollar signs and braces of the text; dollars among the pieces
+    opener = None
+    for p in pieces:
+        kind, s = p.lastgroup, p.group()
+        a, b = p.span()
+        signs += line.count("$", at, a)
+        depth += line.count("{", at, a) - line.count("}", at, a)
+        at = a
+        got = (False, "")
+        if kind == "tag":
+            name = _tag_name(s)
+            close = s.startswith("</")
+            partner = opened.get(name, a) < a if close else closed.get(name, -1) >= b
+            form = "close" if close else "attr" if "=" in s else "void" if name in ("br", "hr", "img", "wbr", "input") or s.endswith("/>") else "open"
+            got = partner, f"{'known' if name in TAGS else 'odd'}|{form}"
+        elif kind == "entity":
+            got = False, "known" if html.unescape(s) != s else "odd"
+        elif kind == "command":
+            math_ = "math" if re.match(r"\\([a-zA-Z]+)", s).group(1) in MATH else "text"
+            inside = signs % 2 == 1 or before("\\[", a) > before("\\]", a) or before("\\(", a) > before("\\)", a)
+            path = bool(re.search(r"[A-Za-z]:$|[\w.]$", line[max(0, a - 2) : a])) and not s.endswith("{")
+            got = s.endswith("{") and last_brace >= b, f"{math_}|{'arg' if s.endswith('{') else 'bare'}|{'inside' if inside else 'out'}|{'path' if path else ''}"
+            if s.endswith("{"):
+                opener = re.match(r"\\(\w+)", s).group(1)
+        elif kind == "dollar":
+            k, seen = seen, seen + 1
+            after_next = dollars[k + 1] if k % 2 == 0 and k + 1 < len(dollars) else None
+            span = line[b : after_next.start()] if after_next else line[dollars[k - 1].end() : a] if k % 2 else ""
+            neat = bool(span) and not span[0].isspace() and not span[-1].isspace()
+            mathy = bool(re.search(r"[\\^_=]|^[a-zA-Z]$", span))
+            after = line[after_next.end() : after_next.end() + 1] if after_next else line[b : b + 1] if k % 2 else ""
+            got = len(dollars) % 2 == 0 and neat, f"{'math' if mathy else 'other'}|{'tight' if after.isalnum() else 'free'}|{'digit' if line[b : b + 1].isdigit() and k % 2 == 0 else ''}"
+        elif kind in ("stars", "unders", "tildes", "quotes", "equals"):
+            count, first, last = same[kind, s]
+            o, c = opens(a, b), closes(a, b)
+            loose = kind == "equals" and count > 1
+            got = (o and last > a) or (c and first < a) or loose, f"n{min(6, len(s))}|{'opens' if o else ''}{'closes' if c else ''}"
+        elif kind == "brace":
+            got = opener is not None and depth > 0, "math" if opener in MATH else "text"
+        elif kind in ("wiki_open", "wiki_close", "template", "bracket", "url_end", "wiki_url"):
+            pair = {"wiki_open": "]]", "wiki_close": "[[", "bracket": "](", "url_end": "[", "wiki_url": "]"}.get(kind) or ("}}" if s.startswith("{{") else "{{")
+            got = there[pair], f"{len(s) > 2}"
+        elif kind == "fence":
+            got = fences > 1, f"lang={len(s) > 3}|{s[:1]}"
+        elif kind == "tick":
+            got = True, "code"
+        out.append(got)
+    return out
 
 
 # ---------------------------------------------------------------- labelled pages

@@ -556,6 +556,16 @@ def test_long_and_odd_pages_take_no_long(field):
         assert time.time() - began < 20, t[:10]
 
 
+@pytest.mark.parametrize("piece", ["It was $8 here. ", "a_b and *one* word. "])
+def test_long_lines_have_the_features_of_short_ones(piece):
+    # one dollar more at the start makes the others change sides; the counterpart of a tag or template stands far away
+    head, tail = "Pay $ now. <b>bold {{note|so \\textbf{x ", "$x = y$ then \\alpha done</b> }} and } end $"
+    pieces = lambda n: [f for _, _, k, f in markup.blocks(head + piece * n + tail) if k != "line"]
+    short, long = pieces(10), pieces(1000)
+    whole = lambda fs: [[x for x in f if "many=" not in x] for f in fs]
+    assert whole(long)[:4] == whole(short)[:4] and whole(long)[-7:] == whole(short)[-7:]
+
+
 def test_markup_tables(spark):
     df = spark.createDataFrame([(1, "A <b>x</b> y", None), (2, None, None), (3, "", "<p></p>"), (3, "", "<p></p>"), (None, "plain words", "<p>plain words</p>")], "id long, clean string, raw string").withColumn("kinds", F.lit(1)).withColumn("text", F.lit(1))
     got = {r.id: [k.kind for k in r.kinds] for r in markup.find_residue(df, "id", "clean", "raw").collect()}
