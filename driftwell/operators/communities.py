@@ -15,6 +15,8 @@ from driftwell.functions import vectors as V
 CANDIDATES = (30, 50, 100, 150, 200)
 SILHOUETTE_SAMPLE = 5000
 DENSITY_POINTS = 20_000
+#: Rows of a block whose distances to another block's are taken at once.
+SILHOUETTE_BLOCK = 2000
 
 
 def kmeans(rows: DataFrame, key: str, vector: str, k: int, seeds: int = 10, seed: int = 42) -> DataFrame:
@@ -33,52 +35,60 @@ def kmeans(rows: DataFrame, key: str, vector: str, k: int, seeds: int = 10, seed
     return out
 
 
-def silhouette(rows: DataFrame, key: str, vector: str, label: str, most: int = SILHOUETTE_SAMPLE) -> DataFrame:
-    """(key, silhouette) in Euclidean distance of at most ``most`` points, the ones of smallest hash.
+def silhouette(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """(key, silhouette) in Euclidean distance of every point; a point alone in its cluster has 0, as have points of one cluster only.
 
-    The sample goes to every task as one matrix (``most`` rows bound its size); each point is compared with it in numpy.
-    A point alone in its cluster has 0.
+    Every point meets every other, block by block: a task holds its own blocks' sums of distances for each cluster and adds
+    those to one block after another.
     """
-    own = rows.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(key), F.col(vector).alias("_v"), F.col(label).cast("long").alias("_l"))
-    sample = own.orderBy(F.xxhash64(key), key).limit(most)
-    held = sample.toPandas().sort_values(key)
+    own = rows.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("_k"), F.col(label).cast("long").alias("_l"), F.col(vector).alias("_v"))
     kind = rows.schema[key].dataType.simpleString()
-    spark = rows.sparkSession
-    if not len(held):
-        return spark.createDataFrame([], f"`{key}` {kind}, silhouette double")
-    m = np.stack(held["_v"].to_numpy()).astype(np.float64)
-    labels, code = np.unique(held["_l"].to_numpy(), return_inverse=True)
-    sent = spark.sparkContext.broadcast((m, code, len(labels)))  # SILHOUETTE_SAMPLE rows at most
-    at = spark.createDataFrame(pd.DataFrame({key: held[key].to_numpy(), "_i": np.arange(len(held))}), f"`{key}` {kind}, _i long")
+    sizes = {r["_l"]: r["n"] for r in own.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each cluster
+    names = np.asarray(sorted(sizes), np.int64)
+    size = np.asarray([sizes[x] for x in names.tolist()], np.int64)
+    blocks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-int(size.sum()) // SILHOUETTE_BLOCK))
+    # sorted, so that a block's points stand in one order on both sides
+    block = own.groupBy(F.pmod(F.xxhash64("_k", "_l", "_v"), F.lit(blocks)).cast("int").alias("_b")).agg(F.sort_array(F.collect_list(F.struct("_k", "_l", "_v"))).alias("_p"))
+    block = block.select("_b", F.col("_p._k").alias("_k"), F.col("_p._l").alias("_l"), F.flatten("_p._v").alias("_v"))
+    pairs = block.crossJoin(block.select(F.col("_b").alias("_o"), F.col("_l").alias("_ol"), F.col("_v").alias("_ov"))).repartition(blocks, "_b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, code, k = sent.value
-        size = np.bincount(code, minlength=k)
-        square = (m**2).sum(axis=1)
+        held: dict[int, list] = {}  # block: keys, places of the labels, sums of distances
         for pdf in batches:
-            i = pdf["_i"].to_numpy()
-            d = np.sqrt(np.maximum(square[i][:, None] + square[None] - 2 * m[i] @ m.T, 0))
-            d[np.arange(len(i)), i] = 0
-            sums = np.stack([np.bincount(code, x, k) for x in d]) if len(i) else np.zeros((0, k))
-            own = code[i]
-            a = sums[np.arange(len(i)), own] / np.maximum(size[own] - 1, 1)
+            for b, k, l, v, o, ol, ov in pdf.itertuples(index=False):
+                if b not in held:
+                    held[b] = [list(k), np.searchsorted(names, l), np.zeros((len(k), len(names)))]
+                sums = held[b][2]
+                x, y = (np.asarray(z, np.float64).reshape(n, -1) for z, n in ((v, len(k)), (ov, len(ol))))
+                d = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * x @ y.T, 0))
+                if b == o:
+                    np.fill_diagonal(d, 0)
+                for c, at in enumerate(np.searchsorted(names, ol)):
+                    sums[:, at] += d[:, c]
+        for k, code, sums in held.values():
+            i, n = np.arange(len(k)), size[code]
+            a = sums[i, code] / np.maximum(n - 1, 1)
             mean = sums / size[None]
-            mean[np.arange(len(i)), own] = np.inf
+            mean[i, code] = np.inf
             b = mean.min(axis=1)
-            s = np.where((size[own] > 1) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-            yield pd.DataFrame({key: pdf[key], "silhouette": s})
+            with np.errstate(invalid="ignore"):
+                s = np.where((n > 1) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+            yield pd.DataFrame({key: k, "silhouette": s})
 
-    return at.repartition(8).mapInPandas(run, f"`{key}` {kind}, silhouette double")
+    return pairs.select("_b", "_k", "_l", "_v", "_o", "_ol", "_ov").mapInPandas(run, f"`{key}` {kind}, silhouette double")
 
 
 def choose_k(rows: DataFrame, key: str, vector: str, candidates: tuple[int, ...] = CANDIDATES, seeds: int = 3) -> tuple[int, float, DataFrame]:
-    """(k, mean silhouette, labelled rows) of the first best candidate below the number of points."""
+    """(k, mean silhouette, labelled rows) of the first best candidate below the number of points.
+
+    The mean is taken on SILHOUETTE_SAMPLE points, the ones of smallest hash.
+    """
     n = rows.where(F.col(vector).isNotNull()).count()
     own = [k for k in candidates if k < n] or [max(2, n // 2)]
     best = None
     for k in own:
         got = kmeans(rows, key, vector, k, seeds)
-        score = silhouette(got, key, vector, "label").agg(F.avg("silhouette")).first()[0] if n > k else -1.0
+        score = silhouette(got.orderBy(F.xxhash64(key), key).limit(SILHOUETTE_SAMPLE), key, vector, "label").agg(F.avg("silhouette")).first()[0] if n > k else -1.0
         if best is None or score > best[1]:
             best = (k, score, got)
     return best

@@ -376,6 +376,19 @@ def test_tight_clusters_are_found(spark):
         cm.density_clusters(df, "id", "v", 5, most=10)
 
 
+def test_silhouette_covers_all_points(spark):
+    rng = np.random.default_rng(5)
+    x, label = rng.normal(size=(5200, 4)), rng.integers(0, 3, 5200)
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label, strict=True))], "id long, v array<double>, label long")
+    got = {r.id: r.silhouette for r in cm.silhouette(df, "id", "v", "label").collect()}
+    assert len(got) == 5200
+    for i in range(0, 5200, 400):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        a = d[label == label[i]].sum() / ((label == label[i]).sum() - 1)
+        b = min(d[label == c].mean() for c in range(3) if c != label[i])
+        assert got[i] == pytest.approx((b - a) / max(a, b))
+
+
 def test_silhouette_of_lone_points_is_zero(spark):
     df = spark.createDataFrame([(1, [0.0], 0), (2, [0.1], 0), (3, [5.0], 1)], "id long, v array<double>, label long")
     got = {r.id: r.silhouette for r in cm.silhouette(df, "id", "v", "label").collect()}
