@@ -78,7 +78,7 @@ def silhouette(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     return pairs.select("_b", "_k", "_l", "_v", "_o", "_ol", "_ov").mapInPandas(run, f"`{key}` {kind}, silhouette double")
 
 
-def choose_k(rows: DataFrame, key: str, vector: str, candidates: tuple[int, ...] = CANDIDATES, seeds: int = 3) -> tuple[int, float, DataFrame]:
+def choose_k(rows: DataFrame, key: str, vector: str, candidates: tuple[int, ...] = CANDIDATES, seeds: int = 10) -> tuple[int, float, DataFrame]:
     """(k, mean silhouette, labelled rows) of the first best candidate below the number of points.
 
     The mean is taken on SILHOUETTE_SAMPLE points, the ones of smallest hash.

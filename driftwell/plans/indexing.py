@@ -66,7 +66,7 @@ def image_status(posts: DataFrame, asked: DataFrame, images: DataFrame) -> DataF
     return own.select("id", status.alias("status"), F.coalesce("n", F.lit(0)).alias("n_images"))
 
 
-def rebuild_communities(tags: DataFrame, accounts: DataFrame, posts: DataFrame, post_tags: DataFrame, folder: str, version: str, candidates: tuple[int, ...] = cm.CANDIDATES, seeds: int = 3) -> DataFrame:
+def rebuild_communities(tags: DataFrame, accounts: DataFrame, posts: DataFrame, post_tags: DataFrame, folder: str, version: str, candidates: tuple[int, ...] = cm.CANDIDATES, seeds: int = 10) -> DataFrame:
     """Builds tag clusters and account clusters and swaps them in as a new version; returns (id, name, type, member_ids, centroid).
 
     The old version stays readable until the new one is whole.

@@ -182,13 +182,14 @@ SELECT vec_id, round(CASE WHEN own > 1 THEN (b - a) / greatest(a, b) ELSE 0 END,
 
 
 def kmeans_communities(spark, d):
-    got = cm.kmeans(read(spark, d, "embeddings"), "vec_id", "embedding", 10, seeds=2)
+    """Members of each cluster, with the number of clusters of best silhouette."""
+    _, _, got = cm.choose_k(read(spark, d, "embeddings"), "vec_id", "embedding")
     return got.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
 
 
 def choose_clusters(spark, d):
     """The number of clusters of best silhouette."""
-    k, score, _ = cm.choose_k(read(spark, d, "embeddings"), "vec_id", "embedding", (5, 10, 20), seeds=1)
+    k, score, _ = cm.choose_k(read(spark, d, "embeddings"), "vec_id", "embedding")
     return spark.createDataFrame([(k, float(score))], "k long, silhouette double")
 
 

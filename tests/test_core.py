@@ -376,6 +376,23 @@ def test_tight_clusters_are_found(spark):
         cm.density_clusters(df, "id", "v", 5, most=10)
 
 
+def test_cluster_queries_try_all_candidates_and_seeds(spark, monkeypatch):
+    from driftwell.plans import queries_content as qc
+
+    df = spark.createDataFrame(clusters(3, 70), "vec_id long, embedding array<double>, label long")
+    tried = []
+
+    def one(rows, key, vector, k, seeds=10, seed=42):
+        tried.append((k, seeds))
+        return rows.select(key, vector, (F.col(key) % k).alias("label"))
+
+    monkeypatch.setattr(cm, "kmeans", one)
+    monkeypatch.setattr(qc, "read", lambda *_: df)
+    for q in (qc.choose_clusters, qc.kmeans_communities):
+        tried.clear()
+        assert q(spark, "").count() >= 1 and tried == [(k, 10) for k in (30, 50, 100, 150, 200)]
+
+
 def test_silhouette_covers_all_points(spark):
     rng = np.random.default_rng(5)
     x, label = rng.normal(size=(5200, 4)), rng.integers(0, 3, 5200)
