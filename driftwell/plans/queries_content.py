@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from driftwell.functions import scoring
 from driftwell.functions import text as tx
 from driftwell.operators import communities as cm
-from driftwell.operators import evaluate, fulltext, projection, safety
+from driftwell.operators import evaluate, projection, safety
 from driftwell.plans import search
 from driftwell.plans.queries_search import CUR, QV, WORDS, current_posts, query_vector
 from driftwell.schema import read
@@ -270,10 +270,11 @@ def projection_layers(spark, d):
 
 
 def query_lexemes(spark, d):
-    """How many posts hold each lexeme of the evaluation texts' first words."""
-    words = sorted({x for r in read(spark, d, "eval_items").where("item_id <= 5").collect() for x in fulltext.lexemes(fulltext.parse(" ".join(r.text.split()[:6])))})
+    """How many posts hold each lexeme of the evaluation texts."""
+    words = read(spark, d, "eval_items").select(F.explode(tx.simple_terms(F.col("text"))).alias("term")).distinct()
     own = current_posts(spark, d).select("id", F.explode(F.array_distinct(tx.simple_terms(F.col("body_clean")))).alias("term"))
-    return own.where(F.col("term").isin(words)).groupBy("term").agg(F.count(F.lit(1)).alias("posts"))
+    # counted before the join, so that a frequent word is one row of it
+    return own.groupBy("term").agg(F.count(F.lit(1)).alias("posts")).join(words, "term").select("term", "posts")
 
 
 QUERIES = {

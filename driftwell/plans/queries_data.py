@@ -218,7 +218,7 @@ def table_counts(spark, d):
 
 
 def latency_stats(spark, d):
-    """Mean, median and 95th percentile of each event type's values."""
+    """Mean, median and 95th percentile of the values of click events."""
     e = read(spark, d, "events")
     return stats.latencies(e.where("event_type = 'click'"), "value")
 

@@ -458,6 +458,16 @@ def test_browsing_and_sql(spark):
     assert stats.missing_tables(["tags"]) == sorted(set(stats.BROWSABLE) - {"tags"})
 
 
+def test_query_lexemes_cover_all_texts(spark, monkeypatch):
+    from driftwell.plans import queries_content as qc
+
+    items = spark.createDataFrame([(1, "one two three four five six Seven"), (6, "eight-nine -ten OR"), (7, None)], "item_id long, text string")
+    posts = spark.createDataFrame([(1, "seven seven eight"), (2, "Nine or ten, seven"), (3, "eleven"), (4, None)], "id long, body_clean string")
+    monkeypatch.setattr(qc, "read", lambda *_: items)
+    monkeypatch.setattr(qc, "current_posts", lambda *_: posts)
+    assert {r.term: r.posts for r in qc.query_lexemes(spark, "").collect()} == {"seven": 2, "eight": 1, "nine": 1, "or": 1, "ten": 1}
+
+
 def test_latencies(spark):
     r = stats.latencies(spark.createDataFrame([(float(i),) for i in range(1, 101)], "ms double"), "ms").first()
     assert (r.mean, r.p50, r.p95) == (50.5, 50.5, 96.0)
