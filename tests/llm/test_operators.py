@@ -300,11 +300,30 @@ def test_leaks_over_tables(spark):
     assert leaks.leaks(docs.limit(0), items, "doc_id", "text", "item_id", "text").count() == 0
 
 
-def test_many_items_make_several_automata(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "AUTOMATON", 250)
-    docs = spark.createDataFrame([(1, ITEM + " " + OTHER)], "doc_id long, text string")
+def test_a_repeated_phrase_hides_no_passage():
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    for _ in range(30):
+        phrase, piece = rng.choices(words, k=4), rng.choices(words, k=26)
+        changed = [w if k % 9 else rng.choice(words) for k, w in enumerate(piece)]
+        doc = phrase * 3 + rng.choices(words, k=9) + changed + rng.choices(words, k=9) + phrase * 2
+        assert leaks.Scanner([(1, " ".join(phrase * 100 + piece + phrase * 100))]).scan(" ".join(doc), 20)
+
+
+def test_the_dense_part_of_a_thin_chain_counts():
+    w = [f"{a}{b}" for a in ("lamp", "door", "hill", "mill", "barn", "pond") for b in ("ago", "ish", "ert", "oun", "ula", "eck", "ink", "oft")]
+    doc = w[:20] + ["q1x"] * 6 + w[26:29] + ["q2x"] * 6 + w[35:38] + ["q3x"] * 6 + w[44:47]
+    [(_, n, a, _)] = leaks.Scanner([(1, " ".join(w))]).scan(" ".join(doc), 20)
+    assert 20 <= n <= 29 and a == 0
+
+
+@pytest.mark.parametrize(("automaton", "whole"), [(250, 64_000_000), (250, 300)])
+def test_many_items_make_several_automata(spark, monkeypatch, automaton, whole):
+    monkeypatch.setattr(leaks, "AUTOMATON", automaton)
+    monkeypatch.setattr(leaks, "PASS", whole)
+    docs = spark.createDataFrame([(1, ITEM + " " + OTHER), (2, OTHER)], "doc_id long, text string")
     items = spark.createDataFrame([(1, ITEM), (2, OTHER)], "item_id long, text string")
-    assert rows(leaks.leaks(docs, items, "doc_id", "text", "item_id", "text").select("doc_id", "item_id")) == [(1, 1), (1, 2)]
+    assert rows(leaks.leaks(docs, items, "doc_id", "text", "item_id", "text").select("doc_id", "item_id")) == [(1, 1), (1, 2), (2, 2)]
 
 
 # ------------------------------------------------------------------ 10 quality
