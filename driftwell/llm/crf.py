@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 
 import numpy as np
@@ -18,65 +19,72 @@ class LinearChainCRF:
 
     def fit(self, pages: list[tuple[list[list[str]], list[str]]], rounds: int = 60, rate: float = 0.25, decay: float = 2e-4, least: int = 2) -> None:
         """Maximises the regularised conditional likelihood of the pages' labels by AdaGrad over all pages at once."""
+        pages = [p for p in pages if p[0]]
+        if not pages:
+            return
         seen = Counter(f for blocks, _ in pages for b in blocks for f in b)
         self.index = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= least))}
         own = {x: i for i, x in enumerate(self.labels)}
-        k, n, t = len(self.labels), len(pages), max(len(b) for b, _ in pages)
-        self.emit = np.zeros((len(self.index), k))
+        k, n = len(self.labels), len(pages)
         length = np.asarray([len(b) for b, _ in pages])
-        mask = np.arange(t)[None, :] < length[:, None]
-        gold = np.zeros((n, t), np.int64)
-        place, feature = [], []
-        for i, (blocks, ys) in enumerate(pages):
-            for j, (b, y) in enumerate(zip(blocks, ys, strict=True)):
-                gold[i, j] = own[y]
-                for f in b:
-                    if (x := self.index.get(f)) is not None:
-                        place.append(i * t + j)
-                        feature.append(x)
-        place, feature = np.asarray(place), np.asarray(feature)
+        first = np.cumsum(length) - length
+        gold = np.asarray([own[y] for _, ys in pages for y in ys])
+        flat = [[x for f in b if (x := self.index.get(f)) is not None] for blocks, _ in pages for b in blocks]
+        size = np.asarray([len(x) for x in flat])
+        feature = np.asarray([x for b in flat for x in b], np.int64)
+        place = np.repeat(np.arange(len(flat)), size)
+        filled = np.nonzero(size)[0]
+        starts = (np.cumsum(size) - size)[filled]
+        by_feature = np.argsort(feature, kind="stable")
+        heads = np.r_[0, np.nonzero(np.diff(feature[by_feature]))[0] + 1] if len(feature) else np.zeros(0, np.int64)
+        used = feature[by_feature][heads]
+        self.emit = np.zeros((len(self.index), k))
         true_emit = np.zeros_like(self.emit)
-        np.add.at(true_emit, (feature, gold.ravel()[place]), 1)
+        np.add.at(true_emit, (feature, gold[place]), 1)
         true_move = np.zeros((k, k))
-        both = mask[:, 1:] & mask[:, :-1]
-        np.add.at(true_move, (gold[:, :-1][both], gold[:, 1:][both]), 1)
+        inner = np.ones(len(gold), bool)
+        inner[first] = False
+        np.add.at(true_move, (gold[np.nonzero(inner)[0] - 1], gold[inner]), 1)
         g1, g2 = np.full_like(self.emit, 1e-3), np.full_like(self.move, 1e-3)
         for _ in range(rounds):
-            score = np.stack([np.bincount(place, self.emit[feature, y], n * t) for y in range(k)], axis=1).reshape(n, t, k)
-            one, two = self._marginals(score, mask)
-            flat = one.reshape(n * t, k)
-            d1 = np.stack([np.bincount(feature, flat[place, y], len(self.index)) for y in range(k)], axis=1) - true_emit + decay * n * self.emit
+            score = np.zeros((len(gold), k))
+            if len(feature):
+                score[filled] = np.add.reduceat(self.emit[feature], starts, axis=0)
+            one, two = self._marginals(score, first, length)
+            d1 = decay * n * self.emit - true_emit
+            if len(feature):
+                d1[used] += np.add.reduceat(one[place[by_feature]], heads, axis=0)
             d2 = two - true_move + decay * n * self.move
             g1 += d1**2
             g2 += d2**2
             self.emit -= rate * d1 / np.sqrt(g1)
             self.move -= rate * d2 / np.sqrt(g2)
 
-    def _marginals(self, score: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(block marginals, expected moves) by forward-backward over a padded batch."""
-        n, t, k = score.shape
-        fore, back = np.zeros((n, t, k)), np.zeros((n, t, k))
-        fore[:, 0] = score[:, 0]
-        for j in range(1, t):
-            x = fore[:, j - 1, :, None] + self.move[None]
-            top = x.max(axis=1)
-            new = top + np.log(np.exp(x - top[:, None]).sum(axis=1)) + score[:, j]
-            fore[:, j] = np.where(mask[:, j, None], new, fore[:, j - 1])
-        for j in range(t - 2, -1, -1):
-            x = self.move[None] + (score[:, j + 1] + back[:, j + 1])[:, None, :]
-            top = x.max(axis=2)
-            new = top + np.log(np.exp(x - top[:, :, None]).sum(axis=2))
-            back[:, j] = np.where(mask[:, j + 1, None], new, 0)
-        top = fore[:, -1].max(axis=1)
-        total = top + np.log(np.exp(fore[:, -1] - top[:, None]).sum(axis=1))
-        one = np.where(mask[:, :, None], np.exp(fore + back - total[:, None, None]), 0)
-        two = np.zeros((k, k))
-        for j in range(t - 1):
-            live = mask[:, j + 1]
-            if live.any():
-                x = fore[live, j, :, None] + self.move[None] + (score[live, j + 1] + back[live, j + 1])[:, None, :] - total[live, None, None]
-                two += np.exp(x).sum(axis=0)
-        return one, two
+    def _marginals(self, score: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(block marginals, expected moves) by a scaled forward-backward pass over all pages that are as long as the step.
+
+        ``score`` has a row for each block; a page's blocks stand together from ``first`` on.
+        """
+        order = np.argsort(-length, kind="stable")
+        first, length = first[order], length[order]
+        alive = [int(np.searchsorted(-length, -j)) for j in range(int(length[0]) + 1)]  # pages longer than j
+        e = np.exp(score - score.max(axis=1, keepdims=True))
+        m = np.exp(self.move - self.move.max())
+        fore, back, sums = np.zeros_like(e), np.zeros_like(e), np.ones(len(e))
+        for j in range(int(length[0])):
+            at = first[: alive[j]] + j
+            x = e[at] if j == 0 else (fore[at - 1] @ m) * e[at]
+            sums[at] = x.sum(axis=1)
+            fore[at] = x / sums[at, None]
+        back[first + length - 1] = 1
+        two = np.zeros_like(m)
+        for j in range(int(length[0]) - 1, 0, -1):
+            at = first[: alive[j]] + j
+            x = e[at] * back[at] / sums[at, None]
+            back[at - 1] = x @ m.T
+            two += m * (fore[at - 1].T @ x)
+        one = fore * back
+        return one / one.sum(axis=1, keepdims=True), two
 
     def decode(self, blocks: list[list[str]]) -> list[str]:
         """The most likely labels of a sequence (Viterbi)."""
@@ -97,3 +105,15 @@ class LinearChainCRF:
         for step in reversed(trail):
             path.append(int(step[path[-1]]))
         return [self.labels[y] for y in reversed(path)]
+
+    def dump(self) -> bytes:
+        """The weights as JSON."""
+        return json.dumps({"labels": self.labels, "features": sorted(self.index, key=self.index.get), "emit": self.emit.tolist(), "move": self.move.tolist()}).encode()
+
+    @classmethod
+    def load(cls, data: bytes) -> LinearChainCRF:
+        held = json.loads(data)
+        own = cls(tuple(held["labels"]))
+        own.index = {f: i for i, f in enumerate(held["features"])}
+        own.emit, own.move = np.asarray(held["emit"]).reshape(len(own.index), -1), np.asarray(held["move"])
+        return own

@@ -8,15 +8,17 @@ pages (``labelled_pages``) and decoded by Viterbi, labels every line (paragraph,
 
 from __future__ import annotations
 
+import hashlib
 import html
 import random
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.llm.common import spread
@@ -39,17 +41,17 @@ TAGS = frozenset(
 MATH = frozenset("frac sqrt sum int prod lim leq geq neq pi alpha beta gamma delta Delta epsilon theta lambda mu sigma omega infty cdot times pm approx partial nabla in to log sin cos exp left right".split())
 
 _PIECES = {
-    "comment": r"<!--.*?-->|<!--(?:\[if[^\]\n]*\]>?)?|-->|<!\[endif\]-->|<!\[CDATA\[|<!DOCTYPE[^>\n]*>|<\?xml[^>\n]*>",
-    "tag": r"</?[a-zA-Z][a-zA-Z0-9]{0,15}(?:\s[^<>\n]{0,600})?/?>",
-    "broken": r"<[a-zA-Z]{1,12}\s{1,4}[a-zA-Z-]{1,30}\s{0,4}=\s{0,4}[\"']?[^<>\n\"']{0,600}(?:[\"']\s*[a-zA-Z-]+=[\"']?)?",
+    "comment": r"<!--(?:[^<-]|-(?!->)|<(?!!--))*+-->|<!--(?:\[if[^\]\n]*\]>?)?|-->|<!\[endif\]-->|<!\[CDATA\[|<!DOCTYPE[^>\n]*>|<\?xml[^>\n]*>",
+    "tag": r"</?[a-zA-Z][a-zA-Z0-9]{0,15}(?:\s[^<>\n]*+)?/?>",
+    "broken": r"<[a-zA-Z]{1,12}\s{1,4}[a-zA-Z-]{1,30}\s{0,4}=\s{0,4}[\"']?[^<>\n\"']*(?:[\"']\s*[a-zA-Z-]+=[\"']?)?",
     "entity": r"&(?:[a-zA-Z][a-zA-Z0-9]{1,24}|\#\d{1,7}|\#[xX][0-9a-fA-F]{1,6});",
     "fence": r"```[\w+-]*|~~~+",
     "tick": r"(?<!`)`[^`\n]+`(?!`)",
     "url_end": r"\]\([^()\s]*(?:\([^()\s]*\)[^()\s]*)*(?:\s+\"[^\"\n]*\")?\)",
-    "wiki_url": r"\[(?:https?:)?//[^\s\]]+(?=[\s\]])",
+    "wiki_url": r"\[(?:https?:)?//[^\s\[\]]++(?=[\s\]])",
     "wiki_open": r"\[\[(?:[^\[\]|\n]*\|)*",
     "wiki_close": r"\]\]",
-    "bracket": r"!?\[(?=[^\n]{1,400}?\]\()",
+    "bracket": r"!?\[(?=(?:[^\[\]\n]|!?\[[^\[\]\n]*+\](?:\([^()\n]*+\))?)++\]\()",
     "task": r"(?<!\S)[*+-] \[[ xX]\](?=\s|$)",
     "quotes": r"'{2,5}",
     "stars": r"\*{1,3}(?=[^\s*])|(?<=[^\s*])\*{1,3}|\*{4,}|\*",
@@ -57,14 +59,14 @@ _PIECES = {
     "tildes": r"~~",
     "hashes": r"(?:^|(?<=\s))\#{1,6}(?=\s)",
     "gt": r"(?:^|(?<=\s))>+(?=\s)",
-    "table_rule": r"\|?[ ]*:?-{3,}:?[ ]*(?:\|[ ]*:?-{3,}:?[ ]*)+\|?",
+    "table_rule": r"(?<![-:])(?:\|[ ]*+)?:?-{3,}+:?[ ]*+(?:\|[ ]*+:?-{3,}+:?[ ]*+)+\|?",
     "wiki_table": r"\{\|[^\n|]*|\|\}(?!\})|\|-(?=\s|$)|(?<=\s)\|\|(?=\s)",
     "template": r"\{\{[^{}|\n]*\|?|\}\}+",
     "equals": r"(?<![=<>!:+*/-])={2,6}(?!=)",
     "magic": r"__[A-Z]{3,}__",
-    "env": r"\\(?:begin|end)\s*\{[a-zA-Z]+\*?\}(?:\[[^\]\n]*\])?",
-    "cite": r"~?\\(?:cite[a-z]*|ref|eqref|label|footnotemark|includegraphics|usepackage|documentclass|bibliography)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}",
-    "command": r"\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{?",
+    "env": r"\\(?:begin|end)\s*\{[a-zA-Z]+\*?\}(?:\[[^\[\]\n]*+\])?",
+    "cite": r"~?\\(?:cite[a-z]*|ref|eqref|label|footnotemark|includegraphics|usepackage|documentclass|bibliography)\*?(?:\[[^\[\]\n]*+\])?\{[^{}\n]*+\}",
+    "command": r"\\[a-zA-Z]++\*?(?:\[[^\[\]\n]*+\])?\{?",
     "display": r"\\[\[\]()]",
     "dollar": r"\${1,2}",
     "brace": r"\}",
@@ -73,41 +75,76 @@ _PIECE = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PIECES.items()))
 #: Characters without one of which nothing in a line can be a piece.
 _ANY = re.compile(r"[<>&`\[\]*_~#|={}\\$]|''")
 _MARKS = re.compile(r"[\W_]+")
-_CODELIKE = re.compile(r"[;{}]\s*$|^\s*(?:for|if|while|def|class|return|let|var|const|import|select|insert|update|echo|print|function|\#include|public)\b.*[=;(){}:*]|\w\(.*\)\s*[;:{]|=>|==|\+=", re.I)
+_CODELIKE = re.compile(r"[;{}]\s*$|^\s*(?:for|if|while|def|class|return|let|var|const|import|select|insert|update|echo|print|function|\#include|public)\b.*[=;(){}:*]|\w\([^()]*+\)[)\s]*+[;:{]|=>|==|\+=", re.I)
 _FORMULA = re.compile(r"^[\s\w\\{}^_=+\-*/().,<>|]*(?:[=<>]|\\[a-zA-Z]+)[\s\w\\{}^_=+\-*/().,<>|]*$")
 _TALK = re.compile(r"\b(?:tags?|elements?|typed|sign|attribute|markup|syntax|called|balise|etiqueta)\b", re.I)
 
 
+_BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol blockquote pre table tr figure figcaption section article dd dt".split())
+_CODES_IN = frozenset("code kbd samp math".split())
+#: Marks inside a leaf's text: a line end that HTML takes for a blank, and the border of a table cell.
+_SOFT, _CELL = "\x0b", "\x1f"
+#: What a line of a block begins with when the page's line ends mean something there.
+_FORM = re.compile(r"\s*(?:[#>|*+=~-]|```|\d+[.)]\s|\\|\{\||\$\$)")
+_FENCE = re.compile(r"```|~~~|\$\$|\\(?:begin|end)\b")
+#: Scripts written without blanks.
+_WIDE = re.compile(r"[\u3000-\u30ff\u4e00-\u9fff\uff00-\uffef]")
+
+
 class _Leaves(HTMLParser):
-    """The text leaves of a page with their ancestors."""
+    """The text leaves of a page with their ancestors.
+
+    What is kept of an open element is the block it stands in and the distinct names of blocks around it, the nearest last,
+    so that a page with any number of open elements costs no more than in proportion.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[str] = []
-        self.leaves: list[tuple[str, tuple[str, ...]]] = []
+        self.stack: list[tuple[str, tuple[str, ...], int]] = [("", (), 0)]
+        self.open: dict[str, int] = {}
+        self.leaves: list[tuple[str, tuple[str, ...], int]] = []
+        self.blocks = 0
+
+    def _add(self, text: str) -> None:
+        _, up, block = self.stack[-1]
+        self.leaves.append((text, up, block))
 
     def handle_starttag(self, tag, attrs):
         if tag in ("br", "hr", "img", "input", "meta", "link", "wbr", "source"):
-            self.leaves.append(("\n", tuple(self.stack)))
+            self._add("\n" if tag != "wbr" else "")
             return
-        self.stack.append(tag)
+        _, up, block = self.stack[-1]
+        if tag in _BLOCKS or tag in _CODES_IN:
+            up = (*(x for x in up if x != tag), tag)
+        if tag in _BLOCKS:
+            self.blocks += 1
+            block = self.blocks
+        if tag in ("td", "th"):
+            self._add(_CELL)
+        self.stack.append((tag, up, block))
+        self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_endtag(self, tag):
-        if tag in self.stack:
-            while self.stack and self.stack.pop() != tag:
-                pass
-            self.leaves.append(("\n" if tag in _BLOCKS else "", tuple(self.stack)))
+        if self.open.get(tag):
+            while True:
+                name = self.stack.pop()[0]
+                self.open[name] -= 1
+                if name == tag:
+                    break
+            self._add("\n" if tag in _BLOCKS else "")
 
     def handle_data(self, data):
-        if not {"script", "style"} & set(self.stack):
-            self.leaves.append((data, tuple(self.stack)))
-
-
-_BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol blockquote pre table tr figure figcaption section article dd dt".split())
+        if not self.open.get("script") and not self.open.get("style"):
+            _, up, _ = self.stack[-1]
+            self._add(data if not up or "pre" in up else data.replace("\r\n", "\n").replace("\n", _SOFT))
 
 
 def leaves(page: str) -> list[tuple[str, tuple[str, ...]]]:
-    """(text, ancestors) of the lines of an HTML page; broken pages are read as far as they go."""
+    """(text, ancestors) of the lines of an HTML page; broken pages are read as far as they go.
+
+    A line end inside a block (but pre) is a blank, unless the next line begins with a mark of another syntax, as a heading or a
+    list, or stands in a fence; cells of a table row are set apart by bars.
+    """
     own = _Leaves()
     try:
         own.feed(page)
@@ -115,42 +152,79 @@ def leaves(page: str) -> list[tuple[str, tuple[str, ...]]]:
     except (AssertionError, ValueError):
         pass
     out: list[tuple[str, tuple[str, ...]]] = []
-    text, at = "", ()
-    for data, stack in own.leaves:
-        block = tuple(x for x in stack if x in _BLOCKS or x in ("code", "kbd", "samp", "math"))
-        if data == "\n" or block != at:
-            if text.strip():
-                out += [(x, at) for x in text.split("\n") if x.strip()]
-            text, at = "", block
-        if data != "\n":
-            text += data
-    if text.strip():
-        out += [(x, at) for x in text.split("\n") if x.strip()]
+    parts: list[str] = []
+    letters: dict[tuple[str, ...], int] = {}
+
+    def close() -> None:
+        text = "".join(parts)
+        parts.clear()
+        up = max(letters, key=letters.get) if letters else ()
+        letters.clear()
+        for line in text.split("\n"):
+            out.extend((x, up) for x in _joined(line.split(_SOFT)) if x.strip(" |"))
+
+    at = 0
+    for data, up, block in own.leaves:
+        if data == "\n" and parts and block == at:
+            parts.append(data)
+            continue
+        if block != at:
+            close()
+            at = block
+        parts.append(data)
+        n = len(data) - data.count(" ")
+        if n:
+            letters[up] = letters.get(up, 0) + n
+    close()
+    return out
+
+
+def _joined(parts: list[str]) -> list[str]:
+    """The lines of a block's text: a plain line goes on the plain line before it, unless both stand in a fence."""
+    out: list[str] = []
+    fenced = plain = False
+    for x in parts:
+        x = _bars(x)
+        own, turns = bool(_FORM.match(x)), len(_FENCE.findall(x)) % 2 == 1
+        if plain and not own and not turns and x.strip():
+            x = x.strip()
+            out[-1] += x if _WIDE.match(x) and _WIDE.match(out[-1][-1:]) else f" {x}"
+        else:
+            out.append(x)
+        fenced ^= turns
+        plain = bool(x.strip()) and not own and not turns and not fenced
     return out
 
 
+def _bars(text: str) -> str:
+    """``text`` with bars between its table cells."""
+    return " | ".join(x.strip() for x in text.split(_CELL) if x.strip()) if _CELL in text else text
+
+
 def _bare(text: str) -> str:
     return _MARKS.sub("", text)
 
 
 def ancestors(lines: list[str], page: str | None) -> list[tuple[str, ...]]:
-    """The ancestors in ``page`` of each line of the text that was made of it; none where a line can't be found."""
+    """The ancestors in ``page`` of each line of the text that was made of it; none where a line can't be found.
+
+    A line is looked for whole, then by ever shorter beginnings, as the rest of it may have been cleaned in another way.
+    """
     if not page:
         return [()] * len(lines)
-    own = leaves(page)
-    stream, owner = "", []
-    for text, at in own:
-        b = _bare(text)
-        stream += b
-        owner += [at] * len(b)
+    own = [(_bare(text), at) for text, at in leaves(page)]
+    stream, ends = "".join(b for b, _ in own), list(accumulate(len(b) for b, _ in own))
     out, place = [], 0
     for line in lines:
-        b = _bare(html.unescape(line))[:48]
-        hit = stream.find(b, place) if b else -1
+        b = _bare(html.unescape(line))
+        size, hit = len(b), -1
+        while hit < 0 and size and (size == len(b) or size >= 12):
+            hit = stream.find(b[:size], place)
+            size //= 2
         if hit < 0 and b:
             hit = stream.find(b[-24:], place)
         if hit >= 0:
-            out.append(owner[hit])
+            out.append(own[bisect_right(ends, hit)][1])
             place = hit
         else:
             out.append(())
@@ -175,7 +249,7 @@ def blocks(text: str, page: str | None = None) -> list[tuple[int, int, str, list
     out = []
     math_open = False
     for at, line, up, pieces in found:
-        code = bool(_CODELIKE.search(line[:400])) and not line.rstrip().endswith(("。", "."))
+        code = bool(_CODELIKE.search(line)) and not line.rstrip().endswith(("。", "."))
         formula = len(line) < 120 and bool(_FORMULA.match(line))
         near = up[-1] if up else "none"
         pre = "pre" in up or "code" in up
@@ -329,10 +403,18 @@ _CODES = ["for k in items:", "    total += k", "print(total * rate)", "let x = y
 _PLAIN = (
     "3 * 4 * 2 m | costs $5 to $9 | $3 -> $7 | <3 | </3 | <3 <3 | x > y | a < b | >_< | ^_^ | =) | (1/2) | 1) 2) 3) | {yes} | [sic] | [1] | F# minor | C# | D&D | R&B | AT&T | #garden | #1 | ~ 3h ~ | 50 % | 100% | +1 | * * * | -- | --- | report_final_v3 | img_2041_edit.png | my_file_name"
     " | the <i> tag is old | why the <em> tag differs from <b> here | an <hr> element and a <p> tag | I typed & and then < by mistake | write <br> as a tag | rated *** of ***** | out of ***** by my friend | * out of ***** | C:\\temp\\new | \\o/ | ¯\\_(ツ)_/¯ | 5 > 3 | 2 < 3 | A -> B | a => b"
-    " | it was $12 then $15, so bring money | b*tch | sh*t and d*mn | w*rd, an*ther w*rd | st*p it, y*u f*ol! | $tr1p | $hut up, you $tupid one | p0$t1ng th1$ | scan_of_doc_07 | @name | #tag_with_words | 10*2 | (a) (b) | o_O | T_T | :* | *sigh | 4 * 4 | price: $20 | T-shirt: $8 | ... | 'quoted' | l'été | \"x\" | >> | i <3 u | I | II | key of C#m7, F#7 | == | != | a == b"
+    " | it was $12 then $15, so bring money | scan_of_doc_07 | @name | #tag_with_words | 10*2 | (a) (b) | o_O | T_T | :* | *sigh | 4 * 4 | price: $20 | T-shirt: $8 | ... | 'quoted' | l'été | \"x\" | >> | i <3 u | I | II | key of C#m7, F#7 | == | != | a == b"
 ).split(" | ")
 
 
+_LEET = str.maketrans("aeiosAEIOS", "4310$4310$")
+
+
+def _masked(text: str, rng: random.Random) -> str:
+    """Words with letters hidden as people hide them: stars for vowels, or digits and signs for letters."""
+    return text.translate(_LEET) if rng.random() < 0.5 else re.sub(r"(?<=\w)[aeiou](?=\w)", "*", text, count=rng.randint(1, 3))
+
+
 def labelled_pages(count: int = PAGES, sentences: list[str] | None = None, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]], list[tuple[tuple[str, ...], str]]]]:
     """(text, marked spans with their kind, (ancestors, label) of each line) of made pages with markup and look-alikes put in."""
     rng = random.Random(seed)
@@ -468,7 +550,7 @@ def _marked(s: str, rng: random.Random) -> list[tuple[list[tuple[str, str]], tup
             elif rng.random() < 0.1:
                 tail += [[("\\begin{itemize}", k)], [("\\item", k), (" " + inner, "")], [("\\end{itemize}", k)]]
         else:
-            p = rng.choice(_PLAIN)
+            p = rng.choice(_PLAIN) if rng.random() < 0.88 else _masked(" ".join(rng.choice(words) for _ in range(rng.randint(1, 3))), rng)
             new = rng.choice([lambda: [(whole + " " + p, "")], lambda: [(p + " " + whole, "")], lambda: [(before + sp + p + " " + inner + " " + after, "")], lambda: [(whole + " " + p + " " + inner, "")]])()
             if rng.random() < 0.15:
                 new = [(p, "")]
@@ -546,6 +628,7 @@ def clean(model: LinearChainCRF, text: str | None, page: str | None = None) -> t
     """(clean text, (form, line) of its lines): the page's leaves, or the text where there is no page, without markup.
 
     The form is paragraph, heading, list, code or formula.  Pieces labelled as markup are taken out, those meant as plain text stay.
+    A formula that is a line of its own gets the form; one inside a line keeps its dollar signs.  Table cells are set apart by bars.
     """
     source = page if page else text
     if not source:
@@ -559,7 +642,7 @@ def clean(model: LinearChainCRF, text: str | None, page: str | None = None) -> t
     labels = model.decode([f for *_, f in own])
     out: list[tuple[str, str]] = []
     ends = [m.end() for m in re.finditer(r"[^\n\r\u2028]+", text)]
-    line, at, fenced, bracket, equation = -1, 0, False, False, False
+    line, at, fenced, bracket, equation, inline = -1, 0, False, False, False, False
     form = own_form = "paragraph"
     held = ""
 
@@ -586,13 +669,15 @@ def clean(model: LinearChainCRF, text: str | None, page: str | None = None) -> t
                 take(ends[line])
                 close()
             line += 1
-            at, held, bracket = a, "", False
+            at, held, bracket, inline = a, "", False, False
             form = own_form = "code" if fenced else "formula" if equation else label
             continue
         piece = text[a:b]
         take(a)
         at = b
-        if label == "plain":
+        if inline and kind != "dollar":  # a formula in a line is kept as it is
+            held += piece
+        elif label == "plain":
             held += piece
         elif kind == "entity":
             held += html.unescape(piece)
@@ -610,11 +695,14 @@ def clean(model: LinearChainCRF, text: str | None, page: str | None = None) -> t
         elif kind == "wiki_url":
             bracket = True
             at += text[b : b + 1] == " "
-        elif kind == "display" or (kind == "dollar" and (form == "formula" or not held.strip() or held.rstrip()[-1] in ".!?…。»")) or (kind == "env" and "equation" in piece):
+        elif kind == "display" or (kind == "dollar" and not inline and (form == "formula" or not held.strip() or held.rstrip()[-1] in ".!?…。»")) or (kind == "env" and "equation" in piece):
             opens = form != "formula" if kind == "dollar" else piece in ("\\[", "\\(") or piece.startswith("\\begin")
             close()  # a formula stands in a line of its own
             equation = opens and kind != "dollar"
             form = "formula" if opens else own_form if own_form != "formula" else "paragraph"
+        elif kind == "dollar":
+            held += piece
+            inline = not inline
         elif kind == "unders" and label == "latex" or kind == "command" and label == "latex" and re.match(r"\\([a-zA-Z]+)", piece).group(1) in MATH:
             held += piece
         elif kind == "brace" and label == "latex" and ("\\" in held or form == "formula"):
@@ -627,13 +715,34 @@ def clean(model: LinearChainCRF, text: str | None, page: str | None = None) -> t
     return "\n".join(t for _, t in out), out
 
 
+_fitted: dict[str, LinearChainCRF] = {}
+
+
+def fitted(spark: SparkSession, sentences: list[str]) -> LinearChainCRF:
+    """The field trained with ``sentences``; one that was trained with the same before is read from the shared folder."""
+    name = hashlib.md5("\n".join([*sentences, str(PAGES), *_PIECES.values()]).encode()).hexdigest()
+    if name not in _fitted:
+        shared, fs = spark.conf.get("spark.checkpoint.dir", None), spark._jvm.org.apache.hadoop.fs
+        path = fs.Path(f"{shared}/driftwell-field-{name}.json") if shared else None
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()) if shared else None
+        if shared and files.exists(path):
+            _fitted[name] = LinearChainCRF.load("".join(r[0] for r in spark.read.text(path.toString(), wholetext=True).collect()).encode())
+        else:
+            _fitted[name] = train(sentences)
+            if shared:
+                out = files.create(path, True)
+                out.write(bytearray(_fitted[name].dump()))
+                out.close()
+    return _fitted[name]
+
+
 def _run(posts: DataFrame, key: str, text: str, page: str, keep: list[str], fn, out: str, sample: int) -> DataFrame:
     spark = posts.sparkSession
     n = posts.count()
     share = max(1, int(sample / max(1, n) * (1 << 20)))
     picked = posts.where((F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share) & F.col(text).isNotNull()).select(F.col(text).alias("t")).limit(2 * sample).collect()
     plain = sorted({s.strip() for r in picked for s in re.split(r"(?<=[.!?。])\s+|\n", r.t) if 20 < len(s) < 160 and not _PIECE.search(s)})
-    sent = spark.sparkContext.broadcast(train(plain))  # a few thousand features
+    sent = spark.sparkContext.broadcast(fitted(spark, plain))  # a few thousand features
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = sent.value

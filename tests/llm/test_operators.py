@@ -1,5 +1,6 @@
 """Operators for training data against brute force, exact round trips and made cases."""
 
+import itertools
 import math
 import random
 from collections import Counter, defaultdict
@@ -526,8 +527,14 @@ def test_crf_learns_a_chain():
     right = sum(p == q for xs, ys in held for p, q in zip(m.decode(xs), ys, strict=True))
     alone = sum(x[0][2:] == y for xs, ys in held for x, y in zip(xs, ys, strict=True))
     assert right > alone and right >= 0.85 * 1200 and m.decode([]) == []
-    one, two = m._marginals(np.random.default_rng(0).normal(size=(3, 5, 2)), np.asarray([[1] * 5, [1] * 3 + [0] * 2, [1] + [0] * 4], bool))
-    assert np.allclose(one.sum(axis=2)[0], 1) and math.isclose(two.sum(), 6, rel_tol=1e-6)
+    score = np.random.default_rng(0).normal(size=(9, 2))
+    one, two = m._marginals(score, np.asarray([0, 3, 8]), np.asarray([3, 5, 1]))
+    assert np.allclose(one.sum(axis=1), 1) and math.isclose(two.sum(), 6, rel_tol=1e-6)
+    paths = [np.asarray(y) for y in itertools.product((0, 1), repeat=3)]  # every labelling of the first page
+    weight = np.exp([sum(score[k, y[k]] for k in range(3)) + m.move[y[0], y[1]] + m.move[y[1], y[2]] for y in paths])
+    assert np.allclose(one[:3, 1], sum(w * y for w, y in zip(weight, paths, strict=True)) / weight.sum())
+    again = LinearChainCRF.load(m.dump())
+    assert [again.decode(xs) for xs, _ in held] == [m.decode(xs) for xs, _ in held]
 
 
 def test_held_out_pages(field):
@@ -564,15 +571,26 @@ def test_clean_keeps_structure(field):
     assert markup.clean(field, None) == ("", []) and markup.clean(field, "", "") == ("", [])
     assert markup.clean(field, None, "<p>So it goes. \\[ a_{n+1} = 2a_n \\] Then on.</p><p>Well.<br/>\\begin{equation}<br/>E = mc^2<br/>\\end{equation}</p>")[1] == [("paragraph", "So it goes."), ("formula", "a_{n+1} = 2a_n"), ("paragraph", "Then on."), ("paragraph", "Well."), ("formula", "E = mc^2")]
     assert "## " not in markup.clean(field, "## A heading\nThen **bold** text.")[0]
+    assert markup.clean(field, None, "<table><tr><td>apple</td><td>3</td></tr><tr><th>pear</th><th>4</th></tr></table>")[0] == "apple | 3\npear | 4"
+    assert markup.clean(field, None, "<p>It was late\nand nobody came\nhome.</p><p>Use <code>x</code> now.</p>")[0] == "It was late and nobody came home.\nUse x now."
+    assert markup.clean(field, None, "<p>We know that $E = mc^2$ holds here.</p>")[0] == "We know that $E = mc^2$ holds here."
+    assert markup.leaves("plain one\nplain two") == [("plain one", ()), ("plain two", ())]
+    assert [x for x, _ in markup.leaves("<div>## Head\nText goes\non\n```\na\nb\n```\nend</div>")] == ["## Head", "Text goes on", "```", "a", "b", "```", "end"]
 
 
 def test_long_and_odd_pages_take_no_long(field):
     import time
 
-    for t in ["*" * 20_000, "<a " * 8000, "[" * 20_000, "$ " * 10_000, "`" * 20_001, "\\textbf{" * 4000, "a <b" + " " * 30_000, "&amp" * 9000]:
+    odd = ["*" * 20_000, "<a " * 8000, "[" * 20_000, "$ " * 10_000, "`" * 20_001, "\\textbf{" * 4000, "a <b" + " " * 200_000, "&amp" * 9000, "<!--" * 20_000, "-" * 100_000, "\\a[" * 20_000, "[//a" * 20_000, "f(" * 50_000, "<p>" * 40_000, "[a [b" * 9000]
+    for t in odd:
         began = time.time()
-        markup.residue(field, t)
-        assert time.time() - began < 20, t[:10]
+        markup.blocks(t)
+        assert time.time() - began < 8, t[:10]
+    for page in ["<p>x" * 40_000, "<b>x" * 40_000 + "</i>" * 40_000, "<div>" * 40_000 + "x" + "</div>" * 40_000, "a <b" + " " * 200_000, "<td>a" * 20_000]:
+        began = time.time()
+        markup.leaves(page)
+        assert time.time() - began < 4, page[:10]
+    markup.residue(field, "<b>" * 3000)
 
 
 @pytest.mark.parametrize("piece", ["It was $8 here. ", "a_b and *one* word. "])
