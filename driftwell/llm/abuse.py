@@ -8,6 +8,7 @@ abuse from harmless uses.  The model starts from the weights below and is fitted
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
@@ -19,44 +20,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.llm.common import INVISIBLE, fold, latin_words, spread
-
-#: Terms of the lexicon by class, in several languages; a term is one word or a run of words.
-LEXICON = {
-    "insult": """idiot | idiots | moron | morons | imbecile | cretin | dumbass | scumbag | bastard | loser | degenerate | worthless | pathetic | brain-dead | stupid | filthy | ugly | useless | trash | piece of trash
-    | waste of air | shut up | crawl back | nobody wants you | should be slapped | just quit | delete your blog | eat dirt | ashamed of | retard | retarded | asshole | bitch | whore | slut | dickhead | scum | dumb | fool | jerk
-    | imbécil | cretino | inútil | estúpido | basura | idiota | tonto | subnormal | cállate | da asco | nadie te quiere | imbécile | crétin | abruti | débile | ordure | minable | ferme-la | quelle honte | personne ne veut de toi | connard | salope
-    | dummkopf | vollidiot | schwachkopf | versager | stück dreck | halt die klappe | zum kotzen | keiner will dich | arschloch | trottel | depp | stronzo | deficiente | cretina | coglione | burro | otário | babaca | lixo | идиот | дурак | тварь | урод | мразь | ばか | バカ | 馬鹿 | クズ""",
-    "threat": """break every bone | break your fingers | break your | your face | smashed in | find out where you live | make you regret | regret this | drop dead | disappear forever | would miss you | choke on | go away and rot | never have been born
-    | kill you | kill yourself | hang yourself | burn down | beat you | understand is a beating | step outside | te voy a encontrar | arrepentir | rompan la cara | vete a morir | te mataré | je vais te retrouver | regretter | casser la figure | cassera la figure | va crever | crève
-    | ich finde dich | bereuen | verrecke | schlägt dir | zähne ein | umbringen | ti ammazzo | vou te matar | убью | сдохни | 死ね | 殺す""",
-    "hate": """vermin | subhuman | parasites | parasite | animals | thieves | a disease | rats | born liars | breed like | thrown out | out of the country | called human | from our children | crawled in | thieves by blood | by blood | where they came from | gone for good | not welcome
-    | parásitos | ratas | asquerosos | echar a los | del país | parasites répugnants | répugnants | chasser les | du pays | des rats | ratten | ungeziefer | land gejagt | aus dem land | parassiti | topi | fuori dal paese | vermes | ratos | паразиты | крысы""",
-    "sexual": """porn | porno | nude | nudes | naked | xxx | nsfw | sex | sex tape | sexy | horny | hardcore | explicit | fetish | genitals | get laid | hook up | hookups | strip naked | dirty talk | no limits | adults only | uncensored | bare body | no clothes | dm me | on cam | my lips | tits | ass
-    | sexo | vídeos porno | fotos desnuda | desnuda | sin límites | vidéos porno | photos nues | nues | du sexe | sans limites | pornovideos | nacktbilder | nackt | ohne tabus | suche sex | sesso | nuda | senza limiti | sem limites | pelada | секс | порно | голая | セックス | エロ""",
-}
-CLASSES = tuple(LEXICON)
+from driftwell.llm import lexicon
+from driftwell.llm.common import INVISIBLE, current, fold, latin_words, spread
+
+#: Classes of the lexicon's terms; learned ones come from labelled posts.
+CLASSES = ("insult", "threat", "hate", "sexual", "learned")
 #: Words that say who is meant, who speaks and whether someone reports.
 CUES = {
     "you": "you your yourself u ur tu te ti tú tus toi ton ta vous votre du dich dir dein deine você teu tua tuo ты тебя тебе твой お前 あなた",
     "self": "i me my mine myself yo me mi moi je mon ma ich mich mir mein meine eu meu io mio я меня мне мой",
-    "report": "said says say called calls shouts asked covers law report reports reported study talk flyer sign quoted wrote villain panel article novel film screening group speech dijo dit sagte disse сказал",
-    "mild": "love cute beautiful wonderful tiny please kind thanks great rinse wine pottery charcoal fledglings stew",
+    "report": "said says say called calls calling shouts shouted asked told covers law report reports reported study studies quoted quotes wrote article novel film book story character speech research debate word words term dijo dit sagte disse сказал",
+    "mild": "love cute beautiful wonderful tiny please kind thanks great lovely happy glad",
     "they": "they them their all every the los les die todos tous alle people gli os они",
 }
 #: Starting weights: bias, one for each class, more than one class or term, a disguised spelling, each cue, inside quotation marks, no cue of you or they.
-PRIOR = {"bias": -2.2, "insult": 1.0, "threat": 2.2, "hate": 1.4, "sexual": 1.0, "several": 1.0, "disguised": 2.0, "you": 1.8, "self": -1.2, "report": -1.6, "mild": -2.0, "they": 0.8, "quoted": -1.0}
+PRIOR = {"bias": -2.2, "insult": 1.0, "threat": 2.2, "hate": 1.4, "sexual": 1.0, "learned": 1.0, "several": 1.0, "disguised": 2.0, "you": 1.8, "self": -1.2, "report": -1.6, "mild": -2.0, "they": 0.8, "quoted": -1.0}
 NAMES = tuple(PRIOR)
 #: Hashed n-grams of the window, and how far it reaches on each side of a term.
 BITS, REACH = 14, 9
 #: Labelled posts that the model is fitted on, at most.
 SAMPLE = 20_000
+#: Labelled abusive posts that a learned term must be in, the share of its labelled posts that they must be, how much likelier
+#: (as a logarithm) than by chance so many are, and its words at most.
+SEEN, SHARE, LIKELIER, WORDS = 4, 0.4, 7.0, 4
 #: Score from which a post counts as abusive.
 LIMIT = 0.5
 
 _TOKEN = re.compile(r"[^\W_]+(?:[*'’\-$@_]+[^\W_]+)*[*$]*|[*$@]+[^\W_]+(?:[*'’\-$@]+[^\W_]*)*")
 _JOINT = re.compile(r"[-'’]")
 _SPACED = re.compile(r"(?<![\w*])(?:[\w*@$] ){2,}[\w*@$](?![\w*])")
+_STRESS = re.compile(r"(?<![\w*])(\*{1,3})(?=[^\s*])([^*\n]+)(?<=[^\s*])\1(?![\w*])")
 _STRETCH = re.compile(r"([^\W\d_])\1{2,}")
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "€": "e"})
 _BOUND = re.compile(r"(?<=[.!?…。！？])[\"”“»')\]]*\s+|(?<=[。！？])|\n+|\r")
@@ -68,6 +61,10 @@ _SCRIPT = re.compile(r"[぀-ゟ]+|[゠-ヿ]+|[一-鿿]+")
 HARMLESS = "ばかり ばかなり ばかえ ばかか バカンス バカラ クズレ ピエロ エロージョン エロイカ 死ねない 死ねば 死ねる 死ねた 死ねます".split()
 
 
+#: Letters that look or sound alike.
+_ALIKE = {a: g.replace(a, "") for g in ("uv", "ckq", "sz", "ily", "wv") for a in g} | {"v": "uw"}
+
+
 class Trie:
     """A trie of words; ``near`` runs a Levenshtein automaton along it."""
 
@@ -90,50 +87,66 @@ class Trie:
                 end = i + 1
         return end
 
-    def near(self, word: str, most: int) -> tuple[str, int] | None:
+    def near(self, word: str, most: float, soft: bool = False, heads: str = "") -> tuple[str, float] | None:
         """(lexicon word, edits) of the nearest word within ``most`` edits; * in ``word`` is any one letter, free of cost.
 
+        ``soft`` edits cost one half where a letter stands for one that looks or sounds like it, or a letter is doubled or the
+        second of a pair is left out.  ``heads`` are the first letters to look among, where given.
         A state of the automaton is the row of edit costs against the prefixes of ``word``; a branch of the trie is left as
         soon as no cost of its state is within ``most``.  Ties go to the first in alphabetical order.
         """
-        best: tuple[int, str] | None = None
-        stack = [(self.root, tuple(range(len(word) + 1)))]
+        best: tuple[float, str] | None = None
+        double = [1 - 0.5 * (soft and i > 0 and x == word[i - 1]) for i, x in enumerate(word)]  # cost of a letter too many
+        row = [0.0]
+        for d in double:
+            row.append(row[-1] + d)
+        stack = [(self.root, tuple(row), "")]
         while stack:
-            node, row = stack.pop()
+            node, row, last = stack.pop()
             for c, nxt in node.items():
+                if heads and node is self.root and c not in heads:
+                    continue
                 if c == "":
                     if row[-1] <= most and (best is None or (row[-1], nxt) < best):
                         best = (row[-1], nxt)
                     continue
-                cost = [row[0] + 1]
+                left = 0.5 if soft and (c == last or last + c == "ck") else 1  # cost of a letter left out
+                like = _ALIKE.get(c, "") if soft else ""
+                cost = [row[0] + left]
                 for i, x in enumerate(word):
-                    cost.append(min(cost[i] + 1, row[i + 1] + 1, row[i] + (x != c and x != "*")))
+                    cost.append(min(cost[i] + double[i], row[i + 1] + left, row[i] + (0 if x == c or x == "*" else 0.5 if x in like else 1)))
                 if min(cost) <= most:
-                    stack.append((nxt, tuple(cost)))
+                    stack.append((nxt, tuple(cost), c))
         return (best[1], best[0]) if best else None
 
 
-def _reach(word: str) -> int:
-    """Edits allowed for a word of this length: none up to 4 letters, one up to 8, else two."""
+def _reach(word: str) -> float:
+    """Edits allowed for a word of this length: half a one for 3 to 5 letters, one up to 8, else two."""
     n = len(word.replace("*", ""))
-    return 0 if n <= 4 else 1 if n <= 8 else 2
+    return 0 if n <= 2 else 0.5 if n <= 5 else 1 if n <= 8 else 2
 
 
 class Lexicon:
     """The lexicon's terms as runs of words, found in any disguise."""
 
-    def __init__(self, terms: dict[str, str] = LEXICON, ordinary: frozenset[str] = frozenset()):
+    def __init__(self, terms: dict[str, list[str]] | None = None, ordinary: frozenset[str] = frozenset(), learned: list[tuple[str, ...]] | None = None):
+        self.terms = lexicon.terms() if terms is None else terms
         self.runs: dict[str, list[tuple[tuple[str, ...], str]]] = {}
         words = set()
-        for kind, text in terms.items():
-            for term in text.split("|"):
-                run = tuple(self.words(term))
-                if run:
+        known = set()
+        for kind, own in [*self.terms.items(), ("learned", learned or [])]:
+            for term in own:
+                run = tuple(self.words(term)) if isinstance(term, str) else term
+                if run and (run, kind) not in known:
+                    known.add((run, kind))
                     self.runs.setdefault(run[0], []).append((run, kind))
-                    words.update(run)
+                    # a word of a longer run, or a learned one, is matched as it is written: it may be any small word
+                    if kind != "learned" and (len(run) == 1 or all(len(w) > 4 for w in run)):
+                        words.update(run)
+        self.plain = {w for own in self.runs.values() for run, _ in own for w in run} - words
         self.lexical = words
         self.trie, self.ordinary = Trie(words), ordinary
-        known = words.union(HARMLESS, *(c.split() for c in CUES.values()))
+        known = words.union(self.plain, HARMLESS, *(c.split() for c in CUES.values()))
         self.japanese = Trie({w for w in known if _JAPANESE_RUN.fullmatch(w)})
         self.held: dict[str, tuple[str, bool]] = {}
 
@@ -176,21 +189,24 @@ class Lexicon:
     def _spell(self, raw: str) -> tuple[str, bool]:
         w = raw
         odd = False
-        if w in self.lexical:
+        if w in self.lexical or w in self.plain:
             return w, False
         if any(c in "013457@$" for c in w) and any(c.isalpha() for c in w) and not re.fullmatch(r"\d+[a-z]{1,2}", w):
             w, odd = w.translate(_LEET), True
         if _STRETCH.search(w):
             one = _STRETCH.sub(r"\1", w)
             two = _STRETCH.sub(r"\1\1", w)
-            w, odd = two if two in self.lexical and one not in self.lexical else one, True
+            known = self.lexical | self.plain
+            w, odd = two if two in known and one not in known else one, True
         odd |= "*" in w
-        if w in self.lexical:
+        if w in self.lexical or w in self.plain:
             return w, odd
-        if not odd and (w in self.ordinary or len(w) < 5):
+        if not odd and (w in self.ordinary or len(w) < 3):
             return w, False
-        near = self.trie.near(w, _reach(w) if not odd or len(w) > 4 else 0)
-        if near and (near[0][0] == w[0] or w[0] == "*" or odd):
+        stars = w.count("*")
+        most = 0 if 2 * stars > len(w) - stars else _reach(w)  # of a word that is masked for a third or more the rest must be right
+        near = self.trie.near(w, most, True, "" if odd or w[0] == "*" else w[0] + _ALIKE.get(w[0], ""))
+        if near and len(near[0]) > 2:
             return near[0], odd or near[1] > 0
         return w, False
 
@@ -203,7 +219,7 @@ class Lexicon:
         for i in range(n):
             for j in range(i + 1, min(n, i + 20) + 1):
                 w = low[i:j]
-                known = w in self.lexical or w in self.ordinary or w.translate(_LEET) in self.lexical
+                known = w in self.lexical or w in self.plain or w in self.ordinary or w.translate(_LEET) in self.lexical
                 c = cost[i] + (0.6 - 0.02 * (j - i) * (w in self.lexical) if known and (j - i > 1 or w in "aiyeouà") else 1.0 + 0.9 * (j - i - 1))
                 if c < cost[j]:
                     cost[j], back[j] = c, i
@@ -213,18 +229,23 @@ class Lexicon:
             at = back[at]
         return " ".join(reversed(out))
 
-    def windows(self, text: str) -> list[dict]:
-        """The windows of a text: its words in plain spelling, the classes of the terms in it, disguise, quotation, place."""
-        out = []
+    def sentences(self, text: str) -> Iterator[tuple[str, list[tuple[str, int]], list[tuple[str, bool]], bool]]:
+        """(lower case, words with places, words in plain spelling, whether letters stood apart) of the sentences of a text."""
         clean = latin_words(fold_keep(text))
         for sentence in _BOUND.split(_TAG.sub(" ", clean)):
             if not sentence or not sentence.strip():
                 continue
+            if "*" in sentence:
+                sentence = _STRESS.sub(r"\2", sentence)
             spaced = bool(_SPACED.search(sentence))
-            flat = _SPACED.sub(lambda m: self.unspaced(m.group()), sentence) if spaced else sentence
-            low = flat.lower()
+            low = (_SPACED.sub(lambda m: self.unspaced(m.group()), sentence) if spaced else sentence).lower()
             raw = self.tokens(low)
-            spelt = [self.spell(w) for w, _ in raw]
+            yield low, raw, [self.spell(w) for w, _ in raw], spaced
+
+    def windows(self, text: str) -> list[dict]:
+        """The windows of a text: its words in plain spelling, the classes of the terms in it, disguise, quotation, place."""
+        out = []
+        for low, raw, spelt, spaced in self.sentences(text):
             words = [w for w, _ in spelt]
             hits = []
             for i, w in enumerate(words):
@@ -267,8 +288,8 @@ def features(window: dict) -> tuple[np.ndarray, np.ndarray]:
     x = np.zeros(len(NAMES))
     x[0] = 1
     for k in CLASSES:
-        x[NAMES.index(k)] = min(2, kinds[k])
-    x[NAMES.index("several")] = min(2, sum(kinds.values()) - 1)
+        x[NAMES.index(k)] = min(2 if k != "learned" else 1, kinds[k])
+    x[NAMES.index("several")] = min(2, max(0, sum(kinds.values()) - kinds["learned"] - 1))
     x[NAMES.index("disguised")] = window["odd"]
     for k, own in _CUES.items():
         x[NAMES.index(k)] = any(w in own for w in words)
@@ -330,28 +351,70 @@ class Model:
                 self.hashed -= rate * d2 / np.sqrt(g2)
 
 
-def train(posts: list[tuple[str, int]]) -> Model:
-    """The model fitted on (text, label) pairs.  Words that occur in several unabusive posts aren't taken for misspelled terms."""
+def learned_terms(posts: list[tuple[str, int]], lexicon_: Lexicon, seen: int = SEEN) -> list[tuple[str, ...]]:
+    """Runs of up to WORDS words that ``seen`` or more of the abusive posts hold and others far less often.
+
+    Of runs within each other the one that tells most is taken.  They only say where to look: whether a place is abuse is for
+    the model of its window.
+    """
+    base = sum(y for _, y in posts) / max(1, len(posts))
+
+    def runs(text: str, among: Counter | None = None) -> set[tuple[str, ...]]:
+        out = set()
+        for _, _, spelt, _ in lexicon_.sentences(text):
+            w = [x for x, _ in spelt]
+            for n in range(1, WORDS + 1):
+                own = zip(*(w[i:] for i in range(n)), strict=False)
+                out.update(own if among is None else (r for r in own if r in among))
+        return out
+
+    bad = Counter(r for t, y in posts if y and t for r in runs(t))
+    bad = Counter({r: n for r, n in bad.items() if n >= seen and (len(r) > 1 or len(r[0]) > 3)})
+    good = Counter(r for t, y in posts if not y and t for r in runs(t, bad))
+    gain: dict[tuple[str, ...], float] = {}
+    for r, n in bad.items():
+        share = n / (n + good[r])
+        if share >= (SHARE if len(r) > 1 else 2 * SHARE) and share > base:
+            gain[r] = n * math.log(share / base) + (good[r] * math.log((1 - share) / (1 - base)) if good[r] else 0.0)
+    out: set[tuple[str, ...]] = set()
+    within: set[tuple[str, ...]] = set()  # parts of those taken
+    for r in sorted((r for r, g in gain.items() if g >= LIKELIER), key=lambda r: (-gain[r], r)):
+        inner = {r[i : i + m] for m in range(1, len(r) + 1) for i in range(len(r) - m + 1)}
+        if r not in within and not inner & out:
+            out.add(r)
+            within |= inner
+    return sorted(out)
+
+
+def train(posts: list[tuple[str, int]], terms: dict[str, list[str]] | None = None) -> Model:
+    """The model fitted on (text, label) pairs, with the terms learned from them.
+
+    Words that occur in several unabusive posts aren't taken for misspelled terms.
+    """
     seen = Counter(w for t, y in posts if not y and t for w in set(Lexicon.words(t)))
-    model = Model(Lexicon(ordinary=frozenset(w for w, n in seen.items() if n >= 2)))
+    ordinary = frozenset(w for w, n in seen.items() if n >= 2)
+    start = Lexicon(terms, ordinary)
+    model = Model(Lexicon(terms, ordinary, learned_terms(posts, start)))
     model.fit([(model.lexicon.windows(t), y) for t, y in posts if t])
     model.lexicon.held = {}
     return model
 
 
-def score(posts: DataFrame, labels: DataFrame, key: str, text: str, keep: list[str], label_key: str, label: str, sample: int = SAMPLE) -> DataFrame:
+def score(posts: DataFrame, labels: DataFrame, key: str, text: str, keep: list[str], label_key: str, label: str, version: str | None = None, sample: int = SAMPLE, terms: dict[str, list[str]] | None = None) -> DataFrame:
     """(key, keep..., score, kind, windows): how abusive each row's text is (0 to 1), the main class of its worst window, and its windows.
 
     A text in which no term of the lexicon is found, in any disguise, scores 0; so do null, empty and blank texts.  Rows stay
     as they are; other columns are dropped; an empty table gives an empty result.  ``labels`` (key, 0 or 1) may repeat a key:
     the majority counts, ties as abusive; rows with a null are left out, and without labels the starting weights are used.
-    At most ``sample`` labelled posts are fitted on.
+    At most ``sample`` labelled posts are fitted on, each by its last text by the column ``version`` (the greatest text without
+    one).  ``terms`` is a lexicon of one's own.
     """
     spark = posts.sparkSession
     told = labels.where(F.col(label_key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(label_key).alias("_k")).agg((F.avg(label) >= 0.5).cast("int").alias("_y"))
     told = told.orderBy(F.xxhash64("_k")).limit(sample)  # bounded: SAMPLE rows
-    rows = posts.join(F.broadcast(told), F.col(key) == F.col("_k")).where(F.col(text).isNotNull()).groupBy("_k").agg(F.max(text).alias("t"), F.max("_y").alias("y")).collect()
-    model = train(sorted((r["t"], r["y"]) for r in rows))
+    own = posts.select(F.col(key).alias("_k"), F.col(version or text).alias("_v"), F.col(text).alias("_t")).join(F.broadcast(told), "_k")
+    rows = current(own, "_k", ["_v"], "_t", "_y").where("_t is not null").collect()  # as many rows as labels
+    model = train(sorted((r["_t"], r["_y"]) for r in rows), terms)
     sent = spark.sparkContext.broadcast(model)  # weights of a fixed size, the ordinary words of the sample
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

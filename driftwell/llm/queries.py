@@ -50,10 +50,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_scores(spark: SparkSession, d: str) -> DataFrame:
-    """How abusive each post is, and of which class."""
+    """How abusive each post is, of which class, and what its own flag says."""
     posts = table(spark, d, "posts")
-    got = abuse.score(posts, table(spark, d, "post_labels"), "id", "body_clean", ["created_at", "account_id"], "post_id", "toxic")
-    return _latest(got, "account_id", "score", "kind").withColumnRenamed("id", "post_id")
+    got = abuse.score(posts, table(spark, d, "post_labels"), "id", "body_clean", ["created_at", "account_id", "nsfw"], "post_id", "toxic", "created_at")
+    return _latest(got, "account_id", "nsfw", "score", "kind").withColumnRenamed("id", "post_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,9 +61,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:
-    """The share of abusive posts of each account (null: posts without one)."""
+    """The share of abusive posts of each account (null: posts without one), and of those the ones that its flags miss."""
     bad = (F.col("score") >= abuse.LIMIT).cast("long")
-    return p3_scores(spark, d).groupBy("account_id").agg(F.count(F.lit(1)).alias("posts"), F.sum(bad).alias("abusive"), F.round(F.avg(bad), 6).alias("rate"))
+    missed = F.sum(F.when(~F.coalesce("nsfw", F.lit(False)), bad).otherwise(0))
+    return p3_scores(spark, d).groupBy("account_id").agg(F.count(F.lit(1)).alias("posts"), F.sum(bad).alias("abusive"), missed.alias("missed"), F.round(F.avg(bad), 6).alias("rate"))
 
 
 def p4_languages(spark: SparkSession, d: str) -> DataFrame:

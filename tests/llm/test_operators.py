@@ -483,6 +483,30 @@ def test_context_tells_abuse_from_use():
     assert m.score(None) == (0.0, None, 0) and m.score("")[0] == 0
 
 
+def test_plain_abuse_scores_without_labels_or_exact_spelling():
+    m = abuse.train([])
+    for t in ["fuck you", "you cunt", "you are a total wanker", "You dum fuck", "I will find your house and hurt you", "you are scvm", "you bytch", "nobody likes you", "que te mueras, gilipollas, te odio"]:
+        assert m.score(t)[0] >= 0.5, t
+    for t in ["the whole duck pond", "thank you for the witch story", "**the** **sea**", "you should visit the mill", "he can't find the gas can"]:
+        assert m.score(t)[0] < 0.5, t
+
+
+def test_soft_edits_cost_half():
+    trie = abuse.Trie({"scum", "bitch", "dick", "loser"})
+    assert trie.near("scvm", 0.5, True) == ("scum", 0.5) and trie.near("dic", 0.5, True) == ("dick", 0.5) and trie.near("looser", 0.5, True) == ("loser", 0.5)
+    assert trie.near("bytch", 0.5, True) == ("bitch", 0.5) and trie.near("batch", 0.5, True) is None and trie.near("scvm", 0.5) is None
+    assert trie.near("loser", 1, True, "b") is None
+
+
+def test_terms_are_learned_from_labels_and_read_from_files(tmp_path):
+    posts = [(f"The {x} crawled in here, no {k}.", 1) for k in range(3) for x in ("Zorbs", "Quaks")] + [(f"The cat sat here in row {k}.", 0) for k in range(60)]
+    assert any("crawled" in r for r in abuse.learned_terms(posts, abuse.Lexicon()))
+    assert abuse.learned_terms([], abuse.Lexicon()) == [] and abuse.learned_terms([("x y z", 1)] * 9, abuse.Lexicon()) == []
+    (tmp_path / "own.txt").write_text("# class and term\ninsult zorb face\n\ninsult quak\n", encoding="utf-8")
+    own = abuse.lexicon.read(str(tmp_path / "own.txt"))
+    assert own == {"insult": ["zorb face", "quak"]} and abuse.train([], own).score("you zorb face")[0] >= 0.5 and abuse.train([], own).score("you idiot")[0] == 0
+
+
 def test_labels_teach_held_out_cases():
     rng = random.Random(11)
     things = ["lamp", "bridge", "kettle", "garden", "window", "ladder"]
