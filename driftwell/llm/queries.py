@@ -74,10 +74,17 @@ def p4_languages(spark: SparkSession, d: str) -> DataFrame:
     return got.select("post_id", "place", "x.lang", "x.confidence", "x.letters")
 
 
+def p4_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The passages of every post: where they stand in body_clean, their language (und where it is none of those known), how sure."""
+    got = language.segment(table(spark, d, "posts"), "id", "body_clean", ["created_at"])
+    got = _latest(got, "segments").select(F.col("id").alias("post_id"), F.explode("segments").alias("x"))
+    return got.select("post_id", "x.start", "x.end", "x.lang", "x.confidence")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     results = table(spark, d, "post_results").where("post_id is not null").select("post_id", "lang").distinct()
     named = results.withColumn("lang", language.named(F.col("lang"))).where("lang is not null")
-    found = p4_languages(spark, d).select("post_id", "lang").join(results.select("post_id").distinct(), "post_id", "left_semi")
+    found = p4_languages(spark, d).where(F.col("lang") != language.UNKNOWN).select("post_id", "lang").join(results.select("post_id").distinct(), "post_id", "left_semi")
     return found.join(named, ["post_id", "lang"], "left_anti")
 
 
@@ -138,7 +145,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_clean, p2_found, p2_order, p3_found, p3_scores, p3_rates, p4_found, p4_languages, p5_found, p5_lift, p6_found, p6_neighbours, p7_found, p7_counts, p8_ids, p9_found, p9_passages, p10_found, p10_statistics]
+    own = [p1_found, p1_clean, p2_found, p2_order, p3_found, p3_scores, p3_rates, p4_found, p4_languages, p4_segments, p5_found, p5_lift, p6_found, p6_neighbours, p7_found, p7_counts, p8_ids, p9_found, p9_passages, p10_found, p10_statistics]
     return {f.__name__: f for f in own}
 
 

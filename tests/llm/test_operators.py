@@ -411,6 +411,34 @@ def test_what_is_no_language():
     assert p.languages((SENTENCES["en"][0] + " ") * 3000)[0][0] == "en"
 
 
+def test_segments_stand_where_the_passages_do():
+    p = language.fit([])
+    for a, b in [("en", "es"), ("ru", "de"), ("ja", "fr"), ("it", "en")]:
+        x, y = SENTENCES[a][0], SENTENCES[b][0]
+        text = f"<b>{x}</b>\n  **{y}** [more](https://a.example/x)"
+        (s1, e1, l1, c1), (s2, e2, l2, c2) = p.spans(text)
+        assert (l1, l2) == (a, b) and 0 < c1 <= 1 and 0 < c2 <= 1
+        assert (s1, e1) == (3, 3 + len(x) - 1) and text[s2:].startswith(y[:12]) and text[s2:e2].startswith(y.rstrip(".")), (a, b)
+    hidden = "The ch\u200bildren were pl4ying near the old s t a t i o n when it beg*an to rain hard. " + SENTENCES["ru"][0]
+    (s1, e1, l1, _), (s2, e2, l2, _) = p.spans(hidden)
+    assert hidden[s1:e1].endswith("rain hard") and l1 == "en" and hidden[s2:e2] == SENTENCES["ru"][0].rstrip(".") and l2 == "ru"
+    assert p.spans(None) == p.spans("") == p.spans("ok then") == []
+    assert [x[:3] for x in p.spans("İstanbul'da " + SENTENCES["ru"][0])][-1][2] == "ru"
+
+
+def test_unknown_languages_are_left_open():
+    p = language.fit([])
+    for t in ["Nie wiem, dlaczego on jeszcze nie przyszedł do domu.", "昨天晚上我们去看了一部很好看的电影。", "어제 저녁에 우리는 아주 좋은 영화를 보러 갔습니다.", "Dün akşam çok güzel bir film izlemeye gittik ve sonra eve döndük.", "Ik heb gisteren een heel mooi boek gelezen over de stad."]:
+        assert {x[0] for x in p.languages(t)} <= {"und"}, t
+
+
+def test_marks_around_words_are_no_code():
+    p = language.fit([])
+    for t in ["{{note|" + SENTENCES["fr"][0] + "}}", "(" + SENTENCES["fr"][1] + ")"]:
+        assert [x[0] for x in p.languages(t)] == ["fr"], t
+    assert p.languages("SELECT grain FROM rolls WHERE iso = 400;") == [] and p.languages("let mix = a + (b - a) * 0.5;") == []
+
+
 def test_labels_name_languages():
     for label, want in [("en", "en"), ("EN-us", "en"), ("en_GB", "en"), ("English", "en"), (" Deutsch ", "de"), ("jpn", "ja"), ("pt-BR", "pt"), ("und", None), ("??", None), ("", None), (" ", None), (None, None), ("unknown", None), ("nl", "nl"), ("русский", "ru"), ("n/a", None)]:
         assert language.label_language(label) == want, label
