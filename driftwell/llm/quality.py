@@ -41,8 +41,12 @@ LIMITS = {
     "common_words": 2,  # *
     "ellipsis_lines": 0.3,  # *
     "least_words": 50,  # *
+    "cjk": 0.3,  # share of the letters above which a text is written without blanks, so that its words can't be counted
     "not_prose": 0.5,  # TESTDATA: more than half of the characters
 }
+#: Rules whose failure makes a text no natural prose.  Published ones count for texts of ``least_words`` words or more, as they
+#: were made for such, and where words stand between blanks; ellipses are recorded alone, as they fail prose that trails off.
+DECIDING = ("mean_word", "symbols", "bullets", "alphabetic", "common_words", "list", "table", "junk", "not_prose")
 
 _WORDS = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _CJK = r"[\p{Hiragana}\p{Katakana}\p{Han}\p{Hangul}\p{Thai}]"
@@ -130,12 +134,12 @@ def line_statistics(texts: list[str]) -> tuple[pd.DataFrame, dict[int, tuple[int
     junk |= noise
     junk &= ~blank
     again = np.zeros(len(s), bool)
-    ends = s.ends.to_numpy()
+    ends, wide = s.ends.to_numpy(), cjk.to_numpy()
     told: dict[int, tuple[int, float, int]] = {}
     for i in np.nonzero(((s.words >= 12) & ~blank).to_numpy())[0].tolist():
         n, distinct, common = told[i] = _repeated(raw[i])
-        # a few words over and over; many words, none of which holds sentences together
-        again[i] = n >= 12 and ((distinct <= 0.2 and n >= 30) or distinct <= 0.12 or (distinct < 0.5 and common < 0.06 * n and n >= 16) or (common < 0.02 * n and n >= 40 and ends[i] <= n / 60 and _ascii(raw[i])))
+        # a few words over and over; many words, none of which holds sentences together (where words are written apart)
+        again[i] = n >= 12 and distinct <= 0.12 if wide[i] else n >= 12 and ((distinct <= 0.2 and n >= 30) or distinct <= 0.12 or (distinct < 0.5 and common < 0.06 * n and n >= 16) or (common < 0.02 * n and n >= 40 and ends[i] <= n / 60 and _ascii(raw[i])))
     junk |= again
     form = np.select([blank, junk & ~table, table, s.bullet.to_numpy(bool) | (s.quoted & open_).to_numpy(bool), pieces], ["blank", "junk", "table", "list", "list"], "prose").astype(object)
     # runs of short open lines: three or more, blank lines between them allowed
@@ -199,13 +203,14 @@ def document_statistics(texts: list[str | None]) -> pd.DataFrame:
     out["common_words"] = np.asarray([x[2] for x in own], np.int64)
     out["not_prose"] = (out.list_share + out.table_share + out.junk_share).clip(upper=1.0)
     lim = LIMITS
+    long_ = (out.words >= lim["least_words"]) & (g.cjk.sum() <= lim["cjk"] * np.maximum(1, out.letters))
     rules = {
-        "mean_word": (out.words > 0) & ((out.mean_word < lim["mean_word_low"]) | (out.mean_word > lim["mean_word_high"])),
-        "symbols": out.symbol_ratio > lim["symbol_ratio"],
+        "mean_word": long_ & ((out.mean_word < lim["mean_word_low"]) | (out.mean_word > lim["mean_word_high"])),
+        "symbols": long_ & (out.symbol_ratio > lim["symbol_ratio"]),
         "bullets": out.bullet_lines > lim["bullet_lines"],
         "ellipses": out.ellipsis_lines > lim["ellipsis_lines"],
-        "alphabetic": (out.words > 0) & (out.alphabetic_words < lim["alphabetic_words"]),
-        "common_words": (out.words >= lim["least_words"]) & (out.common_words < lim["common_words"]),
+        "alphabetic": long_ & (out.alphabetic_words < lim["alphabetic_words"]),
+        "common_words": long_ & (out.common_words < lim["common_words"]),
         "list": out.list_share > lim["not_prose"],
         "table": out.table_share > lim["not_prose"],
         "junk": out.junk_share > lim["not_prose"],
@@ -213,7 +218,7 @@ def document_statistics(texts: list[str | None]) -> pd.DataFrame:
     }
     table = pd.DataFrame(rules)
     out["failures"] = [[r for r, bad in zip(rules, row, strict=True) if bad] for row in table.to_numpy(bool)]
-    out["natural"] = ~table["not_prose"]
+    out["natural"] = ~table[list(DECIDING)].any(axis=1)
     return out
 
 
@@ -224,9 +229,9 @@ _NAMES = [x.split()[0] for x in FIELDS.split(", ")]
 def quality(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``key`` and the statistics of FIELDS for every row.
 
-    failures has the name of every rule that a text fails; natural is false if more than half of its characters (of lines that
-    aren't blank) are a list, a table or junk.  The published rules (word length, symbols, bullets, ellipses, alphabetic and
-    common words) are recorded but don't decide, as they fail natural prose that is short or of another language.
+    failures has the name of every rule that a text fails: a published one (word length, symbols, bullets, ellipses, alphabetic
+    and common words) or one on the share of the characters (of lines that aren't blank) that lists, tables, junk or all of them
+    take.  natural is false if a rule of DECIDING failed.
     Null, empty and blank texts: zeros, no failures, natural.  Rows stay as they are, repeated or null keys too; other columns
     are dropped.  Texts are read whole, a batch at a time; no shuffle.
     """

@@ -369,6 +369,15 @@ def test_mixed_documents_go_by_their_larger_part():
     assert got["natural"].tolist() == [True, False]
 
 
+def test_published_rules_decide_where_they_were_made_for():
+    words = "lorem ipsum dolor amet velit nulla ornare tellus varius semper".split()
+    texts = [" ".join(words * 7), " ".join(f"{w} {k} {k}{k}" for k, w in enumerate(words * 4)), " ".join(f"{a}の午後、{b}は夜の{c}によく似ている。" for a in "春夏秋冬" for b in "橋駅町庭" for c in "列車船歌空"), "It was so quiet...\nand then it rained…\nall over the old town..."]
+    got = quality.document_statistics(texts)
+    assert ["common_words" in f for f in got["failures"]] == [True, True, False, False] and "alphabetic" in got["failures"][1] and "ellipses" in got["failures"][3]
+    assert got["natural"].tolist() == [False, False, True, True]
+    assert all(n == (not set(f) & set(quality.DECIDING)) for n, f in zip(got["natural"], got["failures"], strict=True))
+
+
 def test_quality_statistics_and_edges(spark):
     df = spark.createDataFrame([(1, "One two, three. Four!"), (2, None), (3, ""), (4, " \n\t "), (4, " \n\t "), (None, LONG)], "doc_id long, text string").withColumn("words", F.lit(7))
     got = {r.doc_id: r for r in quality.quality(df, "doc_id", "text").collect()}
