@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwell.llm.common import cut
+
 #: Rows of a group up to which it is ranked in one window; larger groups are cut into ranges of their order.
 HOT = 200_000
 
@@ -17,15 +19,13 @@ def _before(rows: DataFrame, group: str, order: list[Column], weight: str | None
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/driftwell-checkpoints")
-    cut = rows.repartitionByRange(parts, F.col(group), *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    rows = cut(rows.repartitionByRange(parts, F.col(group), *order).withColumn("_part", F.spark_partition_id()))
     w = F.col(weight) if weight else F.lit(1)
-    sums = cut.groupBy(group, "_part").agg(F.sum(w).alias("_sum"))
+    sums = rows.groupBy(group, "_part").agg(F.sum(w).alias("_sum"))
     earlier = F.sum("_sum").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select(group, "_part", F.coalesce(earlier, F.lit(0)).alias("_from"))
     inside = F.sum(w).over(Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return cut.join(sums, [group, "_part"]).withColumn(name, F.col("_from") + F.coalesce(inside, F.lit(0))).drop("_part", "_from")
+    return rows.join(sums, [group, "_part"]).withColumn(name, F.col("_from") + F.coalesce(inside, F.lit(0))).drop("_part", "_from")
 
 
 def _middle(ranks: dict[str, float]) -> Column:

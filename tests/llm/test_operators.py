@@ -78,13 +78,13 @@ def test_term_marks_and_empty_tables(spark):
 # ------------------------------------------------------------------ 5 pairs
 
 
-@pytest.mark.parametrize("width", [4096, 7])
-def test_pairs_against_brute_force(spark, width):
+@pytest.mark.parametrize(("width", "head"), [(4096, 2048), (7, 2048), (4096, 5), (7, 5), (9, 0)])
+def test_pairs_against_brute_force(spark, width, head):
     rng = random.Random(2)
     data = [(rng.choice([None, *range(60)]), min(rng.randrange(30), rng.randrange(30))) for _ in range(1500)]
     data += [(999, i) for i in range(30)] + [(998, None)]  # one record with everything
     df = spark.createDataFrame(data, "post_id long, tag_id long").withColumn("a", F.lit(1)).withColumn("n", F.lit(2))
-    got = {(r.tag_a, r.tag_b): (r.n, r.n_a, r.n_b, r.total) for r in pairs.together(df, "post_id", "tag_id", 5, 1.0, width).collect()}
+    got = {(r.tag_a, r.tag_b): (r.n, r.n_a, r.n_b, r.total) for r in pairs.together(df, "post_id", "tag_id", 5, 1.0, width, head).collect()}
     baskets = defaultdict(set)
     for p, t in data:
         if p is not None and t is not None:
