@@ -12,7 +12,6 @@ position is the one token that ends there and that the state at its start allows
 
 from __future__ import annotations
 
-import base64
 import json
 import os
 from collections.abc import Iterator
@@ -40,61 +39,95 @@ def _alphabet() -> dict[str, int]:
 
 
 class Automaton:
-    """A tokenization automaton compiled from a ranked list of merges over byte tokens."""
+    """A tokenization automaton compiled from a ranked list of merges over byte tokens.
+
+    Two tables drive it.  The reading table has a row for each beginning of a token and tells by the next byte which row follows
+    and which token, if any, ends there; only tokens that are the accepted spelling of their own text are in it.  The arc
+    table tells whether a state has an arc; its places are numbers, filled from the gadgets when they are first read.
+    """
 
     def __init__(self, ids: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         self.label = {i: t for t, i in ids.items()}
-        self.width = max(map(len, ids), default=1)
-        # gadget[t] = (time it came, left part, right part); bytes are there from time -1 on
-        self.gadget: dict[int, tuple[int, int, int]] = {ids[t]: (-1, -1, -1) for t in ids if len(t) == 1}
-        self.cut: dict[tuple[int, int], int] = {}
+        size = max(self.label, default=-1) + 1
+        # when a token's merge came (bytes before all), and its two parts
+        self.time, self.left, self.right = [-2] * size, [-1] * size, [-1] * size
+        for t, i in ids.items():
+            if len(t) == 1:
+                self.time[i] = -1
+        self.size = size
+        self.cut: dict[int, int] = {}
         for time, (u, v) in enumerate(merges):
-            w = ids[u + v]
-            self.cut.setdefault((ids[u], ids[v]), time)
-            self.gadget.setdefault(w, (time, ids[u], ids[v]))
-        self.tokens = {t: i for t, i in ids.items() if i in self.gadget}
-        self.arcs: dict[tuple[int, int], bool] = {}
-
-    def allowed(self, x: int, t: int, before: int | None = None) -> bool:
-        """Whether state x has an arc t, in the end or before the merge of time ``before`` came."""
-        if before is None:
-            got = self.arcs.get((x, t))
-            if got is None:
-                if len(self.arcs) > ARCS:
-                    self.arcs.clear()
-                got = self.arcs[x, t] = self.allowed(x, t, 1 << 60)
-            return got
-        gadget, cut = self.gadget, self.cut
+            w, a, b = ids[u + v], ids[u], ids[v]
+            self.cut.setdefault(a * size + b, time)
+            if self.time[w] == -2:
+                self.time[w], self.left[w], self.right[w] = time, a, b
+        self.arcs: dict[int, bool] = {}
+        self.rows: list[dict[int, int]] = [{}]  # reading table: byte -> row
+        self.ends: list[int] = [-1]  # the token that ends at a row
+        whole: dict[int, bool] = {}
+        for i in sorted((i for i in self.label if self.time[i] > -2), key=lambda i: self.time[i]):  # parts come before the whole
+            a, b = self.left[i], self.right[i]
+            whole[i] = self.time[i] < 0 or (whole[a] and whole[b] and self._arc(a, b, self.time[i]))
+            if whole[i]:
+                row = 0
+                for c in self.label[i]:
+                    nxt = self.rows[row].get(c)
+                    if nxt is None:
+                        nxt = self.rows[row][c] = len(self.rows)
+                        self.rows.append({})
+                        self.ends.append(-1)
+                    row = nxt
+                self.ends[row] = i
+
+    def _arc(self, x: int, t: int, before: int) -> bool:
+        """Whether state x has an arc t before the merge of time ``before`` came.
+
+        Where both tokens are merged ones, x's state copies that of its right part, made when x came, and the arc t that of its
+        left part, made when t came (of u u u the first two merge); the later of the two is undone until bytes are left.
+        """
+        time, left, right, cut, size = self.time, self.left, self.right, self.cut, self.size
         while True:
-            at = cut.get((x, t))
+            at = cut.get(x * size + t)
             if at is not None and at < before:
                 return False
-            a, b = gadget[x], gadget[t]
-            if a[0] < 0 and b[0] < 0:
+            a, b = time[x], time[t]
+            if a < 0 and b < 0:
                 return True
-            if a[0] > b[0]:  # x's state is a copy of its right part's, made when x came
-                x, before = a[2], a[0]
-            elif b[0] > a[0]:  # the arc t was made from the arc of t's left part, when t came; of u u u the first two merge
-                t, before = b[1], b[0] + 1
+            if a > b:
+                x, before = right[x], a
+            elif b > a:
+                t, before = left[t], b + 1
             else:  # x is t: its state copies its right part's, and the new arc there came of the arc of its left part
-                x, t, before = a[2], b[1], a[0]
+                x, t, before = right[x], left[t], a
+
+    def allowed(self, x: int, t: int) -> bool:
+        """Whether state x has an arc t in the end."""
+        key = x * self.size + t
+        got = self.arcs.get(key)
+        if got is None:
+            if len(self.arcs) > ARCS:
+                self.arcs.clear()
+            got = self.arcs[key] = self._arc(x, t, 1 << 60)
+        return got
 
     def encode(self, word: bytes) -> list[int]:
         """The labels of the accepted path that spells ``word``."""
-        whole = self.tokens.get(word)
-        if whole is not None and self._reachable(word, whole):
-            return [whole]
-        n, tokens, width = len(word), self.tokens, self.width
+        n, rows, ends, arcs, size = len(word), self.rows, self.ends, self.arcs, self.size
         last, start = [-1] * (n + 1), [-1] * (n + 1)
         start[0] = 0
         for i in range(n):
             if start[i] < 0:
                 continue
-            state = last[i]
-            for j in range(i + 1, min(n, i + width) + 1):
-                t = tokens.get(word[i:j])
-                if t is not None and start[j] < 0 and (state < 0 or self.allowed(state, t)) and self._reachable(word[i:j], t):
-                    last[j], start[j] = t, i
+            state, row = last[i], 0
+            for j in range(i, n):
+                row = rows[row].get(word[j], -1)
+                if row < 0:
+                    break
+                t = ends[row]
+                if t >= 0 and start[j + 1] < 0:
+                    ok = state < 0 or arcs.get(state * size + t)
+                    if ok or ok is None and self.allowed(state, t):
+                        last[j + 1], start[j + 1] = t, i
         if start[n] < 0:
             raise ValueError(f"no accepted spelling of {word!r}")
         path, at = [], n
@@ -103,18 +136,6 @@ class Automaton:
             at = start[at]
         return path[::-1]
 
-    def _reachable(self, text: bytes, t: int) -> bool:
-        """Whether t itself is the accepted spelling of its text: its parts allow each other when its merge comes."""
-        got = self.arcs.get((-1, t))
-        if got is None:
-            time, u, v = self.gadget[t]
-            if time < 0:
-                got = True
-            else:
-                got = self._reachable(self.label[u], u) and self._reachable(self.label[v], v) and self.allowed(u, v, time)
-            self.arcs[-1, t] = got
-        return got
-
     def decode(self, path: list[int]) -> bytes:
         """The text along a path: its arcs' labels."""
         return b"".join(self.label[t] for t in path)
@@ -165,12 +186,6 @@ def tokenizer(path: str) -> Tokenizer:
     return _held[path]
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    """The tokens of a .tiktoken file and their ranks."""
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-
-
 def encode_corpus(docs: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
     """(key, ids): the token ids of every row, without special tokens.
 

@@ -220,7 +220,7 @@ def library():
 
 def test_tokens_are_the_library_s():
     own, lib, rng = tokenizer.tokenizer(PATH), library(), random.Random(8)
-    toks = sorted(own.automaton.tokens)
+    toks = sorted(own.automaton.label.values())
     texts = HARD + [b"".join(rng.choice(toks) for _ in range(rng.randint(1, 6))).decode("utf-8", "replace") for _ in range(3000)]
     for t in texts:
         ids = own.encode(t)
