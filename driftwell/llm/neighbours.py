@@ -1,6 +1,7 @@
 """Most similar vectors for every vector (problem 6): balanced posting lists.
 
-Centroids come from hierarchical balanced clustering of a bounded sample.  A graph over them, held in memory by every
+Centroids come from hierarchical balanced clustering of a bounded sample; beyond what one sample can tell apart, each of its cells is
+clustered again by a sample of its own, so that lists keep their length as the collection grows.  A graph over them, held in memory by every
 worker, is searched for the lists of a vector; a vector near a boundary is replicated to every list whose centroid is,
 by distance ratio, about as near as the nearest.  Each list is compared with itself by exact cosines.
 """
@@ -14,8 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors the index is fitted on, at most.  Every vector is indexed.
-SAMPLE = 16_384
+#: Vectors that one clustering is fitted on, at most, and the fewest in a cluster of the sample.  Every vector is indexed.
+SAMPLE, LEAF = 16_384, 16
+#: Centroids at most (they are sent to all tasks: 100 MB at 384 dimensions); beyond LIST times as many vectors lists grow.
+CENTROIDS = 65_536
 #: Vectors in a list aimed at; lists of more than twice BLOCK are compared block by block.
 LIST, BLOCK = 1500, 4096
 #: Lists of a vector at most, and how much further than the nearest centroid one of them may be.
@@ -110,6 +113,36 @@ class Graph:
         return ids[:, :want], sims[:, :want]
 
 
+def refined(own: DataFrame, graph: Graph, n: int, want: int) -> np.ndarray:
+    """About ``want`` centroids for the ``n`` unit vectors (id, v): those of the graph's cells, each clustered by itself.
+
+    2 * LEAF sampled vectors are taken for each centroid wanted, a fixed share of the hash space; of a cell at most SAMPLE of them,
+    the ones of smallest hash.
+    """
+    sent = own.sparkSession.sparkContext.broadcast(graph)
+    share = min(1.0, 2 * LEAF * want / n)
+
+    def cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 1024):
+                part = pdf.iloc[lo : lo + 1024]
+                q = np.frombuffer(b"".join(part["v"]), np.float32).reshape(len(part), -1)
+                yield pd.DataFrame({"cell": sent.value.search(q, 1)[0][:, 0], "id": part["id"].to_numpy(), "v": part["v"].to_numpy()})
+
+    picked = own.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) < F.lit(max(1, int(share * (1 << 20))))).mapInPandas(cell, "cell long, id long, v binary")
+    mixed = Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(2)), "id")
+    sized = picked.join(picked.groupBy("cell").agg(F.count(F.lit(1)).alias("m")), "cell").withColumn("r", F.row_number().over(mixed)).where(F.col("r") <= SAMPLE)
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        v = np.frombuffer(b"".join(pdf["v"]), np.float32).reshape(len(pdf), -1)
+        got = centroids(v, max(LEAF, int(LIST * len(v) * share / pdf["m"].iat[0])))
+        return pd.DataFrame({"c": [x.tobytes() for x in got]})
+
+    rows = sized.groupBy("cell").applyInPandas(split, "c binary").collect()  # about ``want`` centroids
+    return np.stack(sorted((np.frombuffer(r["c"], np.float32) for r in rows), key=lambda x: x.tobytes()))
+
+
 def lists(graph: Graph, q: np.ndarray, most: int = LISTS, ratio: float = RATIO) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of the lists of each row of q: pruned by the ratio of distances to the nearest centroid."""
     ids, sims = graph.search(q, most)
@@ -187,8 +220,15 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int = 10, least: float =
     if not len(picked):
         return spark.createDataFrame([], schema)
     sample = np.frombuffer(b"".join(picked.sort_values("id")["v"]), np.float32).reshape(len(picked), d)
-    at = centroids(sample, max(16, int(LIST * len(sample) / n)))
-    sent = spark.sparkContext.broadcast((at, Graph(at)))  # at most SAMPLE / 16 * 8 centroids
+    at = centroids(sample, max(LEAF, int(LIST * len(sample) / n)))
+    want = min(CENTROIDS, -(-n // LIST))
+    if want > SAMPLE // LEAF:
+        at = refined(own.mapInPandas(unit, "id long, v binary"), Graph(at), n, want)
+    graph = Graph(at)
+    # how long lists will be: the sample's, scaled; of long ones each pair of blocks is compared by itself
+    expected = np.bincount(np.concatenate([lists(graph, sample[lo : lo + 1024])[1] for lo in range(0, len(sample), 1024)]), minlength=len(at)) * (n / len(sample))
+    blocks = np.where(expected > 2 * BLOCK, -(-expected // BLOCK), 1).astype(np.int64)
+    sent = spark.sparkContext.broadcast((graph, blocks))  # CENTROIDS vectors at most
 
     # large groups of exact copies: only the k + 1 smallest ids can be anyone's nearest
     copies = own.select("id", F.xxhash64("v").alias("h"), F.hash("v").alias("g"))
@@ -207,30 +247,21 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int = 10, least: float =
         own = own.join(spare.select("id"), "id", "left_anti")
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = sent.value[1]
+        graph, blocks = sent.value
         for pdf in unit(batches):
             ids, vs = pdf["id"].to_numpy(np.int64), pdf["v"].to_numpy()
+            mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             for lo in range(0, len(ids), 1024):
                 part = vs[lo : lo + 1024]
                 q = np.frombuffer(b"".join(part), np.float32).reshape(len(part), -1)
                 r, c = lists(graph, q)
-                yield pd.DataFrame({"list": c, "id": ids[lo + r], "v": part[r]})
+                m = blocks[c]  # a vector goes to each pair of blocks that its own is in
+                other = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+                r, c = np.repeat(r, m), np.repeat(c, m)
+                mine = (mixed[lo + r] % blocks[c].astype(np.uint64)).astype(np.int64)
+                yield pd.DataFrame({"list": c, "i": np.minimum(mine, other), "j": np.maximum(mine, other), "side": (mine > other).astype(np.int32), "id": ids[lo + r], "v": part[r]})
 
-    posted = own.mapInPandas(assign, "list long, id long, v binary")
-    posted = posted.withColumn("block", F.lit(0))
-    if n > LIST * 16:  # lists so long that they need blocks: one number for each list
-        long_ = own.mapInPandas(lambda b: (x[["list"]] for x in assign(b)), "list long").groupBy("list").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 2 * BLOCK)
-        sizes = {r["list"]: -(-r["m"] // BLOCK) for r in long_.collect()}
-    else:
-        sizes = {}
-    if not sizes:
-        faces = posted.select("list", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "id", "v")
-    else:
-        blocks = F.coalesce(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])[F.col("list")], F.lit(1))
-        own_block = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
-        # a vector goes to each pair of blocks that its own is in
-        faces = posted.withColumn("b", own_block).withColumn("o", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-        faces = faces.select("list", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"), "id", "v")
+    faces = own.mapInPandas(assign, "list long, i long, j long, side int, id long, v binary")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").drop_duplicates(["id", "side"])

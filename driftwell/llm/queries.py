@@ -41,8 +41,9 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_order(spark: SparkSession, d: str) -> DataFrame:
-    """The whole order of every query's results."""
-    return ranking.median_rank(_results(spark, d), "query_id", "post_id", {"score": 1.0, "note_count": 1.0, "published_at": 1.0})
+    """The whole order of every query's results, with the ranks that make it."""
+    got = ranking.median_rank(_results(spark, d), "query_id", "post_id", {"score": 1.0, "note_count": 1.0, "published_at": 1.0})
+    return got.select("query_id", "post_id", F.col("median_rank").cast("long").alias("median_rank"), F.round("mean_rank", 6).alias("mean_rank"), "place")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +170,7 @@ own AS (SELECT query_id, post_id, score, CASE WHEN c.id IS NULL THEN stale ELSE
 ranks AS (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST) AS a, rank() OVER (PARTITION BY query_id ORDER BY note_count DESC NULLS LAST) AS b,
   rank() OVER (PARTITION BY query_id ORDER BY published_at DESC NULLS LAST) AS c FROM own),
 placed AS (SELECT *, a + b + c - greatest(a, b, c) - least(a, b, c) AS m FROM ranks),
-final AS (SELECT query_id, post_id, row_number() OVER (PARTITION BY query_id ORDER BY m, a + b + c, post_id) AS place FROM placed)
+final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY m, a + b + c, post_id) AS place FROM placed)
 """
 _NEAR = """
 v AS (SELECT 'account' AS kind, id, embedding::DOUBLE[384] AS e FROM accounts WHERE embedding IS NOT NULL AND len(embedding) = 384 UNION ALL
@@ -184,6 +185,7 @@ def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express over whole tables; the others are tested against brute force."""
     return {
         "p2_found": f"WITH {_RANKS} SELECT query_id, post_id FROM final WHERE place <= 10",
+        "p2_order": f"WITH {_RANKS} SELECT query_id, post_id, m AS median_rank, round((a + b + c) / 3.0::DOUBLE, 6) AS mean_rank, place FROM final",
         "p5_found": f"WITH {_PAIRS} SELECT tag_a, tag_b FROM lifts WHERE n * total >= 10 * n_a * n_b",
         "p5_lift": f"WITH {_PAIRS} SELECT tag_a, tag_b, n, n_a, n_b, total, n::DOUBLE * total / (n_a::DOUBLE * n_b) AS lift FROM lifts",
         "p6_found": f"WITH {_NEAR} SELECT DISTINCT kind, least(id, other) AS id_a, greatest(id, other) AS id_b FROM near WHERE place <= 10 AND cosine >= 0.82",

@@ -167,7 +167,10 @@ def test_near_pairs_against_brute_force(spark):
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
 
 
-def test_neighbours_in_many_lists_and_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("sample", [16_384, 160])
+def test_neighbours_in_many_lists_and_blocks(spark, monkeypatch, sample):
+    # a sample of 160 tells ten cells apart, too few for the thirty lists wanted: each cell is clustered again
+    monkeypatch.setattr(neighbours, "SAMPLE", sample)
     monkeypatch.setattr(neighbours, "LIST", 40)
     monkeypatch.setattr(neighbours, "BLOCK", 16)
     rng = np.random.default_rng(5)

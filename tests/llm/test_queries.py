@@ -45,3 +45,19 @@ def test_repeated_rows_and_clashing_columns_change_nothing(spark, folders, name)
     assert one.columns == COLUMNS[name].split()
     want = {tuple(str(x) for x in r) for r in one.collect()}
     assert {tuple(str(x) for x in r) for r in q.queries()[name](spark, folders["doubled"]).collect()} == want and (want or name == "p6_found")
+
+
+def test_rates_are_those_of_the_scores(spark):
+    from driftwell.llm import abuse
+
+    scores = q.p3_scores(spark, str(DATA)).collect()
+    for r in q.p3_rates(spark, str(DATA)).collect():
+        own = [x for x in scores if x.account_id == r.account_id]
+        bad = [x for x in own if x.score >= abuse.LIMIT]
+        assert (r.posts, r.abusive, r.missed) == (len(own), len(bad), sum(not x.nsfw for x in bad)) and abs(r.rate - len(bad) / len(own)) < 1e-6
+
+
+def test_segments_hold_the_languages(spark):
+    langs = {(r.post_id, r.lang) for r in q.p4_languages(spark, str(DATA)).collect()}
+    spans = q.p4_segments(spark, str(DATA)).collect()
+    assert {(r.post_id, r.lang) for r in spans} == langs and all(0 <= r.start < r.end for r in spans)
