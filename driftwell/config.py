@@ -13,6 +13,7 @@ class SearchConfig:
     rrf_k: int = 60
     note_count_boost: float = 0.1
     half_life_days: float = 90.0
+    analyser: str = "english"
     keyword_depth: int = 100
     vector_depth: int = 100
     account_depth: int = 50

@@ -10,11 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Letters and digits that the simple analyser keeps, the same on Java's and RE2's engines.
-SPLIT = r"[^a-z0-9à-öø-ÿ]+"
+#: What stands between the words of any script: no letter, digit or mark on a letter; the same on Java's and RE2's engines.
+SPLIT = r"[^\p{L}\p{N}\p{M}]+"
 
 
 def clean_html(raw: Column) -> Column:
@@ -194,7 +195,13 @@ class Stemmer:
 
 
 _stem = Stemmer()
-_SPLIT = re.compile(r"[^a-z0-9à-öø-ÿ']+")
+_SPLIT = regex.compile(r"[^\p{L}\p{N}\p{M}']+")
+_WORDS = regex.compile(SPLIT)
+
+
+def simple_words(text: str | None) -> list[str]:
+    """The words of a text in order, in lower case."""
+    return [w for w in _WORDS.split((text or "").lower()) if w]
 
 
 def english_positions(text: str | None) -> list[tuple[str, int]]:
@@ -203,6 +210,13 @@ def english_positions(text: str | None) -> list[tuple[str, int]]:
     return [(_stem(w), i) for i, w in enumerate((w for w in words if w), 1) if w not in STOP]
 
 
+def may_hold(lexeme: str, text: Column) -> Column:
+    """Whether a text can hold a word with this English stem: endings change its last letter at most, but for the listed words."""
+    low = F.lower(text)
+    own = [lexeme[:-1], *(w for w, s in Stemmer.WHOLE.items() if s == lexeme)]
+    return F.exists(F.array(*[F.lit(x) for x in own]), lambda x: F.contains(low, x))
+
+
 def english_terms(text: Column) -> Column:
     """The ``english`` analyser."""
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +47,46 @@ def summary(per_query: DataFrame, by: list[str] | None = None, digits: int = 4)
     return per_query.groupBy(*(by or [])).agg(*aggs)
 
 
+def grid_metrics(lists: DataFrame, configs: list[tuple], query: str = "query_id", k: int = 10) -> DataFrame:
+    """(config, query, ndcg) of each query's list under every configuration of ``grid``.
+
+    ``lists`` is (query, r), r an array of (post_id, p1, p2, notes, g): a result's two ranks, its notes and its grade.  A query's
+    lists are ordered in one task, an Arrow batch of queries at a time; ties go to the smaller post_id.
+    """
+    g = np.asarray([c[1:] for c in configs], float)
+    names = np.asarray([c[0] for c in configs], np.int32)
+    kind = lists.schema[query].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for q, r in zip(pdf[query], pdf["r"], strict=True):
+                r = sorted(r, key=lambda x: x["post_id"])
+                p1, p2, notes, grade = (np.asarray([x[c] for x in r], float) for c in ("p1", "p2", "notes", "g"))
+                base = g[:, 0, None] / (g[:, 3, None] + p1) + g[:, 1, None] / (g[:, 3, None] + p2)
+                score = np.round(base * (1 + g[:, 4, None] * np.log2(1 + notes)), 9)
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                gain = 1 / np.log2(np.arange(2, top.shape[1] + 2))
+                best = (np.sort(grade)[::-1][: len(gain)] * gain).sum()
+                out.append(pd.DataFrame({"config": names, query: q, "ndcg": (grade[top] * gain).sum(axis=1) / best if best > 0 else 0.0}))
+            if out:
+                yield pd.concat(out)
+
+    return lists.select(query, "r").mapInPandas(run, f"config int, `{query}` {kind}, ndcg double")
+
+
+def split_rows(rows: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(training rows, test rows): the keys in the order of their salted hash, the first ``share`` of them for training.
+
+    The same keys fall on the same side whatever the partitioning.
+    """
+    keys = rows.select(key).distinct().select(key, F.md5(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string"))).alias("_h"))
+    place = F.row_number().over(Window.orderBy("_h", key))  # evaluation queries, each judged by hand: thousands
+    keys = keys.withColumn("_train", place <= F.floor(F.lit(share) * F.count(F.lit(1)).over(Window.partitionBy())))
+    own = rows.join(F.broadcast(keys.select(key, "_train")), key)
+    return own.where("_train").drop("_train"), own.where("not _train").drop("_train")
+
+
 def split(keys: list, share: float = 0.8, seed: int = 42) -> tuple[list, list]:
     """A seeded split of the sorted keys into training and test."""
     own = sorted(keys)
@@ -52,7 +95,7 @@ def split(keys: list, share: float = 0.8, seed: int = 42) -> tuple[list, list]:
     return own[:n], own[n:]
 
 
-#: The grid of weights and constants.
+#: The grid of weights and constants.
 GRID = {"w_t": (0.4, 0.5, 0.6), "w_i": (0.25, 0.35), "rrf_k": (30, 60, 90), "boost": (0.05, 0.1, 0.2)}
 
 

@@ -7,7 +7,7 @@ query; one without words matches nothing.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -48,7 +48,7 @@ class Or:
 
 
 def _simple(text: str) -> list[tuple[str, int]]:
-    return [(w, i) for i, w in enumerate((w for w in re.split(tx.SPLIT, text.lower()) if w), 1)]
+    return [(w, i) for i, w in enumerate(tx.simple_words(text), 1)]
 
 
 def analyse(text: str, analyser: str) -> list[tuple[str, int]]:
@@ -134,40 +134,55 @@ def cover_density(node, at: dict[str, list[int]], weight: float = 0.1) -> float:
     A cover is a stretch of the text that satisfies the query and holds no smaller one that does.
     """
     own = lexemes(node)
-    if len(own) == 1:
-        return weight * len(at.get(own[0], ()))
-    marks = sorted((p, x) for x in own for p in at.get(x, ()))
-    total, lo, last = 0.0, 0, -1
-    for hi in range(len(marks)):
-        inside: dict[str, list[int]] = {}
-        for p, x in marks[lo : hi + 1]:
-            inside.setdefault(x, []).append(p)
-        if not _covered(node, inside):
-            continue
-        while lo < hi:  # drop from the left while it still holds
-            trial: dict[str, list[int]] = {}
-            for p, x in marks[lo + 1 : hi + 1]:
-                trial.setdefault(x, []).append(p)
-            if not _covered(node, trial):
-                break
-            lo += 1
-        start, end = marks[lo][0], marks[hi][0]
-        if start > last:
-            need = hi - lo
-            total += weight / (1 + max(0, (end - start) - need))
+    if len(own) < 2:
+        return weight * sum(len(at.get(x, ())) for x in own)
+    marks = sorted(p for x in own for p in at.get(x, ()))
+    place = {p: i for i, p in enumerate(marks)}
+    latest = _latest(node, at)
+    total, last = 0.0, float("-inf")
+    for hi, end in enumerate(marks):
+        start = latest(end)
+        if start > last:  # a cover that no smaller one lies in
+            total += weight / (1 + max(0, (end - start) - (hi - place[start])))
             last = start
-        lo += 1
     return total
 
 
-def _covered(node, at: dict[str, list[int]]) -> bool:
-    if isinstance(node, Not):
-        return True
+def _latest(node, at: dict[str, list[int]]) -> Callable[[int], float]:
+    """A function of growing places: the last one from which on the text up to there satisfies the tree (exclusions left aside)."""
+    none = float("-inf")
+    if isinstance(node, Term | Phrase):
+        if isinstance(node, Term):
+            runs = [(p, p) for p in at.get(node.lexeme, ())]
+        else:
+            rest = [(set(at.get(x, ())), o) for x, o in zip(node.lexemes, node.offsets, strict=True)]
+            runs = [(p, p + node.offsets[-1]) for p in at.get(node.lexemes[0], ()) if all(p + o in own for own, o in rest)]
+        runs.sort(key=lambda r: r[1])
+        k = 0
+
+        def leaf(end: int) -> float:
+            nonlocal k
+            while k < len(runs) and runs[k][1] <= end:
+                k += 1
+            return runs[k - 1][0] if k else none
+
+        return leaf
+    parts = [_latest(p, at) for p in node.parts if not isinstance(p, Not)]
     if isinstance(node, And):
-        return all(_covered(p, at) for p in node.parts)
-    if isinstance(node, Or):
-        return any(_covered(p, at) for p in node.parts if not isinstance(p, Not))
-    return satisfied(node, at)
+        return lambda end: min((f(end) for f in parts), default=none)
+    return lambda end: max((f(end) for f in parts), default=none)
+
+
+def may_match(node, text: Column) -> Column:
+    """Whether a text can match a tree of English stems, by the beginnings of its words; exclusions don't count."""
+    if isinstance(node, Term):
+        return tx.may_hold(node.lexeme, text)
+    if isinstance(node, Phrase):
+        return reduce(lambda a, b: a & b, [tx.may_hold(x, text) for x in node.lexemes])
+    if isinstance(node, Not):
+        return F.lit(True)
+    parts = [may_match(p, text) for p in node.parts]
+    return reduce((lambda a, b: a & b) if isinstance(node, And) else (lambda a, b: a | b), parts)
 
 
 def rank_column(node, words: Column) -> Column | None:
@@ -181,7 +196,8 @@ def rank_column(node, words: Column) -> Column | None:
 def keyword_scores(rows: DataFrame, key: str, text: str, query: str, analyser: str = "simple") -> DataFrame:
     """(key, kw_score) of the rows whose text matches; null texts match nothing but a pure exclusion.
 
-    One-term queries under ``simple`` stay in the JVM; the others rank in an Arrow batch, after a JVM match under ``simple``.
+    One-term queries under ``simple`` stay in the JVM; the others rank in an Arrow batch, after a JVM match under ``simple`` and a
+    JVM test for the beginnings of the words under ``english``.
     """
     node = parse(query, analyser)
     if node is None:
@@ -194,6 +210,7 @@ def keyword_scores(rows: DataFrame, key: str, text: str, query: str, analyser: s
         hit = hit.select(key, F.col(text).alias("_t"))
     else:
         hit = rows.select(key, F.col(text).alias("_t"))
+        hit = hit if satisfied(node, {}) else hit.where(may_match(node, F.col("_t")))
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.functions import text as tx
+from driftwell.sources.store import cut
 
 #: Post types that are never stored.
 EXCLUDED = ("video",)
@@ -59,14 +60,24 @@ def with_ids(table: DataFrame, new: DataFrame, key: str, id_col: str = "id") ->
     return table.unionByName(fresh.select((F.col("_top") + F.col("_from") + F.col("_place")).alias(id_col), key), allowMissingColumns=True)
 
 
-def upsert(table: DataFrame, new: DataFrame, key: str, refresh: list[str], order: Column | None = None) -> DataFrame:
-    """``table`` with the rows of ``new``: known keys get the ``refresh`` columns only (null keeps the old value), others are added.
+def last_of(new: DataFrame, key: str, order: Column | None = None) -> DataFrame:
+    """One row for each ``key``: the last by ``order``, ties by the greatest row; rows with a null key are left out.
 
-    Of several new rows of a key the last by ``order`` counts.
+    Folded by a map-side maximum, so a key with many rows is no hot group.
     """
-    if order is not None:
-        cols = [c for c in new.columns if c != key]
-        new = new.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
+    cols = [c for c in new.columns if c != key]
+    rank = F.struct(*([order.alias("_o")] if order is not None else []), F.to_json(F.struct(*cols)).alias("_j"))
+    best = F.max_by(F.struct(*cols), rank).alias("_r")
+    return new.where(F.col(key).isNotNull()).groupBy(key).agg(best).select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
+
+
+def upsert(table: DataFrame, new: DataFrame, key: str, refresh: list[str], order: Column | None = None, overwrite: tuple[str, ...] = ()) -> DataFrame:
+    """``table`` with the rows of ``new``: known keys get the ``refresh`` columns only, others are added.
+
+    A null in ``new`` keeps the old value, but for the columns of ``overwrite``.  Of several new rows of a key the last by
+    ``order`` counts (the greatest without one).
+    """
+    new = last_of(new, key, order)
     t, n = table.alias("t"), new.alias("n")
     own = t.join(n, F.col(f"t.{key}") == F.col(f"n.{key}"), "full_outer")
     known = F.col(f"t.{key}").isNotNull()
@@ -76,7 +87,9 @@ def upsert(table: DataFrame, new: DataFrame, key: str, refresh: list[str], order
         if c == key:
             out.append(F.coalesce(F.col(f"t.{c}"), new_c).alias(c))
         elif c in refresh and c in new.columns:
-            out.append(F.when(known, F.coalesce(new_c, F.col(f"t.{c}"))).otherwise(new_c).alias(c))
+            seen = F.col(f"n.{key}").isNotNull()
+            kept = F.when(seen, new_c).otherwise(F.col(f"t.{c}")) if c in overwrite else F.coalesce(new_c, F.col(f"t.{c}"))
+            out.append(F.when(known, kept).otherwise(new_c).alias(c))
         else:
             out.append(F.when(known, F.col(f"t.{c}")).otherwise(new_c).alias(c))
     return own.select(*out)
@@ -90,12 +103,15 @@ def count_up(tags: DataFrame, seen: DataFrame, key: str = "name", counter: str =
     return own.select(*rest, key, (F.coalesce(F.col(counter), F.lit(0)) + F.coalesce("_d", F.lit(0))).alias(counter)).select(*tags.columns)
 
 
-def last_write(table: DataFrame, new: DataFrame, key: str, required: list[str] | None = None) -> DataFrame:
-    """Vector points replaced or added by key; ValueError if a required payload column is missing."""
+def last_write(table: DataFrame, new: DataFrame, key: str, required: list[str] | None = None, order: Column | None = None) -> DataFrame:
+    """Vector points replaced or added by key; ValueError if a required payload column is missing.
+
+    Of several new points of a key the last by ``order`` counts (the greatest without one).
+    """
     lacking = [c for c in required or [] if c not in new.columns]
     if lacking:
         raise ValueError(f"missing payload: {', '.join(lacking)}")
-    return table.join(new.select(key), key, "left_anti").unionByName(new.dropDuplicates([key]), allowMissingColumns=True)
+    return table.join(new.select(key), key, "left_anti").unionByName(last_of(new, key, order), allowMissingColumns=True)
 
 
 def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -151,6 +167,27 @@ def reset_dead(state: DataFrame) -> DataFrame:
     return state.withColumn("fail_count", F.when(dead, 0).otherwise(F.col("fail_count")).cast("long")).withColumn("status", F.when(dead, "pending").otherwise(F.col("status")))
 
 
+def chunks(ids: DataFrame, key: str = "id", size: int = 100) -> DataFrame:
+    """(key, chunk): the distinct keys in order, cut into runs of ``size``.
+
+    The keys are range-partitioned; a partition numbers its own, and one number for each carries over.
+    """
+    own = ids.select(key).where(F.col(key).isNotNull()).distinct()
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = cut(own.repartitionByRange(parts, key).withColumn("_p", F.spark_partition_id()))
+    counts = own.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_from"))  # a row for each part
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
+    return own.withColumn("_place", place).join(F.broadcast(counts), "_p").select(key, F.floor((F.col("_from") + F.col("_place")) / size).cast("long").alias("chunk"))
+
+
+def dead_letters(feed: DataFrame, need: tuple[str, ...] = ("id", "blog_name")) -> tuple[DataFrame, DataFrame]:
+    """(good rows, dead letters with their reason): a dead letter lacks one of the needed fields."""
+    lacking = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(f"no {c}")) for c in need]))
+    own = feed.withColumn("_lacking", lacking)
+    return own.where(F.size("_lacking") == 0).drop("_lacking"), own.where(F.size("_lacking") > 0).withColumn("reason", F.array_join("_lacking", ", ")).drop("_lacking")
+
+
 def seed(state: DataFrame, names: DataFrame) -> DataFrame:
     """``state`` with unknown seed blogs as pending."""
     fresh = names.select("blog_name").distinct().withColumn("status", F.lit("pending")).withColumn("fail_count", F.lit(0).cast("long"))

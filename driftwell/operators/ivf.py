@@ -34,10 +34,9 @@ def fit_cells(rows: DataFrame, key: str, vector: str, cells: int, seed: int = 42
     return at
 
 
-def assign(rows: DataFrame, key: str, vector: str, centroids: np.ndarray) -> DataFrame:
-    """(key, vector, cell); write it with partitionBy("cell") so that a query's other cells aren't read.  Zero vectors are left out."""
+def assign(rows: DataFrame, key: str, vector: str, centroids: np.ndarray, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, vector, keep..., cell); write it with partitionBy("cell") so that a query's other cells aren't read.  Zero vectors are left out."""
     sent = rows.sparkSession.sparkContext.broadcast(centroids)  # the number of cells times the dimension
-    kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -46,8 +45,9 @@ def assign(rows: DataFrame, key: str, vector: str, centroids: np.ndarray) -> Dat
                 ok = np.linalg.norm(m, axis=1) > 0
                 yield pdf[ok].assign(cell=(m[ok] @ sent.value.T).argmax(axis=1).astype(np.int32))
 
-    own = rows.where(F.size(vector) == centroids.shape[1]).select(key, F.col(vector).cast("array<float>").alias(vector))
-    return own.mapInPandas(run, f"`{key}` {kind}, `{vector}` array<float>, cell int")
+    own = rows.where(F.size(vector) == centroids.shape[1]).select(key, vector, *keep)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
+    return own.mapInPandas(run, f"{fields}, cell int")
 
 
 def topk(indexed: DataFrame, key: str, vector: str, centroids: np.ndarray, query: Sequence[float], k: int = 100, probes: int = 8) -> DataFrame:

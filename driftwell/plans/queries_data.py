@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,16 +10,13 @@ from driftwell.operators import ingest, retrieve
 from driftwell.plans import stats
 from driftwell.plans.queries_search import CUR, current_posts
 from driftwell.schema import FEED_POST, read
+from driftwell.sources.store import new_folder
 from driftwell.streaming import ingest as streams
 
 
 def _work(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share where the cluster names one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        path = f"{root}/{name}-{os.urandom(6).hex()}"
-        return path
-    return tempfile.mkdtemp(prefix=f"driftwell-{name}-")
+    """A new folder that all executors share."""
+    return new_folder(spark, name)
 
 
 def table_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -32,7 +26,7 @@ def table_scan(spark: SparkSession, d: str) -> DataFrame:
 def browse_limit(spark, d):
     """Ten rows of a table that may be browsed: how many, and that its columns are all there."""
     got = stats.browse({"tags": read(spark, d, "tags")}, "tags", 10)
-    return got.agg(F.count(F.lit(1)).alias("n"))
+    return got.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids")).withColumn("columns", F.lit(",".join(sorted(got.columns))))
 
 
 def vector_scroll(spark, d):
@@ -110,7 +104,10 @@ def insert_ignore_accounts(spark, d):
     """New blogs after those known, with ids after the highest one."""
     known = read(spark, d, "accounts").where("total_posts is not null").select("id", "blog_name")
     got = ingest.with_ids(known, read(spark, d, "accounts").select("blog_name"), "blog_name")
-    return got.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct("blog_name").alias("names"), F.max("id").alias("top"))
+    old = known.select("blog_name", F.col("id").alias("known_id"))
+    top = known.agg(F.max("id").alias("_top"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("blog_name"))  # an id that two blogs share would have a second place
+    return got.withColumn("place", place.cast("long")).join(old, "blog_name", "left").crossJoin(F.broadcast(top)).select("blog_name", "known_id", (F.col("id") > F.col("_top")).alias("fresh"), "place", F.when(F.col("known_id").isNotNull(), F.col("id")).alias("id"))
 
 
 def count_tag_usage(spark, d):
@@ -193,9 +190,9 @@ def threshold_gate(spark, d):
 
 
 def reindex_ids(spark, d):
-    """Safe posts in chunks of a hundred by id."""
-    p = current_posts(spark, d).where(~F.coalesce("nsfw", F.lit(False))).select("id")
-    return p.groupBy(F.floor(F.col("id") / 100).cast("long").alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    """Safe posts in order of their ids, cut into chunks of a hundred."""
+    p = ingest.chunks(current_posts(spark, d).where(~F.coalesce("nsfw", F.lit(False))))
+    return p.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
 
 
 def corpus_stats(spark, d):
@@ -263,8 +260,8 @@ def _ad_hoc(text):
 def sql_passthrough(spark, d):
     """What the read-only SQL door lets in and keeps out."""
     read(spark, d, "tags").createOrReplaceTempView("dw_tags")
-    tries = ["SELECT count(*) AS n FROM dw_tags", "WITH x AS (SELECT 1 AS a) SELECT a FROM x", "DROP TABLE dw_tags", "INSERT INTO dw_tags VALUES (1)", "SELECT nothing FROM nowhere"]
-    return spark.createDataFrame([(i, "error" not in stats.run_sql(spark, t)) for i, t in enumerate(tries)], "i int, ran boolean")
+    tries = ["SELECT count(*) AS n FROM dw_tags", "WITH x AS (SELECT 1 AS a) SELECT a FROM x", "DROP TABLE dw_tags", "INSERT INTO dw_tags VALUES (1)", "WITH x AS (SELECT 1 AS a) INSERT INTO dw_tags SELECT a FROM x", "SELECT 'DropTable InsertInto' AS a FROM dw_tags"]
+    return spark.createDataFrame([(i, "error" not in stats.run_sql(spark, t, 500)) for i, t in enumerate(tries)], "i int, ran boolean")
 
 
 def event_windows(spark, d):
@@ -272,12 +269,12 @@ def event_windows(spark, d):
     return streams.windowed(read(spark, d, "events"), "ts", ["event_type"]).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
 
 
-def _stream(spark, d, name, select):
-    """The events as a stream of files."""
+def _stream(spark, d, name, select, files=2):
+    """The events as a stream of files, ``files`` in a micro-batch."""
     src = _work(spark, name)
     read(spark, d, "events").select(*select).repartition(4).write.mode("overwrite").parquet(f"{src}/in")
     schema = spark.read.parquet(f"{src}/in").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{src}/in"), src
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{src}/in"), src
 
 
 def stream_windows(spark, d):
@@ -299,9 +296,9 @@ def stream_ingest(spark, d):
     feed = current_posts(spark, d).where("tumblr_id is not null").select(F.col("tumblr_id").alias("id"), F.lit("text").alias("type"), F.concat(F.lit("blog"), "account_id").alias("blog_name"), F.unix_seconds("published_at").alias("timestamp"), F.col("body_raw").alias("body"), F.col("note_count").cast("string").alias("note_count"), F.col("nsfw"))
     feed.repartition(4).write.mode("overwrite").json(f"{src}/in")
     stream = lambda: spark.readStream.schema(FEED_POST).option("maxFilesPerTrigger", 2).json(f"{src}/in")
-    sink = streams.PostSink(spark, f"{src}/posts")
+    sink = streams.PostSink(spark, f"{src}/posts", buckets=8)
     streams.run_once(stream(), sink, f"{src}/cp1")
-    again = streams.PostSink(spark, f"{src}/posts")
+    again = streams.PostSink(spark, f"{src}/posts", buckets=8)
     streams.run_once(stream(), lambda b, n: again(b, n + 100), f"{src}/cp2")
     return again.table().agg(F.count(F.lit(1)).alias("posts"), F.countDistinct("tumblr_id").alias("ids"), F.sum("note_count").alias("notes"))
 
@@ -310,23 +307,37 @@ _ING = f"WITH {CUR} SELECT count(DISTINCT tumblr_id) AS posts, count(DISTINCT tu
 
 
 def stream_token_bucket(spark, d):
-    """Calls granted to each user by a bucket of two tokens a day, from a stream of the events."""
-    s, src = _stream(spark, d, "bucket", ["user_id", F.col("ts").cast("timestamp").alias("ts")])
+    """Calls granted to each user by a bucket of two tokens a day, from a stream of the events in one micro-batch."""
+    s, src = _stream(spark, d, "bucket", ["user_id", F.col("ts").cast("timestamp").alias("ts")], 64)
     streams.run_once(streams.token_bucket(s, "user_id", "ts", 2, 86_400), lambda b, n: b.write.mode("overwrite").parquet(f"{src}/out/b={n}"), f"{src}/cp")
-    return spark.read.parquet(f"{src}/out").groupBy("granted").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(f"{src}/out").groupBy("user_id").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.col("granted").cast("long")).alias("granted"))
+
+
+_BUCKET = """WITH RECURSIVE e AS (SELECT user_id AS u, epoch_us(ts) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+r AS (SELECT u, i, t, 1.0::DOUBLE AS left_, true AS granted FROM e WHERE i = 1 UNION ALL
+  SELECT u, i, t, x - (x >= 1)::INT AS left_, x >= 1 AS granted FROM (SELECT e.u, e.i, e.t, least(2.0, r.left_ + (e.t - r.t) * 2 / 86400) AS x FROM r JOIN e ON e.u = r.u AND e.i = r.i + 1) n)
+SELECT u AS user_id, count(*) AS calls, sum(granted::INT)::BIGINT AS granted FROM r GROUP BY u"""
 
 
 def stream_crawl_state(spark, d):
-    """Blogs (users) after a stream of fetches (events): how many are in each state."""
-    s, src = _stream(spark, d, "crawl", [F.concat(F.lit("blog"), "user_id").alias("blog_name"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 4 != 0).alias("ok"), (F.col("event_id") % 50).alias("posts"), F.col("event_id").alias("last_timestamp")])
+    """Blogs (users) after a stream of fetches (events) in one micro-batch: the state of each."""
+    s, src = _stream(spark, d, "crawl", [F.concat(F.lit("blog"), "user_id").alias("blog_name"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 4 != 0).alias("ok"), (F.col("event_id") % 50).alias("posts"), F.col("event_id").alias("last_timestamp")], 64)
     streams.run_once(streams.crawl_states(s), lambda b, n: b.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{src}/out/b={n}"), f"{src}/cp")
-    last = spark.read.parquet(f"{src}/out").groupBy("blog_name").agg(F.max_by("status", "n").alias("status"))
-    return last.groupBy("status").agg(F.count(F.lit(1)).alias("blogs"))
+    last = spark.read.parquet(f"{src}/out").groupBy("blog_name").agg(F.max_by(F.struct("status", "fail_count", "last_timestamp"), "n").alias("s"))
+    return last.select("blog_name", "s.*")
+
+
+_CRAWL = """WITH RECURSIVE e AS (SELECT user_id AS u, event_id % 4 <> 0 AS ok, event_id % 50 AS posts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT DISTINCT u, 0::BIGINT AS i, 'pending' AS status, 0::BIGINT AS fails, NULL::BIGINT AS cursor FROM e UNION ALL
+  SELECT e.u, e.i, CASE WHEN status IN ('dead', 'done') THEN status WHEN NOT ok AND fails >= 2 THEN 'dead' WHEN NOT ok THEN status WHEN posts = 0 THEN 'done' ELSE 'active' END,
+    CASE WHEN status IN ('dead', 'done') THEN fails WHEN NOT ok THEN fails + 1 WHEN posts = 0 THEN fails ELSE 0 END,
+    CASE WHEN status IN ('dead', 'done') OR NOT ok OR posts = 0 THEN cursor ELSE event_id END FROM r JOIN e ON e.u = r.u AND e.i = r.i + 1)
+SELECT 'blog' || u AS blog_name, arg_max(status, i) AS status, arg_max(fails, i) AS fail_count, max(cursor) FILTER (WHERE i = (SELECT max(i) FROM e WHERE e.u = r.u)) AS last_timestamp FROM r GROUP BY u"""
 
 
 QUERIES = {
     "table_scan": (table_scan, "SELECT id, blog_name, total_posts FROM accounts WHERE total_posts IS NOT NULL"),
-    "browse_limit": (browse_limit, "SELECT count(*) AS n FROM (SELECT * FROM tags LIMIT 10)"),
+    "browse_limit": (browse_limit, "SELECT count(*) AS n, count(DISTINCT id) AS ids, 'embedding,id,name,usage_count' AS columns FROM (SELECT * FROM tags LIMIT 10)"),
     "vector_scroll": (vector_scroll, "SELECT id, len(embedding) AS size FROM tags WHERE embedding IS NOT NULL"),
     "account_scroll": (account_scroll, f"WITH {CUR} SELECT account_id, id, row_number() OVER (PARTITION BY account_id ORDER BY published_at DESC NULLS LAST, id DESC) AS place FROM cur QUALIFY place <= 5"),
     "optional_filters": (optional_filters, f"WITH {CUR} SELECT id FROM cur WHERE lang = 'en' AND published_at >= TIMESTAMPTZ '2023-06-01 00:00:00+00' AND published_at <= TIMESTAMPTZ '2025-01-01 00:00:00+00' AND note_count >= 5"),
@@ -336,7 +347,7 @@ QUERIES = {
     "posts_without_tags": (posts_without_tags, f"WITH {CUR} SELECT id FROM cur WHERE id NOT IN (SELECT post_id FROM post_tags WHERE post_id IS NOT NULL)"),
     "blogs_by_posts": (blogs_by_posts, f"WITH {CUR} SELECT blog_name, count(cur.id) AS posts FROM accounts a LEFT JOIN cur ON cur.account_id = a.id GROUP BY blog_name"),
     "upsert_posts": (upsert_posts, _UPS),
-    "insert_ignore_accounts": (insert_ignore_accounts, "SELECT count(*) AS n, count(DISTINCT id) AS ids, count(DISTINCT blog_name) AS names, (SELECT max(id) FROM accounts WHERE total_posts IS NOT NULL) + (SELECT count(*) FROM accounts WHERE total_posts IS NULL) AS top FROM accounts"),
+    "insert_ignore_accounts": (insert_ignore_accounts, "SELECT blog_name, CASE WHEN total_posts IS NOT NULL THEN id END AS known_id, total_posts IS NULL AS fresh, 1 AS place, CASE WHEN total_posts IS NOT NULL THEN id END AS id FROM accounts"),
     "count_tag_usage": (count_tag_usage, "WITH s AS (SELECT name, count(*) AS n FROM post_tags JOIN tags ON tags.id = tag_id GROUP BY name) SELECT coalesce(t.name, s.name) AS name, coalesce(t.u, 0) + coalesce(n, 0) AS usage_count FROM (SELECT name, usage_count AS u FROM tags WHERE usage_count IS NOT NULL) t FULL JOIN s ON s.name = t.name"),
     "insert_ignore_post_tags": (insert_ignore_post_tags, "SELECT DISTINCT post_id, tag_id FROM post_tags"),
     "last_write_vectors": (last_write_vectors, "SELECT id, CASE WHEN usage_count IS NULL THEN 1 ELSE len(embedding) END AS v FROM tags WHERE embedding IS NOT NULL UNION ALL SELECT unnest([-3, -2, -1]), 2"),
@@ -348,7 +359,7 @@ QUERIES = {
     "crawl_reset": (crawl_reset, f"WITH {_STATE} SELECT blog_name, CASE WHEN status = 'dead' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'dead' THEN 0 ELSE fail_count END AS fail_count FROM st UNION ALL SELECT unnest(['seed-one', 'seed-two']), 'pending', 0"),
     "crawl_states_listing": (crawl_states_listing, f"WITH {_STATE} SELECT blog_name, status FROM st WHERE status IN ('active', 'pending') ORDER BY last_crawled_at DESC NULLS LAST, blog_name LIMIT 25"),
     "threshold_gate": (threshold_gate, f"WITH {CUR} SELECT count(*) AS indexed, count(*) < 50000 AS open FROM safe"),
-    "reindex_ids": (reindex_ids, f"WITH {CUR} SELECT id // 100 AS chunk, count(*) AS n, min(id) AS first FROM safe GROUP BY 1"),
+    "reindex_ids": (reindex_ids, f"WITH {CUR} SELECT (r - 1) // 100 AS chunk, count(*) AS n, min(id) AS first FROM (SELECT id, row_number() OVER (ORDER BY id) AS r FROM safe) GROUP BY 1"),
     "corpus_stats": (corpus_stats, f"WITH {CUR} SELECT 'posts_safe' AS name, count(*) AS n FROM safe UNION ALL SELECT 'posts_unsafe', count(*) FROM cur WHERE nsfw UNION ALL SELECT 'accounts', count(*) FROM accounts UNION ALL SELECT 'tags', count(*) FROM tags"),
     "crawl_stats": (crawl_stats, f"WITH {_STATE} SELECT status, count(*) AS n FROM st GROUP BY status"),
     "last_crawled": (last_crawled, "SELECT floor(epoch_us(max(updated_at)) / 1000000.0)::BIGINT AS at FROM accounts"),
@@ -357,10 +368,10 @@ QUERIES = {
     "seed_sets": (seed_sets, "SELECT blog_name, CASE WHEN description IS NOT NULL THEN 'both' ELSE 'first' END AS side FROM accounts WHERE title IS NOT NULL"),
     "sql_filter_aggregate": (sql_filter_aggregate, f"WITH {CUR} SELECT post_type, count(*) AS n, count(*) FILTER (WHERE nsfw) AS flagged, count(*) FILTER (WHERE published_at IS NULL) AS undated FROM cur GROUP BY post_type"),
     **{k: (_ad_hoc(v), v) for k, v in _SQL.items()},
-    "sql_passthrough": (sql_passthrough, None),
+    "sql_passthrough": (sql_passthrough, "SELECT i::INT AS i, ran FROM (VALUES (0, true), (1, true), (2, false), (3, false), (4, false), (5, true)) t(i, ran)"),
     "event_windows": (event_windows, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"),
     "stream_windows": (stream_windows, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"),
     "stream_ingest": (stream_ingest, _ING),
-    "stream_token_bucket": (stream_token_bucket, None),
-    "stream_crawl_state": (stream_crawl_state, None),
+    "stream_token_bucket": (stream_token_bucket, _BUCKET),
+    "stream_crawl_state": (stream_crawl_state, _CRAWL),
 }

@@ -10,8 +10,9 @@ from driftwell.functions import scoring, trigram
 from driftwell.functions import text as tx
 from driftwell.functions import vectors as V
 from driftwell.operators import fulltext, fusion, ivf, postings, retrieve
-from driftwell.plans import search
+from driftwell.plans import search, store
 from driftwell.schema import read
+from driftwell.sources.store import cut, new_folder
 
 #: "Now" of the data.
 AS_OF = "2025-07-01 00:00:00"
@@ -50,7 +51,7 @@ def vectors_of_posts(spark: SparkSession, d: str) -> DataFrame:
 
 CUR = "cur AS (SELECT * FROM posts WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC NULLS LAST, coalesce(note_count, -1) DESC) = 1), safe AS (SELECT * FROM cur WHERE NOT coalesce(nsfw, false))"
 #: Words of a text, as the simple analyser has them.
-WORDS = "list_filter(string_split_regex(lower(coalesce({0}, '')), '[^a-z0-9à-öø-ÿ]+'), lambda w: length(w) > 0)"
+WORDS = "list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda w: length(w) > 0)"
 QV = f"qv AS (SELECT embedding::DOUBLE[] AS q FROM tags WHERE id >= {QUERY_TAG} AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 ORDER BY id LIMIT 1)"
 PV = """cells AS (SELECT p.post_id AS id, g.i, avg(g.x::DOUBLE) AS m FROM (SELECT DISTINCT post_id, tag_id FROM post_tags) p JOIN (SELECT id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM tags
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0) g ON g.id = p.tag_id GROUP BY 1, 2), pv AS (SELECT id, list(m ORDER BY i) AS v FROM cells GROUP BY id)"""
@@ -67,8 +68,22 @@ ROLL = """roll AS (SELECT account_id, coalesce(a, 0) AS a, coalesce(cosine, 0) A
   final AS (SELECT account_id, round(0.6 * CASE WHEN max(a) OVER () = min(a) OVER () THEN 1.0 ELSE (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) END + 0.4 * CASE WHEN max(b) OVER () = min(b) OVER () THEN 1.0 ELSE (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) END, 6) AS score FROM roll)"""
 
 
+def collection(spark: SparkSession, d: str) -> store.SearchStore:
+    """The stored collection of all posts: built once in an application, and again when the tables change."""
+    state = store.state_of(spark, [f"{d}/{t}.parquet" for t in ("posts", "post_tags", "tags")])
+    return store.stored(spark, ("simple", *state), lambda: store.SearchStore.build(spark, current_posts(spark, d), vectors_of_posts(spark, d), "simple"))
+
+
+def build_collection(spark, d):
+    """What building the collection yields: posts, postings and vectors."""
+    held = store.SearchStore.build(spark, current_posts(spark, d), vectors_of_posts(spark, d), "simple")
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
+    return one(held.posts, "posts").unionByName(one(held.postings, "postings")).unionByName(one(held.vectors, "vectors"))
+
+
 def _ranked(spark: SparkSession, d: str, filters: Filters | None = None) -> DataFrame:
-    return search.ranked_posts(current_posts(spark, d), vectors_of_posts(spark, d), QUERY, query_vector(spark, d), as_of(), filters, C, read(spark, d, "post_tags"), read(spark, d, "tags"))
+    held = collection(spark, d)
+    return search.ranked_posts(held.posts, None, QUERY, query_vector(spark, d), as_of(), filters, C, read(spark, d, "post_tags"), read(spark, d, "tags"), store=held)
 
 
 def general_search_posts(spark, d):
@@ -81,7 +96,7 @@ def general_search_accounts(spark, d):
 
 def general_search_page2(spark, d):
     """The page after the fifth result, and the page after a result that is gone."""
-    ranked = _ranked(spark, d).persist()
+    ranked = cut(_ranked(spark, d))  # the candidates: read three times
     fifth = ranked.where("place = 5").select("id", "score").first()
     if fifth is None:
         return ranked.select("id", "score", "place", F.lit("").alias("page"))
@@ -101,7 +116,14 @@ _BASE_F = f"{CUR}, {_F}, {QV}, {PV}, {KW.replace('FROM safe', 'FROM safe2')}, {V
 
 
 def keyword_topk(spark, d):
-    return retrieve.keyword_topk(safe_posts(spark, d), QUERY, 100)
+    return retrieve.keyword_topk(safe_posts(spark, d), QUERY, 100, "simple")
+
+
+def _other_script(word: str):
+    def run(spark, d):
+        return retrieve.keyword_topk(safe_posts(spark, d), word, 100, "simple")
+
+    return run
 
 
 def fulltext_match(spark, d):
@@ -136,7 +158,7 @@ def filtered_vector_topk(spark, d):
 
 def rrf_fusion(spark, d):
     p = safe_posts(spark, d)
-    kw = retrieve.ranked(retrieve.keyword_topk(p, QUERY, 100), "kw_score", "id")
+    kw = retrieve.ranked(retrieve.keyword_topk(p, QUERY, 100, "simple"), "kw_score", "id")
     hot = retrieve.ranked(retrieve.top(p.where("note_count is not null"), "note_count", "id", 100), "note_count", "id")
     return fusion.rrf([kw, hot], "id").select("id", F.round("rrf", 9).alias("rrf"))
 
@@ -155,7 +177,7 @@ def tag_filter_semijoin(spark, d):
 def post_metadata(spark, d):
     """The display columns of the first forty ranked posts."""
     ids = _ranked(spark, d).where("place <= 40").select("id")
-    own = search.post_metadata(ids, current_posts(spark, d), read(spark, d, "accounts"), read(spark, d, "post_tags"), read(spark, d, "tags"))
+    own = search.post_metadata(ids, collection(spark, d).posts, read(spark, d, "accounts"), read(spark, d, "post_tags"), read(spark, d, "tags"))
     return own.select("id", "account_id", "blog_name", F.coalesce("note_count", F.lit(0)).alias("note_count"), "lang", F.array_join("tags", "|").alias("tags"), F.size("image_urls").cast("long").alias("images"))
 
 
@@ -167,7 +189,7 @@ def trigram_similarity(spark, d):
     return read(spark, d, "accounts").select("id", F.round(trigram.similarity(F.col("blog_name"), F.lit(NAME)), 6).alias("sim"))
 
 
-_TRI = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^a-z0-9à-öø-ÿ]+'), lambda w: length(w) > 0), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+_TRI = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda w: length(w) > 0), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 _SIM = f"CASE WHEN len(list_distinct(list_concat(ta, tq))) = 0 THEN 0.0 ELSE round(len(list_intersect(ta, tq))::DOUBLE / len(list_distinct(list_concat(ta, tq))), 6) END"
 _TRIS = f"tri AS (SELECT *, {_TRI.format('blog_name')} AS ta, {_TRI.format(repr(NAME))} AS tq FROM accounts), sims AS (SELECT *, {_SIM} AS sim, (blog_name = '{NAME}')::INT AS is_exact, starts_with(blog_name, '{NAME}')::INT AS is_prefix FROM tri)"
 
@@ -213,15 +235,15 @@ s AS (SELECT id, list_transform(range(1, 65), lambda k: 0.5 * coalesce(t[k], 0)
 
 def account_window_embedding(spark, d):
     """The unit mean of the vectors of each account's last hundred posts."""
-    # one account may hold a large share of all posts: each part of it is cut to a hundred before the account is; vectors come last
-    vectors = vectors_of_posts(spark, d)
+    # one account may hold a large share of all posts: each part of it is cut to a hundred before the account is; then their tags are pooled
     tagged = read(spark, d, "post_tags").join(read(spark, d, "tags").where(F.exists("embedding", lambda x: x != 0)).select(F.col("id").alias("tag_id")), "tag_id", "left_semi").select(F.col("post_id").alias("id"))
     p = safe_posts(spark, d).select("id", "account_id", "published_at").join(tagged, "id", "left_semi")
     order = [F.desc_nulls_last("published_at"), F.desc("id")]
     part = Window.partitionBy("account_id", "_s").orderBy(*order)
     p = p.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(32))).withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= C.account_window)
-    p = p.withColumn("_r", F.row_number().over(Window.partitionBy("account_id").orderBy(*order))).where(F.col("_r") <= C.account_window)
-    p = p.select("id", "account_id").join(vectors, "id")
+    p = cut(p.withColumn("_r", F.row_number().over(Window.partitionBy("account_id").orderBy(*order))).where(F.col("_r") <= C.account_window).select("id", "account_id"))
+    chosen = read(spark, d, "post_tags").join(p.select(F.col("id").alias("post_id")), "post_id", "left_semi")
+    p = p.join(search.post_vectors(chosen, read(spark, d, "tags")), "id")
     m = V.mean_pool_fast(p, "account_id", "vector", "m").select("account_id", F.col("n").alias("posts"), V.normalise(F.col("m")).alias("v"))
     return m.select("account_id", "posts", F.round(F.col("v")[0], 5).alias("x0"), F.round(F.col("v")[383], 5).alias("x383"))
 
@@ -242,18 +264,47 @@ def softmax_safety(spark, d):
 _SOFT = """p AS (SELECT vec_id AS k, embedding::DOUBLE[] AS p FROM embeddings WHERE vec_id < 8), s AS (SELECT e.vec_id AS id, k, exp(list_inner_product(e.embedding::DOUBLE[], p) / (sqrt(list_inner_product(p, p)) * sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])))) AS x FROM embeddings e, p)
 SELECT id, nsfw_score, nsfw_score > 0.5 AS nsfw FROM (SELECT id, round(sum(CASE WHEN k < 4 THEN x ELSE 0 END) / sum(x), 6) AS nsfw_score FROM s GROUP BY id)"""
 
+def _covers(words: str, lexemes: dict[str, str], latest: str, leaves: str) -> str:
+    """SQL of the cover-density rank: ``words`` is the list of a text's words, ``lexemes`` which words count as which,
+    ``leaves`` running places of the query's parts, and ``latest`` the place from which on the text up to a mark satisfies the query."""
+    case = " ".join(f"WHEN w IN ({own}) THEN '{name}'" for name, own in lexemes.items())
+    return f"""WITH {CUR}, w AS (SELECT id, unnest({words}) AS w, unnest(range(1, len({words}) + 1)) AS p FROM cur), x AS (SELECT id, p, CASE {case} END AS x FROM w),
+m AS (SELECT id, p, x, row_number() OVER (PARTITION BY id ORDER BY p) AS i, lag(x) OVER (PARTITION BY id ORDER BY p) AS px, lag(p) OVER (PARTITION BY id ORDER BY p) AS pp FROM x WHERE x IS NOT NULL),
+l AS (SELECT *, {leaves} FROM m), s AS (SELECT *, {latest} AS s FROM l), c AS (SELECT *, lag(s) OVER (PARTITION BY id ORDER BY p) AS ps FROM s WHERE s > 0),
+d AS (SELECT c.id, 0.1::DOUBLE / (1 + greatest(0, (c.p - c.s) - (c.i - m.i))) AS v FROM c JOIN m ON m.id = c.id AND m.p = c.s WHERE ps IS NULL OR c.s > ps)
+SELECT id, round(sum(v), 6) AS kw_score FROM d GROUP BY id"""
+
+
+def _last(cond: str, value: str = "p") -> str:
+    return f"coalesce(max(CASE WHEN {cond} THEN {value} END) OVER (PARTITION BY id ORDER BY p), 0)"
+
+
+#: English words as the analyser counts them: apostrophes inside a word stay.  The stems below are worked by hand: the stem of trellises is
+#: trellis, that of trellis is trelli.
+_EN_WORDS = "list_filter(list_transform(string_split_regex(lower(coalesce(body_clean, '')), '[^\\p{L}\\p{N}\\p{M}'']+'), lambda w: trim(w, chr(39))), lambda w: length(w) > 0)"
+_ENGLISH = _covers(
+    _EN_WORDS,
+    {"trellis": "'trellises', 'trellised', 'trellising'", "cold": "'cold', 'colds', 'cold''s'", "frame": "'frame', 'frames', 'framed', 'framing', 'frame''s'", "kiln": "'kiln', 'kilns', 'kiln''s'"},
+    "greatest(k, least(t, f))",
+    f"{_last(chr(120) + ' = ' + repr('kiln'))} AS k, {_last(chr(120) + ' = ' + repr('trellis'))} AS t, {_last('x = ' + repr('frame') + ' AND px = ' + repr('cold') + ' AND pp = p - 1', 'pp')} AS f",
+)
+_TWO = _covers(WORDS.format("body_clean"), {"kiln": "'kiln'", "shelf": "'shelf'"}, "least(k, h)", f"{_last('x = ' + repr('kiln'))} AS k, {_last('x = ' + repr('shelf'))} AS h")
+
+
 QUERIES = {
     "general_search_posts": (general_search_posts, f"WITH {BASE} SELECT id, account_id, score, place FROM rer WHERE place <= 20"),
     "general_search_accounts": (general_search_accounts, f"WITH {BASE}, {ACC}, {ROLL} SELECT account_id, score FROM final"),
     "general_search_page2": (general_search_page2, f"WITH {BASE} SELECT id, score, place, unnest(['found', 'gone']) AS page FROM rer WHERE place > 5 AND place <= 15"),
     "general_search_filtered": (general_search_filtered, f"WITH {_BASE_F} SELECT id, score, place FROM rer"),
     "keyword_topk": (keyword_topk, f"WITH {CUR}, {KW} SELECT id, kw_score FROM kw"),
+    **{f"keyword_topk_{k}": (_other_script(w), f"WITH {CUR}, {KW.replace(repr(QUERY), repr(w))} SELECT id, kw_score FROM kw") for k, w in {"ru": "сегодня", "ja": "日曜日に", "de": "größer", "fr": "été"}.items()},
+    "build_collection": (build_collection, f"WITH {CUR}, {PV} SELECT 'posts' AS part, count(*) AS n FROM cur UNION ALL SELECT 'postings', sum(len(list_distinct({WORDS.format('body_clean')})))::BIGINT FROM cur UNION ALL SELECT 'vectors', count(*) FROM pv WHERE id IN (SELECT id FROM cur) AND list_inner_product(v, v) > 0"),
     "fulltext_match": (
         fulltext_match,
         f"WITH {CUR}, t AS (SELECT id, ' ' || array_to_string({WORDS.format('body_clean')}, ' ') || ' ' AS w FROM cur) SELECT id FROM t WHERE (contains(w, ' harbor wall ') AND contains(w, ' trellis ')) OR (contains(w, ' kiln ') AND NOT contains(w, ' glaze '))",
     ),
-    "fulltext_english": (fulltext_english, None),
-    "cover_density_two_terms": (cover_density_two_terms, None),
+    "fulltext_english": (fulltext_english, _ENGLISH),
+    "cover_density_two_terms": (cover_density_two_terms, _TWO),
     "vector_topk_accounts": (vector_topk_accounts, f"WITH {QV}, {ACC} SELECT account_id AS id, cosine FROM acc"),
     "vector_topk_native": (vector_topk_native, f"WITH {QV} SELECT id, {COS.format('embedding::DOUBLE[]')} AS cosine FROM tags, qv WHERE embedding IS NOT NULL AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 ORDER BY cosine DESC, id LIMIT 30"),
     "filtered_vector_topk": (filtered_vector_topk, f"WITH {CUR}, {QV}, {PV} SELECT id, {COS.format('v')} AS cosine FROM pv, qv WHERE id IN (SELECT id FROM safe WHERE note_count >= 50 AND published_at >= TIMESTAMPTZ '2024-01-01 00:00:00+00') AND list_inner_product(v, v) > 1e-20 ORDER BY cosine DESC, id LIMIT 100"),
@@ -262,7 +313,7 @@ QUERIES = {
     "tag_filter_semijoin": (tag_filter_semijoin, f"WITH {CUR} SELECT id FROM safe WHERE id IN (SELECT post_id FROM post_tags WHERE tag_id IN (SELECT id FROM tags WHERE name IN (SELECT name FROM tags WHERE id <= 3)))"),
     "post_metadata": (
         post_metadata,
-        f"WITH {BASE} SELECT s.id, s.account_id, a.blog_name, coalesce(s.note_count, 0) AS note_count, s.lang, coalesce((SELECT string_agg(DISTINCT t.name, '|' ORDER BY t.name) FROM post_tags p JOIN tags t ON t.id = p.tag_id WHERE p.post_id = s.id), '') AS tags, coalesce(len(s.image_urls), 0) AS images FROM safe s JOIN accounts a ON a.id = s.account_id WHERE s.id IN (SELECT id FROM rer WHERE place <= 40)",
+        f"WITH {BASE} SELECT s.id, s.account_id, a.blog_name, coalesce(s.note_count, 0) AS note_count, s.lang, coalesce((SELECT string_agg(DISTINCT t.name, '|' ORDER BY t.name) FROM post_tags p JOIN tags t ON t.id = p.tag_id WHERE p.post_id = s.id), '') AS tags, coalesce(len(s.image_urls), 0) AS images FROM safe s LEFT JOIN accounts a ON a.id = s.account_id WHERE s.id IN (SELECT id FROM rer WHERE place <= 40)",
     ),
     "account_name_search": (
         account_name_search,
@@ -280,11 +331,7 @@ QUERIES = {
 
 def _written(spark, rows, name, write):
     """A table written to a new folder that all executors share, and read again."""
-    import os
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{root}/{name}-{os.urandom(6).hex()}" if root else tempfile.mkdtemp(prefix=f"driftwell-{name}-") + "/t"
+    path = new_folder(spark, name)
     write(rows, path)
     return spark.read.parquet(path)
 
@@ -308,6 +355,20 @@ def ivf_topk(spark, d):
     return ivf.topk(own, "id", "embedding", at, query_vector(spark, d), 10, 4)
 
 
+def ivf_recall(spark, d):
+    """Whether the cells nearest to a query hold nine tenths or more of its ten nearest vectors, over fifty queries."""
+    t = read(spark, d, "tags").where("embedding is not null").where(F.exists("embedding", lambda x: x != 0))
+    at = ivf.fit_cells(t, "id", "embedding", 16)
+    own = _written(spark, ivf.assign(t, "id", "embedding", at), "ivf", lambda x, p: x.write.partitionBy("cell").parquet(p))
+    hit = n = 0
+    for r in t.orderBy("id").limit(50).select("embedding").collect():
+        q = [float(x) for x in r[0]]
+        exact = {x.id for x in retrieve.vector_topk(own, "id", "embedding", q, 10).collect()}
+        hit += len(exact & {x.id for x in ivf.topk(own, "id", "embedding", at, q, 10, 8).collect()})
+        n += len(exact)
+    return spark.createDataFrame([(hit >= 0.9 * n,)], "reached boolean")
+
+
 def ivf_all_cells(spark, d):
     """All cells: the exact answer."""
     t = read(spark, d, "tags").where("embedding is not null")
@@ -320,5 +381,6 @@ QUERIES |= {
     "postings_search": (postings_search, QUERIES["fulltext_match"][1].replace("FROM cur)", "FROM safe)")),
     "postings_term": (postings_term, f"WITH {CUR} SELECT id, round(0.1::DOUBLE * len(list_filter(w, lambda x: x = '{QUERY}')), 9) AS kw_score FROM (SELECT id, {WORDS.format('body_clean')} AS w FROM safe) WHERE list_contains(w, '{QUERY}')"),
     "ivf_topk": (ivf_topk, None),
+    "ivf_recall": (ivf_recall, "SELECT true AS reached"),
     "ivf_all_cells": (ivf_all_cells, QUERIES["vector_topk_native"][1]),
 }

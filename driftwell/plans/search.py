@@ -17,6 +17,7 @@ from driftwell.config import Filters, SearchConfig, check_limit, check_query
 from driftwell.functions import scoring, trigram
 from driftwell.functions import vectors as V
 from driftwell.operators import fusion, retrieve
+from driftwell.plans.store import SearchStore
 
 
 #: Bytes of tag vectors up to which they go to every task; beyond, they meet the posts by a join.
@@ -68,10 +69,19 @@ def post_vectors(post_tags: DataFrame, tags: DataFrame, most: int = TAG_BYTES) -
 
 
 def ranked_posts(
-    posts: DataFrame, vectors: DataFrame, query: str, query_vector: Sequence[float], as_of: Column, filters: Filters | None = None, config: SearchConfig | None = None, post_tags: DataFrame | None = None, tags: DataFrame | None = None, analyser: str = "simple"
+    posts: DataFrame, vectors: DataFrame | None, query: str, query_vector: Sequence[float], as_of: Column, filters: Filters | None = None, config: SearchConfig | None = None, post_tags: DataFrame | None = None, tags: DataFrame | None = None, analyser: str | None = None, store: SearchStore | None = None, probes: int | None = None
 ) -> DataFrame:
-    """(id, account_id, score, place): keyword and vector candidates fused by reciprocal rank and reranked, best first."""
+    """(id, account_id, score, place): keyword and vector candidates fused by reciprocal rank and reranked, best first.
+
+    With a ``store`` the candidates come from its postings and its vectors (of ``probes`` cells, or exactly), ``vectors`` isn't
+    read, and ``posts`` are the store's own; without one the texts and vectors are scanned.
+    """
     c, f = config or SearchConfig(), filters or Filters()
+    analyser = analyser or c.analyser
+    if store is not None:
+        kw = retrieve.ranked(store.keyword(query, c.keyword_depth, f, post_tags, tags), "kw_score", "id")
+        vec = retrieve.ranked(store.nearest(query_vector, c.vector_depth, f, post_tags, tags, probes), "cosine", "id")
+        return fusion.rerank(fusion.rrf([kw, vec], "id", c.rrf_k), store.posts, as_of, c)
     safe = retrieve.allowed(posts, f, post_tags, tags)
     kw = retrieve.ranked(retrieve.keyword_topk(safe, query, c.keyword_depth, analyser), "kw_score", "id")
     near = vectors.join(safe.select("id"), "id", "left_semi")
@@ -87,14 +97,14 @@ def account_scores(reranked: DataFrame, accounts: DataFrame, query_vector: Seque
 
 
 def post_metadata(ids: DataFrame, posts: DataFrame, accounts: DataFrame, post_tags: DataFrame, tags: DataFrame) -> DataFrame:
-    """The display columns of candidate posts with their account's name and sorted tag names; unsafe posts drop out.
+    """The display columns of candidate posts with their account's name (null without one) and sorted tag names; unsafe posts drop out.
 
     ``ids`` is a page of candidates, hence the broadcast; tags are collected for those posts only.
     """
     own = posts.where(~F.coalesce(F.col("nsfw"), F.lit(False))).join(F.broadcast(ids.select("id")), "id", "left_semi")
     named = post_tags.join(F.broadcast(ids.select(F.col("id").alias("post_id"))), "post_id", "left_semi").join(tags.select(F.col("id").alias("tag_id"), "name"), "tag_id")
     listed = named.groupBy("post_id").agg(F.array_sort(F.collect_set("name")).alias("tags"))
-    out = own.join(accounts.select(F.col("id").alias("account_id"), "blog_name"), "account_id").join(listed, F.col("id") == F.col("post_id"), "left")
+    out = own.join(accounts.select(F.col("id").alias("account_id"), "blog_name"), "account_id", "left").join(listed, F.col("id") == F.col("post_id"), "left")
     empty = F.array().cast("array<string>")
     return out.select("id", "account_id", "blog_name", "body_clean", F.coalesce("image_urls", empty).alias("image_urls"), "note_count", "published_at", "lang", F.coalesce("tags", empty).alias("tags"))
 
@@ -190,8 +200,9 @@ class Cache:
 class Engine:
     """Searches over a set of tables with one configuration, an encoder for queries and a result cache."""
 
-    def __init__(self, tables: dict[str, DataFrame], encoder: Callable[[list[str]], np.ndarray], as_of: Column, config: SearchConfig | None = None):
-        self.t, self.encoder, self.as_of, self.c = tables, encoder, as_of, config or SearchConfig()
+    def __init__(self, tables: dict[str, DataFrame], encoder: Callable[[list[str]], np.ndarray], as_of: Column, config: SearchConfig | None = None, store: SearchStore | None = None, probes: int | None = None):
+        """``store``, if given, is what posts are searched in; otherwise the tables posts and post_vectors are scanned."""
+        self.t, self.encoder, self.as_of, self.c, self.store, self.probes = tables, encoder, as_of, config or SearchConfig(), store, probes
         self.cache = Cache(self.c.cache_ttl_seconds)
 
     def _cached(self, kind: str, query: str, run: Callable[[], Any], **parts: Any) -> Any:
@@ -211,7 +222,7 @@ class Engine:
 
         def run() -> dict:
             v = [float(x) for x in self.encoder([q])[0]]
-            ranked = ranked_posts(self.t["posts"], self.t["post_vectors"], q, v, self.as_of, filters, self.c, self.t.get("post_tags"), self.t.get("tags")).persist()
+            ranked = ranked_posts(self.t["posts"], self.t.get("post_vectors"), q, v, self.as_of, filters, self.c, self.t.get("post_tags"), self.t.get("tags"), store=self.store, probes=self.probes).persist()
             try:
                 page = fusion.page(ranked, limit_posts, cursor, self.c.cursor_tolerance)
                 rows = page.join(post_metadata(page, self.t["posts"], self.t["accounts"], self.t["post_tags"], self.t["tags"]).drop("account_id"), "id").orderBy("place").collect()

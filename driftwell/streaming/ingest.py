@@ -5,47 +5,72 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from driftwell.functions import vectors as V
 from driftwell.operators import ingest
+from driftwell.sources.store import BucketTable, Files
 
 
 class PostSink:
-    """Folds micro-batches of feed posts into a versioned posts table; a batch that is run again changes nothing.
+    """Folds micro-batches of feed posts into a posts table in hash buckets; a batch that is run again changes nothing.
 
-    The whole table is rewritten as a new version for each batch, as plain parquet has no merge; the newest version is known
-    by the batch number in its name.  At ``target`` safe posts further batches are left out.
+    A batch rewrites the buckets that it touches.  Rows without an id or a blog go to the dead letters beside the table.  Of
+    several versions of a post in a batch the one of most notes counts.  At ``target`` safe posts further batches are left out.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, target: int | None = None):
+    def __init__(self, spark: SparkSession, folder: str, target: int | None = None, buckets: int = 64):
         self.spark, self.folder, self.target = spark, folder, target
+        self.posts = BucketTable(spark, f"{folder}/posts", "tumblr_id", buckets=buckets)
 
     def table(self) -> DataFrame | None:
-        fs = self.spark._jvm.org.apache.hadoop.fs
-        path = fs.Path(self.folder)
-        own = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not own.exists(path):
-            return None
-        versions = [s.getPath().getName() for s in own.listStatus(path) if s.isDirectory() and own.exists(fs.Path(s.getPath(), "_SUCCESS"))]
-        return self.spark.read.parquet(f"{self.folder}/{max(versions)}") if versions else None
+        return self.posts.table()
+
+    def dead(self) -> DataFrame | None:
+        """The dead letters of all batches, with the reason."""
+        return self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.folder}/dead") if Files(self.spark, f"{self.folder}/dead").exists() else None
+
+    def full(self) -> bool:
+        old = self.table() if self.target is not None else None
+        return old is not None and old.where("not nsfw").limit(self.target).count() >= self.target
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        new = ingest.normalise(batch).dropDuplicates(["tumblr_id"])
-        old = self.table()
-        if old is None:
-            out = new
-        elif self.target is not None and old.where("not nsfw").limit(self.target).count() >= self.target:
+        if self.full():
             return
-        else:
-            out = ingest.upsert(old, new, "tumblr_id", ["note_count", "image_urls"])
-        out.write.mode("overwrite").parquet(f"{self.folder}/v{number:012d}")
+        good, bad = ingest.dead_letters(batch)
+        bad.select(F.to_json(F.struct(*[c for c in batch.columns])).alias("row"), "reason", F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{self.folder}/dead/b{number:012d}")
+        self.posts.write(ingest.normalise(good), number, lambda old, new: ingest.upsert(old, new, "tumblr_id", ["note_count", "image_urls"], F.col("note_count"), ("image_urls",)))
 
 
-def bad_rows(feed: DataFrame) -> DataFrame:
-    """Dead letters: posts without an id or a blog."""
-    return feed.where(F.col("id").isNull() | F.col("blog_name").isNull())
+class AccountVectorSink:
+    """Keeps each account's vector, the unit mean of its last posts' vectors, up to date with micro-batches of post points.
+
+    A batch of (id, vector, account_id, published_at) is folded into the posts' points, and the vectors of the accounts in it, and
+    of those alone, are made again.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, window: int = 100, buckets: int = 64):
+        self.points = BucketTable(spark, f"{folder}/points", "account_id", buckets=buckets)
+        self.vectors = BucketTable(spark, f"{folder}/vectors", "id", buckets=buckets)
+        self.window = window
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        new = batch.select("id", "account_id", F.col("vector").cast("array<double>").alias("vector"), "published_at").where("id is not null and account_id is not null and vector is not null")
+        self.points.write(new, number, self._kept)
+        touched = new.select("account_id").distinct()
+        own = self.points.table().join(touched, "account_id", "left_semi")
+        m = V.mean_pool_fast(own, "account_id", "vector", "m")
+        made = m.select(F.col("account_id").alias("id"), V.normalise(F.col("m")).alias("vector"), F.col("n").alias("posts"))
+        self.vectors.write(made, number, lambda old, fresh: ingest.last_write(old, fresh, "id"))
+
+    def _kept(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        """The points of each account's last posts: older ones will never count again."""
+        every = ingest.last_write(old, new, "id", order=F.col("published_at"))
+        order = [F.desc_nulls_last("published_at"), F.desc("id")]
+        every = every.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(32))).withColumn("_r", F.row_number().over(Window.partitionBy("account_id", "_s").orderBy(*order))).where(F.col("_r") <= self.window)
+        return every.withColumn("_r", F.row_number().over(Window.partitionBy("account_id").orderBy(*order))).where(F.col("_r") <= self.window).drop("_r", "_s")
 
 
 def token_bucket(calls: DataFrame, key: str, at: str, capacity: float = 1000, per_seconds: float = 3600) -> DataFrame:
@@ -83,7 +108,7 @@ def crawl_states(outcomes: DataFrame, limit: int = 3) -> DataFrame:
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, fails, cursor = state.get if state.exists else ("pending", 0, None)
-        for row in pd.concat(list(batches)).sort_values("at").itertuples():
+        for row in pd.concat(list(batches)).sort_values(["at", "last_timestamp"]).itertuples():
             if status in ("dead", "done"):
                 continue
             if not row.ok:

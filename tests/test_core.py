@@ -2,6 +2,8 @@
 
 import json
 import math
+import random
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -13,9 +15,10 @@ from driftwell.functions import text as tx
 from driftwell.functions import vectors as V
 from driftwell.operators import communities as cm
 from driftwell.operators import evaluate, fulltext, fusion, ingest, projection, retrieve, safety
-from driftwell.plans import search, stats
-from driftwell.sources import files
+from driftwell.plans import search, stats, store
+from driftwell.sources import feed, files
 from driftwell.sources.feed import FeedSource
+from driftwell.sources.store import BucketTable
 from driftwell.streaming import ingest as streams
 
 def as_of():
@@ -454,6 +457,10 @@ def test_browsing_and_sql(spark):
             stats.browse(t, name, n)
     spark.range(4).createOrReplaceTempView("four")
     assert stats.run_sql(spark, "select count(*) as n from four")["rows"] == [{"n": 4}]
+    every, some = stats.run_sql(spark, "select id from range(700)"), stats.run_sql(spark, "select id from range(700)", 500)
+    assert len(every["rows"]) == 700 and not every["truncated"] and len(some["rows"]) == 500 and some["truncated"]
+    assert stats.run_sql(spark, "SELECT 'DropTable' AS x")["rows"] == [{"x": "DropTable"}]
+    assert "error" in stats.run_sql(spark, "with a as (select 1 as x) insert into four select x from a")
     assert all("error" in stats.run_sql(spark, q) for q in ("drop view four", "insert into four values (1)", "select * from nothing", "", "set a=b"))
     assert stats.missing_tables(["tags"]) == sorted(set(stats.BROWSABLE) - {"tags"})
 
@@ -533,8 +540,33 @@ def test_feed_source(spark, tmp_path):
     p = feed_files(tmp_path / "feed")
     spark.dataSource.register(FeedSource)
     load = lambda **o: spark.read.format("feed").options(path=p, **o).load()
-    assert load().count() == 12 and {r.blog_name for r in load(blog="a").collect()} == {"a"} and load(tag="x").count() == 3
-    assert {r.timestamp for r in load(before=100).collect()} == {0, 1, 2, 3} and load(limit=1).count() == 3
+    assert load().where("not bad").count() == 12 and load().where("bad").count() == 3 and {r.blog_name for r in load(blog="a").collect()} == {"a"} and load(tag="x").count() == 3
+    assert {r.timestamp for r in load(before=100).collect()} == {0, 1, 2, 3}
+    assert [r.id for r in feed.page(spark, p, limit=5).collect()] == [23, 22, 21, 20, 13] and [r.id for r in feed.page(spark, p, blog="a", before=200, limit=3).collect()] == [12, 10, 2]
+    assert feed.page(spark, p, blog="none").count() == 0
+    assert {tuple(r) for r in feed.blog_info(spark, p).collect()} == {("a", 6, 0, 202, 6), ("b", 6, 1, 203, 12)} and feed.blog_info(spark, p, "b").first()["posts"] == 6
+
+
+@pytest.mark.parametrize("limit", [1, 2, 3, 5, 20])
+def test_paging_back_takes_every_post_once(spark, tmp_path, limit):
+    p = feed_files(tmp_path / "feed")
+    (tmp_path / "feed" / "g.json").write_text("\n".join(json.dumps({"id": 100 + i, "blog_name": "a", "timestamp": 102}) for i in range(4)))  # five posts of one second
+    seen, pages = [], iter(range(3))
+    at = feed.page_back(spark, p, lambda rows: seen.extend(r.id for r in rows.collect()), blog="a", limit=limit, go_on=lambda: next(pages, None) is not None)
+    feed.page_back(spark, p, lambda rows: seen.extend(r.id for r in rows.collect()), blog="a", before=at, limit=limit)  # resumed
+    assert sorted(seen) == [0, 2, 10, 12, 20, 22, 100, 101, 102, 103]
+
+
+def test_feed_stream_has_a_task_for_each_file_and_dead_letters(spark, tmp_path):
+    p = feed_files(tmp_path / "feed")
+    spark.dataSource.register(FeedSource)
+    sink = streams.PostSink(spark, str(tmp_path / "posts"), buckets=4)
+    run = lambda: streams.run_once(spark.readStream.format("feed").option("path", p).load(), sink, str(tmp_path / "cp"))
+    run()
+    assert sink.table().count() == 9 and sink.dead().count() == 3 and {r.reason for r in sink.dead().collect()} == {"no id, no blog_name"}
+    (tmp_path / "feed" / "h.json").write_text(json.dumps({"id": 77, "type": "text", "blog_name": "c", "timestamp": 9, "body": "x"}))
+    run()
+    assert sink.table().count() == 10 and sink.posts.writes() == [0, 1]
 
 
 def test_feed_stream_into_the_posts_table(spark, tmp_path):
@@ -551,6 +583,96 @@ def test_feed_stream_into_the_posts_table(spark, tmp_path):
     assert gate.table().count() == 3
 
 
+def test_bucket_tables_touch_only_what_a_batch_names(spark, tmp_path):
+    t = BucketTable(spark, str(tmp_path / "t"), "id", buckets=8)
+    made = lambda *r: spark.createDataFrame(list(r), "id long, v string, at int")
+    fold = lambda old, new: ingest.last_write(old, new, "id", order=F.col("at"))
+    assert t.table() is None and t.write(made(*[(i, "a", 0) for i in range(40)]), 0, fold) == 8
+    assert t.write(made((3, "late", 2), (3, "early", 1), (99, "b", 0)), 1, fold) <= 2
+    assert t.write(made((3, "again", 9)), 1, fold) == 0  # the same write once more
+    got = {r.id: r.v for r in BucketTable(spark, str(tmp_path / "t"), "id").table().collect()}
+    assert len(got) == 41 and got[3] == "late" and got[99] == "b" and got[4] == "a"
+    told = t.compact()
+    assert told["rows"] == 41 and told["error"] is None and t.table().count() == 41 and BucketTable(spark, str(tmp_path / "none"), "id").compact()["error"]
+    empty = BucketTable(spark, str(tmp_path / "e"), "id", made((1, "", 1)).schema)
+    assert empty.table().count() == 0 and empty.write(made((1, "x", 1)).limit(0), 0, fold) == 0 and empty.table().columns == ["id", "v", "at"]
+
+
+def test_account_vectors_follow_new_posts(spark, tmp_path):
+    sink = streams.AccountVectorSink(spark, str(tmp_path / "v"), window=2, buckets=4)
+    made = lambda *r: spark.createDataFrame(list(r), "id long, account_id long, vector array<double>, published_at timestamp")
+    day = lambda k: datetime(2025, 1, k)
+    sink(made((1, 10, [1.0, 0.0], day(1)), (2, 10, [0.0, 1.0], day(2)), (3, 11, [1.0, 1.0], day(1)), (4, None, [1.0, 1.0], day(1))), 0)
+    sink(made((5, 10, [0.0, 1.0], day(3)), (3, 11, [3.0, 0.0], day(4))), 1)
+    got = {r.id: (r.posts, [round(x, 6) for x in r.vector]) for r in sink.vectors.table().collect()}
+    assert got == {10: (2, [0.0, 1.0]), 11: (1, [1.0, 0.0])}
+
+
+def test_last_writes_have_an_order(spark):
+    table = spark.createDataFrame([(1, 5, "o")], "id long, at int, urls string")
+    new = spark.createDataFrame([(1, 7, "x"), (1, 9, None), (2, 1, "z"), (2, 3, "y"), (None, 1, "n")], "id long, at int, urls string")
+    assert rows(ingest.last_write(table, new, "id", order=F.col("at"))) == [(1, 9, None), (2, 3, "y")]
+    assert rows(ingest.upsert(table, new, "id", ["at", "urls"], F.col("at"), ("urls",))) == [(1, 9, None), (2, 3, "y")]
+    assert rows(ingest.upsert(table, new, "id", ["at", "urls"], F.col("at"))) == [(1, 9, "o"), (2, 3, "y")]
+    assert sorted(map(tuple, ingest.chunks(spark.createDataFrame([(i * 3,) for i in range(7)] + [(0,), (None,)], "id long"), size=3).collect())) == [(3 * i, i // 3) for i in range(7)]
+
+
+def test_words_of_all_scripts(spark):
+    texts = ["Сегодня утром", "今日は、晴れ", "Straße", "cœur à cœur", "naïve_file-7", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, body_clean string")
+    got = [r.w for r in df.orderBy("id").select(tx.simple_terms(F.col("body_clean")).alias("w")).collect()]
+    assert got == [["сегодня", "утром"], ["今日は", "晴れ"], ["straße"], ["cœur", "à", "cœur"], ["naïve", "file", "7"], [], []] == [tx.simple_words(t) for t in texts]
+    for q, i in (("утром", 0), ("晴れ", 1), ("straße", 2), ('"à cœur"', 3)):
+        assert [r.id for r in retrieve.keyword_topk(df, q, 5, "simple").collect()] == [i], q
+    from driftwell.functions import trigram
+
+    assert spark.range(1).select(trigram.similarity(F.lit("утро"), F.lit("утром"))).first()[0] > 0.4
+
+
+def test_the_english_prefilter_loses_nothing(spark):
+    words = "relational conflated hoping hopping happily happiness ties cries skies dying generously sensibility vietnamization conditional nationally dependency activity cats ponies agreed feeding proceeds early ugly communism".split()
+    df = spark.createDataFrame([(i, f"The {w} here") for i, w in enumerate(words)], "id int, body_clean string")
+    for i, w in enumerate(words):
+        assert i in {r.id for r in fulltext.keyword_scores(df, "id", "body_clean", w, "english").collect()}, w
+    every = df.where(F.lit(True))
+    for w in words:
+        [(stem, _)] = [x for x in tx.english_positions(w)] or [(None, 0)]
+        want = {i for i, x in enumerate(words) if [y for y, _ in tx.english_positions(x)] == [stem]}
+        assert want <= {r.id for r in every.where(tx.may_hold(stem, F.col("body_clean"))).collect()}
+
+
+def test_long_texts_rank_in_proportion():
+    import time
+
+    at = {"a": list(range(1, 80_001, 2)), "b": list(range(2, 80_001, 2))}
+    began = time.time()
+    assert math.isclose(fulltext.cover_density(fulltext.parse("a b"), at), 0.1 * 79_999) and time.time() - began < 3
+
+
+def test_a_store_answers_like_a_scan(spark, tmp_path):
+    rng = random.Random(3)
+    posts = spark.createDataFrame([(i, i % 5, " ".join(rng.choices("kiln shelf glaze barn утром".split(), k=9)), rng.random() < 0.1, rng.randrange(200), "en", None) for i in range(200)], "id long, account_id long, body_clean string, nsfw boolean, note_count long, lang string, published_at timestamp")
+    vectors = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)], "id long, vector array<double>")
+    held = store.SearchStore.build(spark, posts, vectors, "english", str(tmp_path / "s"))
+    held = store.SearchStore(spark, str(tmp_path / "s"))
+    q, now = [rng.gauss(0, 1) for _ in range(8)], F.lit("2025-07-01").cast("timestamp")
+    for text, f in (("kilns shelf", Filters()), ("утром OR barn", Filters(min_notes=50)), ("-kiln", Filters()), ("", Filters())):
+        scan = search.ranked_posts(posts, vectors, text, q, now, f)
+        assert rows(search.ranked_posts(held.posts, None, text, q, now, f, store=held)) == rows(scan), text
+    exact = {r.id for r in held.nearest(q, 10, Filters()).collect()}
+    assert len(exact & {r.id for r in held.nearest(q, 10, Filters(), probes=8).collect()}) >= 7
+
+
+def test_grid_winner_and_test_run(spark):
+    lists = spark.createDataFrame([("q1", [(1, 1, 2, 0, 0.0), (2, 2, 1, 9, 2.0)]), ("q2", [(3, 1, 1, 0, 0.0)])], "query_id string, r array<struct<post_id:long,p1:int,p2:int,notes:long,g:double>>")
+    n = {(r.config, r.query_id): r.ndcg for r in evaluate.grid_metrics(lists, evaluate.grid()).collect()}
+    assert len(n) == 2 * len(evaluate.grid()) and n[0, "q2"] == 0.0 and max(v for (c, q), v in n.items() if q == "q1") == 1.0
+    keys = spark.createDataFrame([(f"q{i}", 1) for i in range(10)] * 2, "query_id string, x int")
+    train, test = evaluate.split_rows(keys, "query_id")
+    a, b = ({r.query_id for r in x.collect()} for x in (train, test))
+    assert len(a) == 8 and len(b) == 2 and not a & b and train.count() == 16
+
+
 def test_token_bucket_over_batches(spark, tmp_path):
     src = tmp_path / "calls"
     for k in range(2):
