@@ -143,8 +143,8 @@ def line_statistics(texts: list[str]) -> tuple[pd.DataFrame, dict[int, tuple[int
     junk |= again
     form = np.select([blank, junk & ~table, table, s.bullet.to_numpy(bool) | (s.quoted & open_).to_numpy(bool), pieces], ["blank", "junk", "table", "list", "list"], "prose").astype(object)
     # runs of short open lines: three or more, blank lines between them allowed
-    run = (form == "prose") & open_
-    field = run & s.field
+    run = (form == "prose") & open_.to_numpy(bool)
+    field = run & s.field.to_numpy(bool)
     d = s.doc.to_numpy()
     i = 0
     at = np.nonzero(form != "blank")[0]
