@@ -12,6 +12,7 @@ import math
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -46,14 +47,16 @@ SEEN, SHARE, LIKELIER, WORDS = 4, 0.4, 7.0, 4
 #: Score from which a post counts as abusive.
 LIMIT = 0.5
 
-_TOKEN = re.compile(r"[^\W_]+(?:[*'’\-$@_]+[^\W_]+)*[*$]*|[*$@]+[^\W_]+(?:[*'’\-$@]+[^\W_]*)*")
+_TOKEN = re.compile(r"[^\W_]+(?:[*'’\-$@_]+[^\W_]+)*[*$]*|(?<![*$@])[*$@]++[^\W_]+(?:[*'’\-$@]+[^\W_]*)*")
 _JOINT = re.compile(r"[-'’]")
 _SPACED = re.compile(r"(?<![\w*])(?:[\w*@$] ){2,}[\w*@$](?![\w*])")
 _STRESS = re.compile(r"(?<![\w*])(\*{1,3})(?=[^\s*])([^*\n]+)(?<=[^\s*])\1(?![\w*])")
+#: Marks that open a quotation, that close one, and that do both.
+_QUOTES = re.compile("[“„«「『]"), re.compile("[”»」』]"), re.compile('"')
 _STRETCH = re.compile(r"([^\W\d_])\1{2,}")
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "€": "e"})
 _BOUND = re.compile(r"(?<=[.!?…。！？])[\"”“»')\]]*\s+|(?<=[。！？])|\n+|\r")
-_TAG = re.compile(r"<[^<>\n]{0,400}>|\b(?:https?://|www\.)\S+|&(?:[a-zA-Z]{2,8}|#\d{1,6});|!?\[(?=[^\]\n]*\]\()|\]\([^)\s]*\)")
+_TAG = re.compile(r"<[^<>\n]*+>|\b(?:https?://|www\.)\S+|&(?:[a-zA-Z]{2,8}|#\d{1,6});|!?\[(?=[^\[\]\n]*+\]\()|\]\([^)\s]*\)")
 _JAPANESE = re.compile(r"[぀-ヿ一-鿿]")
 _JAPANESE_RUN = re.compile(r"[぀-ヿ一-鿿]+")
 _SCRIPT = re.compile(r"[぀-ゟ]+|[゠-ヿ]+|[一-鿿]+")
@@ -144,10 +147,11 @@ class Lexicon:
                     if kind != "learned" and (len(run) == 1 or all(len(w) > 4 for w in run)):
                         words.update(run)
         self.plain = {w for own in self.runs.values() for run, _ in own for w in run} - words
-        self.lexical = words
+        self.lexical, self.width = words, max(map(len, words), default=0)
         self.trie, self.ordinary = Trie(words), ordinary
         known = words.union(self.plain, HARMLESS, *(c.split() for c in CUES.values()))
         self.japanese = Trie({w for w in known if _JAPANESE_RUN.fullmatch(w)})
+        self.longest = max(map(len, self.lexical | self.plain | self.ordinary), default=1)
         self.held: dict[str, tuple[str, bool]] = {}
 
     @staticmethod
@@ -201,7 +205,7 @@ class Lexicon:
         odd |= "*" in w
         if w in self.lexical or w in self.plain:
             return w, odd
-        if not odd and (w in self.ordinary or len(w) < 3):
+        if not odd and (w in self.ordinary or len(w) < 3) or len(w) > self.width + 2:  # no lexicon word is within two edits
             return w, False
         stars = w.count("*")
         most = 0 if 2 * stars > len(w) - stars else _reach(w)  # of a word that is masked for a third or more the rest must be right
@@ -217,7 +221,7 @@ class Lexicon:
         n = len(low)
         cost, back = [0.0] + [1e9] * n, [0] * (n + 1)
         for i in range(n):
-            for j in range(i + 1, min(n, i + 20) + 1):
+            for j in range(i + 1, min(n, i + self.longest) + 1):
                 w = low[i:j]
                 known = w in self.lexical or w in self.plain or w in self.ordinary or w.translate(_LEET) in self.lexical
                 c = cost[i] + (0.6 - 0.02 * (j - i) * (w in self.lexical) if known and (j - i > 1 or w in "aiyeouà") else 1.0 + 0.9 * (j - i - 1))
@@ -256,6 +260,7 @@ class Lexicon:
                 continue
             hits.sort()
             groups: list[list] = []
+            opened, closed, plain = ([m.start() for m in p.finditer(low)] for p in _QUOTES)
             end = 0
             for h in hits:
                 if groups and h[0] - end <= REACH:
@@ -267,8 +272,7 @@ class Lexicon:
             for g in groups:
                 a, b = max(0, g[0][0] - REACH), min(len(words), max(x[1] for x in g) + REACH)
                 place = raw[g[0][0]][1]
-                before = low[max(0, place - 300) : place]
-                quoted = sum(before.count(c) for c in '“„«「『') > sum(before.count(c) for c in '”»」』') or before.count('"') % 2 == 1
+                quoted = bisect_left(opened, place) > bisect_left(closed, place) or bisect_left(plain, place) % 2 == 1
                 odd = spaced or any(h[3] for h in g)
                 out.append({"words": words[a:b], "kinds": Counter(h[2] for h in g), "odd": odd, "quoted": quoted})
         return out

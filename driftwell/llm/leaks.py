@@ -38,7 +38,7 @@ GAP = 6
 #: Items that a phrase may be in before it counts as shared by many.
 COMMON = 6
 
-_TAG = re.compile(r"<[^<>]{0,200}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});|\[/?\w{1,12}\]")
+_TAG = re.compile(r"</?[a-zA-Z!][^<>]*+>|&(?:[a-zA-Z]{2,8}|#\d{1,6});|\[/?\w{1,12}\]")
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile(r"[<&\[]")
 

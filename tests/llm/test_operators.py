@@ -531,6 +531,18 @@ def test_plain_abuse_scores_without_labels_or_exact_spelling():
         assert m.score(t)[0] < 0.5, t
 
 
+def test_long_and_odd_texts_take_no_long():
+    import time
+
+    m, p, s = abuse.train([]), language.fit([]), leaks.Scanner([(1, ITEM)])
+    for t in ['"idiot" you ' * 20_000, "[" * 50_000, "<" * 50_000, "*a*" * 20_000, "$" * 50_000, "a@" * 30_000, "`" * 60_000, "\\(" * 30_000, "{|" * 30_000, "a b c " * 30_000]:
+        for f in (m.score, p.languages, p.spans, lambda x: s.scan(x, 20), lambda x: quality.document_statistics([x])):
+            began = time.time()
+            f(t)
+            assert time.time() - began < 8, t[:8]
+    assert p.languages("write to some.one@example.org or " + SENTENCES["fr"][0])[0][0] == "fr"
+
+
 def test_soft_edits_cost_half():
     trie = abuse.Trie({"scum", "bitch", "dick", "loser"})
     assert trie.near("scvm", 0.5, True) == ("scum", 0.5) and trie.near("dic", 0.5, True) == ("dick", 0.5) and trie.near("looser", 0.5, True) == ("loser", 0.5)
