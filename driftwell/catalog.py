@@ -44,9 +44,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def _entries() -> dict:
-    from driftwell.plans import queries_content, queries_data, queries_search
+    from driftwell.plans import queries_content, queries_data, queries_files, queries_search
 
-    return queries_search.QUERIES | queries_content.QUERIES | queries_data.QUERIES
+    return queries_search.QUERIES | queries_content.QUERIES | queries_data.QUERIES | queries_files.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -289,6 +289,9 @@ GUESS = {
     "es": "el la los las una que de en es y por con para no se del al como pero más muy",
     "fr": "le la les des une est et en que qui dans pour pas sur du au avec ne se ce il",
     "de": "der die das und ist nicht ein eine zu den mit auf für von dem im es sich auch",
+    "pt": "o os as um uma do da em não para com por mas muito na no eu isso que ao foi",
+    "it": "il di che è per non una sono ma nel della con del gli ho mi più ancora",
+    "ru": "и в не на я что он с как это по но из у за то все так мне его",
 }
 
 

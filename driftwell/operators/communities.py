@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.functions import vectors as V
+from driftwell.sources.store import cut
 
 #: Numbers of clusters that are tried, points that the silhouette is taken on, and points that density clustering takes, at most.
 CANDIDATES = (30, 50, 100, 150, 200)
@@ -24,7 +25,8 @@ def kmeans(rows: DataFrame, key: str, vector: str, k: int, seeds: int = 10, seed
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    own = rows.where(F.col(vector).isNotNull()).select(key, vector, array_to_vector(F.col(vector).cast("array<double>")).alias("features")).persist()
+    own = rows.where(F.col(vector).isNotNull()).select(key, vector, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    own = cut(own)  # read many times by each fit
     best = None
     for i in range(seeds):
         model = KMeans(k=k, seed=seed + i, maxIter=20).fit(own)

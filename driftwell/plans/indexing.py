@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftwell.config import SearchConfig
 from driftwell.functions import text as tx
 from driftwell.functions import vectors as V
 from driftwell.operators import communities as cm
+from driftwell.operators import ingest
 from driftwell.plans import search
 from driftwell.sources import files
+from driftwell.sources.store import BucketTable
 
 
 def text_vectors(posts: DataFrame, encoder: Callable[[list, int], np.ndarray], size: int, config: SearchConfig | None = None) -> DataFrame:
@@ -44,9 +47,10 @@ def index_posts(posts: DataFrame, post_tags: DataFrame, tags: DataFrame, encoder
     return own.select("id", F.transform(fused, lambda x: x.cast("float")).alias("vector"), payload).where(V.norm(F.col("vector")) >= V.TINY)
 
 
-def index_accounts(post_index: DataFrame, config: SearchConfig | None = None, salts: int = 32) -> DataFrame:
+def index_accounts(post_index: DataFrame, config: SearchConfig | None = None, salts: int = 32, accounts: DataFrame | None = None) -> DataFrame:
     """(id, vector, posts): the unit mean of the vectors of each account's last posts.
 
+    ``accounts`` (id, embedding), if given, are all in the result: one without posts keeps the vector that it has.
     Posts are ranked by number and time alone, each part of an account before the whole; vectors are joined to the chosen ones.
     """
     c = config or SearchConfig()
@@ -55,7 +59,27 @@ def index_accounts(post_index: DataFrame, config: SearchConfig | None = None, sa
     p = p.withColumn("_r", F.row_number().over(Window.partitionBy("account_id", "_s").orderBy(*order))).where(F.col("_r") <= c.account_window)
     p = p.withColumn("_r", F.row_number().over(Window.partitionBy("account_id").orderBy(*order))).where(F.col("_r") <= c.account_window)
     m = V.mean_pool_fast(p.select("id", "account_id").join(post_index.select("id", "vector"), "id"), "account_id", "vector", "m")
-    return m.select(F.col("account_id").alias("id"), V.normalise(F.col("m")).alias("vector"), F.col("n").alias("posts"))
+    own = m.select(F.col("account_id").alias("id"), V.normalise(F.col("m")).alias("vector"), F.col("n").alias("posts"))
+    if accounts is None:
+        return own
+    kept = accounts.select("id", F.col("embedding").cast("array<double>").alias("_old")).join(own, "id", "left")
+    return kept.select("id", F.coalesce("vector", "_old").alias("vector"), F.coalesce("posts", F.lit(0)).alias("posts"))
+
+
+def bootstrap_collections(spark: SparkSession, folder: str, schemas: dict[str, T.StructType], key: str = "id") -> dict[str, BucketTable]:
+    """The vector collections of a folder, made where they aren't there yet; doing it again changes nothing."""
+    return {name: BucketTable(spark, f"{folder}/{name}", key, schema) for name, schema in schemas.items()}
+
+
+def upsert_points(collection: BucketTable, points: DataFrame, number: int, order: Column | None = None) -> int:
+    """Folds a batch of points into a collection, the last of a key by ``order``; gives how many buckets were written."""
+    return collection.write(points, number, lambda old, new: ingest.last_write(old, new, collection.key, order=order))
+
+
+def optimise(collections: list[BucketTable]) -> DataFrame:
+    """Compacts each collection: (folder, rows, bytes, error); one that fails stops none of the others."""
+    rows = [c.compact() for c in collections]
+    return collections[0].spark.createDataFrame([(r["folder"], r.get("rows"), r.get("bytes"), r.get("error")) for r in rows], "folder string, rows long, bytes long, error string")
 
 
 def image_status(posts: DataFrame, asked: DataFrame, images: DataFrame) -> DataFrame:
@@ -108,6 +132,13 @@ def bootstrap_pairs(sentences: DataFrame, source: Callable, target: Callable, si
     return own.withColumn("y", V.normalise(F.col("y")))
 
 
+def training_pairs(sentences: DataFrame, images: DataFrame | None, captions: DataFrame | None, source: Callable, target: Callable, sizes: tuple[int, int]) -> tuple[str, DataFrame]:
+    """("image" or "bootstrap", pairs): pairs of images and captions where there is any image, else of both encoders' sentences."""
+    if images is not None and captions is not None and images.limit(1).count():
+        return "image", image_pairs(images, captions, target, sizes[1])
+    return "bootstrap", bootstrap_pairs(sentences, source, target, sizes)
+
+
 def image_pairs(images: DataFrame, captions: DataFrame, encoder: Callable, size: int) -> DataFrame:
     """(post_id, phash, x, y): an image's vector and its caption's; without a caption the folder's name stands in.
 

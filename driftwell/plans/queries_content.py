@@ -64,6 +64,12 @@ def chunk_windows(spark, d):
     return w.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.size("words").cast("long").alias("n"), F.md5(F.array_join("words", " ")).alias("digest"))
 
 
+def chunk_windows_full(spark, d):
+    """Windows of the production size: 512 words, 64 of them shared with the next."""
+    w = read(spark, d, "documents").select("doc_id", F.posexplode(tx.windows(F.col("text"))).alias("chunk", "words"))
+    return w.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.size("words").cast("long").alias("n"), F.md5(F.array_join("words", " ")).alias("digest"))
+
+
 _CHUNK = """WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r]+'), lambda x: length(x) > 0) AS w FROM documents),
 s AS (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) <= 64 THEN 1 ELSE ceil((len(w) - 64) / 48.0)::INT + 1 END)) AS chunk FROM w)
 SELECT doc_id, chunk, len(w[chunk * 48 + 1 : chunk * 48 + 64]) AS n, md5(array_to_string(w[chunk * 48 + 1 : chunk * 48 + 64], ' ')) AS digest FROM s"""
@@ -285,6 +291,13 @@ def projection_fit(spark, d):
     return projection.project(pairs, "x", w).select("id", F.round(F.aggregate(F.zip_with("projected", "y", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 3).alias("cosine"))
 
 
+def projection_training(spark, d):
+    """The two-layer network trained on every vector and its reverse, a gradient job for each epoch: how near it comes."""
+    e = read(spark, d, "embeddings").where("embedding is not null").select(F.col("embedding").alias("x"), F.reverse("embedding").alias("y"))
+    _, cosine = projection.fit_layers_spread(e, "x", "y", 64, 20)
+    return spark.createDataFrame([(cosine > 0.2,)], "learned boolean")
+
+
 def projection_layers(spark, d):
     """The two-layer projection with fixed weights: unit vectors."""
     rng = np.random.default_rng(1)
@@ -306,6 +319,7 @@ QUERIES = {
     "full_clean": (full_clean, None),
     "body_extract": (body_extract, _BODY),
     "chunk_windows": (chunk_windows, _CHUNK),
+    "chunk_windows_full": (chunk_windows_full, _CHUNK.replace("48 + 64", "448 + 512").replace("* 48", "* 448").replace("48.0", "448.0").replace("64", "512")),
     "term_frequency": (term_frequency, f"WITH {CUR} SELECT term, count(*) AS n FROM (SELECT unnest({WORDS.format('body_clean')}) AS term FROM cur) GROUP BY term"),
     "blocklist_scan": (blocklist_scan, f"WITH {CUR} SELECT id FROM cur WHERE " + " OR ".join(f"contains(lower(coalesce(body_clean, '')), '{t}')" for t in BLOCKED)),
     "safety_gate": (safety_gate, _GATE),
@@ -329,6 +343,7 @@ QUERIES = {
     "grid_search": (grid_search, f"{_GRID} SELECT config, round(avg(ndcg), 5) AS ndcg FROM n GROUP BY config"),
     "tune_weights": (tune_weights, _GRID + _TUNE),
     "projection_fit": (projection_fit, "SELECT vec_id AS id, 1.0::DOUBLE AS cosine FROM embeddings"),
+    "projection_training": (projection_training, "SELECT true AS learned"),
     "projection_layers": (projection_layers, None),
     "query_lexemes": (query_lexemes, f"WITH {CUR}, q AS (SELECT DISTINCT unnest({WORDS.format('text')}) AS term FROM eval_items), p AS (SELECT DISTINCT id, unnest({WORDS.format('body_clean')}) AS term FROM cur) SELECT term, count(*) AS posts FROM p JOIN q USING (term) GROUP BY term"),
 }

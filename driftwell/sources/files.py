@@ -39,10 +39,14 @@ def read_images(spark: SparkSession, path: str, pattern: str = "*.jpg") -> DataF
     return own.select(F.col("image.origin").alias("origin"), name.alias("post_id"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
 
 
-def storage_bytes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(files, bytes) under a folder, from the listing alone."""
+#: Bytes of files from which the storage counts as too large.
+STORAGE = 100 << 30
+
+
+def storage_bytes(spark: SparkSession, path: str, pattern: str = "*", most: int = STORAGE) -> DataFrame:
+    """(files, bytes, over) under a folder, from the listing alone; over tells whether the bytes pass ``most``."""
     own = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return own.select("length").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+    return own.select("length").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).withColumn("over", F.col("bytes") > most)
 
 
 def _resize(img: np.ndarray, n: int) -> np.ndarray:
@@ -88,20 +92,30 @@ def dedupe_images(images: DataFrame) -> DataFrame:
     return best.select("post_id", "phash", *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def encode_images(images: DataFrame, encoder, cache: DataFrame | None = None, size: int = 512) -> tuple[DataFrame, DataFrame]:
+def encode_images(images: DataFrame, encoder, cache: DataFrame | None = None, batch: int = 32) -> tuple[DataFrame, DataFrame]:
     """((post_id, phash, vector) of every image, the grown cache): only hashes that the cache lacks are encoded.
 
-    ``encoder`` maps (height, width, channels, bytes) to a vector; an image that it fails on is skipped.
+    ``encoder`` maps a list of up to ``batch`` (height, width, channels, bytes) to as many vectors; where it fails, it is asked for
+    each image alone, and one that it fails on is skipped.
     """
 
+    def alone(image: tuple):
+        try:
+            return encoder([image])[0]
+        except ValueError:
+            return None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            own = list(zip(pdf["height"], pdf["width"], pdf["channels"], pdf["data"], strict=True))
             rows = []
-            for p, h, w, c, d in zip(pdf["phash"], pdf["height"], pdf["width"], pdf["channels"], pdf["data"], strict=True):
+            for lo in range(0, len(own), batch):
+                names = pdf["phash"].iloc[lo : lo + batch]
                 try:
-                    rows.append((p, [float(x) for x in encoder(h, w, c, d)]))
+                    got = list(encoder(own[lo : lo + batch]))
                 except ValueError:
-                    continue
+                    got = [alone(x) for x in own[lo : lo + batch]]
+                rows += [(p, [float(x) for x in v]) for p, v in zip(names, got, strict=True) if v is not None]
             yield pd.DataFrame(rows, columns=["phash", "vector"])
 
     one = images.dropDuplicates(["phash"])

@@ -15,7 +15,7 @@ from driftwell.functions import text as tx
 from driftwell.functions import vectors as V
 from driftwell.operators import communities as cm
 from driftwell.operators import evaluate, fulltext, fusion, ingest, projection, retrieve, safety
-from driftwell.plans import search, stats, store
+from driftwell.plans import indexing, search, stats, store
 from driftwell.sources import feed, files
 from driftwell.sources.feed import FeedSource
 from driftwell.sources.store import BucketTable
@@ -515,7 +515,7 @@ def test_images(spark, tmp_path):
     one_each = files.dedupe_images(hashed)
     assert {r.post_id for r in one_each.collect()} == {"p1", "p2"} and one_each.count() == 2
     full = img.join(hashed.select("origin", "phash"), "origin")
-    vec, cache = files.encode_images(full, lambda h, w, c, d: np.frombuffer(d, np.uint8)[:4] / 255)
+    vec, cache = files.encode_images(full, lambda own: [np.frombuffer(d, np.uint8)[:4] / 255 for _, _, _, d in own])
     assert vec.count() == 3 and cache.count() == 2
     again, grown = files.encode_images(full, lambda *_: (_ for _ in ()).throw(AssertionError), cache)
     assert grown.count() == 2 and again.count() == 3
@@ -673,6 +673,55 @@ def test_grid_winner_and_test_run(spark):
     assert len(a) == 8 and len(b) == 2 and not a & b and train.count() == 16
 
 
+def test_training_over_partitions_is_full_batch_training(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(60, 6)), rng.normal(size=(60, 5))
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    pairs = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y, strict=True)] + [(None, [0.0] * 5)], "x array<double>, y array<double>").repartition(5)
+    got, cosine = projection.fit_layers_spread(pairs, "x", "y", hidden=7, epochs=3)
+    p = projection._start(6, 5, 7, 42)
+    m, v = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p]
+    for t in range(3):
+        grads, total = projection._gradient(p, x, y, 60)
+        for i, g in enumerate(grads):
+            projection._adam(p, m, v, i, g, t + 1, 3e-3 * 0.5 * (1 + math.cos(math.pi * t / 3)), 1e-4)
+    assert np.allclose(got[0][0], p[0]) and np.allclose(got[1][1], p[3]) and math.isclose(cosine, total / 60)
+    # the gradient is that of the loss
+    loss = lambda w: ((projection.layer(x, [(w, q[1]), (q[2], q[3])]) - y) ** 2).mean() + 0.5 * (1 - (projection.layer(x, [(w, q[1]), (q[2], q[3])]) * y).sum(axis=1)).mean()
+    q = projection._start(6, 5, 7, 1)
+    grads, _ = projection._gradient(q, x, y, 60)
+    step = np.zeros_like(q[0])
+    step[2, 3] = 1e-6
+    assert math.isclose((loss(q[0] + step) - loss(q[0] - step)) / 2e-6, grads[0][2, 3], rel_tol=1e-3, abs_tol=1e-7)
+    with pytest.raises(ValueError):
+        projection.fit_layers_spread(pairs.limit(0), "x", "y")
+
+
+def test_images_are_encoded_in_batches(spark):
+    images = spark.createDataFrame([(f"p{i}", f"h{i}", 1, 1, 1, bytearray([i])) for i in range(70)], "post_id string, phash string, height int, width int, channels int, data binary").coalesce(1)
+
+    def encoder(own):
+        if len(own) > 32 or any(d[0] == 40 for *_, d in own):
+            raise ValueError
+        return [[float(d[0])] for *_, d in own]
+
+    vec, cache = files.encode_images(images, encoder)
+    assert {r.phash for r in cache.collect()} == {f"h{i}" for i in range(70) if i != 40} and vec.count() == 69
+
+
+def test_accounts_without_posts_keep_their_vector_and_pairs_have_a_mode(spark):
+    posts = spark.createDataFrame([(1, [3.0, 4.0], (7, None))], "id long, vector array<float>, payload struct<account_id:long,published_at:timestamp>")
+    accounts = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.5, 0.5]), (9, None)], "id long, embedding array<float>")
+    got = {r.id: (r.posts, r.vector) for r in indexing.index_accounts(posts, accounts=accounts).collect()}
+    assert got == {7: (1, [0.6, 0.8]), 8: (0, [0.5, 0.5]), 9: (0, None)}
+    s = spark.createDataFrame([("one two",)], "sentence string")
+    img = spark.createDataFrame([("p", "h", [1.0])], "post_id string, phash string, vector array<float>")
+    cap = spark.createDataFrame([("h", "a cat")], "phash string, caption string")
+    assert indexing.training_pairs(s, None, None, tx.hash_encode, tx.hash_encode, (8, 8))[0] == indexing.training_pairs(s, img.limit(0), cap, tx.hash_encode, tx.hash_encode, (8, 8))[0] == "bootstrap"
+    mode, pairs = indexing.training_pairs(s, img, cap, tx.hash_encode, tx.hash_encode, (8, 8))
+    assert mode == "image" and pairs.count() == 1
+
+
 def test_token_bucket_over_batches(spark, tmp_path):
     src = tmp_path / "calls"
     for k in range(2):
