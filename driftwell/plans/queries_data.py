@@ -347,7 +347,7 @@ QUERIES = {
     "posts_without_tags": (posts_without_tags, f"WITH {CUR} SELECT id FROM cur WHERE id NOT IN (SELECT post_id FROM post_tags WHERE post_id IS NOT NULL)"),
     "blogs_by_posts": (blogs_by_posts, f"WITH {CUR} SELECT blog_name, count(cur.id) AS posts FROM accounts a LEFT JOIN cur ON cur.account_id = a.id GROUP BY blog_name"),
     "upsert_posts": (upsert_posts, _UPS),
-    "insert_ignore_accounts": (insert_ignore_accounts, "SELECT blog_name, CASE WHEN total_posts IS NOT NULL THEN id END AS known_id, total_posts IS NULL AS fresh, 1 AS place, CASE WHEN total_posts IS NOT NULL THEN id END AS id FROM accounts"),
+    "insert_ignore_accounts": (insert_ignore_accounts, "SELECT blog_name, CASE WHEN total_posts IS NOT NULL THEN id END AS known_id, total_posts IS NULL AS fresh, 1::BIGINT AS place, CASE WHEN total_posts IS NOT NULL THEN id END AS id FROM accounts"),
     "count_tag_usage": (count_tag_usage, "WITH s AS (SELECT name, count(*) AS n FROM post_tags JOIN tags ON tags.id = tag_id GROUP BY name) SELECT coalesce(t.name, s.name) AS name, coalesce(t.u, 0) + coalesce(n, 0) AS usage_count FROM (SELECT name, usage_count AS u FROM tags WHERE usage_count IS NOT NULL) t FULL JOIN s ON s.name = t.name"),
     "insert_ignore_post_tags": (insert_ignore_post_tags, "SELECT DISTINCT post_id, tag_id FROM post_tags"),
     "last_write_vectors": (last_write_vectors, "SELECT id, CASE WHEN usage_count IS NULL THEN 1 ELSE len(embedding) END AS v FROM tags WHERE embedding IS NOT NULL UNION ALL SELECT unnest([-3, -2, -1]), 2"),
