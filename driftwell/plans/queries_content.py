@@ -299,11 +299,16 @@ def projection_training(spark, d):
 
 
 def projection_layers(spark, d):
-    """The two-layer projection with fixed weights: unit vectors."""
-    rng = np.random.default_rng(1)
-    w = [(rng.normal(0, 0.1, (96, 64)), np.zeros(96)), (rng.normal(0, 0.1, (32, 96)), np.zeros(32))]
-    got = projection.project(read(spark, d, "embeddings"), "embedding", w)
-    return got.select("vec_id", F.size("projected").alias("size"), F.round(F.aggregate("projected", F.lit(0.0), lambda s, x: s + x * x), 6).alias("square"))
+    """The two-layer projection with weights made by rule: the size of its unit vectors and two of their elements."""
+    made = lambda n, m, a, b, k: (((np.arange(n)[:, None] * a + np.arange(m) * b) % k - k // 2) / 20.0, np.zeros(n))
+    got = projection.project(read(spark, d, "embeddings"), "embedding", [made(96, 64, 7, 3, 11), made(32, 96, 5, 7, 13)])
+    return got.select("vec_id", F.size("projected").alias("size"), F.round(F.col("projected")[0], 6).alias("x0"), F.round(F.col("projected")[31], 6).alias("x31"))
+
+
+_LAYERS = """WITH h AS (SELECT vec_id, list_transform(range(96), lambda i: list_inner_product(embedding::DOUBLE[], list_transform(range(64), lambda j: ((i * 7 + j * 3) % 11 - 5) / 20.0::DOUBLE))) AS h FROM embeddings),
+g AS (SELECT vec_id, list_transform(h, lambda x: 0.5 * x * (1 + 2 / sqrt(pi()) * list_sum(list_transform(range(30), lambda n: pow(-1, n) * pow(x / sqrt(2.0), 2 * n + 1) / (factorial(n::INT)::DOUBLE * (2 * n + 1)))))) AS g FROM h),
+o AS (SELECT vec_id, list_transform(range(32), lambda k: list_inner_product(g, list_transform(range(96), lambda i: ((k * 5 + i * 7) % 13 - 6) / 20.0::DOUBLE))) AS o FROM g)
+SELECT vec_id, 32 AS size, round(o[1] / sqrt(list_inner_product(o, o)), 6) AS x0, round(o[32] / sqrt(list_inner_product(o, o)), 6) AS x31 FROM o"""
 
 
 def query_lexemes(spark, d):
@@ -344,7 +349,7 @@ QUERIES = {
     "tune_weights": (tune_weights, _GRID + _TUNE),
     "projection_fit": (projection_fit, "SELECT vec_id AS id, 1.0::DOUBLE AS cosine FROM embeddings"),
     "projection_training": (projection_training, "SELECT true AS learned"),
-    "projection_layers": (projection_layers, None),
+    "projection_layers": (projection_layers, _LAYERS),
     "query_lexemes": (query_lexemes, f"WITH {CUR}, q AS (SELECT DISTINCT unnest({WORDS.format('text')}) AS term FROM eval_items), p AS (SELECT DISTINCT id, unnest({WORDS.format('body_clean')}) AS term FROM cur) SELECT term, count(*) AS posts FROM p JOIN q USING (term) GROUP BY term"),
 }
 

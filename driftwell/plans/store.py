@@ -27,20 +27,23 @@ class SearchStore:
 
     def __init__(self, spark: SparkSession, folder: str):
         held = json.loads(Files(spark, folder).read("store.json"))
-        self.spark, self.folder, self.analyser = spark, folder, held["analyser"]
+        self.spark, self.folder, self.analyser, self.buckets = spark, folder, held["analyser"], held["buckets"]
         self.centroids = np.asarray(held["centroids"], np.float32)
         self.posts = spark.read.parquet(f"{folder}/posts")
         self.vectors = spark.read.parquet(f"{folder}/vectors")
         self.postings = spark.read.parquet(f"{folder}/postings")
 
     @classmethod
-    def build(cls, spark: SparkSession, posts: DataFrame, vectors: DataFrame, analyser: str = "simple", folder: str | None = None) -> SearchStore:
-        """Writes a collection of ``posts`` (one row for each id) and ``vectors`` (id, vector), to a new shared folder by default."""
+    def build(cls, spark: SparkSession, posts: DataFrame, vectors: DataFrame, analyser: str = "simple", folder: str | None = None, buckets: int = postings.BUCKETS) -> SearchStore:
+        """Writes a collection of ``posts`` (one row for each id) and ``vectors`` (id, vector), to a new shared folder by default.
+
+        A query reads a bucket of the postings for each of its words: take so many that a bucket is of a few hundred megabytes.
+        """
         folder = folder or new_folder(spark, "store")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         posts.repartitionByRange(parts, "id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{folder}/posts")
         own = spark.read.parquet(f"{folder}/posts")
-        postings.write(postings.build(own, analyser=analyser), f"{folder}/postings")
+        postings.write(postings.build(own, analyser=analyser, buckets=buckets), f"{folder}/postings")
         vectors.join(own.select("id", *PAYLOAD), "id").write.mode("overwrite").parquet(f"{folder}/flat")
         flat = spark.read.parquet(f"{folder}/flat")
         n = flat.count()
@@ -49,7 +52,7 @@ class SearchStore:
         placed.repartition("cell").sortWithinPartitions("cell", "id").write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/vectors")
         files = Files(spark, folder)
         files.own.delete(files.path("flat"), True)
-        files.write("store.json", json.dumps({"analyser": analyser, "centroids": at.tolist()}))
+        files.write("store.json", json.dumps({"analyser": analyser, "buckets": buckets, "centroids": at.tolist()}))
         return cls(spark, folder)
 
     def keyword(self, query: str, k: int, f: Filters, post_tags: DataFrame | None = None, tags: DataFrame | None = None) -> DataFrame:
@@ -58,7 +61,7 @@ class SearchStore:
         node = fulltext.parse(query, self.analyser)
         if node is not None and fulltext.satisfied(node, {}):
             return retrieve.keyword_topk(ok, query, k, self.analyser)
-        hits = postings.search(self.postings, query, analyser=self.analyser).join(ok.select("id"), "id", "left_semi")
+        hits = postings.search(self.postings, query, analyser=self.analyser, buckets=self.buckets).join(ok.select("id"), "id", "left_semi")
         return retrieve.top(hits.withColumn("kw_score", F.round("kw_score", 9)), "kw_score", "id", k)
 
     def nearest(self, query: Sequence[float], k: int, f: Filters, post_tags: DataFrame | None = None, tags: DataFrame | None = None, probes: int | None = None) -> DataFrame:

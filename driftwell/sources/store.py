@@ -80,7 +80,8 @@ class BucketTable:
     """A table in hash buckets of its key: a write folds a batch into the buckets that it touches and leaves the others alone.
 
     Each write has a number and adds a list of which version of each bucket holds; a write whose number is known does nothing,
-    so a batch that is run again changes nothing, and readers see whole writes only.
+    so a batch that is run again changes nothing, and readers see whole writes only.  A bucket is a file that one task writes:
+    take so many that it is of a few hundred megabytes.
     """
 
     def __init__(self, spark: SparkSession, folder: str, key: str, schema: T.StructType | None = None, buckets: int = 64):
