@@ -26,8 +26,11 @@ def build(posts: DataFrame, key: str = "id", text: str = "body_clean", analyser:
 
 
 def write(postings: DataFrame, path: str) -> None:
-    """Writes the index by bucket, sorted by lexeme, so that files and row groups are skipped by their statistics."""
-    postings.repartition("bucket", F.pmod(F.xxhash64("id" if "id" in postings.columns else postings.columns[1]), F.lit(8))).sortWithinPartitions("bucket", "lexeme").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """Writes the index by bucket, sorted by lexeme, so that files and row groups are skipped by their statistics.
+
+    Partitions are balanced at run time: a bucket with a very frequent lexeme is cut into several tasks, small ones share one.
+    """
+    postings.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "lexeme").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def bucket_of(spark: SparkSession, lexemes: list[str], buckets: int = BUCKETS) -> list[int]:

@@ -49,7 +49,7 @@ class SearchStore:
         n = flat.count()
         at = ivf.fit_cells(flat, "id", "vector", int(min(max(n // CELL, CELLS[0]), CELLS[1]))) if n else np.zeros((0, 0), np.float32)
         placed = ivf.assign(flat, "id", "vector", at, keep=PAYLOAD) if n else flat.withColumn("cell", F.lit(0))
-        placed.repartition("cell").sortWithinPartitions("cell", "id").write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/vectors")
+        placed.hint("rebalance", F.col("cell")).sortWithinPartitions("cell", "id").write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/vectors")
         files = Files(spark, folder)
         files.own.delete(files.path("flat"), True)
         files.write("store.json", json.dumps({"analyser": analyser, "buckets": buckets, "centroids": at.tolist()}))
