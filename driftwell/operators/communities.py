@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from driftwell.functions import vectors as V
 from driftwell.sources.store import cut
 
-#: Numbers of clusters that are tried, points that the silhouette is taken on, and points that density clustering takes, at most.
+#: Numbers of clusters that are tried, points that the silhouette is taken on at most, and points up to which one task does density clustering.
 CANDIDATES = (30, 50, 100, 150, 200)
 SILHOUETTE_SAMPLE = 5000
 DENSITY_POINTS = 20_000
@@ -132,9 +132,12 @@ def top_tags(members: DataFrame, label: str, posts: DataFrame, post_tags: DataFr
 
 def density_labels(x: np.ndarray, least: int = 5) -> np.ndarray:
     """Density clusters (-1 is noise): mutual reachability, its minimum spanning tree, condensed tree, most stable clusters."""
+    return _most_stable(len(x), _spanning_tree(x, least), least) if len(x) >= 2 * least else np.full(len(x), -1)
+
+
+def _spanning_tree(x: np.ndarray, least: int) -> list[tuple[float, int, int]]:
+    """(distance, point, point) of the minimum spanning tree of mutual reachability."""
     n = len(x)
-    if n < 2 * least:
-        return np.full(n, -1)
     square = (x**2).sum(axis=1)
     dist = lambda i: np.sqrt(np.maximum(square[i] + square - 2 * x @ x[i], 0))
     core = np.empty(n)
@@ -151,7 +154,12 @@ def density_labels(x: np.ndarray, least: int = 5) -> np.ndarray:
         reach[nearer], source[nearer] = d[nearer], at
         at = int(np.where(done, np.inf, reach).argmin())
         edges.append((reach[at], int(source[at]), at))
-    edges.sort()
+    return edges
+
+
+def _most_stable(n: int, edges: list[tuple[float, int, int]], least: int) -> np.ndarray:
+    """The labels of the most stable clusters of a spanning tree."""
+    edges = sorted(edges)
     # single linkage
     parent = list(range(2 * n - 1))
     size, kids, height = [1] * n + [0] * (n - 1), {}, {}
@@ -231,17 +239,106 @@ def density_labels(x: np.ndarray, least: int = 5) -> np.ndarray:
 
 
 def density_clusters(rows: DataFrame, key: str, vector: str, least: int = 5, most: int = DENSITY_POINTS) -> DataFrame:
-    """(key, label) of density clustering; label -1 is noise.  ValueError beyond ``most`` points, which one task handles.
+    """(key, label) of density clustering, labels in the order of the clusters' first keys; label -1 is noise.  Fewer than 2 * ``least`` points are all noise.
 
-    Fewer than 2 * ``least`` points are all noise.
+    Up to ``most`` points are one task's.  More are cut into blocks that meet pair by pair: the spanning tree grows by joining every
+    part of it to the nearest other one, a job for each round, of which there are as many as the logarithm of the points.  Only
+    numbers, three for each part of the tree, come to the driver, never vectors or keys.
     """
     own = rows.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("_v"))
-    if own.limit(most + 1).count() > most:
-        raise ValueError(f"density clustering takes up to {most} points")
     kind = rows.schema[key].dataType.simpleString()
+    n = own.count()
+    if n > most and n >= 2 * least:
+        return _in_order(_density_spread(own, key, kind, n, least), key)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         return pd.DataFrame({key: pdf[key], "label": density_labels(np.stack(pdf["_v"].to_numpy()).astype(np.float64), least).astype(np.int64)})
 
-    return own.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"`{key}` {kind}, label long")
+    return _in_order(own.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"`{key}` {kind}, label long"), key)
+
+
+def _in_order(found: DataFrame, key: str) -> DataFrame:
+    """``found`` with its clusters numbered in the order of their first keys."""
+    found = cut(found)
+    first = found.where("label >= 0").groupBy("label").agg(F.min(key).alias("_f"))
+    first = first.select("label", (F.row_number().over(Window.orderBy("_f")) - 1).cast("long").alias("_new"))  # a row for each cluster
+    return found.join(first, "label", "left").select(key, F.coalesce("_new", F.lit(-1).cast("long")).alias("label"))
+
+
+def _density_spread(own: DataFrame, key: str, kind: str, n: int, least: int, size: int = SILHOUETTE_BLOCK) -> DataFrame:
+    spark = own.sparkSession
+    count = max(2, -(-n // size))
+    block = own.groupBy(F.pmod(F.xxhash64(key, "_v"), F.lit(count)).cast("int").alias("_b")).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("_k"), "_v"))).alias("_p"))
+    block = cut(block.select("_b", F.col("_p._k").alias("_k"), F.flatten("_p._v").alias("_v"), F.size("_p").alias("_n")))
+    start, at = {}, 0
+    for r in block.select("_b", "_n").orderBy("_b").collect():  # one row for each block
+        start[r["_b"]], at = at, at + r["_n"]
+    pairs = block.select("_b", "_n", "_v").crossJoin(block.select(F.col("_b").alias("_o"), F.col("_n").alias("_on"), F.col("_v").alias("_ov"))).repartition(len(start), "_b")
+
+    def distances(v, m, ov, om) -> np.ndarray:
+        x, y = np.asarray(v, np.float64).reshape(m, -1), np.asarray(ov, np.float64).reshape(om, -1)
+        return np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * x @ y.T, 0))
+
+    def cores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for b, m, v, o, om, ov in pdf.itertuples(index=False):
+                d = distances(v, m, ov, om)
+                if b == o:
+                    np.fill_diagonal(d, 0)
+                d = np.hstack([held[b], d]) if b in held else d
+                held[b] = np.partition(d, least - 1, axis=1)[:, :least] if d.shape[1] > least else d
+        for b, d in held.items():
+            yield pd.DataFrame({"i": np.arange(len(d)) + start[b], "c": d.max(axis=1)})
+
+    core = np.empty(n)
+    for r in pairs.mapInPandas(cores, "i long, c double").toLocalIterator():  # one number for each point
+        core[r["i"]] = r["c"]
+    part = np.arange(n)
+    edges: list[tuple[float, int, int]] = []
+    while len(edges) < n - 1:
+        sent = spark.sparkContext.broadcast((core, part))  # two numbers for each point
+
+        def nearest(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            core, part = sent.value
+            for pdf in batches:
+                for b, m, v, o, om, ov in pdf.itertuples(index=False):
+                    i, j = np.arange(m) + start[b], np.arange(om) + start[o]
+                    d = np.maximum(np.maximum(distances(v, m, ov, om), core[i][:, None]), core[j][None])
+                    d[part[i][:, None] == part[j][None]] = np.inf
+                    w = d.min(axis=1)
+                    ok = np.isfinite(w)
+                    if ok.any():
+                        to = j[d.argmin(axis=1)]
+                        got = pd.DataFrame({"part": part[i], "w": w, "lo": np.minimum(i, to), "hi": np.maximum(i, to)})[ok]
+                        yield got.sort_values(["w", "lo", "hi"]).drop_duplicates("part")
+
+        best = pairs.mapInPandas(nearest, "part long, w double, lo long, hi long").groupBy("part").agg(F.min(F.struct("w", "lo", "hi")).alias("e"))
+        found = sorted({(r["e"]["w"], r["e"]["lo"], r["e"]["hi"]) for r in best.collect()})  # three numbers for each part
+        sent.destroy()
+        up = np.arange(n)
+
+        def find(a: int) -> int:
+            while up[a] != a:
+                up[a] = up[up[a]]
+                a = int(up[a])
+            return a
+
+        before = len(edges)
+        for w, lo, hi in found:
+            a, b = find(int(part[lo])), find(int(part[hi]))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                edges.append((w, lo, hi))
+        if len(edges) == before:
+            raise ValueError("distances that are no numbers")
+        part = np.asarray([find(int(p)) for p in part])
+    labels = spark.sparkContext.broadcast(_most_stable(n, edges, least))  # one number for each point
+
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for b, k, m in pdf.itertuples(index=False):
+                yield pd.DataFrame({key: list(k), "label": labels.value[start[b] : start[b] + m].astype(np.int64)})
+
+    return block.select("_b", "_k", "_n").mapInPandas(name, f"`{key}` {kind}, label long")

@@ -188,9 +188,9 @@ SELECT vec_id, round(CASE WHEN own > 1 THEN (b - a) / greatest(a, b) ELSE 0 END,
 
 
 def kmeans_communities(spark, d):
-    """Members of each cluster, with the number of clusters of best silhouette."""
+    """The cluster of every vector, with the number of clusters of best silhouette."""
     _, _, got = cm.choose_k(read(spark, d, "embeddings"), "vec_id", "embedding")
-    return got.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+    return got.select("vec_id", "label")
 
 
 def choose_clusters(spark, d):
@@ -200,8 +200,8 @@ def choose_clusters(spark, d):
 
 
 def density_communities(spark, d):
-    got = cm.density_clusters(read(spark, d, "embeddings"), "vec_id", "embedding")
-    return got.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+    """The density cluster of every vector, -1 for noise."""
+    return cm.density_clusters(read(spark, d, "embeddings"), "vec_id", "embedding")
 
 
 def top_tags_per_account_group(spark, d):

@@ -375,8 +375,20 @@ def test_tight_clusters_are_found(spark):
     d = cm.density_clusters(df, "id", "v", 5).collect()
     assert len({(r.label, r.id % 3) for r in d if r.label >= 0}) == 3 and sum(r.label < 0 for r in d) <= 5
     assert all(r.label == -1 for r in cm.density_clusters(df.limit(6), "id", "v", 5).collect())
-    with pytest.raises(ValueError):
-        cm.density_clusters(df, "id", "v", 5, most=10)
+    assert rows(cm.density_clusters(df, "id", "v", 5, most=10)) == rows(cm.density_clusters(df, "id", "v", 5))
+
+
+def test_density_clusters_of_many_blocks_are_those_of_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(c, 0.3, (40, 3)) for c in (0, 4, 9)] + [rng.uniform(-20, 20, (20, 3))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id long, v array<double>")
+    one = {r.id: r.label for r in cm.density_clusters(df, "id", "v").collect()}
+    monkeypatch.setattr(cm._density_spread, "__defaults__", (30,))
+    many = {r.id: r.label for r in cm.density_clusters(df, "id", "v", most=50).collect()}
+    groups = lambda m: {frozenset(k for k in m if m[k] == v) for v in set(m.values())}
+    assert set(one.values()) >= {0, 1, 2} and groups(one) == groups(many) and {k for k in one if one[k] < 0} == {k for k in many if many[k] < 0}
+    same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(60)], "id long, v array<double>")
+    assert cm.density_clusters(same, "id", "v", most=20).count() == 60
 
 
 def test_cluster_queries_try_all_candidates_and_seeds(spark, monkeypatch):
