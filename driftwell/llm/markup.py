@@ -30,6 +30,9 @@ LABELS = (*LINES, *KINDS, "plain")
 #: Pages the model is trained on, and texts of the table that they are made from, at most.
 PAGES, SAMPLE = 1400, 500
 
+#: Number of the features and labelled pages that weights are of; weights kept under another one aren't read.
+FIELD = 2
+
 #: Element names of HTML.
 TAGS = frozenset(
     """a abbr address area article aside audio b base bdi bdo big blockquote body br button canvas caption center cite code col colgroup data dd del details dfn div dl dt em embed
@@ -720,7 +723,7 @@ _fitted: dict[str, LinearChainCRF] = {}
 
 def fitted(spark: SparkSession, sentences: list[str]) -> LinearChainCRF:
     """The field trained with ``sentences``; one that was trained with the same before is read from the shared folder."""
-    name = hashlib.md5("\n".join([*sentences, str(PAGES), *_PIECES.values()]).encode()).hexdigest()
+    name = hashlib.md5("\n".join([*sentences, str(PAGES), str(FIELD), *_PIECES.values()]).encode()).hexdigest()
     if name not in _fitted:
         shared, fs = spark.conf.get("spark.checkpoint.dir", None), spark._jvm.org.apache.hadoop.fs
         path = fs.Path(f"{shared}/driftwell-field-{name}.json") if shared else None
