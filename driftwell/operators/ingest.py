@@ -12,6 +12,11 @@ from driftwell.sources.store import cut
 EXCLUDED = ("video",)
 
 
+def without_types(rows: DataFrame, column: str = "type", excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
+    """``rows`` whose type isn't excluded; an unknown type stays."""
+    return rows.where(F.col(column).isNull() | ~F.col(column).isin(*excluded))
+
+
 def normalise(feed: DataFrame) -> DataFrame:
     """Feed posts as rows of posts: body by type, clean text, image addresses, time and notes; excluded types are left out.
 
@@ -22,7 +27,7 @@ def normalise(feed: DataFrame) -> DataFrame:
     parts = {n: col(n, "string") for n in ("body", "title", "caption", "text", "description", "question", "answer")}
     parts["dialogue"] = col("dialogue", "array<struct<label:string,phrase:string>>")
     raw = tx.body(F.col("type"), parts)
-    rows = feed.where(F.col("type").isNull() | ~F.col("type").isin(*EXCLUDED)).where(F.col("id").isNotNull())
+    rows = without_types(feed).where(F.col("id").isNotNull())
     photos = col("photos", "array<struct<original_size:struct<url:string>>>")
     return rows.select(
         F.col("id").alias("tumblr_id"),

@@ -83,11 +83,18 @@ def optimise(collections: list[BucketTable]) -> DataFrame:
 
 
 def image_status(posts: DataFrame, asked: DataFrame, images: DataFrame) -> DataFrame:
-    """(id, status, n_images) for each asked id: not_found, no_images, nsfw (any image is), or ok.  ``images`` is (id, nsfw)."""
+    """(id, status, n_images) for each asked id: not_found, no_images, nsfw (any image is), or ok.
+
+    ``images`` is (id, nsfw); with a third column, vector, the result also has norm, the length of the mean vector of an ok post.
+    """
     n = images.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.bool_or("nsfw").alias("bad"))
     own = asked.select("id").distinct().join(posts.select("id", F.lit(True).alias("_p")), "id", "left").join(n, "id", "left")
     status = F.when(F.col("_p").isNull(), "not_found").when(F.coalesce("n", F.lit(0)) == 0, "no_images").when(F.col("bad"), "nsfw").otherwise("ok")
-    return own.select("id", status.alias("status"), F.coalesce("n", F.lit(0)).alias("n_images"))
+    out = own.select("id", status.alias("status"), F.coalesce("n", F.lit(0)).alias("n_images"))
+    if "vector" not in images.columns:
+        return out
+    means = V.mean_pool_fast(images, "id", "vector", "_m").select("id", V.norm(F.col("_m")).alias("_n"))
+    return out.join(means, "id", "left").select("id", "status", "n_images", F.when(F.col("status") == "ok", F.col("_n")).alias("norm"))
 
 
 def rebuild_communities(tags: DataFrame, accounts: DataFrame, posts: DataFrame, post_tags: DataFrame, folder: str, version: str, candidates: tuple[int, ...] = cm.CANDIDATES, seeds: int = 10) -> DataFrame:

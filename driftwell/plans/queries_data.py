@@ -50,7 +50,7 @@ def optional_filters(spark, d):
 
 
 def type_exclusion(spark, d):
-    return current_posts(spark, d).where(F.col("post_type").isNull() | ~F.col("post_type").isin("video", "photo")).select("id", "post_type")
+    return ingest.without_types(current_posts(spark, d), "post_type", ("video", "photo")).select("id", "post_type")
 
 
 def posts_of_accounts(spark, d):
@@ -300,10 +300,10 @@ def stream_ingest(spark, d):
     streams.run_once(stream(), sink, f"{src}/cp1")
     again = streams.PostSink(spark, f"{src}/posts", buckets=8)
     streams.run_once(stream(), lambda b, n: again(b, n + 100), f"{src}/cp2")
-    return again.table().agg(F.count(F.lit(1)).alias("posts"), F.countDistinct("tumblr_id").alias("ids"), F.sum("note_count").alias("notes"))
+    return again.table().agg(F.count(F.lit(1)).alias("posts"), F.countDistinct("tumblr_id").alias("ids"), F.sum("note_count").alias("notes"), F.min(F.unix_seconds("published_at")).alias("oldest"), F.max(F.unix_seconds("published_at")).alias("newest"))
 
 
-_ING = f"WITH {CUR} SELECT count(DISTINCT tumblr_id) AS posts, count(DISTINCT tumblr_id) AS ids, sum(coalesce(note_count, 0))::BIGINT AS notes FROM cur WHERE tumblr_id IS NOT NULL"
+_ING = f"WITH {CUR} SELECT count(DISTINCT tumblr_id) AS posts, count(DISTINCT tumblr_id) AS ids, sum(coalesce(note_count, 0))::BIGINT AS notes, min(floor(epoch_us(published_at) / 1000000.0)::BIGINT) AS oldest, max(floor(epoch_us(published_at) / 1000000.0)::BIGINT) AS newest FROM cur WHERE tumblr_id IS NOT NULL"
 
 
 def stream_token_bucket(spark, d):

@@ -192,6 +192,14 @@ class Cache:
             self.held.clear()
             return n
 
+    def purge(self) -> int:
+        """Drops the results that are past their time; gives how many."""
+        with self.lock:
+            old = [k for k, (at, _) in self.held.items() if self.clock() - at > self.ttl]
+            for k in old:
+                del self.held[k]
+            return len(old)
+
     def hit_rate(self) -> float:
         n = self.hits + self.misses
         return self.hits / n if n else 0.0

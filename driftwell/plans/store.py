@@ -76,8 +76,15 @@ _held: dict[tuple, SearchStore] = {}
 
 
 def stored(spark: SparkSession, key: tuple, make) -> SearchStore:
-    """The collection of ``key`` (which tells the state of what it is made from), built by ``make`` when it is first asked for."""
+    """The collection of ``key`` (which tells the state of what it is made from), built by ``make`` when it is first asked for.
+
+    One whose files have been cleared away is built again.
+    """
     key = (spark.sparkContext.applicationId, *key)
+    if key in _held:
+        files = Files(spark, _held[key].folder)
+        if not all(files.exists(x) for x in ("store.json", "posts/_SUCCESS", "vectors/_SUCCESS", "postings/_SUCCESS")):
+            del _held[key]
     if key not in _held:
         _held[key] = make()
     return _held[key]

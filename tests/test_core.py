@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import shutil
 from datetime import datetime
 
 import numpy as np
@@ -671,6 +672,12 @@ def test_a_store_answers_like_a_scan(spark, tmp_path):
     for text, f in (("kilns shelf", Filters()), ("утром OR barn", Filters(min_notes=50)), ("-kiln", Filters()), ("", Filters())):
         scan = search.ranked_posts(posts, vectors, text, q, now, f)
         assert rows(search.ranked_posts(held.posts, None, text, q, now, f, store=held)) == rows(scan), text
+    make = lambda: store.SearchStore.build(spark, posts, vectors, "english", str(tmp_path / "t"))
+    kept = store.stored(spark, ("k", str(tmp_path)), make)
+    assert store.stored(spark, ("k", str(tmp_path)), make) is kept
+    shutil.rmtree(tmp_path / "t")
+    again = store.stored(spark, ("k", str(tmp_path)), make)
+    assert again is not kept and again.posts.count() == 200
     exact = {r.id for r in held.nearest(q, 10, Filters()).collect()}
     assert len(exact & {r.id for r in held.nearest(q, 10, Filters(), probes=8).collect()}) >= 7
 
@@ -709,6 +716,24 @@ def test_training_over_partitions_is_full_batch_training(spark):
         projection.fit_layers_spread(pairs.limit(0), "x", "y")
 
 
+def test_image_jobs_end_with_a_status_and_a_norm(spark):
+    posts = spark.createDataFrame([(i,) for i in (1, 2, 3)], "id long")
+    images = spark.createDataFrame([(1, False, [3.0, 0.0]), (1, False, [3.0, 8.0]), (2, True, [1.0, 0.0]), (2, False, [1.0, 0.0])], "id long, nsfw boolean, vector array<double>")
+    asked = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 4)], "id long")
+    assert rows(indexing.image_status(posts, asked, images)) == [(1, "ok", 2, 5.0), (2, "nsfw", 2, None), (3, "no_images", 0, None), (4, "not_found", 0, None)]
+    assert indexing.image_status(posts, asked, images.drop("vector")).columns == ["id", "status", "n_images"]
+
+
+def test_old_results_are_purged():
+    now = [0.0]
+    c = search.Cache(10, clock=lambda: now[0])
+    c.put("a", 1)
+    now[0] = 8
+    c.put("b", 2)
+    now[0] = 12
+    assert c.purge() == 1 and list(c.held) == ["b"] and c.purge() == 0
+
+
 def test_images_are_encoded_in_batches(spark):
     images = spark.createDataFrame([(f"p{i}", f"h{i}", 1, 1, 1, bytearray([i])) for i in range(70)], "post_id string, phash string, height int, width int, channels int, data binary").coalesce(1)
 
