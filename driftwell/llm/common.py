@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -45,30 +44,6 @@ def join_keys(rows: DataFrame, keys: DataFrame, on: str, spread_by: str, count:
     return rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).join(salted, [on, "_salt"]).drop("_salt")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share: the one in spark.checkpoint.dir, or one of the driver's own on a local master."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="driftwell-")
-    return _local[app]
-
-
-_local: dict[str, str] = {}
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back, which ends its lineage."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def current(df: DataFrame, key: str, order: list[str], *values: str) -> DataFrame:
     """One row for each ``key``: the ``values`` of its last version by ``order`` (nulls first, ties by value).
 
