@@ -527,6 +527,11 @@ def test_plain_abuse_scores_without_labels_or_exact_spelling():
     m = abuse.train([])
     for t in ["fuck you", "you cunt", "you are a total wanker", "You dum fuck", "I will find your house and hurt you", "you are scvm", "you bytch", "nobody likes you", "que te mueras, gilipollas, te odio"]:
         assert m.score(t)[0] >= 0.5, t
+    insults = ["eres tú un gilipollas", "tu es un vrai connard", "du bist ein arschloch", "você é um otário", "tu sei uno stronzo", "ты идиот", "お前は馬鹿だ"]
+    threats = ["te voy a encontrar y te mataré", "je vais te retrouver", "ich bring dich um", "vou te matar", "ti ammazzo", "я тебя убью", "お前を殺す"]
+    for kind, own in (("insult", insults), ("threat", threats)):
+        for t in own:
+            assert m.score(t)[0] >= 0.5 and m.score(t)[1] == kind, t
     for t in ["the whole duck pond", "thank you for the witch story", "**the** **sea**", "you should visit the mill", "he can't find the gas can"]:
         assert m.score(t)[0] < 0.5, t
 
