@@ -1,7 +1,7 @@
 """Languages of documents and of their passages (problem 4) by rank-order n-gram profiles.
 
 A profile lists a language's most frequent n-grams by rank.  A text's own n-grams are ranked the same way; its distance to a
-language is how far they are out of place there.  Profiles start from the seed texts below and are fitted on a bounded sample.
+language is how far they are out of place there.  Profiles start from the seed texts below and are fitted on all texts.
 Passages are found by giving every sentence (and, where a sentence turns, each part of it) the language that makes the whole
 document cheapest: the sum of the out-of-place distances of its words, each ranked as a text of its own, and a cost for each
 change.  The language of a passage is then decided by the out-of-place distance of the passage as a whole, or left open (und).
@@ -9,17 +9,21 @@ change.  The language of a passage is then decided by the out-of-place distance
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from driftwell.llm.common import INVISIBLE, latin_words, spread
+from driftwell.sources.store import cut
 
 #: Seed texts: everyday sentences of each language.
 SEED = {
@@ -84,8 +88,10 @@ SEED = {
 LANGS = tuple(SEED)
 #: n-grams in a profile, and the longest n-gram.
 DEPTH, LONGEST = 1500, 4
-#: Documents that profiles are fitted on, at most.
-SAMPLE = 4000
+#: Times that the seed texts count beside up to SEEDED texts that profiles are fitted on; beside more texts they count as many times more.
+WEIGHT, SEEDED = 4, 4000
+#: Words that are read at once when profiles are fitted.
+AT_ONCE = 250_000
 #: Confidence below which a passage is of no known language: how much nearer the best profile is than the next one.
 SURE, UNKNOWN = 0.045, "und"
 #: Cost of a change of language between sentences and inside one, in units of a word's rank distance.
@@ -148,14 +154,17 @@ _KANA = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff]")
 _HANGUL = re.compile(r"[\uac00-\ud7af]")
 _SYLLABLES = re.compile(r"[\u3040-\u30ff]")
 _FOREIGN = re.compile(r"[\u0370-\u058f]")
-_ODD = re.compile(r"[013457@$*]")
-_ONES = re.compile(r" \w(?: |\Z)")
+_ODD = re.compile(r"[013457@$*](?:(?=[^\W\d_])|(?<=[^\W\d_].))")
+_ONES = re.compile(r" [^\W\d_] [^\W\d_](?!\w)")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_] ){2,}[^\W\d_](?!\w)")
 _STRETCH = re.compile(r"([^\W\d_])\1{2,}")
 _LEET = str.maketrans("013457@$", "oieastas")
 _MASK = re.compile(r"(?<=[^\W\d_])[013457@$*]+(?=[^\W\d_])|(?<![\w])[013457@$]+(?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[013457@$]+(?!\w)")
 
 
+#: Flags that ``form`` gives: enough letters; letters of scripts without blanks, or Korean ones; Japanese syllables.
+LETTERED, WIDE, SYLLABIC = 1, 2, 4
+
 Sub = Callable[[re.Pattern, Callable[[re.Match], str], str], str]
 
 
@@ -241,6 +250,13 @@ def placed(text: str) -> tuple[list[list[str]], list[tuple[int, int]]]:
     return split, spans if own is None else [(own[a], own[b - 1] + 1) for a, b in spans]
 
 
+def form(text: str) -> int:
+    """Flags of a text: 0 if it has fewer than LETTERS letters, else LETTERED, with WIDE and SYLLABIC for what its scripts are."""
+    if not _LETTERS.search(text):
+        return 0
+    return LETTERED | WIDE * bool(_KANA.search(text) or _HANGUL.search(text)) | SYLLABIC * bool(_SYLLABLES.search(text))
+
+
 def grams(word: str) -> list[str]:
     """The n-grams of a word between blanks, the blank alone left out, and one for the script of each Japanese or Cyrillic letter."""
     w = f" {word} "
@@ -261,9 +277,17 @@ class Profiles:
         self.rank = np.full((len(self.number) + 1, len(LANGS)), depth, np.int64)  # the last row: n-grams of no profile
         for k, lang in enumerate(LANGS):
             self.rank[[self.number[g] for g in best[lang]], k] = np.arange(len(best[lang]))
-        self.far = np.log2(1.0 + np.arange(2 * depth))
+        self._reach(2 * depth)
         self.forget()
 
+    def _reach(self, most: int) -> None:
+        """Makes ``out`` the distances of the n-grams of texts of up to ``most`` of them, at the place in ``start`` less the own rank."""
+        far = np.log2(1.0 + np.arange(most + self.depth))
+        self.most, self.farthest = most, far[self.depth]
+        self.start = np.where(self.rank < self.depth, self.rank + most, self.depth + 2 * most)
+        self.out = np.full(self.depth + 2 * most + 1, self.farthest)
+        self.out[: most + self.depth] = far[np.abs(np.arange(most + self.depth) - most)]
+
     def forget(self) -> None:
         """Drops what is kept of words."""
         self.words: dict[str, int] = {}
@@ -272,7 +296,10 @@ class Profiles:
     def ids(self, words: list[str]) -> np.ndarray:
         """The rows of words; new ones get theirs."""
         own = self.words
-        return np.fromiter([i if (i := own.get(w)) is not None else self._new(w) for w in words], np.int64, len(words))
+        got = list(map(own.get, words))
+        if None in got:
+            got = [i if (i := own.get(w)) is not None else self._new(w) for w in words]
+        return np.array(got, np.int64)
 
     def _new(self, w: str) -> int:
         none = len(self.number)
@@ -290,7 +317,7 @@ class Profiles:
         """The out-of-place distance of words to each language, on a scale from 0 (every n-gram in its place) to 1."""
         every = np.concatenate([self.grams[i] for i in ids.tolist()])
         every.sort()
-        return self._out_of_place(every) / self.far[self.depth]
+        return self._out_of_place(every) / self.farthest
 
     def _out_of_place(self, every: np.ndarray) -> np.ndarray:
         """The mean distance, as a logarithm, between the rank of each of the sorted n-grams here and in each profile."""
@@ -298,20 +325,20 @@ class Profiles:
         first[0] = True
         np.not_equal(every[1:], every[:-1], out=first[1:])
         at = first.nonzero()[0]
-        n = np.diff(at, append=len(every))
-        own = every[at][np.argsort(-n, kind="stable")]
-        ranks = self.rank[own]
-        out = np.abs(ranks - np.arange(len(own))[:, None])
-        out[ranks >= self.depth] = self.depth
-        if out.max() >= len(self.far):
-            self.far = np.log2(1.0 + np.arange(out.max() + 1024))
-        return self.far[out].mean(axis=0)
-
-    def passages(self, text: str, split: list[list[str]] | None = None) -> list[tuple[int, int, np.ndarray]]:
-        """(words, letters, rows of the words) of the passages of a text (or of its sentences ``split``), one language each, in order."""
+        n = np.empty_like(at)
+        np.subtract(at[:-1], at[1:], out=n[:-1])
+        n[-1] = at[-1] - len(every)
+        own = every[at[np.argsort(n, kind="stable")]]
+        if len(own) > self.most:
+            self._reach(len(own) + 1024)
+        place = self.start.take(own, axis=0)
+        place -= np.arange(len(own))[:, None]
+        return np.add.reduce(self.out.take(place), axis=0) / len(own)
+
+    def passages(self, split: list[list[str]]) -> list[tuple[int, int, np.ndarray]]:
+        """(words, letters, rows of the words) of the passages of a text of these sentences, one language each, in order."""
         if len(self.words) > 150_000:
             self.forget()
-        split = sentences(text) if split is None else split
         if not split:
             return []
         words = [w for s in split for w in s]
@@ -373,18 +400,17 @@ class Profiles:
                 todo += [(a, a + WORDS + k), (a + WORDS + k, b)]
         return sorted(out)
 
-    def segments(self, text: str | None, split: list[list[str]] | None = None) -> list[tuple[str, float, int, int, int]]:
-        """(language, confidence, letters, first word, word after the last) of the passages of a text that hold a whole sentence.
+    def segments(self, split: list[list[str]], form: int) -> list[tuple[str, float, int, int, int]]:
+        """(language, confidence, letters, first word, word after the last) of the passages that hold a whole sentence, of a text of these sentences.
 
         Passages of one language that follow each other, with nothing but shorter ones between, are one.
         """
-        if not text or not _LETTERS.search(text):
+        if not form:
             return []
-        wide = bool(_KANA.search(text) or _HANGUL.search(text))
-        syllables = bool(_SYLLABLES.search(text))
+        wide, syllables = form & WIDE, form & SYLLABIC
         out: list[tuple[str, float, int, int, int]] = []
         at = 0
-        for n, letters, ids in self.passages(text, split):
+        for n, letters, ids in self.passages(split):
             at += n
             solid = wide and letters > 6 * n  # words that no blank divides
             if not solid and (n < WORDS or letters < LETTERS) or solid and letters < 6:
@@ -404,19 +430,41 @@ class Profiles:
 
     def languages(self, text: str | None) -> list[tuple[str, float, int]]:
         """(language, confidence, letters) of each language that a whole sentence of the text is in, the one of most letters first."""
+        return self.languages_of(sentences(text), f) if text and (f := form(text)) else []
+
+    def languages_of(self, split: list[list[str]], form: int) -> list[tuple[str, float, int]]:
+        """What ``languages`` gives, of a text that is read already."""
         found: dict[str, tuple[float, int]] = {}
-        for lang, sure, letters, _, _ in self.segments(text):
+        for lang, sure, letters, _, _ in self.segments(split, form):
             old = found.get(lang, (0.0, 0))
             found[lang] = (max(old[0], sure), old[1] + letters)
         return [(k, round(c, 4), n) for k, (c, n) in sorted(found.items(), key=lambda x: -x[1][1])]
 
     def spans(self, text: str | None) -> list[tuple[int, int, str, float]]:
         """(start, end, language, confidence) of the passages of a text, in characters of the text as it is."""
-        if not text or not _LETTERS.search(text):
+        return self.spans_of(*placed(text), f) if text and (f := form(text)) else []
+
+    def spans_of(self, split: list[list[str]], at: Sequence[Sequence[int]], form: int) -> list[tuple[int, int, str, float]]:
+        """What ``spans`` gives, of a text that is read already."""
+        return [(int(at[a][0]), int(at[b - 1][1]), lang, round(c, 4)) for lang, c, _, a, b in self.segments(split, form)]
+
+    def sure(self, split: list[list[str]]) -> list[tuple[int, str, int]]:
+        """(number of the language, word, times) of the words of those sentences of five words or more that one language is clearly nearest to."""
+        if len(self.words) > 150_000:
+            self.forget()
+        split = [s for s in split if len(s) >= 5]
+        if not split:
             return []
-        split, at = placed(text)
-        own = self.segments(text, split)
-        return [(at[a][0], at[b - 1][1], lang, round(c, 4)) for lang, c, _, a, b in own]
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        ids = self.ids([w for s in split for w in s])
+        cost = np.add.reduceat(self.cost[ids], np.cumsum(n) - n, axis=0)
+        first, second = np.partition(cost, 1, axis=1)[:, :2].T
+        clear = second - first > 0.6 * n
+        kept = np.repeat(clear, n)
+        names = list(self.words)
+        times = np.bincount(np.repeat(cost.argmin(axis=1), n)[kept] * len(names) + ids[kept])
+        seen = times.nonzero()[0]
+        return [(k // len(names), names[k % len(names)], m) for k, m in zip(seen.tolist(), times[seen].tolist(), strict=True)]
 
 
 def seed_counts() -> dict[str, Counter]:
@@ -424,65 +472,146 @@ def seed_counts() -> dict[str, Counter]:
     return {lang: Counter(g for w in _WORD.findall(t.lower()) for g in grams(w)) for lang, t in SEED.items()}
 
 
-def fit(texts: list[str], rounds: int = 2, weight: int = 4) -> Profiles:
-    """Profiles of the seed texts and of the sentences of ``texts`` that the profiles so far are sure of."""
-    base = seed_counts()
-    split = [s for t in texts if t for s in sentences(t) if len(s) >= 5]
-    got = Profiles(base)
+def _start(texts: int, weight: int) -> Iterator[tuple[int, str, int]]:
+    """(number of the language, n-gram, count) of the seed texts beside ``texts`` texts with words; an n-gram of theirs counts SEEDED."""
+    for k, own in enumerate(seed_counts().values()):
+        for g, n in own.items():
+            yield k, g, n * weight * max(texts, SEEDED)
+
+
+def _spelled(words: Iterable[tuple[int, str, int]]) -> Counter:
+    """The counts of (number of the language, n-gram) of counted words."""
+    out: Counter = Counter()
+    for k, w, n in words:
+        for g in grams(w):
+            out[k, g] += n * SEEDED
+    return out
+
+
+def _profiles(counts: Iterable[tuple[int, str, int]]) -> Profiles:
+    own: dict[str, Counter] = {k: Counter() for k in LANGS}
+    for k, g, n in counts:
+        own[LANGS[k]][g] += n
+    return Profiles(own)
+
+
+def fit(texts: list[str], rounds: int = 2, weight: int = WEIGHT) -> Profiles:
+    """Profiles of the seed texts and of the sentences of ``texts`` that the profiles so far are sure of; texts of fewer than LETTERS letters hold none."""
+    read = [own for t in texts if t and form(t) and (own := sentences(t))]
+    split = [s for own in read for s in own]
+    seed = list(_start(len(read), weight))
+    got = Profiles(seed_counts())
     for _ in range(rounds):
-        used = {k: Counter() for k in LANGS}
-        for s in split:
-            ids = got.ids(s)
-            cost = got.cost[ids].sum(axis=0)
-            first, second = np.partition(cost, 1)[:2]
-            if second - first > 0.6 * len(s):
-                used[LANGS[int(cost.argmin())]].update(s)
-        counts = {k: Counter({g: n * weight for g, n in c.items()}) for k, c in base.items()}
-        for k, own in used.items():
-            for w, n in own.items():
-                for g in grams(w):
-                    counts[k][g] += n
-        got = Profiles(counts)
+        got = _profiles([*seed, *[(k, g, n) for (k, g), n in _spelled(got.sure(split)).items()]])
+    return got
+
+
+def _sentences(stored: str) -> list[list[str]]:
+    return [s.split(" ") for s in stored.split("\n")] if stored else []
+
+
+def _read(docs: DataFrame, key: str, text: str, keep: list[str], places: bool) -> DataFrame:
+    """(key, keep..., _words, _form, _at): each text read once, kept in the shared folder.
+
+    _words: the words of its sentences, a line each (empty if there are none); _form: its ``form``; _at: where its words stand, if ``places``.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            words, forms, at = [], [], []
+            for t in pdf["_text"]:
+                f = form(t) if isinstance(t, str) else 0
+                split, own = ([], None) if not f else placed(t) if places else (sentences(t), None)
+                words.append("\n".join([" ".join(s) for s in split]))
+                forms.append(f)
+                at.append(np.asarray(own, np.int32).tobytes() if own else None)
+            got = pdf[[key, *keep]].copy()
+            got["_words"] = pd.Series(words, index=pdf.index, dtype=object)
+            got["_form"] = np.asarray(forms, np.int32)
+            got["_at"] = pd.Series(at, index=pdf.index, dtype=object)
+            yield got
+
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [key, *keep])
+    return cut(spread(docs.select(key, *keep, F.col(text).alias("_text"))).mapInPandas(run, f"{fields}, _words string, _form int, _at binary"))
+
+
+def _counter(sent: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A function that gives, for batches of read texts, what ``Profiles.sure`` gives of AT_ONCE words at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        profiles, split, held = sent.value, [], 0
+        for stored in itertools.chain((x for pdf in batches for x in pdf["_words"]), [""]):
+            own = _sentences(stored)
+            split += own
+            held += sum(map(len, own))
+            if held >= AT_ONCE or not own:
+                yield pd.DataFrame(profiles.sure(split), columns=["lang", "word", "n"])
+                split, held = [], 0
+
+    return run
+
+
+def _fit_all(read: DataFrame, rounds: int = 2, weight: int = WEIGHT) -> Profiles:
+    """What ``fit`` gives for all texts that were read; only the n-grams of the profiles come to the driver."""
+    spark = read.sparkSession
+    read = read.where("_words != ''").select("_words")
+    texts = read.count()
+    got = Profiles(seed_counts())
+    kind = "lang int, gram string, n long"
+    seed = spark.createDataFrame(list(_start(texts, weight)), kind)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = _spelled(zip(pdf["lang"].tolist(), pdf["word"], pdf["n"].tolist(), strict=True))
+            yield pd.DataFrame([(k, g, n) for (k, g), n in own.items()], columns=["lang", "gram", "n"])
+
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast(got)
+        words = read.mapInPandas(_counter(sent), "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        counts = words.mapInPandas(spell, kind).unionAll(seed).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        got = _profiles(counts.withColumn("_place", place).where(F.col("_place") <= DEPTH).select("lang", "gram", "n").collect())
+        sent.unpersist()
     return got
 
 
-def _run(docs: DataFrame, key: str, text: str, keep: list[str], sample: int, fn: Callable, out: str, kind: str) -> DataFrame:
-    spark = docs.sparkSession
-    n = docs.count()
-    share = max(1, int(sample / max(1, n) * (1 << 20)))
-    picked = docs.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share).select(F.col(text).alias("t")).where("t is not null").limit(2 * sample).collect()
-    own = fit(sorted(r.t for r in picked))
-    sent = spark.sparkContext.broadcast(own)  # a few thousand n-grams for each language
+def _run(docs: DataFrame, key: str, text: str, keep: list[str], places: bool, fn: Callable, out: str, kind: str) -> DataFrame:
+    read = _read(docs, key, text, keep, places)
+    sent = docs.sparkSession.sparkContext.broadcast(_fit_all(read))  # a few thousand n-grams for each language
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         profiles = sent.value
         for pdf in batches:
             got = pdf[[key, *keep]].copy()
-            got[out] = [fn(profiles, t if isinstance(t, str) else None) for t in pdf["_text"]]
+            got[out] = [fn(profiles, _sentences(w), at, f) for w, f, at in zip(pdf["_words"], pdf["_form"].tolist(), pdf["_at"], strict=True)]
             yield got
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [key, *keep])
-    return spread(docs.select(key, *keep, F.col(text).alias("_text"))).mapInPandas(run, f"{fields}, {out} {kind}")
+    return read.mapInPandas(run, f"{fields}, {out} {kind}")
 
 
-def detect(docs: DataFrame, key: str, text: str, keep: list[str] | None = None, sample: int = SAMPLE) -> DataFrame:
+def detect(docs: DataFrame, key: str, text: str, keep: list[str] | None = None) -> DataFrame:
     """(key, keep..., languages): the languages of each row's text, an array of (lang, confidence, letters), main language first.
 
     A language counts if a whole sentence (WORDS words and LETTERS letters) is in it; quoted titles, links, code and markup
     don't count.  Passages that no profile is clearly nearest to (SURE) are und.  Null, empty and blank texts and texts of fewer
     than LETTERS letters get an empty array.  Rows stay as they are; other columns are dropped; an empty table gives an empty result.
 
-    Profiles are fitted on at most ``sample`` texts, a fixed share of the keys' hash space.
+    Profiles are fitted on the sentences of all rows.  The words of each text are kept in the shared folder, so each text is read once.
     """
-    fn = lambda profiles, t: [{"lang": a, "confidence": b, "letters": c} for a, b, c in profiles.languages(t)]
-    return _run(docs, key, text, keep or [], sample, fn, "languages", "array<struct<lang:string,confidence:double,letters:long>>")
+    fn = lambda profiles, split, at, form: [{"lang": a, "confidence": b, "letters": c} for a, b, c in profiles.languages_of(split, form)]
+    return _run(docs, key, text, keep or [], False, fn, "languages", "array<struct<lang:string,confidence:double,letters:long>>")
 
 
-def segment(docs: DataFrame, key: str, text: str, keep: list[str] | None = None, sample: int = SAMPLE) -> DataFrame:
+def segment(docs: DataFrame, key: str, text: str, keep: list[str] | None = None) -> DataFrame:
     """(key, keep..., segments): the passages of each row's text, an array of (start, end, lang, confidence) in order.
 
     Offsets are characters of the text as it is, end exclusive, from a passage's first word to its last.  What counts as a
-    passage, und, and the treatment of null, empty and short texts are those of ``detect``.
+    passage, und, the treatment of null, empty and short texts, and the fit are those of ``detect``.
     """
-    fn = lambda profiles, t: [{"start": a, "end": b, "lang": c, "confidence": d} for a, b, c, d in profiles.spans(t)]
-    return _run(docs, key, text, keep or [], sample, fn, "segments", "array<struct<start:int,end:int,lang:string,confidence:double>>")
+
+    def fn(profiles: Profiles, split: list[list[str]], at: bytes | None, form: int) -> list[dict]:
+        places = np.frombuffer(at or b"", np.int32).reshape(-1, 2)
+        return [{"start": a, "end": b, "lang": c, "confidence": d} for a, b, c, d in profiles.spans_of(split, places, form)]
+
+    return _run(docs, key, text, keep or [], True, fn, "segments", "array<struct<start:int,end:int,lang:string,confidence:double>>")

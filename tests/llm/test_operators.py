@@ -463,6 +463,20 @@ def test_language_table(spark):
     assert language.detect(df.limit(0), "id", "body").count() == 0
 
 
+def test_profiles_are_fitted_on_every_row(spark):
+    rng = random.Random(4)
+    words = {k: [w for w in t.split() if w.isalpha()] for k, t in language.SEED.items() if k != "ja"}
+    texts = [" ".join([*rng.choices(words[k], k=11), "".join(rng.choices("aeiourstln", k=6))]) + "." for k in rng.choices(list(words), k=9000)]
+    df = spark.createDataFrame([*enumerate(texts), (None, None), (-1, "")], "id long, body string").repartition(5)
+    p = language.fit(texts)
+    got = {r.id: [(x.lang, x.confidence, x.letters) for x in r.languages] for r in language.detect(df, "id", "body").collect()}
+    assert got == {**{i: p.languages(t) for i, t in enumerate(texts)}, None: [], -1: []}
+    twice = language.fit(texts * 2)
+    assert twice.number == p.number and (twice.rank == p.rank).all()
+    spans = {r.id: [(x.start, x.end, x.lang, x.confidence) for x in r.segments] for r in language.segment(df, "id", "body").collect()}
+    assert spans == {**{i: p.spans(t) for i, t in enumerate(texts)}, None: [], -1: []}
+
+
 # ------------------------------------------------------------------ 3 abuse
 
 BAD = ["You are a worthless idiot.", "Shut up, you pathetic moron!", "I will find out where you live and make you regret this.", "All Zorbans are vermin and should be thrown out of the country.", "Selling my naked videos, no limits, dm me!"]
