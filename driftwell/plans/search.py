@@ -5,67 +5,44 @@ from __future__ import annotations
 import threading
 import time
 from collections import OrderedDict
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.config import Filters, SearchConfig, check_limit, check_query
 from driftwell.functions import scoring, trigram
 from driftwell.functions import vectors as V
-from driftwell.operators import fusion, retrieve
+from driftwell.operators import fusion, gather, retrieve
 from driftwell.plans.store import SearchStore
+from driftwell.sources.store import new_folder
 
 
-#: Bytes of tag vectors up to which they go to every task; beyond, they meet the posts by a join.
-TAG_BYTES = 64 << 20
+def tag_vectors(tags: DataFrame) -> DataFrame:
+    """(tag_id, embedding) of the tags that have a vector; null and zero vectors don't count."""
+    return tags.where(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0)).select(F.col("id").alias("tag_id"), "embedding")
 
 
-def post_vectors(post_tags: DataFrame, tags: DataFrame, most: int = TAG_BYTES) -> DataFrame:
+def tag_blocks(tags: DataFrame, most: int = gather.BLOCK) -> gather.Blocks:
+    """The tags' vectors in blocks of ``most`` bytes in the shared folder."""
+    return gather.write(tag_vectors(tags), "tag_id", "embedding", new_folder(tags.sparkSession, "tags"), most)
+
+
+def tag_lists(post_tags: DataFrame) -> DataFrame:
+    """(id, parts): the numbers of each post's tags, each once and in order."""
+    pairs = post_tags.where("post_id is not null and tag_id is not null")
+    return pairs.groupBy(F.col("post_id").alias("id")).agg(F.sort_array(F.collect_set("tag_id")).alias("parts"))
+
+
+def post_vectors(post_tags: DataFrame, tags: DataFrame, most: int = gather.BLOCK) -> DataFrame:
     """(id, vector): the mean of the vectors of each post's tags; null and zero tag vectors don't count.
 
-    While the tag vectors are small, which is checked, only post and tag numbers are shuffled and each task gathers vectors from
-    one matrix; otherwise vectors and posts are joined and summed with a combine before the shuffle.
+    Only post and tag numbers are shuffled; each task gathers vectors from blocks of ``most`` bytes in the shared folder.  To join
+    posts to their vectors, join them to ``tag_lists`` and gather last.
     """
-    own = tags.where(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0)).select(F.col("id").alias("tag_id"), "embedding")
-    pairs = post_tags.select("post_id", "tag_id").where("post_id is not null and tag_id is not null")
-    size = own.agg(F.sum(F.size("embedding")).alias("s")).first()["s"] or 0
-    if 4 * size > most:
-        both = pairs.distinct().join(own, "tag_id").select(F.col("post_id").alias("id"), "embedding")
-        return V.mean_pool_fast(both, "id", "embedding").select("id", "vector")
-    held = own.orderBy("tag_id").toPandas()
-    ids = held["tag_id"].to_numpy(np.int64)
-    matrix = np.stack(held["embedding"].to_numpy()).astype(np.float32) if len(held) else np.zeros((0, 1), np.float32)
-    sent = tags.sparkSession.sparkContext.broadcast((ids, matrix))  # TAG_BYTES at most
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, m = sent.value
-        left = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-        def means(p: np.ndarray, t: np.ndarray) -> pd.DataFrame:
-            at = np.searchsorted(ids, t)
-            known = (at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == t) if len(ids) else np.zeros(len(t), bool)
-            p, at = p[known], at[known]
-            if not len(p):
-                return pd.DataFrame({"id": p, "vector": []})
-            start = np.r_[0, np.nonzero(p[1:] != p[:-1])[0] + 1]
-            n = np.diff(np.r_[start, len(p)])
-            return pd.DataFrame({"id": p[start], "vector": list(np.add.reduceat(m[at].astype(np.float64), start, axis=0) / n[:, None])})
-
-        for pdf in batches:
-            p, t = np.r_[left[0], pdf["post_id"].to_numpy(np.int64)], np.r_[left[1], pdf["tag_id"].to_numpy(np.int64)]
-            if not len(p):
-                continue
-            cut = int(np.searchsorted(p, p[-1]))  # rows come sorted; the last post may go on
-            yield means(p[:cut], t[:cut])
-            left = (p[cut:], t[cut:])
-        yield means(*left)
-
-    rows = pairs.repartition("post_id").dropDuplicates(["post_id", "tag_id"]).sortWithinPartitions("post_id", "tag_id")
-    return rows.mapInPandas(run, "id long, vector array<double>")
+    return gather.means(tag_lists(post_tags), "parts", tag_blocks(tags, most)).select("id", "vector")
 
 
 def ranked_posts(

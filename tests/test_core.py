@@ -15,7 +15,7 @@ from driftwell.functions import scoring, trigram
 from driftwell.functions import text as tx
 from driftwell.functions import vectors as V
 from driftwell.operators import communities as cm
-from driftwell.operators import evaluate, fulltext, fusion, ingest, projection, retrieve, safety
+from driftwell.operators import evaluate, fulltext, fusion, gather, ingest, projection, retrieve, safety
 from driftwell.plans import indexing, search, stats, store
 from driftwell.sources import feed, files
 from driftwell.sources.feed import FeedSource
@@ -126,6 +126,39 @@ def test_post_vectors_by_matrix_and_by_join(spark):
     assert rows(search.post_vectors(pt, tags)) == want and rows(search.post_vectors(pt, tags, most=0)) == want
 
 
+def test_tag_vectors_never_come_to_the_driver(spark, monkeypatch):
+    from pyspark import SparkContext
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    def refuse(*_):
+        raise AssertionError("the tag vectors came to the driver")
+
+    monkeypatch.setattr(Classic, "toPandas", refuse)
+    monkeypatch.setattr(SparkContext, "broadcast", refuse)
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(300, 4)).astype(np.float32)
+    tags = spark.createDataFrame([(3 * i, [float(x) for x in m[i]]) for i in range(300)] + [(0, [1.0, 1.0, 1.0, 1.0])], "id long, embedding array<float>")
+    pt = spark.createDataFrame([(int(p), int(t)) for p, t in zip(rng.integers(0, 90, 900), rng.integers(0, 900, 900), strict=True)] + [(7, t) for t in range(900)], "post_id long, tag_id long").cache()
+    want = {}
+    for p, t in {(r.post_id, r.tag_id) for r in pt.collect()}:
+        want.setdefault(p, []).extend(([m[t // 3]] if t % 3 == 0 else []) + ([np.ones(4, np.float32)] if t == 0 else []))  # a number that two tags have counts twice
+    want = {p: np.mean(np.asarray(v, np.float64), axis=0) for p, v in want.items() if v}
+    for most in (0, 160, 1 << 20):
+        got = {r.id: r.vector for r in search.post_vectors(pt, tags, most=most).collect()}
+        assert set(got) == set(want) and all(np.allclose(got[p], want[p], rtol=0, atol=1e-12) for p in want)
+
+
+def test_gathered_rows_keep_their_other_columns(spark):
+    tags = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<float>")
+    own = spark.createDataFrame([(1, 2**62 + 1, datetime(2025, 1, 1), [1, 2]), (2, None, None, None), (3, 5, None, []), (4, 6, None, [9])], "id long, n long, at timestamp, parts array<long>").coalesce(1)
+    blocks = search.tag_blocks(tags)
+    want = [(1, 2**62 + 1, datetime(2025, 1, 1), [1, 2], [0.5, 0.5]), (2, None, None, None, None), (3, 5, None, [], None), (4, 6, None, [9], None)]
+    assert [tuple(r) for r in gather.means(own, "parts", blocks, keep=True).orderBy("id").collect()] == want
+    assert [tuple(r) for r in gather.means(own, "parts", blocks).collect()] == want[:1]
+    none = search.tag_blocks(tags.where("id > 5"))
+    assert gather.means(own, "parts", none).count() == 0 and [r.vector for r in gather.means(own, "parts", none, keep=True).collect()] == [None] * 4
+
+
 def test_projection(spark):
     rng = np.random.default_rng(1)
     w = rng.normal(size=(3, 5))
