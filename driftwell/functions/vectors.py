@@ -85,11 +85,12 @@ def softmax_unsafe(scores: Column, unsafe: int) -> Column:
     return let(e, lambda v: total(F.slice(v, 1, unsafe)) / total(v))
 
 
-def mean_pool_fast(rows: DataFrame, key: str, vector: str, out: str = "vector") -> DataFrame:
+def mean_pool_fast(rows: DataFrame, key: str, vector: str, out: str = "vector", together: bool = False) -> DataFrame:
     """(key, out, n): the mean of each key's non-null vectors of one length, summed in numpy.
 
     Each partition adds up its own rows first, so a key with a third of all rows sends one sum from each partition; the sums
-    then meet sorted by key and are added in one pass.
+    then meet sorted by key and are added in one pass.  Where the rows of a key stand ``together`` in one partition already, no
+    vector is shuffled.
     """
     from collections.abc import Iterator
 
@@ -127,5 +128,8 @@ def mean_pool_fast(rows: DataFrame, key: str, vector: str, out: str = "vector")
             yield pd.DataFrame({key: last[0], out: list(last[1] / last[2][:, None]), "n": last[2]})
 
     own = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, F.col(vector).alias("_v"))
-    sums = own.mapInPandas(partial, schema)
-    return sums.repartition(key).sortWithinPartitions(key).mapInPandas(final, f"`{key}` {kind}, `{out}` array<double>, n long")
+    if together:
+        sums = own.select(key, F.col("_v").cast("array<double>").alias("_sum"), F.lit(1).cast("long").alias("_n"))
+    else:
+        sums = own.mapInPandas(partial, schema).repartition(key).sortWithinPartitions(key)
+    return sums.mapInPandas(final, f"`{key}` {kind}, `{out}` array<double>, n long")

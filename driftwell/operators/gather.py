@@ -107,6 +107,29 @@ class _Reader:
         back = np.argsort(at, kind="stable")
         return at[back], np.concatenate(found)[back]
 
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        """Whether each number is known."""
+        out, order = np.zeros(len(ids), bool), np.argsort(ids, kind="stable")
+        s = ids[order]
+        lo, hi = np.searchsorted(s, self.low, "left"), np.searchsorted(s, self.high, "right")
+        for k in np.nonzero(hi > lo)[0]:
+            own, want = self.block(int(k))[0], s[lo[k] : hi[k]]
+            out[order[lo[k] : hi[k]]] |= own[np.searchsorted(own, want, "left")] == want  # none is above the block's highest
+        return out
+
+
+def known(rows: DataFrame, parts: str, blocks: Blocks) -> DataFrame:
+    """The rows of whose array ``parts`` at least one number has a vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader(blocks)
+        for b in batches:
+            n = pc.fill_null(pc.list_value_length(b.column(parts)), 0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(n)), n)[reader.has(b.column(parts).flatten().to_numpy(zero_copy_only=False))]
+            yield b.take(pa.array(np.unique(row)))
+
+    return rows.mapInArrow(run, rows.schema)
+
 
 def means(rows: DataFrame, parts: str, blocks: Blocks, out: str = "vector", keep: bool = False) -> DataFrame:
     """``rows`` with ``out``, the mean of the vectors whose numbers are in the array ``parts``; the other columns stay as they are.

@@ -94,10 +94,10 @@ def collection_report(spark, d):
 def account_vectors_stream(spark, d):
     """Post points streamed in micro-batches: how many posts each account's vector is made of."""
     src = new_folder(spark, "points")
-    p = current_posts(spark, d).join(search.post_vectors(read(spark, d, "post_tags"), read(spark, d, "tags")), "id").select("id", "account_id", "vector", "published_at")
+    p = current_posts(spark, d).join(search.tag_lists(read(spark, d, "post_tags")), "id").select("id", "account_id", "parts", "published_at")
     p.repartition(4).write.parquet(f"{src}/in")
     schema = spark.read.parquet(f"{src}/in").schema
-    sink = streams.AccountVectorSink(spark, f"{src}/out", buckets=8)
+    sink = streams.AccountVectorSink(spark, f"{src}/out", buckets=8, blocks=search.tag_blocks(read(spark, d, "tags")))
     streams.run_once(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{src}/in"), sink, f"{src}/cp")
     return sink.vectors.table().select(F.col("id").alias("account_id"), "posts")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from driftwell.functions import vectors as V
-from driftwell.operators import ingest
+from driftwell.operators import gather, ingest
 from driftwell.sources.store import BucketTable, Files
 
 
@@ -48,20 +48,26 @@ class AccountVectorSink:
     """Keeps each account's vector, the unit mean of its last posts' vectors, up to date with micro-batches of post points.
 
     A batch of (id, vector, account_id, published_at) is folded into the posts' points, and the vectors of the accounts in it, and
-    of those alone, are made again.
+    of those alone, are made again.  With ``blocks`` a batch has parts, the numbers of the vectors that a post's vector is the
+    mean of, in place of vector: points are as small as that, and their vectors are gathered last.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, window: int = 100, buckets: int = 64):
+    def __init__(self, spark: SparkSession, folder: str, window: int = 100, buckets: int = 64, blocks: gather.Blocks | None = None):
         self.points = BucketTable(spark, f"{folder}/points", "account_id", buckets=buckets)
         self.vectors = BucketTable(spark, f"{folder}/vectors", "id", buckets=buckets)
-        self.window = window
+        self.window, self.blocks = window, blocks
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        new = batch.select("id", "account_id", F.col("vector").cast("array<double>").alias("vector"), "published_at").where("id is not null and account_id is not null and vector is not null")
+        if self.blocks is None:
+            new = batch.select("id", "account_id", F.col("vector").cast("array<double>").alias("vector"), "published_at").where("id is not null and account_id is not null and vector is not null")
+        else:
+            new = gather.known(batch.select("id", "account_id", F.col("parts").cast("array<long>").alias("parts"), "published_at").where("id is not null and account_id is not null"), "parts", self.blocks)
         self.points.write(new, number, self._kept)
         touched = new.select("account_id").distinct()
         own = self.points.table().join(touched, "account_id", "left_semi")
-        m = V.mean_pool_fast(own, "account_id", "vector", "m")
+        if self.blocks is not None:
+            own = gather.means(own.select("account_id", "parts").repartition("account_id").sortWithinPartitions("account_id"), "parts", self.blocks)
+        m = V.mean_pool_fast(own, "account_id", "vector", "m", together=self.blocks is not None)
         made = m.select(F.col("account_id").alias("id"), V.normalise(F.col("m")).alias("vector"), F.col("n").alias("posts"))
         self.vectors.write(made, number, lambda old, fresh: ingest.last_write(old, fresh, "id"))
 

@@ -654,6 +654,17 @@ def test_account_vectors_follow_new_posts(spark, tmp_path):
     assert got == {10: (2, [0.0, 1.0]), 11: (1, [1.0, 0.0])}
 
 
+def test_account_points_are_numbers_of_tags(spark, tmp_path):
+    tags = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0])], "id long, embedding array<float>")
+    made = lambda *r: spark.createDataFrame(list(r), "id long, account_id long, parts array<long>, published_at timestamp")
+    sink = streams.AccountVectorSink(spark, str(tmp_path / "v"), window=2, buckets=4, blocks=search.tag_blocks(tags))
+    day = lambda k: datetime(2025, 1, k)
+    sink(made((1, 10, [1], day(1)), (2, 10, [2], day(2)), (3, 11, [1, 2], day(1)), (4, None, [1], day(1)), (6, 10, [3, 99], day(9)), (7, 10, None, day(9)), (8, 12, [], day(9))), 0)
+    sink(made((5, 10, [2, 3], day(3)), (3, 11, [1], day(4))), 1)
+    got = {r.id: (r.posts, [round(x, 6) for x in r.vector]) for r in sink.vectors.table().collect()}
+    assert got == {10: (2, [0.0, 1.0]), 11: (1, [1.0, 0.0])} and set(sink.points.table().columns) == {"id", "account_id", "parts", "published_at"}
+
+
 def test_last_writes_have_an_order(spark):
     table = spark.createDataFrame([(1, 5, "o")], "id long, at int, urls string")
     new = spark.createDataFrame([(1, 7, "x"), (1, 9, None), (2, 1, "z"), (2, 3, "y"), (None, 1, "n")], "id long, at int, urls string")
