@@ -9,7 +9,7 @@ from driftwell.config import Filters, SearchConfig
 from driftwell.functions import scoring, trigram
 from driftwell.functions import text as tx
 from driftwell.functions import vectors as V
-from driftwell.operators import fulltext, fusion, ivf, postings, retrieve
+from driftwell.operators import fulltext, fusion, gather, ivf, postings, retrieve
 from driftwell.plans import search, store
 from driftwell.schema import read
 from driftwell.sources.store import cut, new_folder
@@ -153,7 +153,8 @@ def filtered_vector_topk(spark, d):
     """Vectors of posts under payload filters."""
     posts = current_posts(spark, d)
     ok = retrieve.allowed(posts, Filters(min_notes=50, date_from="2024-01-01")).select("id")
-    return retrieve.vector_topk(vectors_of_posts(spark, d).join(ok, "id", "left_semi"), "id", "vector", query_vector(spark, d), 100)
+    own = search.tag_lists(read(spark, d, "post_tags")).join(ok, "id", "left_semi")
+    return retrieve.vector_topk(gather.means(own, "parts", search.tag_blocks(read(spark, d, "tags"))), "id", "vector", query_vector(spark, d), 100)
 
 
 def rrf_fusion(spark, d):

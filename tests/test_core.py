@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from driftwell import catalog, schema
 from driftwell.config import Filters, SearchConfig, check_limit, check_query
 from driftwell.functions import scoring, trigram
 from driftwell.functions import text as tx
@@ -148,6 +149,38 @@ def test_tag_vectors_never_come_to_the_driver(spark, monkeypatch):
         assert set(got) == set(want) and all(np.allclose(got[p], want[p], rtol=0, atol=1e-12) for p in want)
 
 
+@pytest.fixture(scope="module")
+def small(tmp_path_factory, spark):
+    """A data folder of a few posts, tags and accounts."""
+    d, rng = str(tmp_path_factory.mktemp("small")), np.random.default_rng(9)
+    words = "kiln shelf trellis harbor glaze".split()
+    vec = lambda: [float(x) for x in rng.normal(size=384).astype(np.float32)]
+    made = lambda name, got, kind: spark.createDataFrame(got, kind).write.parquet(f"{d}/{name}.parquet")
+    made("tags", [(i, f"t{i}", i, None if i == 7 else [0.0] * 384 if i == 8 else vec()) for i in range(1, 31)], "id long, name string, usage_count long, embedding array<float>")
+    made("post_tags", [(int(p), int(t)) for p, t in zip(rng.integers(0, 130, 400), rng.integers(1, 34, 400), strict=True)] + [(3, 7), (None, 1), (5, None)], "post_id long, tag_id long")
+    made("accounts", [(i, f"blog{i}", None, None, None, i, None, vec(), None) for i in range(6)], schema.ACCOUNTS)
+    post = lambda i: (i, i, int(rng.integers(0, 6)) if i % 9 else None, "text", None, " ".join(rng.choice(words, 5)) if i % 10 else None, ["u"] * (i % 3), int(rng.integers(0, 300)), None, None, None, i % 11 == 0, None, "en", datetime(2024, 1 + i % 12, 3), datetime(2025, 1, 1))
+    made("posts", [post(i) for i in range(120)] + [post(5)[:15] + (datetime(2025, 2, 1),)], schema.POSTS)
+    return d
+
+
+def same_as_sql(spark, d, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("SET timezone = 'UTC'")
+    for t in ("tags", "post_tags", "accounts", "posts"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet/*.parquet')")
+    df = catalog.queries()[name](spark, d)
+    want = con.sql(catalog.oracle_sql()[name])
+    return sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want.select(", ".join(f'"{c}"' for c in df.columns)).fetchall()))
+
+
+def test_filtered_posts_are_filtered_before_their_vectors_are_gathered(spark, small, monkeypatch):
+    monkeypatch.setattr(search, "post_vectors", None)
+    assert same_as_sql(spark, small, "filtered_vector_topk")
+
+
 def test_gathered_rows_keep_their_other_columns(spark):
     tags = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<float>")
     own = spark.createDataFrame([(1, 2**62 + 1, datetime(2025, 1, 1), [1, 2]), (2, None, None, None), (3, 5, None, []), (4, 6, None, [9])], "id long, n long, at timestamp, parts array<long>").coalesce(1)
