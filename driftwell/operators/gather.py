@@ -7,7 +7,7 @@ maps the blocks that its rows need.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of a block at most, and vectors that a task gathers at a time.
-BLOCK, TAKE = 16 << 20, 8192
+BLOCK, TAKE = 16 << 20, 4096
 
 
 @dataclass(frozen=True)
@@ -131,6 +131,36 @@ def known(rows: DataFrame, parts: str, blocks: Blocks) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], parts: str, blocks: Blocks) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, places of those with a known number, the means of these), a few thousand vectors at a time."""
+    reader = _Reader(blocks)
+    for batch in batches:
+        n = pc.fill_null(pc.list_value_length(batch.column(parts)), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(n), 0
+        while at < len(n):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TAKE, "right")))
+            b, own = batch.slice(at, upto - at), n[at:upto]
+            at = upto
+            places, m = reader.find(b.column(parts).flatten().to_numpy(zero_copy_only=False))
+            row = np.repeat(np.arange(len(own)), own)[places]
+            start = np.r_[0, np.nonzero(row[1:] != row[:-1])[0] + 1][: len(row)].astype(np.int64)
+            count = np.diff(np.r_[start, len(row)])
+            yield b, row[start], np.add.reduceat(m.astype(np.float64), start, axis=0) / count[:, None] if len(row) else np.zeros((0, blocks.size))
+
+
+def each(rows: DataFrame, parts: str, blocks: Blocks, use: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
+    """What ``use`` makes of rows and the means of the vectors whose numbers are in their array ``parts``; no vector leaves the task.
+
+    A row without a known number is left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, has, m in _gathered(batches, parts, blocks):
+            yield use(b.take(pa.array(has)), m)
+
+    return rows.mapInArrow(run, schema)
+
+
 def means(rows: DataFrame, parts: str, blocks: Blocks, out: str = "vector", keep: bool = False) -> DataFrame:
     """``rows`` with ``out``, the mean of the vectors whose numbers are in the array ``parts``; the other columns stay as they are.
 
@@ -139,27 +169,13 @@ def means(rows: DataFrame, parts: str, blocks: Blocks, out: str = "vector", keep
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(blocks)
-        for batch in batches:
-            n = pc.fill_null(pc.list_value_length(batch.column(parts)), 0).to_numpy(zero_copy_only=False)
-            ends, at = np.cumsum(n), 0
-            while at < len(n):
-                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TAKE, "right")))
-                b, own = batch.slice(at, upto - at), n[at:upto]
-                at = upto
-                places, m = reader.find(b.column(parts).flatten().to_numpy(zero_copy_only=False))
-                row = np.repeat(np.arange(len(own)), own)[places]
-                start = np.r_[0, np.nonzero(row[1:] != row[:-1])[0] + 1][: len(row)].astype(np.int64)
-                count = np.diff(np.r_[start, len(row)])
-                mean = np.add.reduceat(m.astype(np.float64), start, axis=0) / count[:, None] if len(row) else np.zeros((0, 0))
-                if keep:
-                    has = np.zeros(len(own), bool)
-                    has[row[start]] = True
-                    ends_at = np.r_[0, np.cumsum(has * blocks.size)].astype(np.int32)
-                    v = pa.ListArray.from_arrays(pa.array(ends_at), pa.array(mean.ravel()), mask=pa.array(~has))
-                else:
-                    b = b.take(pa.array(row[start]))
-                    v = pa.ListArray.from_arrays(pa.array(np.arange(len(start) + 1, dtype=np.int32) * np.int32(blocks.size)), pa.array(mean.ravel()))
-                yield pa.RecordBatch.from_arrays([*b.columns, v], [*b.schema.names, out])
+        for b, has, m in _gathered(batches, parts, blocks):
+            if not keep:
+                b, has = b.take(pa.array(has)), np.arange(len(has))
+            full = np.zeros(b.num_rows, bool)
+            full[has] = True
+            ends = np.r_[0, np.cumsum(full * m.shape[1])].astype(np.int32)
+            v = pa.ListArray.from_arrays(pa.array(ends), pa.array(m.ravel()), mask=pa.array(~full))
+            yield pa.RecordBatch.from_arrays([*b.columns, v], [*b.schema.names, out])
 
     return rows.mapInArrow(run, schema)

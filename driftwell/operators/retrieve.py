@@ -6,12 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.config import Filters
 from driftwell.functions import vectors as V
-from driftwell.operators import fulltext
+from driftwell.operators import fulltext, gather
 
 
 def conditions(f: Filters, notes: str = "note_count", published: str = "published_at", lang: str = "lang") -> list[Column]:
@@ -81,6 +82,20 @@ def vector_topk(rows: DataFrame, key: str, vector: str, query: Sequence[float],
     return top(cosine_scores(rows, key, vector, query), "cosine", key, k)
 
 
+def gathered_topk(rows: DataFrame, key: str, parts: str, blocks: gather.Blocks, query: Sequence[float], k: int = 100, digits: int = 6) -> DataFrame:
+    """The same for rows whose vectors are means of those that ``parts`` names: they are gathered and compared in one pass."""
+    q = np.asarray(query, np.float64)
+    size = float(np.linalg.norm(q))
+
+    def run(b: pa.RecordBatch, m: np.ndarray) -> pa.RecordBatch:
+        n = np.linalg.norm(m, axis=1)
+        ok = (n >= V.TINY) & (size >= V.TINY) & (m.shape[1] == len(q))
+        cos = np.round((m[ok] @ q) / (n[ok] * size), digits) if ok.any() else np.zeros(0)
+        return pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), pa.array(cos)], [key, "cosine"])
+
+    return top(gather.each(rows.select(key, parts), parts, blocks, run, f"`{key}` {rows.schema[key].dataType.simpleString()}, cosine double"), "cosine", key, k)
+
+
 def vector_topk_native(rows: DataFrame, key: str, vector: str, query: Sequence[float], k: int = 100) -> DataFrame:
     """The same in built-in expressions only, for where Python workers aren't wanted."""
     q = V.literal(query)

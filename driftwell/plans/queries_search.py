@@ -9,7 +9,7 @@ from driftwell.config import Filters, SearchConfig
 from driftwell.functions import scoring, trigram
 from driftwell.functions import text as tx
 from driftwell.functions import vectors as V
-from driftwell.operators import fulltext, fusion, gather, ivf, postings, retrieve
+from driftwell.operators import fulltext, fusion, ivf, postings, retrieve
 from driftwell.plans import search, store
 from driftwell.schema import read
 from driftwell.sources.store import cut, new_folder
@@ -71,12 +71,16 @@ ROLL = """roll AS (SELECT account_id, coalesce(a, 0) AS a, coalesce(cosine, 0) A
 def collection(spark: SparkSession, d: str) -> store.SearchStore:
     """The stored collection of all posts: built once in an application, and again when the tables change."""
     state = store.state_of(spark, [f"{d}/{t}.parquet" for t in ("posts", "post_tags", "tags")])
-    return store.stored(spark, ("simple", *state), lambda: store.SearchStore.build(spark, current_posts(spark, d), vectors_of_posts(spark, d), "simple"))
+    return store.stored(spark, ("simple", *state), lambda: _built(spark, d))
+
+
+def _built(spark: SparkSession, d: str) -> store.SearchStore:
+    return store.SearchStore.build(spark, current_posts(spark, d), search.tag_lists(read(spark, d, "post_tags")), "simple", parts=search.tag_vectors(read(spark, d, "tags")))
 
 
 def build_collection(spark, d):
     """What building the collection yields: posts, postings and vectors."""
-    held = store.SearchStore.build(spark, current_posts(spark, d), vectors_of_posts(spark, d), "simple")
+    held = _built(spark, d)
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
     return one(held.posts, "posts").unionByName(one(held.postings, "postings")).unionByName(one(held.vectors, "vectors"))
 
@@ -154,7 +158,7 @@ def filtered_vector_topk(spark, d):
     posts = current_posts(spark, d)
     ok = retrieve.allowed(posts, Filters(min_notes=50, date_from="2024-01-01")).select("id")
     own = search.tag_lists(read(spark, d, "post_tags")).join(ok, "id", "left_semi")
-    return retrieve.vector_topk(gather.means(own, "parts", search.tag_blocks(read(spark, d, "tags"))), "id", "vector", query_vector(spark, d), 100)
+    return retrieve.gathered_topk(own, "id", "parts", search.tag_blocks(read(spark, d, "tags")), query_vector(spark, d), 100)
 
 
 def rrf_fusion(spark, d):

@@ -2,6 +2,7 @@
 
 posts (last versions, in order of their ids), vectors with their payload by cell, postings by bucket.  Pooling and analysing is done when it
 is built; a query reads its words' postings, the cells nearest to its vector (or all, for the exact answer), and the posts found.
+Where posts' vectors are means of others (their tags'), those are stored once in blocks and each post has their numbers alone.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftwell.config import Filters
-from driftwell.operators import fulltext, ivf, postings, retrieve
+from driftwell.operators import fulltext, gather, ivf, postings, retrieve
 from driftwell.sources.store import Files, new_folder
 
 #: Vectors in a cell aimed at, and cells at least and at most.
@@ -29,30 +31,37 @@ class SearchStore:
         held = json.loads(Files(spark, folder).read("store.json"))
         self.spark, self.folder, self.analyser, self.buckets = spark, folder, held["analyser"], held["buckets"]
         self.centroids = np.asarray(held["centroids"], np.float32)
+        self.blocks = gather.Blocks.of(held["blocks"]) if held.get("blocks") else None
         self.posts = spark.read.parquet(f"{folder}/posts")
-        self.vectors = spark.read.parquet(f"{folder}/vectors")
+        self.vectors = spark.read.schema(T.StructType.fromJson(held["vectors"])).parquet(f"{folder}/vectors")  # there may be none
         self.postings = spark.read.parquet(f"{folder}/postings")
 
     @classmethod
-    def build(cls, spark: SparkSession, posts: DataFrame, vectors: DataFrame, analyser: str = "simple", folder: str | None = None, buckets: int = postings.BUCKETS) -> SearchStore:
+    def build(cls, spark: SparkSession, posts: DataFrame, vectors: DataFrame, analyser: str = "simple", folder: str | None = None, buckets: int = postings.BUCKETS, parts: DataFrame | None = None) -> SearchStore:
         """Writes a collection of ``posts`` (one row for each id) and ``vectors`` (id, vector), to a new shared folder by default.
 
+        With ``parts`` (a number and a vector), ``vectors`` is (id, parts): the numbers of those that a post's vector is the mean of.
         A query reads a bucket of the postings for each of its words: take so many that a bucket is of a few hundred megabytes.
         """
         folder = folder or new_folder(spark, "store")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        posts.repartitionByRange(parts, "id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{folder}/posts")
+        pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        posts.repartitionByRange(pieces, "id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{folder}/posts")
         own = spark.read.parquet(f"{folder}/posts")
         postings.write(postings.build(own, analyser=analyser, buckets=buckets), f"{folder}/postings")
         vectors.join(own.select("id", *PAYLOAD), "id").write.mode("overwrite").parquet(f"{folder}/flat")
         flat = spark.read.parquet(f"{folder}/flat")
         n = flat.count()
-        at = ivf.fit_cells(flat, "id", "vector", int(min(max(n // CELL, CELLS[0]), CELLS[1]))) if n else np.zeros((0, 0), np.float32)
-        placed = ivf.assign(flat, "id", "vector", at, keep=PAYLOAD) if n else flat.withColumn("cell", F.lit(0))
+        cells = int(min(max(n // CELL, CELLS[0]), CELLS[1]))
+        blocks = gather.write(parts, *parts.columns, f"{folder}/parts") if parts is not None else None
+        try:
+            at = ivf.fit_gathered(flat, "parts", blocks, n, cells) if blocks else ivf.fit_cells(flat, "id", "vector", cells)
+            placed = ivf.assign_gathered(flat, "parts", blocks, at) if blocks else ivf.assign(flat, "id", "vector", at, keep=PAYLOAD)
+        except ivf.NoVectors:
+            at, placed = np.zeros((0, 0), np.float32), flat.withColumn("cell", F.lit(0)).limit(0)
         placed.hint("rebalance", F.col("cell")).sortWithinPartitions("cell", "id").write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/vectors")
         files = Files(spark, folder)
         files.own.delete(files.path("flat"), True)
-        files.write("store.json", json.dumps({"analyser": analyser, "buckets": buckets, "centroids": at.tolist()}))
+        files.write("store.json", json.dumps({"analyser": analyser, "buckets": buckets, "centroids": at.tolist(), "blocks": blocks and blocks.json(), "vectors": placed.schema.jsonValue()}))
         return cls(spark, folder)
 
     def keyword(self, query: str, k: int, f: Filters, post_tags: DataFrame | None = None, tags: DataFrame | None = None) -> DataFrame:
@@ -67,9 +76,11 @@ class SearchStore:
     def nearest(self, query: Sequence[float], k: int, f: Filters, post_tags: DataFrame | None = None, tags: DataFrame | None = None, probes: int | None = None) -> DataFrame:
         """(id, cosine): the ``k`` most similar posts that pass the filters, from the ``probes`` nearest cells, or exactly from all."""
         ok = retrieve.allowed(self.vectors, f, post_tags, tags)
-        if probes is None or probes >= len(self.centroids):
-            return retrieve.vector_topk(ok, "id", "vector", query, k)
-        return ivf.topk(ok, "id", "vector", self.centroids, query, k, probes)
+        if probes is not None and probes < len(self.centroids):
+            ok = ok.where(F.col("cell").isin(ivf.nearest_cells(self.centroids, query, probes)))
+        if self.blocks:
+            return retrieve.gathered_topk(ok, "id", "parts", self.blocks, query, k)
+        return retrieve.vector_topk(ok, "id", "vector", query, k)
 
 
 _held: dict[tuple, SearchStore] = {}
@@ -83,7 +94,8 @@ def stored(spark: SparkSession, key: tuple, make) -> SearchStore:
     key = (spark.sparkContext.applicationId, *key)
     if key in _held:
         files = Files(spark, _held[key].folder)
-        if not all(files.exists(x) for x in ("store.json", "posts/_SUCCESS", "vectors/_SUCCESS", "postings/_SUCCESS")):
+        held = [f"parts/{b[0]}" for b in _held[key].blocks.held] if _held[key].blocks else []
+        if not all(files.exists(x) for x in ("store.json", "posts/_SUCCESS", "vectors/_SUCCESS", "postings/_SUCCESS", *held)):
             del _held[key]
     if key not in _held:
         _held[key] = make()

@@ -17,7 +17,7 @@ from driftwell.functions import text as tx
 from driftwell.functions import vectors as V
 from driftwell.operators import communities as cm
 from driftwell.operators import evaluate, fulltext, fusion, gather, ingest, projection, retrieve, safety
-from driftwell.plans import indexing, search, stats, store
+from driftwell.plans import indexing, queries_search, search, stats, store
 from driftwell.sources import feed, files
 from driftwell.sources.feed import FeedSource
 from driftwell.sources.store import BucketTable
@@ -181,6 +181,25 @@ def test_filtered_posts_are_filtered_before_their_vectors_are_gathered(spark, sm
     assert same_as_sql(spark, small, "filtered_vector_topk")
 
 
+@pytest.mark.parametrize("name", ["build_collection", "general_search_posts", "general_search_accounts", "general_search_filtered", "general_search_page2", "post_metadata", "engine_general"])
+def test_a_collection_holds_numbers_of_tags(spark, small, monkeypatch, name):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    monkeypatch.setattr(Classic, "toPandas", None)  # as lists of numbers, vectors don't fit the driver
+    assert same_as_sql(spark, small, name)
+    held = queries_search.collection(spark, small)
+    assert "vector" not in held.vectors.columns and held.vectors.count() > 50
+    q = queries_search.query_vector(spark, small)
+    exact = held.nearest(q, 10, Filters()).collect()
+    assert len(exact) == 10 and {r.id for r in held.nearest(q, 60, Filters(), probes=15).collect()} >= {r.id for r in exact[:3]}
+
+
+def test_a_collection_without_vectors(spark, small, tmp_path):
+    posts, tags = spark.read.parquet(f"{small}/posts.parquet").where("id = 1"), spark.read.parquet(f"{small}/tags.parquet")
+    held = store.SearchStore.build(spark, posts, spark.createDataFrame([(1, [7])], "id long, parts array<long>"), "simple", str(tmp_path / "none"), parts=search.tag_vectors(tags))
+    assert held.posts.count() == 1 and held.vectors.count() == 0 and held.nearest([1.0] * 384, 5, Filters()).count() == 0
+
+
 def test_gathered_rows_keep_their_other_columns(spark):
     tags = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<float>")
     own = spark.createDataFrame([(1, 2**62 + 1, datetime(2025, 1, 1), [1, 2]), (2, None, None, None), (3, 5, None, []), (4, 6, None, [9])], "id long, n long, at timestamp, parts array<long>").coalesce(1)
