@@ -131,14 +131,14 @@ def known(rows: DataFrame, parts: str, blocks: Blocks) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], parts: str, blocks: Blocks) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def gathered(batches: Iterator[pa.RecordBatch], parts: str, blocks: Blocks) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, places of those with a known number, the means of these), a few thousand vectors at a time."""
     reader = _Reader(blocks)
     for batch in batches:
         n = pc.fill_null(pc.list_value_length(batch.column(parts)), 0).to_numpy(zero_copy_only=False)
         ends, at = np.cumsum(n), 0
         while at < len(n):
-            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TAKE, "right")))
+            upto = min(at + TAKE, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TAKE, "right"))))
             b, own = batch.slice(at, upto - at), n[at:upto]
             at = upto
             places, m = reader.find(b.column(parts).flatten().to_numpy(zero_copy_only=False))
@@ -155,7 +155,7 @@ def each(rows: DataFrame, parts: str, blocks: Blocks, use: Callable[[pa.RecordBa
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, has, m in _gathered(batches, parts, blocks):
+        for b, has, m in gathered(batches, parts, blocks):
             yield use(b.take(pa.array(has)), m)
 
     return rows.mapInArrow(run, schema)
@@ -169,7 +169,7 @@ def means(rows: DataFrame, parts: str, blocks: Blocks, out: str = "vector", keep
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, has, m in _gathered(batches, parts, blocks):
+        for b, has, m in gathered(batches, parts, blocks):
             if not keep:
                 b, has = b.take(pa.array(has)), np.arange(len(has))
             full = np.zeros(b.num_rows, bool)

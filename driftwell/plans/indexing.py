@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,18 +15,13 @@ from driftwell.config import SearchConfig
 from driftwell.functions import text as tx
 from driftwell.functions import vectors as V
 from driftwell.operators import communities as cm
-from driftwell.operators import ingest
+from driftwell.operators import gather, ingest
 from driftwell.plans import search
 from driftwell.sources import files
 from driftwell.sources.store import BucketTable
 
-
-def text_vectors(posts: DataFrame, encoder: Callable[[list, int], np.ndarray], size: int, config: SearchConfig | None = None) -> DataFrame:
-    """(id, vector, n): the mean vector of the overlapping windows of each post's text; texts without a word have none."""
-    c = config or SearchConfig()
-    parts = posts.select("id", F.explode(tx.windows(F.col("body_clean"), c.chunk_size, c.chunk_overlap)).alias("w")).where(F.size("w") > 0)
-    parts = tx.encode(parts.select("id", F.array_join("w", " ").alias("t")), "t", "e", encoder, size).where(F.exists("e", lambda x: x != 0))
-    return V.mean_pool_fast(parts, "id", "e")
+#: Windows that are encoded at a time.
+TEXTS = 512
 
 
 def index_posts(posts: DataFrame, post_tags: DataFrame, tags: DataFrame, encoder: Callable[[list, int], np.ndarray], size: int, images: DataFrame | None = None, config: SearchConfig | None = None) -> DataFrame:
@@ -33,32 +30,75 @@ def index_posts(posts: DataFrame, post_tags: DataFrame, tags: DataFrame, encoder
     ``images`` is (id, vector), any number for a post.  A part that is missing or all zero counts as zero; a post whose vector is
     zero isn't indexed.
     """
+    rows, vectors = post_points(posts, post_tags, tags, encoder, size, images, config)
+    return vectors(rows).select("id", "vector", "payload")
+
+
+def post_points(posts: DataFrame, post_tags: DataFrame, tags: DataFrame, encoder: Callable[[list, int], np.ndarray], size: int, images: DataFrame | None = None, config: SearchConfig | None = None) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """What safe posts' vectors are made of, (id, payload, texts, parts, image), and the function that adds vector to such rows.
+
+    Rows are texts and numbers of tags: take them to where they are needed and add vectors last, for these are many times larger.
+    Encoding, gathering and fusing is one pass over a few thousand windows at a time.
+    """
     c = config or SearchConfig()
     safe = posts.where(~F.coalesce("nsfw", F.lit(False)))
-    t = text_vectors(safe, encoder, size, c).select("id", F.col("vector").alias("_t"))
-    g = search.post_vectors(post_tags, tags).select("id", F.col("vector").alias("_g"))
-    own = safe.select("id", "account_id", "nsfw", "note_count", "lang", "published_at").join(t, "id", "left").join(g, "id", "left")
+    texts = F.transform(F.filter(tx.windows(F.col("body_clean"), c.chunk_size, c.chunk_overlap), lambda w: F.size(w) > 0), lambda w: F.array_join(w, " "))
+    payload = F.struct("account_id", "nsfw", "note_count", "lang", "published_at").alias("payload")
+    own = safe.select("id", payload, texts.alias("texts")).join(search.tag_lists(post_tags), "id", "left")
     if images is not None:
-        own = own.join(V.mean_pool_fast(images, "id", "vector").select("id", F.col("vector").alias("_i")), "id", "left")
+        own = own.join(V.mean_pool_fast(images, "id", "vector").select("id", F.col("vector").alias("image")), "id", "left")
     else:
-        own = own.withColumn("_i", F.lit(None).cast("array<double>"))
-    fused = V.fuse([(F.col("_t"), c.weight_text), (V.nonzero(F.col("_i")), c.weight_image), (V.nonzero(F.col("_g")), c.weight_tag)], size)
-    payload = F.struct("account_id", "nsfw", "note_count", "lang", "published_at").alias("payload")
-    return own.select("id", F.transform(fused, lambda x: x.cast("float")).alias("vector"), payload).where(V.norm(F.col("vector")) >= V.TINY)
-
-
-def index_accounts(post_index: DataFrame, config: SearchConfig | None = None, salts: int = 32, accounts: DataFrame | None = None) -> DataFrame:
+        own = own.withColumn("image", F.lit(None).cast("array<double>"))
+    blocks = search.tag_blocks(tags)
+
+    def means(texts: pa.Array, n: int) -> np.ndarray:
+        """The mean of the vectors, other than zero, of each row's texts; zero for a row without one."""
+        row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False))
+        sums, count, flat = np.zeros((n, size)), np.zeros(n), texts.flatten()
+        for at in range(0, len(row), TEXTS):
+            e, r = np.asarray(encoder(flat.slice(at, TEXTS).to_pylist(), size), np.float64), row[at : at + TEXTS]
+            ok = np.any(e != 0, axis=1)
+            np.add.at(sums, r[ok], e[ok])
+            np.add.at(count, r[ok], 1)
+        return sums / np.maximum(count, 1)[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, has, g in gather.gathered(batches, "parts", blocks):
+            total = means(b.column("texts"), b.num_rows) * c.weight_text
+            image = b.column("image")
+            at = np.nonzero(pc.fill_null(pc.list_value_length(image), 0).to_numpy(zero_copy_only=False))[0]
+            if len(at):
+                total[at] += c.weight_image * image.flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+            if len(has):
+                total[has] += c.weight_tag * g
+            length = np.linalg.norm(total, axis=1)
+            ok = length >= V.TINY
+            v = (total[ok] / length[ok, None]).astype(np.float32)
+            ends = np.arange(len(v) + 1, dtype=np.int32) * np.int32(size)
+            yield pa.RecordBatch.from_arrays([*b.filter(pa.array(ok)).columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(v.ravel()))], [*b.schema.names, "vector"])
+
+    return own, lambda rows: rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
+
+
+def index_accounts(post_index: DataFrame, config: SearchConfig | None = None, salts: int = 32, accounts: DataFrame | None = None, points: tuple[DataFrame, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
     """(id, vector, posts): the unit mean of the vectors of each account's last posts.
 
     ``accounts`` (id, embedding), if given, are all in the result: one without posts keeps the vector that it has.
     Posts are ranked by number and time alone, each part of an account before the whole; vectors are joined to the chosen ones.
+    With ``points``, which ``post_index`` is made from, the chosen posts' texts and tag numbers go to their account and become
+    vectors there.
     """
     c = config or SearchConfig()
     order = [F.desc_nulls_last("published_at"), F.desc("id")]
     p = post_index.select("id", F.col("payload.account_id").alias("account_id"), F.col("payload.published_at").alias("published_at")).withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(salts)))
     p = p.withColumn("_r", F.row_number().over(Window.partitionBy("account_id", "_s").orderBy(*order))).where(F.col("_r") <= c.account_window)
     p = p.withColumn("_r", F.row_number().over(Window.partitionBy("account_id").orderBy(*order))).where(F.col("_r") <= c.account_window)
-    m = V.mean_pool_fast(p.select("id", "account_id").join(post_index.select("id", "vector"), "id"), "account_id", "vector", "m")
+    p = p.select("id", "account_id")
+    if points is not None:
+        near = points[0].join(p, "id").where("account_id is not null").repartition("account_id").sortWithinPartitions("account_id")
+        m = V.mean_pool_fast(points[1](near), "account_id", "vector", "m", together=True)
+    else:
+        m = V.mean_pool_fast(p.join(post_index.select("id", "vector"), "id"), "account_id", "vector", "m")
     own = m.select(F.col("account_id").alias("id"), V.normalise(F.col("m")).alias("vector"), F.col("n").alias("posts"))
     if accounts is None:
         return own

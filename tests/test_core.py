@@ -194,6 +194,29 @@ def test_a_collection_holds_numbers_of_tags(spark, small, monkeypatch, name):
     assert len(exact) == 10 and {r.id for r in held.nearest(q, 60, Filters(), probes=15).collect()} >= {r.id for r in exact[:3]}
 
 
+def test_indexed_posts_are_made_in_one_pass(spark, small, monkeypatch):
+    monkeypatch.setattr(V, "mean_pool_fast", None)  # no post's vector is shuffled
+    assert same_as_sql(spark, small, "index_posts")
+    p, pt, tags = (queries_search.read(spark, small, n) for n in ("posts", "post_tags", "tags"))
+    own = p.where("id in (1, 2, 3, 4)").withColumn("body_clean", F.when(F.col("id") == 2, "kiln " * 1000).otherwise(F.col("body_clean")))
+    got = {r.id: np.asarray(r.vector) for r in indexing.index_posts(own, pt, tags, tx.hash_encode, 384).collect()}
+    of = {r.id: np.asarray(r.embedding) for r in tags.collect() if r.id not in (7, 8)}
+    for r in own.collect():
+        words = (r.body_clean or "").split()
+        texts = tx.hash_encode([" ".join(words[i : i + 512]) for i in range(0, max(1, len(words)), 448)]).astype(np.float64)
+        t = [of[x.tag_id] for x in pt.where(f"post_id = {r.id}").distinct().collect() if x.tag_id in of]
+        v = 0.5 * texts.mean(axis=0) + 0.15 * (np.mean(t, axis=0) if t else 0)
+        assert np.abs(got[r.id] - v / np.linalg.norm(v)).max() < (0.02 if len(words) > 512 else 1e-6), r.id
+
+
+def test_accounts_are_made_of_texts_and_tag_numbers(spark, small):
+    points = indexing.post_points(*(queries_search.read(spark, small, n) for n in ("posts", "post_tags", "tags")), tx.hash_encode, 384)
+    index, c = points[1](points[0]), SearchConfig(account_window=5)
+    there, here = ({r.id: r for r in indexing.index_accounts(index, c, **more).collect()} for more in ({}, {"points": points}))
+    assert set(there) == set(here) and len(here) == 6
+    assert all(here[k].posts == there[k].posts == 5 and np.allclose(here[k].vector, there[k].vector, rtol=0, atol=1e-6) for k in here)
+
+
 def test_a_collection_without_vectors(spark, small, tmp_path):
     posts, tags = spark.read.parquet(f"{small}/posts.parquet").where("id = 1"), spark.read.parquet(f"{small}/tags.parquet")
     held = store.SearchStore.build(spark, posts, spark.createDataFrame([(1, [7])], "id long, parts array<long>"), "simple", str(tmp_path / "none"), parts=search.tag_vectors(tags))
