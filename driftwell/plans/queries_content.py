@@ -366,8 +366,8 @@ def index_accounts(spark, d):
     """Account vectors over the last posts of the collection: how many posts each is made of."""
     from driftwell.plans import indexing
 
-    posts = indexing.index_posts(current_posts(spark, d), read(spark, d, "post_tags"), read(spark, d, "tags"), tx.hash_encode, 384)
-    return indexing.index_accounts(posts).select(F.col("id").alias("account_id"), "posts")
+    points = indexing.post_points(current_posts(spark, d), read(spark, d, "post_tags"), read(spark, d, "tags"), tx.hash_encode, 384)
+    return indexing.index_accounts(points[1](points[0]), points=points).select(F.col("id").alias("account_id"), "posts")
 
 
 def image_status(spark, d):
