@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Norms below this count as zero.
 TINY = 1e-10
+#: Sums that a task adds up at a time.
+ROWS = 2000
 
 
 def literal(v: Sequence[float]) -> Column:
@@ -114,9 +116,7 @@ def mean_pool_fast(rows: DataFrame, key: str, vector: str, out: str = "vector",
 
     def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in (b.iloc[at : at + ROWS] for b in batches for at in range(0, len(b), ROWS)):
             k, m, n = pdf[key].to_numpy(), np.stack(pdf["_sum"].to_numpy()), pdf["_n"].to_numpy()
             if last is not None:
                 k, m, n = np.r_[last[0], k], np.vstack([last[1], m]), np.r_[last[2], n]
